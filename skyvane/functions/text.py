@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+_CUT = float(1 << 26)
+_EXACT_BELOW = 1e12
+
 
 def trimmed(text: Column) -> Column:
     return F.trim(text)
@@ -15,8 +18,31 @@ def contains_text(text: Column, part: str) -> Column:
 
 
 def one_decimal(number: Column, unit: str = "") -> Column:
-    """``21.35`` -> ``21.4`` plus unit; ties go away from zero, null stays null."""
-    return F.when(number.isNotNull(), F.format_string(f"%.1f{unit}", number))
+    """``21.35`` -> ``21.4`` plus unit; null stays null.
+
+    Rounds the stored binary value, as printing a number does, and an exact tie away from
+    zero. ``format_string`` would round the shortest decimal text instead, which turns 0.15,
+    stored just below it, into 0.2. The fraction is cut in two so that ten times each part
+    is exact.
+    """
+    size = F.abs(number)
+    whole = F.floor(size)
+    fraction = size - whole
+    upper = F.floor(fraction * _CUT) / _CUT
+    lower = fraction - upper
+    digit = F.floor(upper * 10)
+    rounds_up = lower * 10 >= F.lit(0.5) - (upper * 10 - digit)
+    tenths = whole * 10 + digit + F.when(rounds_up, 1).otherwise(0)
+    shown = F.concat(
+        F.when(number < 0, "-").otherwise(""),
+        F.floor(tenths / 10).cast("string"),
+        F.lit("."),
+        (tenths % 10).cast("string"),
+        F.lit(unit),
+    )
+    return F.when(size < _EXACT_BELOW, shown).when(
+        number.isNotNull(), F.format_string(f"%.1f{unit}", number)
+    )
 
 
 def percent_text(fraction: Column) -> Column:

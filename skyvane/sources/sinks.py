@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skyvane import schemas
 from skyvane.functions.times import iso_text
 
 STORED_READING = (
@@ -43,6 +44,10 @@ def append_readings(readings: DataFrame, folder: str) -> None:
     )
 
 
+def stored_readings(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema(f"{schemas.WEATHER_DATA}, recorded_date DATE").parquet(folder)
+
+
 def export(df: DataFrame, folder: str, file_format: str) -> None:
     """CSV (with header) or JSON lines, one file per task."""
     writer = df.write.mode("errorifexists").option("header", True)

@@ -142,7 +142,7 @@ def live_update(
                 batch_folder(table, batch_id)
             )
             published = (
-                sinks.weather_updates(_scored(kept, model, score))
+                sinks.weather_updates(scored(kept, model, score))
                 .unionByName(sinks.warnings_raised(rules.fixed_warnings(kept)))
                 .unionByName(sinks.rules_tripped(rules.trip_history(current_rules(), kept)))
             )
@@ -153,7 +153,7 @@ def live_update(
     return start_per_batch(stream, update, state, every)
 
 
-def _scored(readings: DataFrame, model: PipelineModel | None, score: float | None) -> DataFrame:
+def scored(readings: DataFrame, model: PipelineModel | None, score: float | None) -> DataFrame:
     if model is not None:
         return forecast.predict(model, readings, score)
     return readings.withColumns(
