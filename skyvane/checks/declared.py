@@ -10,6 +10,7 @@ from skyvane.checks.composites import PAIRS
 from skyvane.checks.registry import AS_OF, register, register_all
 from skyvane.functions import times
 from skyvane.operators import aggregates, forecast, lookups, recommend, trends, windows
+from skyvane.operators.rules import METRICS
 from skyvane.plans import alerts, dashboard
 from skyvane.session import shared_folder
 from skyvane.sources import sinks
@@ -186,7 +187,7 @@ register_all(
         ),
         "d6_free_text_conditions": (
             lambda t: trends.met_conditions(
-                _conditions(t), windows.latest_per_location(t.weather)
+                _conditions(t), windows.latest_per_location(t.weather, *METRICS)
             ),
             f"""
             , {LATEST}, conditions AS (
@@ -262,7 +263,12 @@ register_all(
             """,
         ),
         "d13_avoidances": (
-            lambda t: recommend.avoidances(t.users, windows.latest_per_location(t.weather)),
+            lambda t: recommend.avoidances(
+                t.users,
+                windows.latest_per_location(
+                    t.weather, "temperature", "wind_speed", "weather_condition"
+                ),
+            ),
             f"""
             , {LATEST}, {WISHES}
             SELECT w.user_id, w.location,

@@ -427,7 +427,7 @@ register_all(
         ),
         "j5_users_latest_reading": (
             lambda t: joins.users_with_latest(
-                t.users.select("user_id", "location"), windows.latest_per_location(t.weather)
+                t.users.select("user_id", "location"), windows.latest_per_location(t.weather, "temperature", "weather_condition"),
             ).select("user_id", "location", "data_id", "temperature", "weather_condition"),
             f"""
             , {LATEST}
@@ -446,7 +446,7 @@ register_all(
         ),
         "j7_rules_on_latest_reading": (
             lambda t: rules.tripped_on_latest(
-                t.alerts, t.users, windows.latest_per_location(t.weather)
+                t.alerts, t.users, windows.latest_per_location(t.weather, *rules.METRICS)
             ).select("alert_id", "data_id", "metric", "value", "threshold"),
             f"""
             , {LATEST}, {LIMITS}
@@ -482,7 +482,7 @@ register_all(
                     "location",
                     nested.preferences(F.col("preferences"))["temperature_max"].alias("upper"),
                 ),
-                windows.latest_per_location(t.weather).select("location", "temperature"),
+                windows.latest_per_location(t.weather, "temperature"),
             ).select("user_id", (F.col("temperature") > F.col("upper")).alias("above_maximum")),
             f"""
             , {LATEST}

@@ -294,7 +294,7 @@ register_all(
         ),
         "h_cond_4_recommendation": (
             lambda t: recommend.recommendations(
-                t.users, windows.latest_per_location(t.weather)
+                t.users, windows.latest_per_location(t.weather, "temperature")
             ).select("user_id", "recommendation"),
             f"""
             , {LATEST}, {WISHES}

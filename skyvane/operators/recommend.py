@@ -17,7 +17,7 @@ def with_preferences(users: DataFrame) -> DataFrame:
 
 def recommendations(users: DataFrame, latest: DataFrame) -> DataFrame:
     matched = joins.users_with_latest(
-        with_preferences(users), latest.select("location", "temperature", "weather_condition")
+        with_preferences(users), latest.select("location", "temperature")
     )
     return matched.select(
         "user_id",

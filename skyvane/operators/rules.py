@@ -7,7 +7,7 @@ the alert type says. The fixed warnings need no rule and use a strict comparison
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from skyvane.functions.nested import trigger_conditions
@@ -151,76 +151,55 @@ def trip_history(rules: DataFrame, readings: DataFrame) -> DataFrame:
     they a whole history or a micro-batch.
 
     Never pairs rules with readings. Readings are first counted per distinct value, and
-    thresholds reduced to distinct ones; both are then laid out by falling value, and a
-    running total at a threshold is what lies at or above it. Values are cut into bands one
-    unit wide, so that one task sums the distinct values of one band, and the totals of the
-    bands above, a handful of rows, are added.
+    thresholds reduced to distinct ones; both are laid out by falling value, and a running
+    total at a threshold is what lies at or above it. Values are cut into bands one unit
+    wide, so that one task runs through the distinct values of one band; the totals of the
+    bands above are then added, for which one row per band and threshold is enough.
     """
     place = ("location", "metric")
     limits = by_metric(rules)
-    measured = (
-        readings.select("location", "recorded_at", *METRICS)
-        .unpivot(["location", "recorded_at"], list(METRICS), "metric", "level")
-        .where(F.col("level").isNotNull())
-        .groupBy(*place, "level")
-        .agg(
-            F.count("*").alias("n"),
-            F.min("recorded_at").alias("first_at"),
-            F.max("recorded_at").alias("last_at"),
-        )
-    )
     thresholds = limits.select(*place, F.col("threshold").alias("level")).distinct()
     points = (
-        measured.withColumn("is_threshold", F.lit(False))
-        .unionByName(
-            thresholds.withColumn("is_threshold", F.lit(True)), allowMissingColumns=True
-        )
+        _value_counts(readings)
+        .withColumn("is_threshold", F.lit(False))
+        .unionByName(thresholds.withColumn("is_threshold", F.lit(True)), allowMissingColumns=True)
         .withColumn("band", F.floor("level"))
     )
 
-    rows_so_far = (Window.unboundedPreceding, Window.currentRow)
-    bands_before = (Window.unboundedPreceding, -1)
     falling = Window.partitionBy(*place, "band").orderBy(F.desc("level"), "is_threshold")
-    inside = points.select(
+    so_far = falling.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    in_band = points.select(
         *place,
         "band",
         "level",
         "is_threshold",
-        F.sum("n").over(falling.rowsBetween(*rows_so_far)).alias("n"),
-        F.min("first_at").over(falling.rowsBetween(*rows_so_far)).alias("first_at"),
-        F.max("last_at").over(falling.rowsBetween(*rows_so_far)).alias("last_at"),
-        F.max(F.when(~F.col("is_threshold"), F.col("level")))
-        .over(falling.rowsBetween(*rows_so_far))
-        .alias("peak"),
-    ).where("is_threshold")
-
-    above_order = Window.partitionBy(*place).orderBy(F.desc("band")).rowsBetween(*bands_before)
+        *_totals(F.col("n"), F.col("first_at"), F.col("last_at"), F.col("peak"), so_far),
+        F.lead(F.lit(True)).over(falling).isNull().alias("ends_band"),
+    ).where("is_threshold OR ends_band")
+
+    # Ordered by falling band, the range before the current row is the bands above.
     above = (
-        points.groupBy(*place, "band")
-        .agg(
-            F.sum("n").alias("n"),
-            F.min("first_at").alias("first_at"),
-            F.max("last_at").alias("last_at"),
-            F.max(F.when(~F.col("is_threshold"), F.col("level"))).alias("peak"),
+        Window.partitionBy(*place)
+        .orderBy(F.desc("band"))
+        .rangeBetween(Window.unboundedPreceding, -1)
+    )
+    of_bands = [F.when(F.col("ends_band"), F.col(name)) for name in TOTALS]
+    per_threshold = (
+        in_band.select(
+            "*", *(total.alias(f"{name}_above") for name, total in zip(TOTALS, _totals(*of_bands, above)))
         )
+        .where("is_threshold")
         .select(
             *place,
-            "band",
-            F.sum("n").over(above_order).alias("n_above"),
-            F.min("first_at").over(above_order).alias("first_above"),
-            F.max("last_at").over(above_order).alias("last_above"),
-            F.max("peak").over(above_order).alias("peak_above"),
+            F.col("level").alias("threshold"),
+            (F.coalesce("n", F.lit(0)) + F.coalesce("n_above", F.lit(0))).alias("trips"),
+            F.least("first_at", "first_at_above").alias("first_tripped_at"),
+            F.greatest("last_at", "last_at_above").alias("last_tripped_at"),
+            F.greatest("peak", "peak_above").alias("peak"),
         )
+        .where(F.col("trips") > 0)
     )
-    per_threshold = inside.join(above, [*place, "band"]).select(
-        *place,
-        F.col("level").alias("threshold"),
-        (F.coalesce("n", F.lit(0)) + F.coalesce("n_above", F.lit(0))).alias("trips"),
-        F.least("first_at", "first_above").alias("first_tripped_at"),
-        F.greatest("last_at", "last_above").alias("last_tripped_at"),
-        F.greatest("peak", "peak_above").alias("peak"),
-    )
-    return limits.join(per_threshold.where(F.col("trips") > 0), [*place, "threshold"]).select(
+    return limits.join(per_threshold, [*place, "threshold"]).select(
         *RULE_COLUMNS,
         "metric",
         "threshold",
@@ -229,3 +208,33 @@ def trip_history(rules: DataFrame, readings: DataFrame) -> DataFrame:
         "last_tripped_at",
         "peak",
     )
+
+
+TOTALS = ("n", "first_at", "last_at", "peak")
+
+
+def _value_counts(readings: DataFrame) -> DataFrame:
+    """Distinct values per location and metric with how often, first and last they were read."""
+    return (
+        readings.select("location", "recorded_at", *METRICS)
+        .unpivot(["location", "recorded_at"], list(METRICS), "metric", "level")
+        .where(F.col("level").isNotNull())
+        .groupBy("location", "metric", "level")
+        .agg(
+            F.count("*").alias("n"),
+            F.min("recorded_at").alias("first_at"),
+            F.max("recorded_at").alias("last_at"),
+        )
+        .withColumn("peak", F.col("level"))
+    )
+
+
+def _totals(
+    n: Column, first_at: Column, last_at: Column, peak: Column, window: WindowSpec
+) -> list[Column]:
+    return [
+        F.sum(n).over(window).alias("n"),
+        F.min(first_at).over(window).alias("first_at"),
+        F.max(last_at).over(window).alias("last_at"),
+        F.max(peak).over(window).alias("peak"),
+    ]

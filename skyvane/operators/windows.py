@@ -8,11 +8,14 @@ from pyspark.sql import functions as F
 TIME_ORDER = ("recorded_at", "data_id")
 
 
-def latest_per_location(readings: DataFrame) -> DataFrame:
+def latest_per_location(readings: DataFrame, *columns: str) -> DataFrame:
     """One row per location, the newest; equal times are decided by the id.
 
-    ``max_by`` reduces to one row per location in every map task before the shuffle.
+    ``max_by`` reduces to one row per location in every map task before the shuffle. Naming
+    the ``columns`` needed besides time and id keeps the others out of the scan.
     """
+    if columns:
+        readings = readings.select("location", *TIME_ORDER, *columns)
     others = [name for name in readings.columns if name != "location"]
     return (
         readings.groupBy("location")
@@ -31,32 +34,84 @@ def newest_per(df: DataFrame, key: str, time: str, row_id: str, n: int) -> DataF
     return df.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
 
+# Largest number of rows of one key and hour that one task is given to sort.
+CELL_LIMIT = 2_000_000
+
+
 def with_next(
     df: DataFrame,
     key: str,
     values: list[str],
     order: tuple[str, ...] = TIME_ORDER,
     steps: int = 1,
-    pieces: int | None = None,
+    cell_limit: int = CELL_LIMIT,
 ) -> DataFrame:
     """Add ``next``: a struct of ``values`` taken ``steps`` rows later within the key, or null
-    where the key has no such row. ``order`` has to be unique within a key.
+    where the key has no such row. ``order`` starts with a time and is unique within a key.
 
-    A plain window would sort a whole key in one task. Here rows are first range-partitioned
-    by key and order, which cuts a large key into pieces, and the rows are shifted inside
-    each piece. The first and last ``steps`` rows of the pieces, which are few, are then
-    shifted once more among themselves, which closes the gaps between pieces.
+    A plain window would sort a whole key in one task. The rows are shifted within each hour
+    of a key instead, and the gaps between hours closed from the first rows of the hours.
+    That needs one shuffle of the rows, but hours of bounded size, so the largest is counted
+    first. Beyond ``cell_limit`` the rows are cut by range, which splits any hour, even one
+    instant, at the price of further shuffles. The result is the same.
     """
-    by_range = [key, *order]
-    ranged = (
-        df.repartitionByRange(pieces, *by_range) if pieces else df.repartitionByRange(*by_range)
+    hour = F.coalesce(
+        F.date_trunc("hour", order[0]), F.lit("0001-01-01 00:00:00").cast("timestamp")
+    )
+    placed = df.withColumn("_cell", hour)
+    sizes = placed.groupBy(key, "_cell").agg(F.count("*").alias("n"))
+    largest = sizes.agg(F.max("n")).first()[0] or 0
+    if largest <= cell_limit:
+        return _shifted_by_hour(placed, key, values, order, steps)
+    return _shifted_by_range(df, key, values, order, steps)
+
+
+def _shifted_by_hour(
+    placed: DataFrame, key: str, values: list[str], order: tuple[str, ...], steps: int
+) -> DataFrame:
+    later = F.struct(*values)
+    inside = Window.partitionBy(key, "_cell").orderBy(*order)
+    along = Window.partitionBy(key).orderBy(*order)
+    # The first rows of each hour; seen from the last of them, the next hours' first rows are
+    # the rows that follow the hour.
+    heads = (
+        placed.select(key, "_cell", *order, later.alias("_later"))
+        .withColumn("_position", F.row_number().over(inside))
+        .where(F.col("_position") <= steps)
     )
+    following = (
+        heads.withColumn("_after", F.collect_list("_later").over(along.rowsBetween(1, steps)))
+        .withColumn("_next_cell", F.lead("_cell").over(along))
+        .where(F.col("_next_cell").isNotNull() & (F.col("_next_cell") != F.col("_cell")))
+        .select(key, "_cell", "_after")
+    )
+    rows_left = (
+        F.lit(0) if steps == 1 else F.count("*").over(inside.rowsBetween(1, steps)).cast("int")
+    )
+    return (
+        placed.withColumn("_inside", F.lead(later, steps).over(inside))
+        .withColumn("_left", rows_left)
+        .join(following, [key, "_cell"], "left")
+        .withColumn(
+            "next", F.coalesce("_inside", F.get("_after", F.lit(steps - 1) - F.col("_left")))
+        )
+        .drop("_cell", "_inside", "_left", "_after")
+    )
+
+
+def _shifted_by_range(
+    df: DataFrame, key: str, values: list[str], order: tuple[str, ...], steps: int
+) -> DataFrame:
+    """Cut the sorted rows into even pieces, shift within each, then shift the first and last
+    ``steps`` rows of the pieces among themselves. One lineage, so the pieces, which depend
+    on a sample, are the same for both shifts."""
     later = F.struct(*values)
     inside = Window.partitionBy(key, "_piece").orderBy(*order)
     across = Window.partitionBy(key, "_group").orderBy(*order)
     is_edge = F.col("_inside").isNull() | (F.col("_position") <= steps)
     return (
-        ranged.withColumn("_piece", F.spark_partition_id())
+        df.repartitionByRange(key, *order)
+        .withColumn("_piece", F.spark_partition_id())
         .withColumn("_inside", F.lead(later, steps).over(inside))
         .withColumn("_position", F.row_number().over(inside))
         .withColumn("_group", F.when(is_edge, F.lit(-1)).otherwise(F.col("_piece")))

@@ -12,7 +12,7 @@ from skyvane.sources.tables import Tables
 
 def tripped_alerts(tables: Tables) -> DataFrame:
     """User alerts set off by the latest reading at the user's location."""
-    latest = windows.latest_per_location(tables.weather)
+    latest = windows.latest_per_location(tables.weather, *rules.METRICS)
     hits = rules.tripped_on_latest(tables.alerts, tables.users, latest)
     return hits.select(
         "alert_id",

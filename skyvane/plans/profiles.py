@@ -129,4 +129,5 @@ def _readings(tables: Tables) -> DataFrame:
 
 
 def recommendations(tables: Tables) -> DataFrame:
-    return recommend.recommendations(tables.users, windows.latest_per_location(tables.weather))
+    latest = windows.latest_per_location(tables.weather, "temperature")
+    return recommend.recommendations(tables.users, latest)
