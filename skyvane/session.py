@@ -19,6 +19,7 @@ def local_session(cores: str | int = "*", app_name: str = "skyvane") -> SparkSes
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", os.environ.get("SKYVANE_DRIVER_MEMORY", "8g"))
         .config("spark.driver.host", "127.0.0.1")
         .config("spark.driver.bindAddress", "127.0.0.1")
