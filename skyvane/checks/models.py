@@ -6,9 +6,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skyvane import schemas
 from skyvane.checks.composites import PAIRS
-from skyvane.checks.registry import AS_OF, QUERIES, register, register_all
-from skyvane.operators import aggregates, forecast, lookups, windows
+from skyvane.checks.registry import AS_OF, register, register_all
+from skyvane.operators import aggregates, forecast, lookups
 from skyvane.plans import training
 from skyvane.session import shared_folder
 from skyvane.sources.tables import driver_tables
@@ -123,18 +124,14 @@ def _round_trip(spark, folder: str) -> DataFrame:
 
 
 def _recorded_runs(spark, folder: str) -> DataFrame:
-    """The runs table after one run, with the latest status for a status panel."""
+    """The runs table after one run."""
     target = shared_folder(spark, "training-runs")
     forecast.append_run(trained(spark, folder).run, target)
-    from skyvane import schemas
-
-    runs = spark.read.schema(schemas.TRAINING_RUNS).parquet(target)
-    return runs.groupBy("locations").agg(
-        F.max("trained_at").cast("timestamp_ntz").alias("last_training"),
-        F.max_by("data_points", "trained_at").alias("data_points"),
-        F.max_by("score", "trained_at").alias("score"),
-        F.count("*").alias("runs"),
-    )
+    return spark.read.schema(schemas.TRAINING_RUNS).parquet(target)
+
+
+def _status_panel(spark, folder: str) -> DataFrame:
+    return forecast.status_panel(_recorded_runs(spark, folder), _scored_readings(spark, folder))
 
 
 def _next_predictions(spark, folder: str) -> DataFrame:
@@ -190,7 +187,7 @@ register("s12_model_round_trip", _round_trip, "SELECT CAST(0 AS BIGINT) AS n_dif
 register("s13_training_runs", _recorded_runs)
 register("q10_train_evaluate_predict", _next_predictions)
 register("d11_train_24_ahead", _ahead)
-register("d14_status_panel", _recorded_runs)
+register("d14_status_panel", _status_panel)
 register("d15_model_by_location", _by_location)
 register("d16_precipitation_model", _precipitation)
 register("d17_ensemble", _ensemble)

@@ -648,11 +648,8 @@ register_all(
             """,
         ),
         "o1_recent_activities": (
-            lambda t: topk.newest(
-                joins.activities_with_users(t.activities, t.users),
-                "activity_date",
-                "activity_id",
-                5,
+            lambda t: topk.newest_with_users(
+                t.activities, t.users, "activity_date", "activity_id", 5
             ).select("activity_id", "username", "activity_type", "activity_date"),
             """
             SELECT a.activity_id, u.username, a.activity_type, a.activity_date

@@ -237,6 +237,17 @@ def append_run(run: DataFrame, folder: str) -> None:
     run.write.mode("append").parquet(folder)
 
 
+def status_panel(runs: DataFrame, predictions: DataFrame) -> DataFrame:
+    """Latest score and training time per trained set, and how many predictions were made."""
+    latest = runs.where(F.col("status") == "trained").groupBy("locations").agg(
+        F.max("trained_at").alias("last_training"),
+        F.max_by("data_points", "trained_at").alias("data_points"),
+        F.max_by("score", "trained_at").alias("score"),
+    )
+    made = predictions.agg(F.count("predicted_temperature")).scalar()
+    return latest.withColumn("predictions_made", made)
+
+
 # Declared extensions -------------------------------------------------------------------
 
 LOCATION_CODES = 1 << 16

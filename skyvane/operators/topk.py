@@ -5,8 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skyvane.operators.joins import activities_with_users
+
 
 def newest(df: DataFrame, time: str, row_id: str, n: int | None = None) -> DataFrame:
     """Newest first, the id decides ties; with ``n`` only a per-task top ``n`` is merged."""
     ordered = df.orderBy(F.desc(time), F.desc(row_id))
     return ordered if n is None else ordered.limit(n)
+
+
+def newest_with_users(
+    activities: DataFrame, users: DataFrame, time: str, row_id: str, n: int
+) -> DataFrame:
+    """The ``n`` newest activities that have a user, with that user.
+
+    Mostly the newest ``n`` all have one; joining just those spares shuffling all activities
+    by user. Only if one is without a user is everything joined.
+    """
+    few = activities_with_users(newest(activities, time, row_id, n), users)
+    if few.count() < n:
+        few = activities_with_users(activities, users)
+    return newest(few, time, row_id, n)

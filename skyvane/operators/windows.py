@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TIME_ORDER = ("recorded_at", "data_id")
@@ -34,8 +34,10 @@ def newest_per(df: DataFrame, key: str, time: str, row_id: str, n: int) -> DataF
     return df.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
 
-# Largest number of rows of one key and hour that one task is given to sort.
+# Largest number of rows that one task is given to sort, and the spans a key is cut into
+# when it holds more.
 CELL_LIMIT = 2_000_000
+CELL_SPANS = ("day", "hour")
 
 
 def with_next(
@@ -45,35 +47,48 @@ def with_next(
     order: tuple[str, ...] = TIME_ORDER,
     steps: int = 1,
     cell_limit: int = CELL_LIMIT,
+    cell_spans: tuple[str, ...] = CELL_SPANS,
 ) -> DataFrame:
     """Add ``next``: a struct of ``values`` taken ``steps`` rows later within the key, or null
     where the key has no such row. ``order`` starts with a time and is unique within a key.
 
-    A plain window would sort a whole key in one task. The rows are shifted within each hour
-    of a key instead, and the gaps between hours closed from the first rows of the hours.
-    That needs one shuffle of the rows, but hours of bounded size, so the largest is counted
-    first. Beyond ``cell_limit`` the rows are cut by range, which splits any hour, even one
-    instant, at the price of further shuffles. The result is the same.
+    A plain window sorts a whole key in one task, so it is used only when no key exceeds
+    ``cell_limit`` rows. Otherwise rows are shifted within each day or hour of a key, the
+    widest span that fits the limit, and the gaps between spans are closed from their first
+    rows; the rows are still shuffled once. Where even one hour holds too much, the rows are
+    cut by range, which splits a single instant too, at the price of further shuffles. The
+    sizes are counted from key and time alone. The result is the same in all cases.
     """
-    hour = F.coalesce(
-        F.date_trunc("hour", order[0]), F.lit("0001-01-01 00:00:00").cast("timestamp")
-    )
-    placed = df.withColumn("_cell", hour)
-    sizes = placed.groupBy(key, "_cell").agg(F.count("*").alias("n"))
-    largest = sizes.agg(F.max("n")).first()[0] or 0
-    if largest <= cell_limit:
-        return _shifted_by_hour(placed, key, values, order, steps)
+    if _largest(df, [key]) <= cell_limit:
+        whole_key = Window.partitionBy(key).orderBy(*order)
+        return df.withColumn("next", F.lead(F.struct(*values), steps).over(whole_key))
+    for span in cell_spans:
+        placed = df.withColumn("_cell", _cell(order[0], span))
+        if _largest(placed, [key, "_cell"]) <= cell_limit:
+            return _shifted_by_cell(placed, key, values, order, steps)
     return _shifted_by_range(df, key, values, order, steps)
 
 
-def _shifted_by_hour(
+def _largest(df: DataFrame, group: list[str]) -> int:
+    sizes = df.groupBy(*group).agg(F.count("*").alias("n"))
+    return sizes.agg(F.max("n")).first()[0] or 0
+
+
+def _cell(time: str, span: str) -> Column:
+    """Start of the span; rows without a time come first, as in their order."""
+    return F.coalesce(
+        F.date_trunc(span, time), F.lit("0001-01-01 00:00:00").cast("timestamp")
+    )
+
+
+def _shifted_by_cell(
     placed: DataFrame, key: str, values: list[str], order: tuple[str, ...], steps: int
 ) -> DataFrame:
     later = F.struct(*values)
     inside = Window.partitionBy(key, "_cell").orderBy(*order)
     along = Window.partitionBy(key).orderBy(*order)
-    # The first rows of each hour; seen from the last of them, the next hours' first rows are
-    # the rows that follow the hour.
+    # The first rows of each cell; seen from the last of them, the next cells' first rows are
+    # the rows that follow the cell.
     heads = (
         placed.select(key, "_cell", *order, later.alias("_later"))
         .withColumn("_position", F.row_number().over(inside))

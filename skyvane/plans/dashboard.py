@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyvane.functions import labels, text, times
-from skyvane.operators import aggregates, joins, topk, windows
+from skyvane.operators import aggregates, topk, windows
 from skyvane.sources.tables import Tables
 
 RECENT_ACTIVITIES = 5
@@ -18,8 +18,10 @@ def summary(tables: Tables, model_is_trained: bool = False) -> DataFrame:
 
 
 def recent_activities(tables: Tables, n: int = RECENT_ACTIVITIES) -> DataFrame:
-    joined = joins.activities_with_users(tables.activities, tables.users)
-    return topk.newest(joined, "activity_date", "activity_id", n).select(
+    recent = topk.newest_with_users(
+        tables.activities, tables.users, "activity_date", "activity_id", n
+    )
+    return recent.select(
         "activity_id",
         "username",
         "activity_type",

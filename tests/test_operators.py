@@ -7,7 +7,16 @@ import pytest
 from pyspark.sql import functions as F
 
 from skyvane import schemas
-from skyvane.operators import aggregates, joins, lookups, quality, rules, trends, windows
+from skyvane.operators import (
+    aggregates,
+    joins,
+    lookups,
+    quality,
+    rules,
+    topk,
+    trends,
+    windows,
+)
 from skyvane.sources import inserts, payloads
 
 START = datetime.datetime(2024, 1, 1)
@@ -47,11 +56,20 @@ def next_by_hand(rows, steps):
 
 
 @pytest.mark.parametrize("steps", [1, 3, 24])
-@pytest.mark.parametrize("cell_limit", [1_000_000, 0], ids=["by hour", "by range"])
-def test_next_rows_match_a_sorted_list(spark, steps, cell_limit):
-    rows, df = random_readings(spark, 600, seed=steps)
+@pytest.mark.parametrize(
+    ("cell_limit", "spans"),
+    [(1_000_000, ()), (250, ("day", "hour")), (250, ("hour",)), (0, ("day", "hour"))],
+    ids=["whole key", "by day", "by hour", "by range"],
+)
+def test_next_rows_match_a_sorted_list(spark, steps, cell_limit, spans):
+    rows, df = random_readings(spark, 600, seed=steps, minutes=4000)
     followed = windows.with_next(
-        df, "location", ["data_id", "temperature"], steps=steps, cell_limit=cell_limit
+        df,
+        "location",
+        ["data_id", "temperature"],
+        steps=steps,
+        cell_limit=cell_limit,
+        cell_spans=spans,
     )
     got = {
         row.data_id: None if row.next is None else (row.next.data_id, row.next.temperature)
@@ -62,7 +80,7 @@ def test_next_rows_match_a_sorted_list(spark, steps, cell_limit):
 
 def test_next_row_across_empty_hours(spark):
     rows = [(1, "a", 1.0, 0), (2, "a", 2.0, 600), (3, "a", 3.0, 6000), (4, "b", 4.0, 5)]
-    followed = windows.with_next(readings(spark, rows), "location", ["temperature"])
+    followed = windows.with_next(readings(spark, rows), "location", ["temperature"], cell_limit=2)
     got = {row.data_id: row.next and row.next.temperature for row in followed.collect()}
     assert got == {1: 2.0, 2: 3.0, 3: None, 4: None}
 
@@ -193,6 +211,14 @@ def test_orphans_are_reported_and_left_out_of_the_inner_join(spark):
     assert joins.activities_with_users(done, people).count() == 1
 
 
+@pytest.mark.parametrize("orphan", [None, 9])
+def test_newest_activities_skip_those_without_a_user(spark, orphan):
+    people = users(spark, [(1, "a"), (2, "a")])
+    done = activities(spark, [(i, 99 if i == orphan else 1 + i % 2) for i in range(10)])
+    got = topk.newest_with_users(done, people, "activity_date", "activity_id", 3)
+    assert [r.activity_id for r in got.collect()] == ([9, 8, 7] if orphan is None else [8, 7, 6])
+
+
 def test_minimum_history(spark):
     rows = [(i, "short", 1.0, i) for i in range(19)]
     rows += [(100 + i, "enough", 1.0, i) for i in range(20)]

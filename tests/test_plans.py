@@ -61,11 +61,21 @@ def test_top_rows_need_no_full_sort(spark):
     assert "TakeOrderedAndProject" in plan(QUERIES["q2_recent_activities"](spark, SMALL))
 
 
-def test_next_row_shuffles_the_rows_once(spark, tables):
-    """The rows by hour; the heads of the hours by hour and by place; the latter joined back."""
+def exchanges(df) -> list[str]:
+    shown = df._jdf.queryExecution().executedPlan().toString()
+    return [line for line in shown.splitlines() if "Exchange" in line]
+
+
+def test_next_row_of_small_keys_is_one_shuffle(spark, tables):
     followed = windows.with_next(tables.weather, "location", ["temperature"])
-    simple = followed._jdf.queryExecution().executedPlan().toString()
-    assert "rangepartitioning" not in simple
+    assert len(exchanges(followed)) == 1
+
+
+def test_next_row_of_large_keys_is_not_cut_by_range(spark, tables):
+    followed = windows.with_next(tables.weather, "location", ["temperature"], cell_limit=40)
+    found = exchanges(followed)
+    assert any("_cell" in line for line in found)
+    assert not any("rangepartitioning" in line for line in found)
 
 
 def test_trip_history_joins_on_equality(spark, tables):
