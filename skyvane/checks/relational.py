@@ -12,6 +12,7 @@ from skyvane.checks.base_views import (
     PARSED,
     SIGN_UPS,
     TRIPS,
+    WISHES,
     landed_payloads,
     preference_requests,
     sign_ups,
@@ -177,13 +178,18 @@ def _appended(spark, folder: str) -> DataFrame:
     for is_fallback in (False, True):
         sinks.append_readings(parsed.where(F.col("is_fallback") == is_fallback), table)
     stored = sinks.stored_readings(spark, table)
-    return stored.withColumn("recorded_at", F.col("recorded_at").cast("timestamp_ntz"))
+    return stored.withColumns(
+        {
+            "recorded_at": F.col("recorded_at").cast("timestamp_ntz"),
+            "recorded_date": F.col("recorded_date").cast("string"),
+        }
+    )
 
 
 register(
     "s4_append_readings",
     _appended,
-    f", {PARSED} SELECT {READING_COLUMNS}, CAST(recorded_at AS DATE) AS recorded_date FROM readings",
+    f", {PARSED} SELECT {READING_COLUMNS}, CAST(CAST(recorded_at AS DATE) AS VARCHAR) AS recorded_date FROM readings",
 )
 
 
@@ -483,15 +489,18 @@ register_all(
                     nested.preferences(F.col("preferences"))["temperature_max"].alias("upper"),
                 ),
                 windows.latest_per_location(t.weather, "temperature"),
-            ).select("user_id", (F.col("temperature") > F.col("upper")).alias("above_maximum")),
+            ).select(
+                "user_id",
+                F.when(F.col("temperature") > F.col("upper"), "above")
+                .when(F.col("temperature") <= F.col("upper"), "within")
+                .alias("against_maximum"),
+            ),
             f"""
-            , {LATEST}
-            SELECT u.user_id,
-                   l.temperature > coalesce(
-                     CAST(json_extract_string(preferences, '$.temperature_max') AS DOUBLE),
-                     CAST(json_extract_string(preferences, '$.temperature_range[1]') AS DOUBLE)
-                   ) AS above_maximum
-            FROM users u LEFT JOIN latest l ON u.location = l.location
+            , {LATEST}, {WISHES}
+            SELECT w.user_id, CASE WHEN l.temperature > w.temperature_max THEN 'above'
+                                   WHEN l.temperature <= w.temperature_max THEN 'within'
+                              END AS against_maximum
+            FROM wishes w LEFT JOIN latest l ON w.location = l.location
             """,
         ),
         "j9_orphans": (

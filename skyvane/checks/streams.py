@@ -68,7 +68,8 @@ def _stored(spark, folder: str) -> DataFrame:
     target = shared_folder(spark, "live-readings")
     state = shared_folder(spark, "live-readings-state")
     live.store_readings(stream, target, state).awaitTermination()
-    return _without_zone(sinks.stored_readings(spark, target))
+    stored = _without_zone(sinks.stored_readings(spark, target))
+    return stored.withColumn("recorded_date", F.col("recorded_date").cast("string"))
 
 
 def _scored(spark, folder: str) -> DataFrame:
@@ -254,7 +255,7 @@ register(
     "t1_stored_stream",
     _stored,
     f"""
-    SELECT {READING_COLUMNS}, CAST(recorded_at AS DATE) AS recorded_date
+    SELECT {READING_COLUMNS}, CAST(CAST(recorded_at AS DATE) AS VARCHAR) AS recorded_date
     FROM weather_data WHERE location IN (SELECT location FROM users)
     """,
 )

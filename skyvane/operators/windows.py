@@ -50,7 +50,8 @@ def with_next(
     cell_spans: tuple[str, ...] = CELL_SPANS,
 ) -> DataFrame:
     """Add ``next``: a struct of ``values`` taken ``steps`` rows later within the key, or null
-    where the key has no such row. ``order`` starts with a time and is unique within a key.
+    where the key has no such row. ``order`` starts with a time and is unique within a key; the
+    key is not null.
 
     A plain window sorts a whole key in one task, so it is used only when no key exceeds
     ``cell_limit`` rows. Otherwise rows are shifted within each day or hour of a key, the
