@@ -18,13 +18,14 @@ from skyvane.checks.base_views import (
     sign_ups,
 )
 from skyvane.checks.registry import AS_OF, PLACE, register, register_all
-from skyvane.functions import nested, text
+from skyvane.functions import text
 from skyvane.operators import (
     aggregates,
     joins,
     lookups,
     places,
     quality,
+    recommend,
     rules,
     topk,
     windows,
@@ -357,13 +358,10 @@ register_all(
             """,
         ),
         "f12_membership": (
-            lambda t: t.users.select(
+            lambda t: recommend.with_preferences(t.users).select(
                 "user_id",
                 F.coalesce(
-                    F.array_contains(
-                        nested.preferences(F.col("preferences"))["preferred_activities"], "walking"
-                    ),
-                    F.lit(False),
+                    F.array_contains("wishes.preferred_activities", "walking"), F.lit(False)
                 ).alias("likes_walking"),
             ),
             """
@@ -376,11 +374,12 @@ register_all(
 
 
 def _judged_forms(requests: DataFrame) -> DataFrame:
-    stored = inserts.preference_forms(requests)
-    wishes = nested.preferences(F.col("preferences"))
+    stored = recommend.with_preferences(inserts.preference_forms(requests))
     checked = quality.split(
         stored,
-        quality.preference_range(wishes["temperature_min"], wishes["temperature_max"]),
+        quality.preference_range(
+            F.col("wishes.temperature_min"), F.col("wishes.temperature_max")
+        ),
     )
     return checked.valid.withColumn("reason", F.lit(None).cast("string")).unionByName(
         checked.quarantine
@@ -483,10 +482,8 @@ register_all(
         ),
         "j8_preferences_latest_reading": (
             lambda t: joins.users_with_latest(
-                t.users.select(
-                    "user_id",
-                    "location",
-                    nested.preferences(F.col("preferences"))["temperature_max"].alias("upper"),
+                recommend.with_preferences(t.users).select(
+                    "user_id", "location", F.col("wishes.temperature_max").alias("upper")
                 ),
                 windows.latest_per_location(t.weather, "temperature"),
             ).select(

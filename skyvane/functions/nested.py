@@ -33,26 +33,28 @@ def parsed_json(text: Column, fields: str) -> Column:
     )
 
 
-def preferences(text: Column) -> Column:
-    """Both stored preference shapes -> one struct.
+def stored_preferences(text: Column) -> Column:
+    """Preference text as stored: the fields of both shapes."""
+    return parsed_json(text, schemas.PREFERENCES)
+
+
+def preferences(stored: Column) -> Column:
+    """Both preference shapes -> one struct; ``stored`` is a column of parsed text, so that
+    the text is parsed once and not once per field.
 
     Bounds come from ``temperature_min``/``temperature_max`` or else from the two elements of
     ``temperature_range``; a missing flag is false; a missing list stays null.
     """
-    raw = parsed_json(text, schemas.PREFERENCES)
+    low, high = (F.get(stored["temperature_range"], F.lit(n)) for n in (0, 1))
     return F.struct(
-        raw["preferred_activities"].alias("preferred_activities"),
-        F.coalesce(raw["temperature_min"], F.get(raw["temperature_range"], F.lit(0))).alias(
-            "temperature_min"
-        ),
-        F.coalesce(raw["temperature_max"], F.get(raw["temperature_range"], F.lit(1))).alias(
-            "temperature_max"
-        ),
+        stored["preferred_activities"].alias("preferred_activities"),
+        F.coalesce(stored["temperature_min"], low).alias("temperature_min"),
+        F.coalesce(stored["temperature_max"], high).alias("temperature_max"),
         *(
-            F.coalesce(raw[flag], F.lit(False)).alias(flag)
+            F.coalesce(stored[flag], F.lit(False)).alias(flag)
             for flag in ("avoid_rain", "avoid_extreme_heat", "avoid_extreme_wind")
         ),
-        raw[CORRUPT].alias("unreadable"),
+        stored[CORRUPT].alias("unreadable"),
     )
 
 

@@ -12,7 +12,11 @@ from skyvane.operators.rules import HEAT_LIMIT, WIND_LIMIT
 
 def with_preferences(users: DataFrame) -> DataFrame:
     """Add the normalised preference struct as ``wishes``."""
-    return users.withColumn("wishes", nested.preferences(F.col("preferences")))
+    return (
+        users.withColumn("_stored", nested.stored_preferences(F.col("preferences")))
+        .withColumn("wishes", nested.preferences(F.col("_stored")))
+        .drop("_stored")
+    )
 
 
 def recommendations(users: DataFrame, latest: DataFrame) -> DataFrame:

@@ -160,7 +160,7 @@ def trip_history(rules: DataFrame, readings: DataFrame) -> DataFrame:
     limits = by_metric(rules)
     thresholds = limits.select(*place, F.col("threshold").alias("level")).distinct()
     points = (
-        _value_counts(readings, limits)
+        _value_counts(readings, thresholds)
         .withColumn("is_threshold", F.lit(False))
         .unionByName(thresholds.withColumn("is_threshold", F.lit(True)), allowMissingColumns=True)
         .withColumn("band", F.floor("level"))
@@ -213,13 +213,13 @@ def trip_history(rules: DataFrame, readings: DataFrame) -> DataFrame:
 TOTALS = ("n", "first_at", "last_at", "peak")
 
 
-def _value_counts(readings: DataFrame, limits: DataFrame) -> DataFrame:
+def _value_counts(readings: DataFrame, thresholds: DataFrame) -> DataFrame:
     """Distinct values per location and metric with how often, first and last they were read.
 
     Values below every threshold of their metric trip nothing and are dropped before the
     shuffle. The lowest thresholds are broadcast: one row per metric.
     """
-    lowest = limits.groupBy("metric").agg(F.min("threshold").alias("lowest"))
+    lowest = thresholds.groupBy("metric").agg(F.min("level").alias("lowest"))
     return (
         readings.select("location", "recorded_at", *METRICS)
         .unpivot(["location", "recorded_at"], list(METRICS), "metric", "level")

@@ -78,6 +78,11 @@ def test_next_row_of_large_keys_is_not_cut_by_range(spark, tables):
     assert not any("rangepartitioning" in line for line in found)
 
 
+def test_preferences_are_parsed_once(spark):
+    df = QUERIES["q6_recommendations"](spark, SMALL)
+    assert df._jdf.queryExecution().executedPlan().toString().count("from_json") == 1
+
+
 def test_trip_history_joins_on_equality(spark, tables):
     history = rules.trip_history(rules.placed_rules(tables.alerts, tables.users), tables.weather)
     simple = history._jdf.queryExecution().executedPlan().toString()

@@ -88,7 +88,7 @@ PREFERENCES = {
 @pytest.mark.parametrize("case", PREFERENCES)
 def test_preference_shapes(spark, case):
     given, expected = PREFERENCES[case]
-    (wishes,) = values(spark, [(given,)], "p STRING", nested.preferences(F.col("p")))
+    (wishes,) = values(spark, [(given,)], "p STRING", nested.preferences(nested.stored_preferences(F.col("p"))))
     got = (
         wishes.preferred_activities,
         wishes.temperature_min,
