@@ -178,12 +178,19 @@ register_all(
             """,
         ),
         "d5_alerts_without_metric": (
-            lambda t: t.alerts.where(
-                F.initcap(
-                    F.when(F.col("severity") == "Critical", "storm").otherwise(F.col("alert_type"))
-                ).isin("Storm", "Uv")
+            lambda t: lookups.of_type(
+                t.alerts.withColumn(
+                    "alert_type",
+                    F.when(F.col("severity") == "Critical", "storm")
+                    .when(F.col("severity") == "High", "uv")
+                    .otherwise(F.col("alert_type")),
+                ),
+                "Storm",
+                "Uv",
             ).select("alert_id", "severity"),
-            "SELECT alert_id, severity FROM weather_alerts WHERE severity = 'Critical'",
+            """
+            SELECT alert_id, severity FROM weather_alerts WHERE severity IN ('Critical', 'High')
+            """,
         ),
         "d6_free_text_conditions": (
             lambda t: trends.met_conditions(

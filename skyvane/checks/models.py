@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from skyvane import schemas
 from skyvane.checks.composites import PAIRS
-from skyvane.checks.registry import AS_OF, register, register_all
+from skyvane.checks.registry import AS_OF, PLACE, register, register_all
 from skyvane.operators import aggregates, forecast, lookups
 from skyvane.plans import training
 from skyvane.session import shared_folder
@@ -138,6 +138,12 @@ def _next_predictions(spark, folder: str) -> DataFrame:
     return training.next_predictions(trained(spark, folder), driver_tables(spark, folder))
 
 
+def _current_with_prediction(spark, folder: str) -> DataFrame:
+    return training.current_with_prediction(
+        trained(spark, folder), driver_tables(spark, folder), PLACE
+    )
+
+
 def _by_location(spark, folder: str) -> DataFrame:
     """One model that knows the location, scored on its hold-out rows."""
     weather = driver_tables(spark, folder).weather
@@ -186,6 +192,7 @@ register(
 register("s12_model_round_trip", _round_trip, "SELECT CAST(0 AS BIGINT) AS n_different")
 register("s13_training_runs", _recorded_runs)
 register("q10_train_evaluate_predict", _next_predictions)
+register("t5_current_with_prediction", _current_with_prediction)
 register("d11_train_24_ahead", _ahead)
 register("d14_status_panel", _status_panel)
 register("d15_model_by_location", _by_location)

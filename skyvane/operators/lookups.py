@@ -22,6 +22,11 @@ def active(alerts: DataFrame) -> DataFrame:
     return alerts.where(F.col("is_active"))
 
 
+def of_type(alerts: DataFrame, *types: str) -> DataFrame:
+    """Alerts of the given types; forms differ in casing."""
+    return alerts.where(F.initcap("alert_type").isin(*types))
+
+
 def since(df: DataFrame, as_of: str, hours: int, column: str = "recorded_at") -> DataFrame:
     """Rows of the last ``hours`` before ``as_of``; the first instant is included.
 

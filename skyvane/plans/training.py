@@ -14,6 +14,15 @@ def training_data(tables: Tables, location: str, as_of: str, hours: int) -> Data
     return forecast.training_pairs(lookups.with_enough_history(recent))
 
 
+def current_with_prediction(
+    training: forecast.Training, tables: Tables, location: str = "London"
+) -> DataFrame:
+    """The newest reading of one location with the prediction after it."""
+    at_place = lookups.at_location(tables.weather, location)
+    latest = windows.latest_per_location(at_place)
+    return forecast.predict(training.model, latest, training.score)
+
+
 def next_predictions(training: forecast.Training, tables: Tables) -> DataFrame:
     """Prediction after the newest reading of every location."""
     latest = windows.latest_per_location(tables.weather)

@@ -32,13 +32,11 @@ def insert_unique(
     minima, so a key repeated very often is reduced before the shuffle. Mostly one or two
     rounds are needed; the lineage is cut after each.
     """
-    marked = batch.withColumn("reason", first_failure(required_fields(*keys)))
-    refused = [marked.where(F.col("reason").isNotNull())]
-    undecided = marked.where(F.col("reason").isNull()).drop("reason")
-    undecided, taken = _refuse(undecided, existing, keys, "{} exists")
-    refused += taken
+    named = batch.withColumn("reason", first_failure(required_fields(*keys)))
+    judged = checkpointed(_with_taken_keys(named, existing, keys, "{} exists"))
+    refused = [judged.where(F.col("reason").isNotNull())]
     accepted = []
-    undecided = checkpointed(undecided)
+    undecided = judged.where(F.col("reason").isNull())
     while not undecided.isEmpty():
         firsts = [
             undecided.groupBy(key).agg(F.min(order).alias(order)).select(order) for key in keys
@@ -46,27 +44,28 @@ def insert_unique(
         first_everywhere = reduce(lambda left, right: left.join(right, order, "left_semi"), firsts)
         winners = checkpointed(undecided.join(first_everywhere, order, "left_semi"))
         rest = undecided.join(winners.select(order), order, "left_anti")
-        rest, repeats = _refuse(rest, winners, keys, "{} repeated")
+        judged = checkpointed(_with_taken_keys(rest, winners, keys, "{} repeated"))
         accepted.append(winners)
-        refused += [checkpointed(rows) for rows in repeats]
-        undecided = checkpointed(rest)
-    none = batch.limit(0)
+        refused.append(judged.where(F.col("reason").isNotNull()))
+        undecided = judged.where(F.col("reason").isNull())
     return Checked(
-        valid=reduce(DataFrame.unionByName, accepted, none),
+        valid=reduce(DataFrame.unionByName, accepted, named.limit(0)).drop("reason"),
         quarantine=reduce(DataFrame.unionByName, refused),
     )
 
 
-def _refuse(
+def _with_taken_keys(
     rows: DataFrame, owners: DataFrame, keys: tuple[str, ...], reason: str
-) -> tuple[DataFrame, list[DataFrame]]:
-    """Rows whose keys are all free, and per key the rows refused because of it."""
-    refused = []
+) -> DataFrame:
+    """Set the reason of rows that have none yet and share a key with an owner. Keys are
+    unique among owners, so rows are neither multiplied nor is a hot key on both sides."""
+    columns = rows.columns
+    reasons = [F.col("reason")]
     for key in keys:
-        owned = owners.select(key)
-        refused.append(rows.join(owned, key, "left_semi").withColumn("reason", F.lit(reason.format(key))))
-        rows = rows.join(owned, key, "left_anti")
-    return rows, refused
+        taken = f"_{key}_taken"
+        rows = rows.join(owners.select(key, F.lit(True).alias(taken)), key, "left")
+        reasons.append(F.when(F.col(taken), F.lit(reason.format(key))))
+    return rows.withColumn("reason", F.coalesce(*reasons)).select(*columns)
 
 
 def insert_new_readings(batch: DataFrame, existing: DataFrame | None = None) -> DataFrame:

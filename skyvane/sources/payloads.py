@@ -21,8 +21,14 @@ def landed(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(schemas.LANDED_PAYLOAD).json(folder)
 
 
-def landed_stream(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.readStream.schema(schemas.LANDED_PAYLOAD).json(folder)
+def landed_stream(
+    spark: SparkSession, folder: str, files_per_batch: int | None = None
+) -> DataFrame:
+    """New files as they land; ``files_per_batch`` bounds what one micro-batch takes on."""
+    reader = spark.readStream.schema(schemas.LANDED_PAYLOAD)
+    if files_per_batch is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.json(folder)
 
 
 def parsed(payloads: DataFrame) -> DataFrame:

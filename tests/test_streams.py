@@ -38,10 +38,7 @@ def land(folder, name, rows):
 
 
 def stream(spark, folder):
-    one_file_per_batch = spark.readStream.schema(
-        "reading_id BIGINT, location STRING, status INT, received_at TIMESTAMP, body STRING"
-    ).option("maxFilesPerTrigger", 1)
-    return payloads.readings(one_file_per_batch.json(str(folder)))
+    return payloads.readings(payloads.landed_stream(spark, str(folder), files_per_batch=1))
 
 
 def run(query):
