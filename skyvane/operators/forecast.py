@@ -7,6 +7,7 @@ prediction is nevertheless one hour after the reading, as users of the service e
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import ceil
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -36,6 +37,9 @@ DEPTH = 10
 SEED = 42
 TRAINING_HOURS = 168
 
+# Fewest rows worth a task in one pass of a fit.
+ROWS_PER_TASK = 5_000
+
 
 def with_features(readings: DataFrame) -> DataFrame:
     ts = F.col("recorded_at")
@@ -146,7 +150,9 @@ def train(
 ) -> Training:
     """Fit on four fifths of the pairs and score on the rest.
 
-    The pairs are kept in memory and on disk while the forest passes over them.
+    The pairs are kept in memory and on disk while the forest passes over them, in as many
+    parts as their number is worth: every tree level is a pass, and hundreds of near-empty
+    tasks per pass would take longer than the fit.
     """
     features = features or FEATURES
     spark = pairs.sparkSession
@@ -158,9 +164,10 @@ def train(
         if n_pairs < minimum - 1:
             record = (None, name, n_pairs, 0, None, None, None, "too little data")
             return Training(None, _run_record(spark, record, trained_at), None)
-        model = (pipeline or forest(features)).fit(usable.where(~F.col("is_test")))
+        parts = usable.coalesce(ceil(n_pairs / ROWS_PER_TASK))
+        model = (pipeline or forest(features)).fit(parts.where(~F.col("is_test")))
         metrics = regression_metrics(
-            model.transform(usable.where("is_test")), "target", "prediction"
+            model.transform(parts.where("is_test")), "target", "prediction"
         ).first()
         score = None if metrics.r2 is None else round(metrics.r2, 3)
         record = (None, name, n_pairs, n_pairs - n_test, score, metrics.mae, metrics.rmse, "trained")
