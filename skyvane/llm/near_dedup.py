@@ -67,10 +67,12 @@ def near_duplicates(
         "sketches",
     )
     same_set = ["print1", "print2"]
-    nodes = (
+    # Written, so that the joins with it have shuffles of their own, which Spark can split.
+    nodes = stored(
         sketches.where("n_shingles > 0 AND doc_id IS NOT NULL")
         .groupBy(*same_set)
-        .agg(F.min("doc_id").alias("node"))
+        .agg(F.min("doc_id").alias("node")),
+        "nodes",
     )
     entries = stored(_entries(sketches, nodes), "entries")
     sets = stored(_sets(narrow, entries, shingle_words), "sets")
