@@ -4,9 +4,10 @@ The model is a naive Bayes classifier over words. A known word adds its log freq
 language. An unseen word falls back on the longest character n-grams of it that any language
 knows, and adds their mean log frequency.
 
-The model is fitted on a bounded sample: at most ``per_language`` labelled documents of each
-language, those with the smallest hash of their id, and of them at most ``vocabulary`` words
-and ``vocabulary`` n-grams per language. That bounds what is broadcast.
+The model is fitted on a bounded sample: of the ``MOST_LANGUAGES`` languages with most labelled
+documents at most ``per_language`` documents each, those with the smallest hash of their id, and
+of them at most ``vocabulary`` words and ``vocabulary`` n-grams per language. That bounds what
+is broadcast, the ids of the sample and the model.
 """
 
 from __future__ import annotations
@@ -23,8 +24,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from skyvane.llm import words
+from skyvane.llm.storage import stored
 
 PER_LANGUAGE = 3000
+MOST_LANGUAGES = 200
 VOCABULARY = 50_000
 LONGEST_GRAM = 5
 # Words of evidence that a score may rest on; more words do not make it surer.
@@ -96,19 +99,26 @@ def fit(
     """Learn from ``documents(doc_id, text, lang)``; rows without any of them are left out."""
     labelled = documents.select("doc_id", "text", "lang").dropna()
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    common = labelled.groupBy("lang").agg(F.count("*").alias("n"))
+    common = common.orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).select("lang")
     chosen = (
         labelled.select("doc_id", "lang")
+        .join(F.broadcast(common), "lang", "left_semi")
         .distinct()
         .withColumn("place", F.row_number().over(order))
         .where(F.col("place") <= per_language)
         .select("doc_id", "lang")
     )
-    sample = labelled.dropDuplicates(["doc_id", "lang"]).join(chosen, ["doc_id", "lang"], "left_semi")
-    counts = (
+    # The ids are few by the bounds above, so only texts of the sample leave their tasks.
+    sample = labelled.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").dropDuplicates(
+        ["doc_id", "lang"]
+    )
+    counts = stored(
         sample.select("lang", "text")
         .mapInArrow(_word_counts, "lang string, item string, n long")
         .groupBy("lang", "item")
-        .agg(F.sum("n").alias("n"))
+        .agg(F.sum("n").alias("n")),
+        "word-counts",
     )
     known = _most_frequent(counts, vocabulary).collect()
     # An n-gram counts once per distinct word, since it is to judge words not seen before.
