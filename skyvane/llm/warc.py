@@ -32,6 +32,8 @@ LEVEL = 5
 # Unwanted bytes that a read takes along rather than starting another one, and its size.
 GAP_BYTES = 64 << 10
 READ_BYTES = 8 << 20
+# Record bytes that a task reads, about.
+TASK_BYTES = 16 << 20
 # Fixed value: what the format calls a record whose payload is that of another one.
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CAPTURED = "2024-01-31T00:00:00Z"
@@ -193,7 +195,12 @@ def read(index: DataFrame, payloads: bool = True) -> DataFrame:
     """The records of the ``index`` rows: page_id, url, payload_bytes, payload_digest,
     record_type, refers_to, and ``payload`` (null for a revisit) unless ``payloads`` is false."""
     wanted = index.select("file", "offset", "length")
-    ordered = wanted.repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    # An index row is small but stands for a record, so the tasks are counted by record bytes.
+    total = wanted.agg(F.sum("length")).first()[0] or 0
+    n_tasks = 1 + total // TASK_BYTES
+    ordered = wanted.repartitionByRange(n_tasks, "file", "offset").sortWithinPartitions(
+        "file", "offset"
+    )
     columns = _READ if payloads else _READ[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
