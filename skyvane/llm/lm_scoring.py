@@ -72,18 +72,18 @@ def lm_scores(
             _reader(documents.sparkSession.sparkContext.broadcast(automaton), carry),
             documents.select(*carry).schema.simpleString()[7:-1].replace(":", " ")
             + ", row bigint, n_tokens bigint, known bigint, base double, walk double,"
-            " rare array<struct<token:string,n:bigint>>",
+            " rare array<string>",
         ),
         "walks",
     )
-    rare = read.select("row", F.explode("rare").alias("item")).select("row", "item.*")
-    seen = F.coalesce("c", F.lit(0))
+    rare = read.select("row", F.explode("rare").alias("token"))
+    # Counts have one row per word, so their parts are even and a hash table of one is small.
     sums = (
-        rare.join(counts, "token", "left")
+        rare.join(counts.hint("shuffle_hash"), "token", "left")
         .groupBy("row")
         .agg(
-            F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("rare_known"),
-            F.sum(F.col("n") * (F.log10(seen + 1) - log_total)).alias("rare_base"),
+            F.count("c").alias("rare_known"),
+            F.sum(F.log10(F.coalesce("c", F.lit(0)) + 1) - log_total).alias("rare_base"),
         )
     )
     rare_base = F.coalesce("rare_base", F.lit(0.0))
@@ -287,34 +287,38 @@ def walked(automaton: dict, ids: list[int]) -> float:
 def _reader(shared, carry: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = shared.value
-        get, root_logs = automaton["vocabulary"].get, automaton["root_logs"]
+        get = automaton["vocabulary"].get
+        # The last place is that of rare words, which add nothing here.
+        root_logs = np.array([*automaton["root_logs"], 0.0])
         end = automaton["vocabulary"].get(END, -1)
         for batch in batches:
             for block in words.blocks(batch.column("text")):
                 tokens = block.words()
-                known, base, walk, rare = [], [], [], []
+                ids = [get(w, -1) for w in tokens]
+                walk = []
                 for begin, stop in zip(block.first[:-1].tolist(), block.first[1:].tolist()):
-                    own = tokens[begin:stop]
-                    ids = [get(w, -1) for w in own]
-                    if end >= 0:
-                        ids.append(end)
-                    shown = [at for at in ids if at >= 0]
-                    known.append(len(shown))
-                    base.append(math.fsum([root_logs[at] for at in shown]))
-                    walk.append(walked(automaton, ids))
-                    others = Counter(w for w, at in zip(own, ids) if at < 0)
-                    rare.append([(w.decode(), n) for w, n in others.items()])
+                    own = ids[begin:stop]
+                    own.append(end)
+                    walk.append(walked(automaton, own))
+                at = np.array(ids, dtype=np.int64)
+                text = np.repeat(np.arange(block.n_texts), block.counts())
+                base = np.bincount(text, root_logs[at], block.n_texts) + root_logs[end]
+                known = np.bincount(text, at >= 0, block.n_texts).astype(np.int64) + (end >= 0)
+                rare = np.flatnonzero(at < 0)
+                ends = np.searchsorted(rare, block.first).astype(np.int32)
                 here = batch.slice(block.row, block.n_texts)
                 yield pa.RecordBatch.from_arrays(
                     [
                         *(here.column(name) for name in (*carry, "row")),
                         pa.array(block.counts() + 1),
-                        pa.array(known, pa.int64()),
-                        pa.array(base, pa.float64()),
+                        pa.array(known),
+                        pa.array(base),
                         pa.array(walk, pa.float64()),
-                        pa.array(
-                            [[{"token": t, "n": n} for t, n in items] for items in rare],
-                            pa.list_(pa.struct([("token", pa.string()), ("n", pa.int64())])),
+                        pa.ListArray.from_arrays(
+                            pa.array(ends),
+                            pa.array([tokens[k] for k in rare.tolist()], pa.binary()).cast(
+                                pa.string()
+                            ),
                         ),
                     ],
                     [*carry, "row", "n_tokens", "known", "base", "walk", "rare"],
