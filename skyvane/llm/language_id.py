@@ -137,6 +137,7 @@ def fit(
     )
     grams = (
         counts.select("lang", F.explode(cut).alias("item"))
+        .where("item NOT IN ('<', '>')")
         .groupBy("lang", "item")
         .agg(F.count("*").alias("n"))
     )
