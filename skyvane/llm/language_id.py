@@ -28,7 +28,7 @@ from skyvane.llm.storage import stored
 
 PER_LANGUAGE = 3000
 MOST_LANGUAGES = 200
-VOCABULARY = 50_000
+VOCABULARY = 30_000
 LONGEST_GRAM = 5
 # Words of evidence that a score may rest on; more words do not make it surer.
 EVIDENCE_WORDS = 20
@@ -120,7 +120,7 @@ def fit(
         .agg(F.sum("n").alias("n")),
         "word-counts",
     )
-    known = _most_frequent(counts, vocabulary).collect()
+    known = _most_frequent(counts, vocabulary).toArrow()
     # An n-gram counts once per distinct word, since it is to judge words not seen before.
     padded = F.concat(F.lit("<"), "item", F.lit(">"))
     cut = F.flatten(
@@ -141,11 +141,12 @@ def fit(
         .groupBy("lang", "item")
         .agg(F.count("*").alias("n"))
     )
-    pieces = _most_frequent(grams, vocabulary).collect()
-    languages = sorted({row.lang for row in known})
-    totals = Counter()
-    for row in known:
-        totals[row.lang] += row.n
+    pieces = _most_frequent(grams, vocabulary).toArrow()
+    langs = known.column("lang").to_pylist()
+    languages = sorted(set(langs))
+    totals: Counter = Counter()
+    for lang, n in zip(langs, known.column("n").to_pylist()):
+        totals[lang] += n
     words_at, word_logs = _table(known, languages)
     grams_at, gram_logs = _table(pieces, languages)
     prior = np.log([totals[lang] for lang in languages]) if languages else np.empty(0)
@@ -169,15 +170,18 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _most_frequent(counts: DataFrame, n: int) -> DataFrame:
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "item")
-    return counts.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n)
+    return counts.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n).drop(
+        "place"
+    )
 
 
-def _table(rows: list, languages: list[str]) -> tuple[dict[str, int], np.ndarray]:
-    at = {item: row for row, item in enumerate(sorted({r.item for r in rows}))}
+def _table(rows: pa.Table, languages: list[str]) -> tuple[dict[str, int], np.ndarray]:
+    items = rows.column("item").to_pylist()
+    at = {item: row for row, item in enumerate(sorted(set(items)))}
     column = {lang: place for place, lang in enumerate(languages)}
     counts = np.full((len(at), len(languages)), _SMALLEST)
-    for r in rows:
-        counts[at[r.item], column[r.lang]] += r.n
+    for item, lang, n in zip(items, rows.column("lang").to_pylist(), rows.column("n").to_pylist()):
+        counts[at[item], column[lang]] += n
     return at, np.log(counts / counts.sum(axis=0)) if len(at) else counts
 
 
