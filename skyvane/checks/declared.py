@@ -17,7 +17,6 @@ from skyvane.sources import sinks
 from skyvane.sources.tables import driver_tables
 
 ALERTS_AS_OF = "2000-01-01 00:00:00"
-COMPARED = [f"NATION_{number}" for number in range(25)]
 
 
 def _conditions(tables) -> DataFrame:
@@ -235,16 +234,16 @@ register_all(
         "d8_hourly_trend": (_trend("hour"), _trend_sql("hour")),
         "d8_daily_trend": (_trend("day"), _trend_sql("day")),
         "d9_location_comparison": (
-            lambda t: trends.comparison(t.weather, COMPARED).select(
+            lambda t: trends.comparison(t.weather).select(
                 F.col("period").cast("timestamp_ntz").alias("period"),
-                *(F.round(place, 6).alias(place) for place in COMPARED),
+                "location",
+                F.round("mean", 6).alias("mean"),
             ),
-            "SELECT CAST(date_trunc('day', recorded_at) AS TIMESTAMP) AS period, "
-            + ", ".join(
-                f"round(avg(temperature) FILTER (WHERE location = '{place}'), 6) AS {place}"
-                for place in COMPARED
-            )
-            + " FROM weather_data GROUP BY 1",
+            """
+            SELECT CAST(date_trunc('day', recorded_at) AS TIMESTAMP) AS period, location,
+                   round(avg(temperature), 6) AS mean
+            FROM weather_data GROUP BY 1, 2
+            """,
         ),
         "d11_targets_24_ahead": (
             _targets_ahead(24, "temperature"),

@@ -57,16 +57,13 @@ register_all(
         "a9_r_squared": (
             lambda t: aggregates.regression_metrics(
                 forecast.persistence(
-                    forecast.training_pairs(lookups.since(t.weather, AS_OF, 168))
+                    forecast.training_pairs(t.weather)
                 ),
                 "target",
                 "prediction",
             ).select("n", F.round("r2", 6).alias("r2")),
             f"""
-            , history AS (
-              SELECT * FROM weather_data
-              WHERE recorded_at >= TIMESTAMP '{AS_OF}' - INTERVAL 168 HOURS
-            ), {PAIRS}
+            , history AS (SELECT * FROM weather_data), {PAIRS}
             SELECT count(*) AS n,
                    round(1 - sum((target - temperature) ** 2)
                            / sum((target - (SELECT avg(target) FROM pairs)) ** 2), 6) AS r2
@@ -147,8 +144,8 @@ def _current_with_prediction(spark, folder: str) -> DataFrame:
 def _by_location(spark, folder: str) -> DataFrame:
     """One model that knows the location, scored on its hold-out rows."""
     weather = driver_tables(spark, folder).weather
-    pairs = forecast.with_location_code(forecast.training_pairs(weather))
-    features = [*forecast.FEATURES, "location_code"]
+    pairs = forecast.with_location_mean(forecast.training_pairs(weather))
+    features = [*forecast.FEATURES, "location_mean"]
     return forecast.train(
         pairs, AS_OF, "all, by location", features, forecast.forest(features)
     ).run

@@ -19,7 +19,8 @@ def round_half_even(number: Column, digits: int) -> Column:
 
 
 def clamp_confidence(number: Column) -> Column:
-    return F.least(F.lit(CONFIDENCE_HIGH), F.greatest(F.lit(CONFIDENCE_LOW), number))
+    inside = F.least(F.lit(CONFIDENCE_HIGH), F.greatest(F.lit(CONFIDENCE_LOW), number))
+    return F.when(number.isNotNull(), inside)  # without a score there is no confidence
 
 
 def int_or(text: Column, default: int) -> Column:

@@ -7,7 +7,6 @@ prediction is nevertheless one hour after the reading, as users of the service e
 from __future__ import annotations
 
 from dataclasses import dataclass
-from math import ceil
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -37,9 +36,6 @@ DEPTH = 10
 SEED = 42
 TRAINING_HOURS = 168
 
-# Fewest rows worth a task in one pass of a fit.
-ROWS_PER_TASK = 5_000
-
 
 def with_features(readings: DataFrame) -> DataFrame:
     ts = F.col("recorded_at")
@@ -147,12 +143,13 @@ def train(
     features: list[str] | None = None,
     pipeline: Pipeline | None = None,
     minimum: int = lookups.MINIMUM_HISTORY,
+    parts: int | None = None,
 ) -> Training:
     """Fit on four fifths of the pairs and score on the rest.
 
-    The pairs are kept in memory and on disk while the forest passes over them, in as many
-    parts as their number is worth: every tree level is a pass, and hundreds of near-empty
-    tasks per pass would take longer than the fit.
+    The pairs are kept in memory and on disk while the forest passes over them. ``parts`` says
+    into how many parts they are put together, else they stay as they are dealt; the trees are
+    drawn part by part, so another number gives another forest. It never follows a count.
     """
     features = features or FEATURES
     spark = pairs.sparkSession
@@ -164,10 +161,10 @@ def train(
         if n_pairs < minimum - 1:
             record = (None, name, n_pairs, 0, None, None, None, "too little data")
             return Training(None, _run_record(spark, record, trained_at), None)
-        parts = usable.coalesce(ceil(n_pairs / ROWS_PER_TASK))
-        model = (pipeline or forest(features)).fit(parts.where(~F.col("is_test")))
+        dealt = usable if parts is None else usable.coalesce(parts)
+        model = (pipeline or forest(features)).fit(dealt.where(~F.col("is_test")))
         metrics = regression_metrics(
-            model.transform(parts.where("is_test")), "target", "prediction"
+            model.transform(dealt.where("is_test")), "target", "prediction"
         ).first()
         score = None if metrics.r2 is None else round(metrics.r2, 3)
         record = (None, name, n_pairs, n_pairs - n_test, score, metrics.mae, metrics.rmse, "trained")
@@ -257,14 +254,14 @@ def status_panel(runs: DataFrame, predictions: DataFrame) -> DataFrame:
 
 # Declared extensions -------------------------------------------------------------------
 
-LOCATION_CODES = 1 << 16
-
-
-def with_location_code(pairs: DataFrame) -> DataFrame:
-    """The location as a number the trees can split on; a hash, so that no list of locations
-    has to be collected."""
-    return pairs.withColumn(
-        "location_code", F.pmod(F.xxhash64("location"), F.lit(LOCATION_CODES)).cast("int")
+def with_location_mean(pairs: DataFrame) -> DataFrame:
+    """The location as a number the trees can split on: the mean target of its training rows,
+    or of all of them where a location has none."""
+    seen = pairs.where(~is_test_row(F.col("data_id")))
+    means = seen.groupBy("location").agg(F.avg("target").alias("location_mean"))
+    overall = seen.agg(F.avg("target")).scalar()
+    return pairs.join(means, "location", "left").withColumn(
+        "location_mean", F.coalesce("location_mean", overall)
     )
 
 

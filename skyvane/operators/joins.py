@@ -1,8 +1,9 @@
 """Joins between users, activities, alerts and readings.
 
 In every join one side is unique on the key (users, counts per user, latest reading per
-location), so the output never grows beyond the other side, and a hot key on that other
-side is split by adaptive execution. No side is broadcast by hint: the planner does it where
+location), so the output never grows beyond the other side. Adaptive execution can split a hot
+key on the side that an outer join preserves, or on either side of an inner join; users with
+optional children are therefore an inner join and the users without children. No side is broadcast by hint: the planner does it where
 the measured size is below its threshold.
 """
 
@@ -19,12 +20,19 @@ def activities_with_users(activities: DataFrame, users: DataFrame) -> DataFrame:
 
 
 def users_with_activities(users: DataFrame, activities: DataFrame) -> DataFrame:
-    return users.join(activities, "user_id", "left")
+    return _with_optional(users, activities)
 
 
 def users_with_active_alerts(users: DataFrame, alerts: DataFrame) -> DataFrame:
     """Users without an active alert are kept: the flag is tested before the outer join."""
-    return users.join(lookups.active(alerts), "user_id", "left")
+    return _with_optional(users, lookups.active(alerts))
+
+
+def _with_optional(users: DataFrame, children: DataFrame) -> DataFrame:
+    """What a left join gives, with a hot user among the children spread over tasks. The ids
+    of users with children are reduced before they are shuffled."""
+    without = users.join(children.select("user_id").distinct(), "user_id", "left_anti")
+    return users.join(children, "user_id").unionByName(without, allowMissingColumns=True)
 
 
 def tracked_readings(readings: DataFrame, locations: DataFrame) -> DataFrame:

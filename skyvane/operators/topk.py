@@ -19,10 +19,12 @@ def newest_with_users(
 ) -> DataFrame:
     """The ``n`` newest activities that have a user, with that user.
 
-    Mostly the newest ``n`` all have one; joining just those spares shuffling all activities
-    by user. Only if one is without a user is everything joined.
+    Only user, time and id of an activity are looked at to choose; the chosen ``n`` rows are
+    then joined with the rest of their columns and their user.
     """
-    few = activities_with_users(newest(activities, time, row_id, n), users)
-    if few.count() < n:
-        few = activities_with_users(activities, users)
+    known = activities.select("user_id", time, row_id).join(
+        users.select("user_id"), "user_id", "left_semi"
+    )
+    chosen = newest(known, time, row_id, n).select(row_id)
+    few = activities_with_users(activities.join(chosen, row_id, "left_semi"), users)
     return newest(few, time, row_id, n)

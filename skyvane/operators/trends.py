@@ -22,12 +22,10 @@ def trend(readings: DataFrame, unit: str) -> DataFrame:
     return periods.withColumn("change", F.col("mean") - before)
 
 
-def comparison(readings: DataFrame, locations: list[str], unit: str = "day") -> DataFrame:
-    """One row per period and one column of mean temperature per compared location."""
-    return (
-        readings.groupBy(F.date_trunc(unit, "recorded_at").alias("period"))
-        .pivot("location", locations)
-        .agg(F.avg("temperature"))
+def comparison(readings: DataFrame, unit: str = "day") -> DataFrame:
+    """Mean temperature of every location in every period, a row each."""
+    return readings.groupBy(F.date_trunc(unit, "recorded_at").alias("period"), "location").agg(
+        F.avg("temperature").alias("mean")
     )
 
 

@@ -34,93 +34,22 @@ def newest_per(df: DataFrame, key: str, time: str, row_id: str, n: int) -> DataF
     return df.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
 
-# Largest number of rows that one task is given to sort, and the spans a key is cut into
-# when it holds more.
-CELL_LIMIT = 2_000_000
-CELL_SPANS = ("day", "hour")
-
-
 def with_next(
     df: DataFrame,
     key: str,
     values: list[str],
     order: tuple[str, ...] = TIME_ORDER,
     steps: int = 1,
-    cell_limit: int = CELL_LIMIT,
-    cell_spans: tuple[str, ...] = CELL_SPANS,
 ) -> DataFrame:
     """Add ``next``: a struct of ``values`` taken ``steps`` rows later within the key, or null
-    where the key has no such row. ``order`` starts with a time and is unique within a key; the
-    key is not null.
+    where the key has no such row. ``order`` is unique within a key; the key is not null.
 
-    A plain window sorts a whole key in one task, so it is used only when no key exceeds
-    ``cell_limit`` rows. Otherwise rows are shifted within each day or hour of a key, the
-    widest span that fits the limit, and the gaps between spans are closed from their first
-    rows; the rows are still shuffled once. Where even one hour holds too much, the rows are
-    cut by range, which splits a single instant too, at the price of further shuffles. The
-    sizes are counted from key and time alone. The result is the same in all cases.
+    The rows are cut into even pieces by range, so that neither a key nor a single instant has
+    to fit one task, whatever placed the rows before. Rows are shifted within each piece, then
+    the first and last ``steps`` rows of the pieces among themselves. It is one plan at every
+    size, and one lineage, so the pieces, which depend on a sample, are the same for both
+    shifts.
     """
-    if _largest(df, [key]) <= cell_limit:
-        whole_key = Window.partitionBy(key).orderBy(*order)
-        return df.withColumn("next", F.lead(F.struct(*values), steps).over(whole_key))
-    for span in cell_spans:
-        placed = df.withColumn("_cell", _cell(order[0], span))
-        if _largest(placed, [key, "_cell"]) <= cell_limit:
-            return _shifted_by_cell(placed, key, values, order, steps)
-    return _shifted_by_range(df, key, values, order, steps)
-
-
-def _largest(df: DataFrame, group: list[str]) -> int:
-    sizes = df.groupBy(*group).agg(F.count("*").alias("n"))
-    return sizes.agg(F.max("n")).first()[0] or 0
-
-
-def _cell(time: str, span: str) -> Column:
-    """Start of the span; rows without a time come first, as in their order."""
-    return F.coalesce(
-        F.date_trunc(span, time), F.lit("0001-01-01 00:00:00").cast("timestamp")
-    )
-
-
-def _shifted_by_cell(
-    placed: DataFrame, key: str, values: list[str], order: tuple[str, ...], steps: int
-) -> DataFrame:
-    later = F.struct(*values)
-    inside = Window.partitionBy(key, "_cell").orderBy(*order)
-    along = Window.partitionBy(key).orderBy(*order)
-    # The first rows of each cell; seen from the last of them, the next cells' first rows are
-    # the rows that follow the cell.
-    heads = (
-        placed.select(key, "_cell", *order, later.alias("_later"))
-        .withColumn("_position", F.row_number().over(inside))
-        .where(F.col("_position") <= steps)
-    )
-    following = (
-        heads.withColumn("_after", F.collect_list("_later").over(along.rowsBetween(1, steps)))
-        .withColumn("_next_cell", F.lead("_cell").over(along))
-        .where(F.col("_next_cell").isNotNull() & (F.col("_next_cell") != F.col("_cell")))
-        .select(key, "_cell", "_after")
-    )
-    rows_left = (
-        F.lit(0) if steps == 1 else F.count("*").over(inside.rowsBetween(1, steps)).cast("int")
-    )
-    return (
-        placed.withColumn("_inside", F.lead(later, steps).over(inside))
-        .withColumn("_left", rows_left)
-        .join(following, [key, "_cell"], "left")
-        .withColumn(
-            "next", F.coalesce("_inside", F.get("_after", F.lit(steps - 1) - F.col("_left")))
-        )
-        .drop("_cell", "_inside", "_left", "_after")
-    )
-
-
-def _shifted_by_range(
-    df: DataFrame, key: str, values: list[str], order: tuple[str, ...], steps: int
-) -> DataFrame:
-    """Cut the sorted rows into even pieces, shift within each, then shift the first and last
-    ``steps`` rows of the pieces among themselves. One lineage, so the pieces, which depend
-    on a sample, are the same for both shifts."""
     later = F.struct(*values)
     inside = Window.partitionBy(key, "_piece").orderBy(*order)
     across = Window.partitionBy(key, "_group").orderBy(*order)

@@ -57,31 +57,33 @@ def insert_unique(
 def _with_taken_keys(
     rows: DataFrame, owners: DataFrame, keys: tuple[str, ...], reason: str
 ) -> DataFrame:
-    """Set the reason of rows that have none yet and share a key with an owner. Keys are
-    unique among owners, so rows are neither multiplied nor is a hot key on both sides."""
+    """Set the reason of rows that have none yet and share a key with an owner. Owners' keys
+    are made unique, so rows are neither multiplied nor is a hot key on both sides."""
     columns = rows.columns
     reasons = [F.col("reason")]
     for key in keys:
         taken = f"_{key}_taken"
-        rows = rows.join(owners.select(key, F.lit(True).alias(taken)), key, "left")
+        rows = rows.join(owners.select(key, F.lit(True).alias(taken)).distinct(), key, "left")
         reasons.append(F.when(F.col(taken), F.lit(reason.format(key))))
     return rows.withColumn("reason", F.coalesce(*reasons)).select(*columns)
 
 
 def insert_new_readings(batch: DataFrame, existing: DataFrame | None = None) -> DataFrame:
-    """Readings without repeats of (location, time); the lowest id of a repeat is kept."""
+    """Readings without repeats of (location, time); the lowest id of a repeat is kept. A
+    reading without a time repeats no other one."""
     others = [name for name in batch.columns if name not in ("location", "recorded_at")]
+    untimed = batch.where("recorded_at IS NULL")
     fresh = (
-        batch.groupBy("location", "recorded_at")
+        batch.where("recorded_at IS NOT NULL")
+        .groupBy("location", "recorded_at")
         .agg(F.min_by(F.struct(*others), F.col("data_id")).alias("kept"))
         .select("location", "recorded_at", "kept.*")
         .select(*batch.columns)
     )
-    if existing is None:
-        return fresh
-    return fresh.join(
-        existing.select("location", "recorded_at"), ["location", "recorded_at"], "left_anti"
-    )
+    if existing is not None:
+        stored = existing.select("location", "recorded_at")
+        fresh = fresh.join(stored, ["location", "recorded_at"], "left_anti").select(*batch.columns)
+    return fresh.unionByName(untimed)
 
 
 def preference_forms(forms: DataFrame) -> DataFrame:

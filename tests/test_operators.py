@@ -56,21 +56,9 @@ def next_by_hand(rows, steps):
 
 
 @pytest.mark.parametrize("steps", [1, 3, 24])
-@pytest.mark.parametrize(
-    ("cell_limit", "spans"),
-    [(1_000_000, ()), (250, ("day", "hour")), (250, ("hour",)), (0, ("day", "hour"))],
-    ids=["whole key", "by day", "by hour", "by range"],
-)
-def test_next_rows_match_a_sorted_list(spark, steps, cell_limit, spans):
+def test_next_rows_match_a_sorted_list(spark, steps):
     rows, df = random_readings(spark, 600, seed=steps, minutes=4000)
-    followed = windows.with_next(
-        df,
-        "location",
-        ["data_id", "temperature"],
-        steps=steps,
-        cell_limit=cell_limit,
-        cell_spans=spans,
-    )
+    followed = windows.with_next(df, "location", ["data_id", "temperature"], steps=steps)
     got = {
         row.data_id: None if row.next is None else (row.next.data_id, row.next.temperature)
         for row in followed.collect()
@@ -78,9 +66,18 @@ def test_next_rows_match_a_sorted_list(spark, steps, cell_limit, spans):
     assert got == next_by_hand(rows, steps)
 
 
+def test_next_rows_of_one_place_and_instant(spark):
+    """Nine in ten rows share a place and a time, and come from the history gate."""
+    rows = [(k, "hot", float(k % 40), 60) if k % 10 else (k, "cold", 1.0, k) for k in range(3000)]
+    gated = lookups.with_enough_history(readings(spark, rows))
+    followed = windows.with_next(gated, "location", ["data_id", "temperature"])
+    got = {r.data_id: r.next and (r.next.data_id, r.next.temperature) for r in followed.collect()}
+    assert got == next_by_hand(rows, 1)
+
+
 def test_next_row_across_empty_hours(spark):
     rows = [(1, "a", 1.0, 0), (2, "a", 2.0, 600), (3, "a", 3.0, 6000), (4, "b", 4.0, 5)]
-    followed = windows.with_next(readings(spark, rows), "location", ["temperature"], cell_limit=2)
+    followed = windows.with_next(readings(spark, rows), "location", ["temperature"])
     got = {row.data_id: row.next and row.next.temperature for row in followed.collect()}
     assert got == {1: 2.0, 2: 3.0, 3: None, 4: None}
 

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import pytest
 
-import __spark_entry__ as entries
+import __spark_entry__  # noqa: F401  registers the queries
 from conftest import SMALL
-from skyvane.operators import rules, windows
+from skyvane.checks.registry import QUERIES
+from skyvane.operators import lookups, rules, windows
 
-QUERIES = entries.queries()
 # These run a stream, write a table or fit a model when they are called.
 ACTING = ("t1", "t2", "t3_fixed_warnings_stream", "t4", "t6_ticks_stream", "t7", "t8", "j10", "q10",
           "q11", "s4", "s6", "s12", "s13", "m4", "m5", "m6", "m7", "m8", "d10", "d11_train", "d14",
@@ -34,7 +34,6 @@ def test_window_and_place_reach_the_scan(spark):
 
 
 def test_stored_table_prunes_days_and_places(spark, tmp_path, tables):
-    from skyvane.operators import lookups
     from skyvane.sources import sinks
 
     table = str(tmp_path / "weather")
@@ -66,16 +65,16 @@ def exchanges(df) -> list[str]:
     return [line for line in shown.splitlines() if "Exchange" in line]
 
 
-def test_next_row_of_small_keys_is_one_shuffle(spark, tables):
-    followed = windows.with_next(tables.weather, "location", ["temperature"])
-    assert len(exchanges(followed)) == 1
-
-
-def test_next_row_of_large_keys_is_not_cut_by_range(spark, tables):
-    followed = windows.with_next(tables.weather, "location", ["temperature"], cell_limit=40)
-    found = exchanges(followed)
-    assert any("_cell" in line for line in found)
-    assert not any("rangepartitioning" in line for line in found)
+def test_next_row_is_cut_by_range_after_the_history_gate(spark, tables):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        gated = lookups.with_enough_history(tables.weather)
+        found = exchanges(windows.with_next(gated, "location", ["temperature"]))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert any("rangepartitioning" in line for line in found)
+    assert any("_piece" in line for line in found)
 
 
 def test_preferences_are_parsed_once(spark):

@@ -61,6 +61,22 @@ def test_hot_user_is_split_in_the_join(tiny_partitions, hot_activities, people):
     assert len(rows) == 200_000
 
 
+def test_hot_user_is_split_where_users_without_children_stay(
+    tiny_partitions, spark, hot_activities, people
+):
+    more = people.unionByName(
+        spark.range(5000, 5003).selectExpr("id AS user_id", "'n' AS username", "'cold' AS location")
+    )
+    shown, rows = executed(joins.users_with_activities(more, hot_activities))
+    assert "skew=true" in shown
+    assert sorted(r.user_id for r in rows if r.activity_id is None)[-3:] == [5000, 5001, 5002]
+    assert sum(r.activity_id is not None for r in rows) == 200_000
+    alerts = hot_activities.selectExpr("activity_id AS alert_id", "user_id", "notes", "true AS is_active")
+    shown, rows = executed(joins.users_with_active_alerts(more, alerts))
+    assert "skew=true" in shown
+    assert sum(r.alert_id is not None for r in rows) == 200_000
+
+
 def test_hot_user_is_counted_before_the_shuffle(tiny_partitions, hot_activities):
     counts = aggregates.activity_counts(hot_activities)
     shown, rows = executed(counts)
