@@ -109,16 +109,17 @@ def calibrated(
         for name in DIMENSIONS
     }
     fitted = cells.where("tokens > 0").withColumn("mass", F.col("tokens") / F.lit(total))
+    for name in DIMENSIONS:
+        fitted = fitted.join(shares[name].withColumnRenamed("share", f"{name}_share"), name)
+    fitted = stored(fitted, "fitted")
+    # Each step is written, as its sums and its rows would each compute all steps before it.
     for _ in range(rounds):
         for name in DIMENSIONS:
             sums = fitted.groupBy(name).agg(F.sum("mass").alias("held"))
-            scale = shares[name].join(sums, name).select(
-                name, (F.col("share") / F.col("held")).alias("scale")
+            scaled = F.col("mass") * (F.col(f"{name}_share") / F.col("held"))
+            fitted = stored(
+                fitted.join(sums, name).withColumn("mass", scaled).drop("held"), "fitted"
             )
-            fitted = fitted.join(scale, name).select(
-                *DIMENSIONS, "tokens", (F.col("mass") * F.col("scale")).alias("mass")
-            )
-        fitted = stored(fitted, "fitted")
     # How many tokens a unit of mass stands for, once full cells give no more than they have.
     unit = keep * total
     for _ in range(fill_rounds):
