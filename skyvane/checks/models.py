@@ -1,12 +1,14 @@
-"""Training, scoring and storing models. Fitted forests differ between libraries, so rows that
-come out of one are checked by count; everything around them is checked by SQL."""
+"""Training, scoring and storing models. Fitted forests differ between libraries, so what is
+compared is all that the data fix: rows, times, counts, targets, and the bounds that a model's
+numbers must keep."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyvane import schemas
+from skyvane.checks.base_views import LATEST
 from skyvane.checks.composites import PAIRS
 from skyvane.checks.registry import AS_OF, PLACE, register, register_all
 from skyvane.operators import aggregates, forecast, lookups
@@ -15,6 +17,16 @@ from skyvane.session import shared_folder
 from skyvane.sources.tables import driver_tables
 
 HISTORY_HOURS = 720
+# Bounds of a shown confidence, and how far a sum's order or a shown decimal moves a figure.
+CONFIDENCE = (0.6, 0.95)
+ROUNDING, SHOWN_ROUNDING, SCORE_ROUNDING = 1e-9, 0.05 + 1e-9, 0.0005 + 1e-6
+
+IS_TEST = "CAST('0x' || substr(md5(CAST(data_id AS VARCHAR)), 1, 6) AS BIGINT) % 5 = 0"
+KNOWN = " AND ".join(
+    f"{name} IS NOT NULL"
+    for name in ("temperature", "humidity", "pressure", "wind_speed", "recorded_at")
+)
+ALL_PAIRS = f", history AS (SELECT * FROM weather_data), {PAIRS}"
 
 _trained: dict[tuple[str, str], forecast.Training] = {}
 
@@ -36,7 +48,7 @@ register_all(
             ).select(
                 "feature", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std")
             ),
-            f", history AS (SELECT * FROM weather_data), {PAIRS}"
+            ALL_PAIRS
             + " UNION ALL ".join(
                 f"SELECT '{feature}' AS feature, round(avg({feature}), 6) AS mean, "
                 f"round(stddev_pop({feature}), 6) AS std FROM pairs WHERE target IS NOT NULL"
@@ -47,12 +59,7 @@ register_all(
             lambda t: t.weather.select(
                 "data_id", forecast.is_test_row(F.col("data_id")).alias("is_test")
             ),
-            """
-            SELECT data_id,
-                   CAST('0x' || substr(md5(CAST(data_id AS VARCHAR)), 1, 6) AS BIGINT) % 5 = 0
-                     AS is_test
-            FROM weather_data
-            """,
+            f"SELECT data_id, {IS_TEST} AS is_test FROM weather_data",
         ),
         "a9_r_squared": (
             lambda t: aggregates.regression_metrics(
@@ -74,26 +81,120 @@ register_all(
 )
 
 
-def _forest(spark, folder: str) -> DataFrame:
+def _among_targets(spark, folder: str, prediction: str, slack: float) -> Column:
+    """Whether a prediction lies between the least and the largest target of the training rows,
+    whose means a forest gives."""
+    pairs = forecast.training_pairs(driver_tables(spark, folder).weather)
+    seen = pairs.where(~forecast.is_test_row(F.col("data_id")))
+    least = seen.agg(F.min("target") - slack).scalar()
+    largest = seen.agg(F.max("target") + slack).scalar()
+    return F.col(prediction).between(least, largest).alias("among_targets")
+
+
+def _predictions(spark, folder: str) -> DataFrame:
     """Predictions of the forest next to the targets, for every pair."""
     pairs = forecast.training_pairs(driver_tables(spark, folder).weather)
     return trained(spark, folder).model.transform(pairs).select("data_id", "target", "prediction")
 
 
+def _forest(spark, folder: str) -> DataFrame:
+    return _predictions(spark, folder).select(
+        "data_id", "target", _among_targets(spark, folder, "prediction", ROUNDING)
+    )
+
+
 def _evaluation(spark, folder: str) -> DataFrame:
-    scored = _forest(spark, folder).where(forecast.is_test_row(F.col("data_id")))
-    return aggregates.regression_metrics(scored, "target", "prediction")
+    """The hold-out rows, and whether measuring them again gives the score of the run."""
+    scored = _predictions(spark, folder).where(forecast.is_test_row(F.col("data_id")))
+    score = trained(spark, folder).score
+    return aggregates.regression_metrics(scored, "target", "prediction").select(
+        "n",
+        (F.abs(F.col("r2") - score) <= ROUNDING).alias("score_holds"),
+        ((F.col("r2") <= 1) & (F.col("mae") <= F.col("rmse"))).alias("errors_in_bounds"),
+    )
+
+
+def _fixed(predicted: DataFrame, spark, folder: str) -> DataFrame:
+    """What the data fix about shown predictions."""
+    return predicted.select(
+        "data_id",
+        "location",
+        "predicted_for",
+        _among_targets(spark, folder, "predicted_temperature", SHOWN_ROUNDING),
+        F.col("confidence").between(*CONFIDENCE).alias("confidence_in_bounds"),
+    )
+
+
+def _fixed_sql(readings: str) -> str:
+    return f"""
+    SELECT data_id, location,
+           CASE WHEN {KNOWN} THEN recorded_at + INTERVAL 1 HOUR END AS predicted_for,
+           CASE WHEN {KNOWN} THEN true END AS among_targets,
+           CASE WHEN {KNOWN} THEN true END AS confidence_in_bounds
+    FROM {readings}
+    """
 
 
 def _scored_readings(spark, folder: str) -> DataFrame:
     fitted = trained(spark, folder)
-    return forecast.predict(fitted.model, driver_tables(spark, folder).weather, fitted.score).select(
-        "data_id", "location", "predicted_temperature", "confidence", "predicted_for"
+    weather = driver_tables(spark, folder).weather
+    return forecast.predict(fitted.model, weather, fitted.score)
+
+
+def _record(runs: DataFrame, training: forecast.Training, pairs: DataFrame) -> DataFrame:
+    """Run records with, in place of their figures, whether these hold on the hold-out rows."""
+    holds = F.lit(None).cast("boolean")
+    if training.model is not None:
+        held_out = pairs.where(forecast.is_test_row(F.col("data_id")))
+        again = aggregates.regression_metrics(
+            training.model.transform(held_out), "target", "prediction"
+        )
+        score = again.select("r2").scalar()
+        holds = (F.abs(F.col("score") - score) <= SCORE_ROUNDING) & (F.col("mae") <= F.col("rmse"))
+    return runs.select(
+        F.col("trained_at").cast("timestamp_ntz").alias("trained_at"),
+        "locations",
+        "data_points",
+        "train_rows",
+        "status",
+        holds.alias("figures_hold"),
     )
 
 
+def _window_sql(hours: int) -> str:
+    return f"""
+    , recent AS (
+      SELECT * FROM weather_data
+      WHERE recorded_at >= TIMESTAMP '{AS_OF}' - INTERVAL {hours} HOURS
+    ),
+    history AS (
+      SELECT * FROM recent WHERE location IN (
+        SELECT location FROM recent GROUP BY location HAVING count(*) >= 20)
+    ),
+    {PAIRS}
+    """
+
+
+def _record_sql(pairs: str, locations: str) -> str:
+    return f"""
+    {pairs}, counted AS (
+      SELECT count(*) AS n, count(*) FILTER (WHERE NOT {IS_TEST}) AS n_train
+      FROM pairs WHERE target IS NOT NULL AND {KNOWN.replace("pressure", "pressure_scaled")}
+    )
+    SELECT TIMESTAMP '{AS_OF}' AS trained_at, '{locations}' AS locations, n AS data_points,
+           CASE WHEN n >= 19 THEN n_train ELSE 0 END AS train_rows,
+           CASE WHEN n >= 19 THEN 'trained' ELSE 'too little data' END AS status,
+           CASE WHEN n >= 19 THEN true END AS figures_hold
+    FROM counted
+    """
+
+
 def _training_run(spark, folder: str) -> DataFrame:
-    return trained(spark, folder).run
+    """A run over the usual window."""
+    weather = driver_tables(spark, folder).weather
+    fitted = forecast.retrain(weather, AS_OF)
+    recent = lookups.since(weather, AS_OF, forecast.TRAINING_HOURS)
+    return _record(fitted.run, fitted, forecast.training_pairs(lookups.with_enough_history(recent)))
 
 
 def _ensured(spark, folder: str) -> DataFrame:
@@ -105,7 +206,8 @@ def _ensured(spark, folder: str) -> DataFrame:
 
 
 def _round_trip(spark, folder: str) -> DataFrame:
-    """Rows on which the stored and reloaded model disagrees with the one in memory."""
+    """Rows that either model gives, and those on which the stored and reloaded one disagrees
+    with the one in memory."""
     fitted = trained(spark, folder)
     target = shared_folder(spark, "model")
     forecast.saved_model(fitted.model, target)
@@ -114,25 +216,43 @@ def _round_trip(spark, folder: str) -> DataFrame:
     after = forecast.loaded_model(spark, target).transform(readings)
     return (
         after.select("data_id", F.col("prediction").alias("after"))
-        .join(before, "data_id")
-        .where(F.col("before") != F.col("after"))
-        .agg(F.count("*").alias("n_different"))
+        .join(before, "data_id", "full")
+        .agg(
+            F.count("*").alias("n_rows"),
+            F.count_if(~F.col("before").eqNullSafe(F.col("after"))).alias("n_different"),
+        )
     )
 
 
-def _recorded_runs(spark, folder: str) -> DataFrame:
+def _runs_table(spark, folder: str) -> DataFrame:
     """The runs table after one run."""
     target = shared_folder(spark, "training-runs")
     forecast.append_run(trained(spark, folder).run, target)
     return spark.read.schema(schemas.TRAINING_RUNS).parquet(target)
 
 
+def _recorded_runs(spark, folder: str) -> DataFrame:
+    pairs = forecast.training_pairs(driver_tables(spark, folder).weather)
+    return _record(_runs_table(spark, folder), trained(spark, folder), pairs)
+
+
 def _status_panel(spark, folder: str) -> DataFrame:
-    return forecast.status_panel(_recorded_runs(spark, folder), _scored_readings(spark, folder))
+    panel = forecast.status_panel(_runs_table(spark, folder), _scored_readings(spark, folder))
+    score = trained(spark, folder).score
+    return panel.select(
+        "locations",
+        F.col("last_training").cast("timestamp_ntz").alias("last_training"),
+        "data_points",
+        "predictions_made",
+        (F.abs(F.col("score") - score) <= SCORE_ROUNDING).alias("score_holds"),
+    )
 
 
 def _next_predictions(spark, folder: str) -> DataFrame:
-    return training.next_predictions(trained(spark, folder), driver_tables(spark, folder))
+    """Trains anew, so that timing this query times the training."""
+    tables = driver_tables(spark, folder)
+    fitted = forecast.retrain(tables.weather, AS_OF, hours=HISTORY_HOURS)
+    return training.next_predictions(fitted, tables)
 
 
 def _current_with_prediction(spark, folder: str) -> DataFrame:
@@ -142,27 +262,22 @@ def _current_with_prediction(spark, folder: str) -> DataFrame:
 
 
 def _by_location(spark, folder: str) -> DataFrame:
-    """One model that knows the location, scored on its hold-out rows."""
+    """One model that knows the location."""
     weather = driver_tables(spark, folder).weather
     pairs = forecast.with_location_mean(forecast.training_pairs(weather))
     features = [*forecast.FEATURES, "location_mean"]
-    return forecast.train(
-        pairs, AS_OF, "all, by location", features, forecast.forest(features)
-    ).run
+    fitted = forecast.train(pairs, AS_OF, "all, by location", features, forecast.forest(features))
+    return _record(fitted.run, fitted, pairs)
 
 
-def _precipitation(spark, folder: str) -> DataFrame:
-    weather = driver_tables(spark, folder).weather
-    return forecast.train(
-        forecast.training_pairs(weather, target="precipitation"), AS_OF, "precipitation"
-    ).run
-
+def _other_target(name: str, steps: int = 1, target: str = "temperature"):
+    def run(spark, folder: str) -> DataFrame:
+        weather = driver_tables(spark, folder).weather
+        pairs = forecast.training_pairs(weather, steps=steps, target=target)
+        fitted = forecast.train(pairs, AS_OF, name)
+        return _record(fitted.run, fitted, pairs)
 
-def _ahead(spark, folder: str) -> DataFrame:
-    weather = driver_tables(spark, folder).weather
-    return forecast.train(
-        forecast.training_pairs(weather, steps=24), AS_OF, "24 readings ahead"
-    ).run
+    return run
 
 
 def _ensemble(spark, folder: str) -> DataFrame:
@@ -172,26 +287,83 @@ def _ensemble(spark, folder: str) -> DataFrame:
     )
     both = [trained(spark, folder).model, boosted.model]
     held_out = pairs.where(forecast.is_test_row(F.col("data_id")))
-    return aggregates.regression_metrics(
+    measured = aggregates.regression_metrics(
         forecast.ensemble(both, held_out), "target", "prediction"
     )
+    return measured.select(
+        "n", ((F.col("r2") <= 1) & (F.col("mae") <= F.col("rmse"))).alias("errors_in_bounds")
+    )
+
+
+def _fixed_of(predicted):
+    return lambda spark, folder: _fixed(predicted(spark, folder), spark, folder)
+
 
+HELD_OUT = f"FROM pairs WHERE target IS NOT NULL AND {IS_TEST}"
 
-register("m4_forest_predictions", _forest)
-register("m5_evaluation", _evaluation)
-register("m6_scored_readings", _scored_readings)
-register("m7_retrain_run", _training_run)
+register(
+    "m4_forest_predictions",
+    _forest,
+    f"{ALL_PAIRS} SELECT data_id, target, true AS among_targets FROM pairs WHERE target IS NOT NULL",
+)
+register(
+    "m5_evaluation",
+    _evaluation,
+    f"{ALL_PAIRS} SELECT count(*) AS n, true AS score_holds, true AS errors_in_bounds {HELD_OUT}",
+)
+register("m6_scored_readings", _fixed_of(_scored_readings), _fixed_sql("weather_data"))
+register(
+    "m7_retrain_run", _training_run, _record_sql(_window_sql(forecast.TRAINING_HOURS), "all")
+)
 register(
     "m8_train_only_when_needed",
     _ensured,
     "SELECT unnest(['already trained', 'too little data']) AS status",
 )
-register("s12_model_round_trip", _round_trip, "SELECT CAST(0 AS BIGINT) AS n_different")
-register("s13_training_runs", _recorded_runs)
-register("q10_train_evaluate_predict", _next_predictions)
-register("t5_current_with_prediction", _current_with_prediction)
-register("d11_train_24_ahead", _ahead)
-register("d14_status_panel", _status_panel)
-register("d15_model_by_location", _by_location)
-register("d16_precipitation_model", _precipitation)
-register("d17_ensemble", _ensemble)
+register(
+    "s12_model_round_trip",
+    _round_trip,
+    "SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS n_different FROM weather_data",
+)
+register("s13_training_runs", _recorded_runs, _record_sql(_window_sql(HISTORY_HOURS), "all"))
+register(
+    "q10_train_evaluate_predict",
+    _fixed_of(_next_predictions),
+    f", {LATEST} {_fixed_sql('latest')}",
+)
+register(
+    "t5_current_with_prediction",
+    _fixed_of(_current_with_prediction),
+    f""", {LATEST} {_fixed_sql(f"latest WHERE location = '{PLACE}'")}""",
+)
+register(
+    "d11_train_24_ahead",
+    _other_target("24 readings ahead", steps=24),
+    _record_sql(
+        ALL_PAIRS.replace("lead(temperature)", "lead(temperature, 24)"), "24 readings ahead"
+    ),
+)
+register(
+    "d14_status_panel",
+    _status_panel,
+    f"""
+    {_window_sql(HISTORY_HOURS)}
+    SELECT 'all' AS locations, TIMESTAMP '{AS_OF}' AS last_training,
+           (SELECT count(*) FROM pairs WHERE target IS NOT NULL) AS data_points,
+           (SELECT count(*) FROM weather_data WHERE {KNOWN}) AS predictions_made,
+           true AS score_holds
+    """,
+)
+register("d15_model_by_location", _by_location, _record_sql(ALL_PAIRS, "all, by location"))
+register(
+    "d16_precipitation_model",
+    _other_target("precipitation", target="precipitation"),
+    _record_sql(
+        ALL_PAIRS.replace("lead(temperature)", "lead(precipitation)"), "precipitation"
+    ),
+)
+register(
+    "d17_ensemble",
+    _ensemble,
+    f"{ALL_PAIRS} SELECT count(*) AS n, true AS errors_in_bounds {HELD_OUT}",
+)

@@ -48,6 +48,13 @@ def _some_adrift(children):
     return children.withColumn("user_id", F.when(user % 7 == 3, -user).otherwise(user))
 
 
+def _with_roving(readings):
+    """All readings, one in forty of them at roving stations of ten readings at most."""
+    row = F.col("data_id")
+    station = F.concat(F.lit("ROVING_"), F.floor(row / 400).cast("string"))
+    return readings.withColumn("location", F.when(row % 40 == 0, station).otherwise(F.col("location")))
+
+
 register_all(
     {
         "s1_scan_users": (lambda t: t.users, "SELECT * FROM users"),
@@ -266,16 +273,19 @@ register_all(
             """,
         ),
         "f7_enough_history": (
-            lambda t: lookups.with_enough_history(
-                lookups.since(t.weather, AS_OF, 36)
-            ).select("data_id", "location"),
-            f"""
-            , recent AS (
-              SELECT * FROM weather_data
-              WHERE recorded_at >= TIMESTAMP '{AS_OF}' - INTERVAL 36 HOURS
+            lambda t: lookups.with_enough_history(_with_roving(t.weather)).select(
+                "data_id", "location"
+            ),
+            """
+            , placed AS (
+              SELECT data_id,
+                     CASE WHEN data_id % 40 = 0
+                          THEN 'ROVING_' || CAST(data_id // 400 AS VARCHAR)
+                          ELSE location END AS location
+              FROM weather_data
             )
-            SELECT data_id, location FROM recent
-            WHERE location IN (SELECT location FROM recent GROUP BY location
+            SELECT data_id, location FROM placed
+            WHERE location IN (SELECT location FROM placed GROUP BY location
                                HAVING count(*) >= 20)
             """,
         ),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyvane.checks.base_views import LATEST, LIMITS, TRIPS
-from skyvane.checks.models import trained
+from skyvane.checks.models import KNOWN, trained
 from skyvane.checks.registry import PLACE, register, register_all
 from skyvane.checks.relational import READING_COLUMNS
 from skyvane.operators import aggregates, rules
@@ -72,12 +72,18 @@ def _stored(spark, folder: str) -> DataFrame:
     return stored.withColumn("recorded_date", F.col("recorded_date").cast("string"))
 
 
+def _without_numbers(feed: DataFrame) -> DataFrame:
+    """Feed rows with a mark in place of a prediction and its confidence, numbers of the model."""
+    numbers = r'"predicted_temperature":-?[0-9]+\.[0-9],"confidence":0\.[6-9][0-9]*'
+    return feed.withColumn("payload", F.regexp_replace("payload", numbers, '"is_predicted":true'))
+
+
 def _scored(spark, folder: str) -> DataFrame:
     """Feed rows of all readings with the prediction of the model."""
     fitted = trained(spark, folder)
     scored = live.scored(live.timed(_weather_stream(spark, folder)), fitted.model, fitted.score)
     target = _run(sinks.weather_updates(scored), "scored-feed", "json")
-    return spark.read.schema(FEED).json(target)
+    return _without_numbers(spark.read.schema(FEED).json(target))
 
 
 def _warned(spark, folder: str) -> DataFrame:
@@ -167,7 +173,7 @@ def _live_update(with_model: bool):
             shared_folder(spark, "live-state"),
             every=None,
         ).awaitTermination()
-        return spark.read.schema(FEED).json(f"{feed}/batch=*")
+        return _without_numbers(spark.read.schema(FEED).json(f"{feed}/batch=*"))
 
     return run
 
@@ -186,15 +192,28 @@ SELECT 'alert_created' AS event,
        || {ISO.format("created_at")} || '"}}' AS payload
 FROM weather_alerts
 """
-FEED_SQL = f"""
-, {TRIPS}
+END = """'"}}'"""
+PREDICTED_END = f"""
+CASE WHEN {KNOWN}
+     THEN '"}},"prediction":{{"is_predicted":true,"timestamp":"'
+          || {ISO.format("recorded_at + INTERVAL 1 HOUR")} || '"}}}}'
+     ELSE {END} END
+"""
+
+
+def _updates_sql(end: str) -> str:
+    return f"""
 SELECT 'weather_update' AS event,
        '{{"location":"' || location || '","data":{{"temperature":' || CAST(temperature AS VARCHAR)
        || ',"humidity":' || CAST(humidity AS VARCHAR) || ',"pressure":'
        || CAST(pressure AS VARCHAR) || ',"wind_speed":' || CAST(wind_speed AS VARCHAR)
        || ',"condition":"' || weather_condition || '","location":"' || location
-       || '","timestamp":"' || {ISO.format("recorded_at")} || '"}}}}' AS payload
+       || '","timestamp":"' || {ISO.format("recorded_at")} || {end} AS payload
 FROM weather_data
+"""
+
+
+RAISED_SQL = f"""
 UNION ALL
 SELECT 'warning', '{{"location":"' || location || '","title":"Heat Warning",'
        || '"message":"Extreme temperature detected!","level":"warning","timestamp":"'
@@ -259,7 +278,7 @@ register(
     FROM weather_data WHERE location IN (SELECT location FROM users)
     """,
 )
-register("t2_scored_stream", _scored)
+register("t2_scored_stream", _scored, _updates_sql(PREDICTED_END))
 register("t3_fixed_warnings_stream", _warned, WARNINGS_SQL)
 register(
     "t4_rule_alerts_stream",
@@ -304,5 +323,13 @@ register(
     FROM weather_data w LEFT JOIN floors f ON w.location = f.location
     """,
 )
-register("q11_live_update", _live_update(with_model=False), FEED_SQL)
-register("q11_live_update_scored", _live_update(with_model=True))
+register(
+    "q11_live_update",
+    _live_update(with_model=False),
+    f", {TRIPS} {_updates_sql(END)} {RAISED_SQL}",
+)
+register(
+    "q11_live_update_scored",
+    _live_update(with_model=True),
+    f", {TRIPS} {_updates_sql(PREDICTED_END)} {RAISED_SQL}",
+)

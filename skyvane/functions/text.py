@@ -6,7 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _CUT = float(1 << 26)
-_EXACT_BELOW = 1e12
 
 
 def trimmed(text: Column) -> Column:
@@ -26,23 +25,20 @@ def one_decimal(number: Column, unit: str = "") -> Column:
     is exact.
     """
     size = F.abs(number)
-    whole = F.floor(size)
-    fraction = size - whole
+    fraction = size % 1
     upper = F.floor(fraction * _CUT) / _CUT
     lower = fraction - upper
     digit = F.floor(upper * 10)
     rounds_up = lower * 10 >= F.lit(0.5) - (upper * 10 - digit)
-    tenths = whole * 10 + digit + F.when(rounds_up, 1).otherwise(0)
-    shown = F.concat(
+    tenths = digit + F.when(rounds_up, 1).otherwise(0)
+    whole = size - fraction + F.when(tenths == 10, 1.0).otherwise(0.0)
+    return F.concat(
         F.when(number < 0, "-").otherwise(""),
-        F.floor(tenths / 10).cast("string"),
+        F.format_string("%.0f", whole),
         F.lit("."),
         (tenths % 10).cast("string"),
         F.lit(unit),
     )
-    return F.when(size < _EXACT_BELOW, shown).when(
-        number.isNotNull(), F.format_string(f"%.1f{unit}", number)
-    )
 
 
 def percent_text(fraction: Column) -> Column:

@@ -70,7 +70,8 @@ def _with_taken_keys(
 
 def insert_new_readings(batch: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     """Readings without repeats of (location, time); the lowest id of a repeat is kept. A
-    reading without a time repeats no other one."""
+    reading without a time repeats no other one. Of an ``existing`` table partitioned by
+    ``recorded_date`` only the days between the batch's first and last are read."""
     others = [name for name in batch.columns if name not in ("location", "recorded_at")]
     untimed = batch.where("recorded_at IS NULL")
     fresh = (
@@ -81,6 +82,10 @@ def insert_new_readings(batch: DataFrame, existing: DataFrame | None = None) ->
         .select(*batch.columns)
     )
     if existing is not None:
+        if "recorded_date" in existing.columns:
+            day = F.to_date("recorded_at")
+            first, last = (batch.agg(end(day)).scalar() for end in (F.min, F.max))
+            existing = existing.where(F.col("recorded_date").between(first, last))
         stored = existing.select("location", "recorded_at")
         fresh = fresh.join(stored, ["location", "recorded_at"], "left_anti").select(*batch.columns)
     return fresh.unionByName(untimed)
