@@ -41,7 +41,7 @@ def since(df: DataFrame, as_of: str, hours: int, column: str = "recorded_at") ->
 def history(readings: DataFrame, location: str, hours: int, as_of: str) -> DataFrame:
     """Readings of one location and window with their calendar parts, as a bound query. On a
     table partitioned by ``recorded_date`` the window also prunes whole days."""
-    start = "CAST(? AS TIMESTAMP_NTZ) - make_interval(0, 0, 0, 0, ?, 0, 0)"
+    start = "CAST(:as_of AS TIMESTAMP_NTZ) - make_interval(0, 0, 0, 0, :hours, 0, 0)"
     by_day = "recorded_date" in readings.columns
     days = f"AND recorded_date >= CAST({start} AS DATE)" if by_day else ""
     return readings.sparkSession.sql(
@@ -51,9 +51,9 @@ def history(readings: DataFrame, location: str, hours: int, as_of: str) -> DataF
                dayofweek(recorded_at) - 1 AS day_of_week,
                month(recorded_at) AS month
         FROM {{readings}}
-        WHERE location = ? AND recorded_at >= {start} {days}
+        WHERE location = :location AND recorded_at >= {start} {days}
         """,
-        args=[location, as_of, hours, *([as_of, hours] if by_day else [])],
+        args={"location": location, "as_of": as_of, "hours": hours},
         readings=readings,
     )
 

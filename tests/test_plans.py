@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__  # noqa: F401  registers the queries
 from conftest import SMALL
 from skyvane.checks.registry import QUERIES
 from skyvane.operators import lookups, rules, windows
+from skyvane.sources import inserts
 
 # These run a stream, write a table or fit a model when they are called.
 ACTING = ("t1", "t2", "t3_fixed_warnings_stream", "t4", "t6_ticks_stream", "t7", "t8", "j10", "q10",
@@ -43,6 +45,14 @@ def test_stored_table_prunes_days_and_places(spark, tmp_path, tables):
     shown = plan(recent)
     assert "EqualTo(location,NATION_7)" in shown
     assert "PartitionFilters: [isnotnull(recorded_date" in shown
+    bound = plan(lookups.history(stored, "NATION_7", 48, "2024-01-31 00:00:00"))
+    assert "PartitionFilters: [isnotnull(recorded_date" in bound
+    batch = tables.weather.where("recorded_at >= '2024-01-29 00:00:00'")
+    batch = batch.select(*sinks.STORED_READING).withColumn(
+        "recorded_at", F.col("recorded_at").cast("timestamp")
+    )
+    fresh = inserts.insert_new_readings(batch, stored)
+    assert "PartitionFilters: [isnotnull(recorded_date" in plan(fresh) and fresh.count() == 0
 
 
 def test_latest_reading_scans_only_what_it_needs(spark):

@@ -44,8 +44,10 @@ def test_one_decimal_rounds_the_binary_value(spark):
 
 
 def test_one_decimal_of_large_and_missing_numbers(spark):
-    got = values(spark, [(None,), (2e15,)], "n DOUBLE", text.one_decimal(F.col("n"), "°C"))
-    assert got == [None, "2000000000000000.0°C"]
+    given = [(None,), (2e15,), (1e12 + 0.25,), (-1e20,), (9.96,)]
+    got = values(spark, given, "n DOUBLE", text.one_decimal(F.col("n"), "°C"))
+    large = ["2000000000000000.0°C", "1000000000000.3°C", "-100000000000000000000.0°C", "10.0°C"]
+    assert got == [None, *large]
 
 
 def test_weekdays(spark):
