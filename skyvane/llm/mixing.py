@@ -10,7 +10,7 @@ so it gives the same documents however often and wherever it runs.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyvane.llm.storage import stored
@@ -104,22 +104,13 @@ def calibrated(
 ) -> DataFrame:
     """The dimensions and ``probability`` of each of the ``cells``."""
     total = cells.agg(F.coalesce(F.sum("tokens"), F.lit(0)).cast("double")).first()[0]
-    shares = {
-        name: stored(_target(cells, name, targets.get(name), total, flatten), "targets")
-        for name in DIMENSIONS
-    }
     fitted = cells.where("tokens > 0").withColumn("mass", F.col("tokens") / F.lit(total))
     for name in DIMENSIONS:
-        fitted = fitted.join(shares[name].withColumnRenamed("share", f"{name}_share"), name)
+        share = _target(cells, name, targets.get(name), total, flatten)
+        fitted = fitted.join(share.withColumnRenamed("share", f"{name}_share"), name)
     fitted = stored(fitted, "fitted")
-    # Each step is written, as its sums and its rows would each compute all steps before it.
     for _ in range(rounds):
-        for name in DIMENSIONS:
-            sums = fitted.groupBy(name).agg(F.sum("mass").alias("held"))
-            scaled = F.col("mass") * (F.col(f"{name}_share") / F.col("held"))
-            fitted = stored(
-                fitted.join(sums, name).withColumn("mass", scaled).drop("held"), "fitted"
-            )
+        fitted = stored(_raked(fitted), "fitted")
     # How many tokens a unit of mass stands for, once full cells give no more than they have.
     unit = keep * total
     for _ in range(fill_rounds):
@@ -130,13 +121,30 @@ def calibrated(
         ).first()
         if free <= 0:
             break
-        unit = (keep * total - taken) / free
+        before, unit = unit, (keep * total - taken) / free
+        if unit == before:
+            break
     own = F.least(F.lit(1.0), F.col("mass") * unit / F.col("tokens"))
     return cells.join(
         fitted.select(*DIMENSIONS, own.alias("probability")), list(DIMENSIONS), "left"
     ).select(*DIMENSIONS, F.coalesce("probability", F.lit(0.0)).alias("probability"))
 
 
+def _raked(fitted: DataFrame) -> DataFrame:
+    """One round: masses scaled to the shares of sources, languages and topics in turn.
+
+    A source has at most a cell per language and topic, so its sum is taken beside its cells. A
+    language or topic may hold most cells; its sum is pre-aggregated and joined.
+    """
+    held = F.sum("mass").over(Window.partitionBy("source"))
+    fitted = fitted.withColumn("mass", F.col("mass") * (F.col("source_share") / held))
+    for name in DIMENSIONS[1:]:
+        sums = fitted.groupBy(name).agg(F.sum("mass").alias("held"))
+        scaled = F.col("mass") * (F.col(f"{name}_share") / F.col("held"))
+        fitted = fitted.join(sums, name).withColumn("mass", scaled).drop("held")
+    return fitted
+
+
 def _target(
     cells: DataFrame, name: str, given: dict[str, float] | None, total: float, flatten: float
 ) -> DataFrame:
