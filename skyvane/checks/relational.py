@@ -191,7 +191,20 @@ def _appended(spark, folder: str) -> DataFrame:
     parsed = payloads.readings(landed_payloads(driver_tables(spark, folder).weather))
     for is_fallback in (False, True):
         sinks.append_readings(parsed.where(F.col("is_fallback") == is_fallback), table)
-    stored = sinks.stored_readings(spark, table)
+    return _read_back(sinks.stored_readings(spark, table))
+
+
+def _compacted(spark, folder: str) -> DataFrame:
+    """Append all readings from tasks that each hold every day, compact the table and read it back."""
+    table = shared_folder(spark, "weather_data")
+    parsed = payloads.readings(landed_payloads(driver_tables(spark, folder).weather))
+    sinks.append_readings(parsed.repartition(16, "data_id"), table)
+    compacted = shared_folder(spark, "weather_data")
+    sinks.compact_readings(sinks.stored_readings(spark, table), compacted)
+    return _read_back(sinks.stored_readings(spark, compacted))
+
+
+def _read_back(stored: DataFrame) -> DataFrame:
     return stored.withColumns(
         {
             "recorded_at": F.col("recorded_at").cast("timestamp_ntz"),
@@ -200,11 +213,12 @@ def _appended(spark, folder: str) -> DataFrame:
     )
 
 
-register(
-    "s4_append_readings",
-    _appended,
-    f", {PARSED} SELECT {READING_COLUMNS}, CAST(CAST(recorded_at AS DATE) AS VARCHAR) AS recorded_date FROM readings",
+STORED_SQL = (
+    f", {PARSED} SELECT {READING_COLUMNS},"
+    " CAST(CAST(recorded_at AS DATE) AS VARCHAR) AS recorded_date FROM readings"
 )
+register("s4_append_readings", _appended, STORED_SQL)
+register("s4_compacted_readings", _compacted, STORED_SQL)
 
 
 # Projections and filters ---------------------------------------------------------------

@@ -44,6 +44,25 @@ def append_readings(readings: DataFrame, folder: str) -> None:
     )
 
 
+def compact_readings(stored: DataFrame, folder: str, rows_per_file: int = 4_000_000) -> None:
+    """Rewrite ``stored`` readings as a table in ``folder`` with few files a day.
+
+    Rows are cut by range of day, location, time and id, so that short days share a task and
+    neither a long day nor a single instant has to fit one. A run after a failure replaces
+    what the failed one left; readers change to the new folder once it is written.
+    """
+    order = ("recorded_date", "location", "recorded_at", "data_id")
+    (
+        stored.select(*STORED_READING, "recorded_date")
+        .repartitionByRange(*order)
+        .sortWithinPartitions(*order)
+        .write.mode("overwrite")
+        .option("maxRecordsPerFile", rows_per_file)
+        .partitionBy("recorded_date")
+        .parquet(folder)
+    )
+
+
 def stored_readings(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(f"{schemas.WEATHER_DATA}, recorded_date DATE").parquet(folder)
 

@@ -55,6 +55,27 @@ def test_stored_table_prunes_days_and_places(spark, tmp_path, tables):
     assert "PartitionFilters: [isnotnull(recorded_date" in plan(fresh) and fresh.count() == 0
 
 
+def test_compaction_leaves_few_files_and_every_reading(spark, tmp_path, tables):
+    from pathlib import Path
+
+    from skyvane.sources import sinks
+
+    scattered, compacted, cut = (str(tmp_path / name) for name in ("scattered", "compacted", "cut"))
+    sinks.append_readings(tables.weather.repartition(12, "data_id"), scattered)
+    stored = sinks.stored_readings(spark, scattered)
+    sinks.compact_readings(stored, compacted)
+    sinks.compact_readings(stored, cut, rows_per_file=10)
+
+    def files(table: str) -> int:
+        return len(list(Path(table).rglob("*.parquet")))
+
+    days = stored.select("recorded_date").distinct().count()
+    assert files(scattered) > 3 * days and files(compacted) <= days + 8 < files(cut)
+    for table in (compacted, cut):
+        again = sinks.stored_readings(spark, table)
+        assert again.count() == stored.count() and again.exceptAll(stored).isEmpty()
+
+
 def test_latest_reading_scans_only_what_it_needs(spark):
     shown = plan(QUERIES["q7_tripped_alerts"](spark, SMALL))
     (events,) = [line for line in shown.splitlines() if "ReadSchema" in line and "event_id" in line]
