@@ -1,22 +1,22 @@
 """Language-model scores of texts by a weighted backoff automaton.
 
-All training texts are counted. A word sequence of up to ``order`` words becomes part of the
-automaton when it makes up at least one in ``one_in`` of the training tokens. Counts of one
-length sum to the number of tokens at most, so there are at most ``one_in`` sequences of each
-length whatever the corpus: that bounds what is broadcast, and the rule is the same at every
-size. Words below that share have no arc of their own; their exact counts stay in a table that
-is joined by word.
-
-States are the sequences that can precede a word. An arc reads a word and carries its smoothed
-log-probability (absolute discounting). Where a state has no arc for the word, its failure arc
-leads to the sequence without its first word at the cost of its backoff weight. At the root
-every word has the add-one probability. A text is read once from left to right.
+All training texts are counted, and every word sequence of up to ``order`` words that they hold
+is part of the automaton, whatever the size of the corpus. It is kept as tables: the arcs of
+each length with their smoothed probability (absolute discounting), and the backoff weight of
+each state.
+
+States are the sequences that can precede a word. Where a state has no arc for the word, its
+failure arc leads to the sequence without its first word at the cost of its backoff weight. At
+the root every word has the add-one probability. Arcs of the full length that make up one in
+``SHARED_ONE_IN`` of the training tokens, so at most that many, are broadcast, and so are such
+words: places that they settle stay in their task. All other places of a text are joined with
+the tables. That choice moves work and changes no result.
+
+Words stand in the tables as their 64-bit hashes.
 """
 
 from __future__ import annotations
 
-import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,20 +28,21 @@ from skyvane.llm import words
 from skyvane.llm.storage import stored
 
 ORDER = 3
-ONE_IN = 200_000
 DISCOUNT = 0.75
-# Counted items that a task holds before it hands them on.
+SHARED_ONE_IN = 200_000
+# Counted sequences that a task holds before it hands them on.
 HELD = 1_000_000
 
-# No word is empty, so the empty text stands for the end of a text.
-END = b""
+# The end of a text, its start, and what stands before that.
+END, START, NOTHING = 0, 1, 2
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def lm_scores(
     documents: DataFrame,
     training: DataFrame,
     order: int = ORDER,
-    one_in: int = ONE_IN,
+    one_in: int | None = None,
     discount: float = DISCOUNT,
     carry: tuple[str, ...] = ("doc_id",),
 ) -> DataFrame:
@@ -50,278 +51,280 @@ def lm_scores(
 
     Tokens are the runs of anything but ASCII white space, A-Z lower-cased, and one end per
     text. ``base_score`` is the add-one unigram log10 probability, ``score`` that of the
-    automaton. Equal rows give equal results. Without training texts every token has
-    probability 1.
+    automaton; both are summed in any order, so equal rows may differ by rounding. Without
+    training texts every token has probability 1. A caller who wants a smaller automaton may
+    give ``one_in``: sequences of two or more words that make up less than that share of the
+    training tokens are left out.
     """
-    counts = stored(
-        training.select("text")
-        .mapInArrow(_count_words, "token string, n long")
-        .groupBy("token")
-        .agg(F.sum("n").alias("c")),
-        "counts",
-    )
+    counts = _counted(training, 1)
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    shown = counts.where((F.col("c") >= n / one_in) | (F.col("token") == END.decode())).collect()
-    automaton = _learnt(training, shown, n, v, order, one_in, discount)
-    log_total = math.log10(n + v + 1)
+    least = n / one_in if one_in else 1
+    chance = (F.coalesce("c", F.lit(0)) + 1) / F.lit(float(n + v + 1))
+    shown = counts.where(F.col("c") >= n / SHARED_ONE_IN).toArrow()
+    arcs, weights = {1: counts.select("w1", chance.alias("p"))}, {}
+    for length in range(2, order + 1):
+        arcs[length], weights[length] = _learnt(
+            _counted(training, length), arcs[length - 1], length, least, discount
+        )
+    names = _names(order)
+    if order > 1:
+        top = arcs[order].where(F.col("c") >= n / SHARED_ONE_IN).select(*names, "p").toArrow()
+    else:
+        top = shown.slice(0, 0)
+    shared = documents.sparkSession.sparkContext.broadcast(_shared(shown, top, n, v, order))
 
     read = stored(
         documents.select(*carry, "text")
         .withColumn("row", F.monotonically_increasing_id())
         .mapInArrow(
-            _reader(documents.sparkSession.sparkContext.broadcast(automaton), carry),
+            _reader(shared, carry),
             documents.select(*carry).schema.simpleString()[7:-1].replace(":", " ")
             + ", row bigint, n_tokens bigint, known bigint, base double, walk double,"
-            " rare array<string>",
+            " seq array<bigint>",
         ),
         "walks",
     )
-    rare = read.select("row", F.explode("rare").alias("token"))
-    # Counts have one row per word, so their parts are even and a hash table of one is small.
-    sums = (
-        rare.join(counts.hint("shuffle_hash"), "token", "left")
+    # Counts have one row per word, so their parts are even.
+    rare = (
+        read.select("row", "seq")
+        .mapInArrow(_places(shared, 1), "row long, w1 long")
+        .join(counts, "w1", "left")
         .groupBy("row")
-        .agg(
-            F.count("c").alias("rare_known"),
-            F.sum(F.log10(F.coalesce("c", F.lit(0)) + 1) - log_total).alias("rare_base"),
-        )
+        .agg(F.count("c").alias("rare_known"), F.sum(F.log10(chance)).alias("rare_base"))
     )
-    rare_base = F.coalesce("rare_base", F.lit(0.0))
+    if order > 1:
+        places = read.select("row", "seq").mapInArrow(
+            _places(shared, order), "row long, " + ", ".join(f"{w} long" for w in names)
+        )
+        tail = _walked(places, arcs, weights, order, 1 / (n + v + 1))
+    else:
+        tail = rare.select("row", F.col("rare_base").alias("tail"))
     return (
-        read.drop("rare")
-        .join(sums, "row", "left")
+        read.drop("seq")
+        .join(rare, "row", "left")
+        .join(tail, "row", "left")
         .select(
             *carry,
             "n_tokens",
             (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
             F.lit(n).cast("long").alias("train_tokens"),
-            (F.col("base") + rare_base).alias("base_score"),
-            (F.col("walk") + rare_base).alias("score"),
+            (F.col("base") + F.coalesce("rare_base", F.lit(0.0))).alias("base_score"),
+            (F.col("walk") + F.coalesce("tail", F.lit(0.0))).alias("score"),
         )
     )
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def emitted(counts: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array([w.decode() for w in counts]), pa.array(list(counts.values()), pa.int64())],
-            ["token", "n"],
-        )
+def _names(length: int) -> list[str]:
+    return [f"w{k}" for k in range(1, length + 1)]
 
-    counts: Counter = Counter()
-    for batch in batches:
-        for block in words.blocks(batch.column("text")):
-            counts.update(block.words())
-            counts[END] += block.n_texts
-            if len(counts) >= HELD:
-                yield emitted(counts)
-                counts = Counter()
-    if counts:
-        yield emitted(counts)
+
+def _counted(training: DataFrame, length: int) -> DataFrame:
+    names = _names(length)
+    return stored(
+        training.select("text")
+        .mapInArrow(_counter(length), ", ".join(f"{w} long" for w in names) + ", n long")
+        .groupBy(*names)
+        .agg(F.sum("n").alias("c")),
+        f"counts-{length}",
+    )
 
 
 def _learnt(
-    training: DataFrame, shown: list, n: int, v: int, order: int, one_in: int, discount: float
-) -> dict:
-    """Plain dictionaries and lists of the automaton. Sequences of one length are numbered in
-    the order of their codes: the number of the sequence before the last word, times ``base``,
-    plus the last word."""
-    tokens = sorted((row.token.encode(), row.c) for row in shown)
-    vocabulary = {token: at for at, (token, _) in enumerate(tokens)}
-    base = len(tokens) + 1
-    start = len(tokens)  # stands before the first word, and is never read
-    counts = np.array([c for _, c in tokens], dtype=float)
-    n_texts = dict(tokens).get(END, 0)
-    logs = np.log10((counts + 1) / (n + v + 1)) if n else np.zeros(len(tokens))
-    probability = 10.0**logs
-    # Level 1: its sequences are words; the start has a number but no probability.
-    codes = [np.arange(base, dtype=np.int64)]
-    level_counts = [np.append(counts, n_texts)]
-    level_logs = [logs]
-    suffix = [np.zeros(base, dtype=np.int64)]
-    backoff = []
-    for length in range(2, order + 1):
-        context = training.sparkSession.sparkContext.broadcast((vocabulary, codes[1:]))
-        found = (
-            training.select("text")
-            .mapInArrow(_sequence_counter(context, length), "code long, n long")
-            .groupBy("code")
-            .agg(F.sum("n").alias("c"))
-            .where(F.col("c") >= n / one_in)
-            .collect()
-        )
-        context.unpersist()
-        found.sort()
-        code = np.array([row.code for row in found], dtype=np.int64)
-        c = np.array([row.c for row in found], dtype=float)
-        before, last = code // base, code % base
-        # The same sequence without its first word; it is at least as frequent, so it is there.
-        if length == 2:
-            shorter = last
-            lower = probability[last]
-        else:
-            shorter = np.searchsorted(codes[-1], suffix[-1][before] * base + last)
-            lower = 10.0 ** level_logs[-1][shorter]
-        own = (c - discount) / level_counts[-1][before] if len(c) else c
-        size = len(level_counts[-1])
-        left = 1 - np.bincount(before, own, size)
-        room = 1 - np.bincount(before, lower, size)
-        backoff.append(np.log10(np.maximum(left, 1e-9) / np.maximum(room, 1e-9)))
-        codes.append(code)
-        level_counts.append(c)
-        level_logs.append(np.log10(own))
-        suffix.append(shorter)
-    return _automaton(vocabulary, base, codes, level_logs, suffix, backoff, start)
-
-
-def _automaton(vocabulary, base, codes, level_logs, suffix, backoff, start) -> dict:
-    """State 0 is the root; behind it stand the sequences of each length but the longest."""
-    order = len(codes)
-    first = [1]
-    for level in range(order - 1):
-        first.append(first[-1] + len(codes[level]))
-    fail, weight = [0], [0.0]
-    arcs: dict[int, tuple[float, int]] = {}
-    for level in range(order):
-        n = len(level_logs[level])
-        if level < order - 1:
-            target = first[level] + np.arange(n)
-        else:
-            target = (first[level - 1] + suffix[level]) if level else np.zeros(n, dtype=np.int64)
-        if level == 0:
-            source, word = np.zeros(n, dtype=np.int64), np.arange(n)
-        else:
-            source, word = first[level - 1] + codes[level] // base, codes[level] % base
-        arcs.update(
-            zip(
-                (source * base + word).tolist(),
-                zip(level_logs[level].tolist(), target.tolist()),
+    counts: DataFrame, lower: DataFrame, length: int, least: float, discount: float
+) -> tuple[DataFrame, DataFrame]:
+    """Arcs of ``length`` words with their probability, and the backoff weights of their states.
+
+    Each occurrence of a state is followed by one word, so its count is the sum of its arcs'.
+    The same sequence without its first word is at least as frequent, so it has an arc.
+    """
+    names = _names(length)
+    state = names[:-1]
+    totals = counts.groupBy(*state).agg(F.sum("c").alias("total"))
+    shorter = lower.select(
+        *(F.col(w).alias(f"w{k}") for k, w in enumerate(state, 2)), F.col("p").alias("lower")
+    )
+    arcs = stored(
+        counts.where(F.col("c") >= least)
+        .join(totals, state)
+        .join(shorter, names[1:])
+        .select(*names, "c", ((F.col("c") - discount) / F.col("total")).alias("p"), "lower"),
+        f"arcs-{length}",
+    )
+    left, room = (F.greatest(1 - F.sum(k), F.lit(1e-9)) for k in ("p", "lower"))
+    weights = stored(arcs.groupBy(*state).agg((left / room).alias("weight")), f"weights-{length}")
+    return arcs, weights
+
+
+def _walked(places: DataFrame, arcs: dict, weights: dict, order: int, unseen: float) -> DataFrame:
+    """``row, tail``: summed log10 probability of the places, down the failure arcs."""
+    parts = []
+    for length in range(order, 0, -1):
+        names = _names(length)
+        found = places.join(arcs[length].select(*names, "p"), names, "left")
+        if length == 1:
+            parts.append(
+                found.select("row", F.log10(F.coalesce("p", F.lit(unseen))).alias("part"))
             )
+            break
+        kept = [F.when(F.col("p").isNull(), F.col(w)).alias(w) for w in names]
+        found = stored(found.select("row", F.log10("p").alias("part"), *kept), f"places-{length}")
+        missed = found.where("part IS NULL").drop("part")
+        parts.append(found.where("part IS NOT NULL").select("row", "part"))
+        # A state without arcs costs nothing to leave.
+        left = missed.join(weights[length], names[:-1])
+        parts.append(left.select("row", F.log10("weight").alias("part")))
+        places = missed.select(
+            "row", *(F.col(w).alias(f"w{k}") for k, w in enumerate(names[1:], 1))
         )
-        if level < order - 1:
-            fail.extend([0] * len(codes[0]) if level == 0 else (first[level - 1] + suffix[level]).tolist())
-            weight.extend(backoff[level].tolist())
-    return {
-        "vocabulary": vocabulary,
-        "base": base,
-        "arcs": arcs,
-        "fail": fail,
-        "weight": weight,
-        "start": 1 + start if order > 1 else 0,
-        "root_logs": level_logs[0].tolist(),
-    }
-
-
-def _sequence_counter(context, length: int):
-    """Counts of the sequences of ``length`` words whose shorter parts are in the automaton."""
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    return every.groupBy("row").agg(F.sum("part").alias("tail"))
+
+
+def _columns(block: words.Block, before: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """For each word and end of the texts, the ``before`` words before it and itself; then the
+    number of the text, and the first place of each text and the end."""
+    counts = block.counts() + 1
+    first = np.concatenate([[0], np.cumsum(counts)])
+    text = np.repeat(np.arange(block.n_texts), counts)
+    seq = np.full(first[-1], END, dtype=np.uint64)
+    own = np.repeat(np.arange(block.n_texts), block.counts())
+    seq[np.arange(len(own)) + own] = block.hashes()
+    return _shifted(seq, text, first, before), text, first
+
+
+def _shifted(seq: np.ndarray, text: np.ndarray, first: np.ndarray, before: int) -> list[np.ndarray]:
+    place = np.arange(len(seq)) - first[text]
+    out = []
+    for back in range(before, -1, -1):
+        earlier = np.full(len(seq), NOTHING, dtype=np.uint64)
+        earlier[back:] = seq[: len(seq) - back]
+        earlier[place < back] = NOTHING
+        earlier[place == back - 1] = START
+        out.append(earlier)
+    return out
+
+
+def _code(columns: list[np.ndarray]) -> np.ndarray:
+    code = np.zeros(len(columns[0]), dtype=np.uint64)
+    for column in columns:
+        code = words.mixed((code + np.uint64(1)) * _SPREAD + column)
+    return code
+
+
+def _counter(length: int):
+    """Counts of the sequences of ``length`` words; the start may be the first of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, codes = context.value
-        base, end = len(vocabulary) + 1, vocabulary.get(END)
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def emitted() -> pa.RecordBatch:
-            code, n = _merged(held)
-            return pa.RecordBatch.from_arrays([pa.array(code), pa.array(n)], ["code", "n"])
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            rows = np.concatenate([rows for rows, _ in held], axis=1)
+            n = np.concatenate([n for _, n in held])
+            order = np.lexsort(rows)
+            rows, n = rows[:, order], n[order]
+            new = np.ones(len(n), dtype=bool)
+            new[1:] = (rows[:, 1:] != rows[:, :-1]).any(axis=0)
+            begins = np.flatnonzero(new)
+            return rows[:, begins], np.add.reduceat(n, begins)
+
+        def emitted(rows: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            columns = [pa.array(row.view(np.int64)) for row in rows]
+            return pa.RecordBatch.from_arrays([*columns, pa.array(n)], [*_names(length), "n"])
 
         for batch in batches:
             for block in words.blocks(batch.column("text")):
-                get = vocabulary.get
-                own = np.array([get(w, -1) for w in block.words()], dtype=np.int64)
-                # Each text gets the start before its words and the end behind them.
-                counts = block.counts()
-                place = np.arange(len(own)) + np.repeat(2 * np.arange(block.n_texts) + 1, counts)
-                seq = np.full(len(own) + 2 * block.n_texts, end, dtype=np.int64)
-                seq[place] = own
-                seq[block.first[:-1] + 2 * np.arange(block.n_texts)] = base - 1
-                state = seq
-                for level in range(2, length + 1):
-                    word = seq[level - 1 :]
-                    here = (state[:-1] >= 0) & (word >= 0) & (word < base - 1)
-                    code = np.where(here, state[:-1] * base + word, -1)
-                    if level < length:
-                        at = np.searchsorted(codes[level - 2], code)
-                        at = np.minimum(at, len(codes[level - 2]) - 1)
-                        known = here & (codes[level - 2][at] == code) if len(codes[level - 2]) else here & False
-                        state = np.where(known, at, -1)
-                held.append(np.unique(code[code >= 0], return_counts=True))
-                if sum(len(code) for code, _ in held) >= HELD:
-                    held[:] = [_merged(held)]
-                    if len(held[0][0]) >= HELD // 2:
-                        yield emitted()
+                columns, _, _ = _columns(block, length - 1)
+                rows = np.stack(columns)
+                rows = rows[:, rows[0] != NOTHING]
+                if not rows.shape[1]:
+                    continue
+                held.append((rows, np.ones(rows.shape[1], dtype=np.int64)))
+                if sum(len(n) for _, n in held) >= HELD:
+                    held[:] = [merged()]
+                    if len(held[0][1]) >= HELD // 2:
+                        yield emitted(*held[0])
                         held.clear()
         if held:
-            yield emitted()
+            yield emitted(*merged())
 
     return run
 
 
-def _merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    code, at = np.unique(np.concatenate([c for c, _ in held]), return_inverse=True)
-    n = np.bincount(at, np.concatenate([n for _, n in held]), len(code))
-    return code, n.astype(np.int64)
-
-
-def walked(automaton: dict, ids: list[int]) -> float:
-    """Log10 probability of the known words in ``ids`` (rare ones are -1) and of the failure
-    arcs that are taken on the way; the probability of rare words is left to the caller."""
-    arcs, fail, weight, base = (automaton[k] for k in ("arcs", "fail", "weight", "base"))
-    get = arcs.get
-    state, total = automaton["start"], 0.0
-    for word in ids:
-        if word < 0:
-            while state:
-                total += weight[state]
-                state = fail[state]
-            continue
-        arc = get(state * base + word)
-        while arc is None:
-            total += weight[state]
-            state = fail[state]
-            arc = get(state * base + word)
-        total += arc[0]
-        state = arc[1]
-    return total
+def _shared(shown: pa.Table, top: pa.Table, n: int, v: int, order: int) -> dict:
+    """Sorted codes of the broadcast words and arcs of the full length, with log probabilities."""
+
+    def by_code(table: pa.Table, length: int, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        columns = [
+            table.column(w).to_numpy().astype(np.int64).view(np.uint64) for w in _names(length)
+        ]
+        code = _code(columns)
+        at = np.argsort(code)
+        return code[at], np.log10(p[at])
+
+    known = by_code(shown, 1, (shown.column("c").to_numpy() + 1.0) / (n + v + 1))
+    arcs = by_code(top, order, top.column("p").to_numpy()) if order > 1 else known
+    return {"order": order, "words": known, "arcs": arcs}
+
+
+def _found(table: tuple[np.ndarray, np.ndarray], code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each code is in the table, and its log probability, or 0."""
+    codes, logs = table
+    if not len(codes):
+        return np.zeros(len(code), dtype=bool), np.zeros(len(code))
+    at = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
+    there = codes[at] == code
+    return there, np.where(there, logs[at], 0.0)
 
 
 def _reader(shared, carry: tuple[str, ...]):
+    """What the broadcast words and arcs settle, and the words themselves."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = shared.value
-        get = automaton["vocabulary"].get
-        # The last place is that of rare words, which add nothing here.
-        root_logs = np.array([*automaton["root_logs"], 0.0])
-        end = automaton["vocabulary"].get(END, -1)
+        own = shared.value
         for batch in batches:
             for block in words.blocks(batch.column("text")):
-                tokens = block.words()
-                ids = [get(w, -1) for w in tokens]
-                walk = []
-                for begin, stop in zip(block.first[:-1].tolist(), block.first[1:].tolist()):
-                    own = ids[begin:stop]
-                    own.append(end)
-                    walk.append(walked(automaton, own))
-                at = np.array(ids, dtype=np.int64)
-                text = np.repeat(np.arange(block.n_texts), block.counts())
-                base = np.bincount(text, root_logs[at], block.n_texts) + root_logs[end]
-                known = np.bincount(text, at >= 0, block.n_texts).astype(np.int64) + (end >= 0)
-                rare = np.flatnonzero(at < 0)
-                ends = np.searchsorted(rare, block.first).astype(np.int32)
-                here = batch.slice(block.row, block.n_texts)
+                columns, text, first = _columns(block, own["order"] - 1)
+                known, base = _found(own["words"], _code(columns[-1:]))
+                _, walk = _found(own["arcs"], _code(columns))
+                n = block.n_texts
+                here = batch.slice(block.row, n)
                 yield pa.RecordBatch.from_arrays(
                     [
                         *(here.column(name) for name in (*carry, "row")),
-                        pa.array(block.counts() + 1),
-                        pa.array(known),
-                        pa.array(base),
-                        pa.array(walk, pa.float64()),
+                        pa.array(np.diff(first)),
+                        pa.array(np.bincount(text, known, n).astype(np.int64)),
+                        pa.array(np.bincount(text, base, n)),
+                        pa.array(np.bincount(text, walk, n)),
                         pa.ListArray.from_arrays(
-                            pa.array(ends),
-                            pa.array([tokens[k] for k in rare.tolist()], pa.binary()).cast(
-                                pa.string()
-                            ),
+                            pa.array(first.astype(np.int32)), pa.array(columns[-1].view(np.int64))
                         ),
                     ],
-                    [*carry, "row", "n_tokens", "known", "base", "walk", "rare"],
+                    [*carry, "row", "n_tokens", "known", "base", "walk", "seq"],
                 )
 
     return run
+
+
+def _places(shared, length: int):
+    """The places that the broadcast words (``length`` 1) or arcs leave open."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        table = own["words"] if length == 1 else own["arcs"]
+        for batch in batches:
+            lists = batch.column("seq")
+            first = np.asarray(lists.offsets).astype(np.int64)
+            seq = lists.values.to_numpy()[first[0] : first[-1]].view(np.uint64)
+            first = first - first[0]
+            text = np.repeat(np.arange(len(lists)), np.diff(first))
+            columns = _shifted(seq, text, first, length - 1)
+            still = ~_found(table, _code(columns))[0]
+            row = batch.column("row").to_numpy()[text[still]]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(row), *(pa.array(c[still].view(np.int64)) for c in columns)],
+                ["row", *_names(length)],
+            )
+
+    return run

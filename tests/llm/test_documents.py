@@ -274,6 +274,23 @@ def test_scores_follow_their_definition(documents, one_in):
         assert r.score == pytest.approx(score, rel=1e-9)
 
 
+def test_scores_use_every_sequence_of_a_large_corpus(spark):
+    """One pair among 450,000 tokens, far below one in 200,000, still has its arcs."""
+    filler = " ".join(f"w{k % 300}" for k in range(30_000))
+    rows = [(k, filler) for k in range(15)] + [(100, "rare pair here"), (101, "here pair rare")]
+    given = spark.createDataFrame(rows, "doc_id long, text string")
+    training = given.where("doc_id != 101")
+    docs = dict(rows)
+    expected = backoff_scores(docs, [k for k in docs if k != 101], 10**9, lm_scoring.DISCOUNT)
+    found = {r.doc_id: r for r in lm_scoring.lm_scores(given, training).collect()}
+    for k, (n_tokens, n_known, n, base, score) in expected.items():
+        r = found[k]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (n_tokens, n_known, n)
+        assert r.base_score == pytest.approx(base, rel=1e-9)
+        assert r.score == pytest.approx(score, rel=1e-9)
+    assert found[100].score > found[101].score + 3
+
+
 def test_scores_of_odd_rows(odd_documents, no_documents):
     rows = lm_scoring.lm_scores(odd_documents, odd_documents).collect()
     assert len(rows) == odd_documents.count()
