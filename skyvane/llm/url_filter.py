@@ -2,7 +2,10 @@
 
 Trust starts at hosts with pages that a rule allows and follows links; distrust starts at hosts
 with pages that a rule blocks and follows links backwards, to those who link there. Both are
-personalised PageRanks over links between hosts, and a host is judged by comparing the two.
+personalised PageRanks over links between hosts. Distrust is shared among all who link to a
+blocked host, so it shrinks with their number; a host is judged by its blame, which does not:
+the chance that a walk along its own links comes to a blocked page before it comes to an
+allowed one or stops. Blame is compared with trust.
 """
 
 from __future__ import annotations
@@ -23,8 +26,8 @@ RULES = [
 FOLLOW = 0.85
 ROUNDS = 20
 SETTLED = 1e-4
-# Distrust, as a share of what a host gets whose every page is blocked, that blocks a host
-# which is not trusted more.
+# Blame, which is 1 for a host whose every page is blocked, that blocks a host which is not
+# trusted more.
 DISTRUST = 0.5
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -50,11 +53,11 @@ def verdicts(
     rounds: int = ROUNDS,
     distrust: float = DISTRUST,
 ) -> DataFrame:
-    """``page_id, host, path, rule, verdict, trust, distrust`` per row of
+    """``page_id, host, path, rule, verdict, trust, distrust, blame`` per row of
     ``pages(page_id, url, html)``.
 
     A rule fits its host and the hosts below it where the path starts with the rule's path; the
-    longest fitting rule decides. Without one the host is blocked if its distrust is at least
+    longest fitting rule decides. Without one the host is blocked if its blame is at least
     ``distrust`` and more than its trust, else allowed. A row without a url has an empty host,
     which has no links, and is allowed. Repeated rows count as so many pages and each get a row;
     other columns are ignored.
@@ -67,12 +70,12 @@ def verdicts(
         F.avg(F.coalesce((F.col("action") == "block").cast("double"), F.lit(0.0))).alias("blocked"),
     )
     hosts = stored(spread(seeds, _edges(judged), follow, rounds), "hosts")
-    blocked = (F.col("distrust") >= distrust) & (F.col("distrust") > F.col("trust"))
+    blocked = (F.col("blame") >= distrust) & (F.col("blame") > F.col("trust"))
     own = F.coalesce("action", F.when(blocked, "block").otherwise("allow"))
     return (
         judged.drop("links")
         .join(hosts, "host", "left")
-        .select("page_id", "host", "path", "rule", own.alias("verdict"), "trust", "distrust")
+        .select("page_id", "host", "path", "rule", own.alias("verdict"), "trust", "distrust", "blame")
     )
 
 
@@ -124,20 +127,35 @@ def _edges(judged: DataFrame) -> DataFrame:
 
 
 def spread(seeds: DataFrame, edges: DataFrame, follow: float, rounds: int) -> DataFrame:
-    """``host, trust, distrust`` from ``seeds(host, allowed, blocked)`` and ``edges(host, to)``.
-
-    Trust is shared among the hosts linked to, distrust among the hosts linking in. Values are
-    scaled so that a host without links keeps its seed. Stops when no value moves by more than
-    ``SETTLED``, or after ``rounds``. Every host of ``seeds`` gets a row.
+    """``host, trust, distrust, blame`` from ``seeds(host, allowed, blocked)`` and
+    ``edges(host, to)``.
+
+    Trust is shared among the hosts linked to, distrust among the hosts linking in. Blame is a
+    host's blocked share, and for pages without a rule ``follow`` times the mean blame of the
+    hosts that it links to. Values are scaled so that a host without links keeps its seed. Stops
+    when no value moves by more than ``SETTLED``, or after ``rounds``. Every host of ``seeds``
+    gets a row.
     """
     forward = edges.select(F.lit("trust").alias("kind"), F.col("host").alias("giver"), F.col("to").alias("taker"))
     backward = edges.select(F.lit("distrust").alias("kind"), F.col("to").alias("giver"), F.col("host").alias("taker"))
     both = forward.unionByName(backward)
     shares = both.groupBy("kind", "giver").agg((1 / F.count("*")).alias("share"))
-    weighted = stored(both.join(shares, ["kind", "giver"]), "links")
+    open_share = seeds.select("host", (1 - F.col("allowed") - F.col("blocked")).alias("open"))
+    blame = (
+        edges.join(edges.groupBy("host").agg(F.count("*").alias("n")), "host")
+        .join(open_share, "host")
+        .select(
+            F.lit("blame").alias("kind"),
+            F.col("to").alias("giver"),
+            F.col("host").alias("taker"),
+            (F.col("open") / F.col("n")).alias("share"),
+        )
+    )
+    weighted = stored(both.join(shares, ["kind", "giver"]).unionByName(blame), "links")
     kinds = F.array(
         F.struct(F.lit("trust").alias("kind"), F.col("allowed").alias("seed")),
         F.struct(F.lit("distrust").alias("kind"), F.col("blocked").alias("seed")),
+        F.struct(F.lit("blame").alias("kind"), F.col("blocked").alias("seed")),
     )
     start = stored(
         seeds.select(F.col("host").alias("taker"), F.explode(kinds).alias("k"))
@@ -178,5 +196,6 @@ def spread(seeds: DataFrame, edges: DataFrame, follow: float, rounds: int) -> Da
         seeds.select("host")
         .join(of("trust"), "host", "left")
         .join(of("distrust"), "host", "left")
-        .na.fill(0.0, ["trust", "distrust"])
+        .join(of("blame"), "host", "left")
+        .na.fill(0.0, ["trust", "distrust", "blame"])
     )

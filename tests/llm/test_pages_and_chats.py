@@ -154,6 +154,30 @@ def test_trust_and_distrust_follow_links(spark):
     assert found["alone.org"].verdict == "allow" and found["good.com"].verdict == "allow"
 
 
+def test_a_farm_is_blocked_however_many_link_there(spark):
+    def links(*hosts):
+        return "".join(f'<a href="https://{host}/">x</a>' for host in hosts)
+
+    rows = [(1, "http://bad.net/es/", ""), (2, "http://worse.net/fr/", ""), (3, "http://good.com/", "")]
+    rows += [(10 + k, f"http://farm{k}.org/", links("bad.net", "worse.net")) for k in range(100)]
+    rows += [(200, "http://next.org/", links("farm1.org", "farm2.org"))]
+    others = [f"site{k}.org" for k in range(9)]
+    rows += [(201, "http://list.org/", links("bad.net", *others))]
+    rows += [(202, "http://half.org/", links("bad.net", "good.com"))]
+    given = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = {r.host: r for r in url_filter.verdicts(given).collect()}
+    for k in range(100):
+        assert found[f"farm{k}.org"].verdict == "block"
+        assert found[f"farm{k}.org"].blame == pytest.approx(0.85)
+    assert found["next.org"].verdict == "block"
+    assert found["list.org"].verdict == "allow" and found["list.org"].blame == pytest.approx(0.085)
+    assert found["half.org"].verdict == "allow"
+    # Fewer linkers give the same verdict and blame.
+    few = {r.host: r for r in url_filter.verdicts(given.where("page_id < 12 OR page_id = 201")).collect()}
+    for host in ("farm0.org", "farm1.org", "list.org"):
+        assert (few[host].verdict, few[host].blame) == (found[host].verdict, pytest.approx(found[host].blame))
+
+
 def test_archives_read_back(spark):
     more = [
         (-1, None, None),
