@@ -4,10 +4,12 @@ The model is a naive Bayes classifier over words. A known word adds its log freq
 language. An unseen word falls back on the longest character n-grams of it that any language
 knows, and adds their mean log frequency.
 
-The model is fitted on a bounded sample: of the ``MOST_LANGUAGES`` languages with most labelled
-documents at most ``per_language`` documents each, those with the smallest hash of their id, and
-of them at most ``vocabulary`` words and ``vocabulary`` n-grams per language. That bounds what
-is broadcast, the ids of the sample and the model.
+The model is fitted on a bounded sample: of every language at most ``per_language`` labelled
+documents, those with the smallest hash of their id, and fewer of each where all languages
+together would have more than ``MOST_DOCUMENTS``. Every word and n-gram of the sample is kept.
+The model holds them as sorted 64-bit hashes, with a log frequency for each language that has
+them; the other languages share one value, so its size follows the sample and not the product
+of words and languages.
 """
 
 from __future__ import annotations
@@ -15,10 +17,10 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
@@ -27,8 +29,7 @@ from skyvane.llm import words
 from skyvane.llm.storage import stored
 
 PER_LANGUAGE = 3000
-MOST_LANGUAGES = 200
-VOCABULARY = 30_000
+MOST_DOCUMENTS = 600_000
 LONGEST_GRAM = 5
 # Words of evidence that a score may rest on; more words do not make it surer.
 EVIDENCE_WORDS = 20
@@ -37,53 +38,134 @@ UNDETERMINED = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 _SMALLEST = 0.5
 _KNOWN_UNSEEN = 200_000
+_WORDS_AT_ONCE = 2000
+
+
+class Places:
+    """Rows of items by the sorted hashes of all items."""
+
+    def __init__(self, codes: np.ndarray):
+        self.codes = codes
+
+    def __len__(self) -> int:
+        return len(self.codes)
+
+    def rows(self, items: list[str]) -> np.ndarray:
+        """The row of each item, or -1."""
+        code = hashes(items)
+        if not len(self.codes):
+            return np.full(len(code), -1)
+        at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+        return np.where(self.codes[at] == code, at, -1)
+
+    def __getitem__(self, item: str) -> int:
+        row = int(self.rows([item])[0])
+        if row < 0:
+            raise KeyError(item)
+        return row
+
+
+class Logs:
+    """Log frequencies by language of each row; ``absent`` has those of items not seen."""
+
+    def __init__(self, first: np.ndarray, lang: np.ndarray, more: np.ndarray, absent: np.ndarray):
+        self.first, self.lang, self.more, self.absent = first, lang, more, absent
+
+    def __getitem__(self, rows) -> np.ndarray:
+        return self.summed(rows, np.arange(len(rows)), np.ones(len(rows)), len(rows))
+
+    def summed(self, rows, into: np.ndarray, times: np.ndarray, n: int) -> np.ndarray:
+        """``n`` sums, one line each, of the rows ``times`` their factors."""
+        rows = np.asarray(rows, dtype=np.int64)
+        sizes = self.first[rows + 1] - self.first[rows]
+        own = np.repeat(np.arange(len(rows)), sizes)
+        at = np.arange(len(own)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + self.first[rows][own]
+        cell = into[own] * len(self.absent) + self.lang[at]
+        sums = np.bincount(cell, times[own] * self.more[at], n * len(self.absent))
+        weights = np.bincount(into, times, n)
+        return sums.reshape(n, -1) + weights[:, None] * self.absent
+
+
+def hashes(items: list[str]) -> np.ndarray:
+    raw = [item.encode("utf-8", "surrogatepass") for item in items]
+    ends = np.cumsum([len(r) for r in raw], dtype=np.int64)
+    starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)[: len(raw)]
+    return words.word_hashes(np.frombuffer(b"".join(raw), dtype=np.uint8), starts, ends)
 
 
-@dataclass
 class LanguageModel:
-    """``words`` and ``grams`` lead to rows of their tables of log frequencies by language."""
+    """``words`` and ``grams`` lead to rows of their log frequencies by language.
 
-    languages: list[str]
-    prior: np.ndarray
-    words: dict[str, int]
-    word_logs: np.ndarray
-    grams: dict[str, int]
-    gram_logs: np.ndarray
-    longest: int
+    ``of_words`` and ``of_grams`` are the arrays of ``_table``.
+    """
+
+    def __init__(
+        self, languages: list[str], prior: np.ndarray, of_words: dict, of_grams: dict, longest: int
+    ):
+        self.plain = {
+            "languages": languages,
+            "prior": prior,
+            "of_words": of_words,
+            "of_grams": of_grams,
+            "longest": longest,
+        }
+        self.languages, self.prior, self.longest = languages, prior, longest
+        self.words, self.grams = Places(of_words["codes"]), Places(of_grams["codes"])
+        self.word_logs, self.gram_logs = (
+            Logs(*(own[k] for k in ("first", "lang", "more", "absent")))
+            for own in (of_words, of_grams)
+        )
 
     def unseen(self, word: str) -> np.ndarray:
-        padded = f"<{word}>"
-        for n in range(min(self.longest, len(padded)), 0, -1):
-            found = [
-                row
-                for at in range(len(padded) - n + 1)
-                if (row := self.grams.get(padded[at : at + n])) is not None
-            ]
-            if found:
-                return self.gram_logs[found].mean(axis=0)
-        return np.zeros(len(self.languages))
+        return self.all_unseen([word])[0]
+
+    def all_unseen(self, unseen: list[str]) -> np.ndarray:
+        """A line for each word: the mean over its longest pieces that are known, 0 if none."""
+        pieces, of_word, lengths = [], [], []
+        for at, word in enumerate(unseen):
+            padded = f"<{word}>"
+            for n in range(1, min(self.longest, len(padded)) + 1):
+                own = [padded[k : k + n] for k in range(len(padded) - n + 1)]
+                pieces += own
+                of_word += [at] * len(own)
+                lengths += [n] * len(own)
+        row = self.grams.rows(pieces)
+        of_word, lengths = np.array(of_word), np.where(row >= 0, lengths, 0)
+        best = np.zeros(len(unseen), dtype=np.int64)
+        np.maximum.at(best, of_word, lengths)
+        used = np.flatnonzero((lengths > 0) & (lengths == best[of_word]))
+        share = 1 / np.maximum(np.bincount(of_word[used], minlength=len(unseen)), 1)
+        return self.gram_logs.summed(
+            row[used], of_word[used], share[of_word[used]], len(unseen)
+        )
 
     def predict(self, text: str | None, cache: dict[str, np.ndarray]) -> tuple[str, float]:
         counts = Counter(_WORD.findall(text.lower())) if text else None
         if not counts or not self.languages:
             return UNDETERMINED, 0.0
-        rows, times = [], []
-        total = self.prior.copy()
-        for word, n in counts.items():
-            row = self.words.get(word)
-            if row is not None:
-                rows.append(row)
-                times.append(n)
-                continue
-            logs = cache.get(word)
-            if logs is None:
-                if len(cache) >= _KNOWN_UNSEEN:
-                    cache.clear()
-                logs = cache[word] = self.unseen(word)
-            total += n * logs
-        if rows:
-            total += np.array(times, dtype=float) @ self.word_logs[rows]
-        n_words = sum(counts.values())
+        found, times = list(counts), np.array(list(counts.values()), dtype=float)
+        rows = self.words.rows(found)
+        known = np.flatnonzero(rows >= 0)
+        total = self.prior + self.word_logs.summed(
+            rows[known], np.zeros(len(known), dtype=np.int64), times[known], 1
+        )[0]
+        left = [found[k] for k in np.flatnonzero(rows < 0).tolist()]
+        new = [word for word in left if word not in cache]
+        # Some thousand words at a time bound the lines that are held.
+        for begin in range(0, len(new), _WORDS_AT_ONCE):
+            part = new[begin : begin + _WORDS_AT_ONCE]
+            logs = self.all_unseen(part)
+            total += np.array([counts[word] for word in part], dtype=float) @ logs
+            if len(cache) >= _KNOWN_UNSEEN // max(1, len(self.languages) // 4):
+                cache.clear()
+            cache.update(zip(part, logs))
+        if len(new) < len(left):
+            fresh = set(new)
+            for word in left:
+                if word not in fresh:
+                    logs = cache.get(word)
+                    total += counts[word] * (self.unseen(word) if logs is None else logs)
+        n_words = int(times.sum())
         logs = total * (min(n_words, EVIDENCE_WORDS) / n_words)
         shares = np.exp(logs - logs.max())
         best = int(np.argmax(total))
@@ -93,20 +175,19 @@ class LanguageModel:
 def fit(
     documents: DataFrame,
     per_language: int = PER_LANGUAGE,
-    vocabulary: int = VOCABULARY,
     longest: int = LONGEST_GRAM,
+    most_documents: int = MOST_DOCUMENTS,
 ) -> LanguageModel:
     """Learn from ``documents(doc_id, text, lang)``; rows without any of them are left out."""
     labelled = documents.select("doc_id", "text", "lang").dropna()
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    common = labelled.groupBy("lang").agg(F.count("*").alias("n"))
-    common = common.orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).select("lang")
+    n_languages = labelled.select("lang").distinct().count()
+    each = max(1, min(per_language, most_documents // max(n_languages, 1)))
     chosen = (
         labelled.select("doc_id", "lang")
-        .join(F.broadcast(common), "lang", "left_semi")
         .distinct()
         .withColumn("place", F.row_number().over(order))
-        .where(F.col("place") <= per_language)
+        .where(F.col("place") <= each)
         .select("doc_id", "lang")
     )
     # The ids are few by the bounds above, so only texts of the sample leave their tasks.
@@ -120,7 +201,7 @@ def fit(
         .agg(F.sum("n").alias("n")),
         "word-counts",
     )
-    known = _most_frequent(counts, vocabulary).toArrow()
+    known = _collected(counts)
     # An n-gram counts once per distinct word, since it is to judge words not seen before.
     padded = F.concat(F.lit("<"), "item", F.lit(">"))
     cut = F.flatten(
@@ -141,16 +222,13 @@ def fit(
         .groupBy("lang", "item")
         .agg(F.count("*").alias("n"))
     )
-    pieces = _most_frequent(grams, vocabulary).toArrow()
-    langs = known.column("lang").to_pylist()
-    languages = sorted(set(langs))
-    totals: Counter = Counter()
-    for lang, n in zip(langs, known.column("n").to_pylist()):
-        totals[lang] += n
-    words_at, word_logs = _table(known, languages)
-    grams_at, gram_logs = _table(pieces, languages)
-    prior = np.log([totals[lang] for lang in languages]) if languages else np.empty(0)
-    return LanguageModel(languages, prior, words_at, word_logs, grams_at, gram_logs, longest)
+    languages = sorted(known.column("lang").unique().to_pylist())
+    of_words = _table(known, languages)
+    of_grams = _table(_collected(grams), languages)
+    totals = np.bincount(
+        _language(known, languages), known.column("n").to_numpy(), len(languages)
+    )
+    return LanguageModel(languages, np.log(totals), of_words, of_grams, longest)
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,21 +246,39 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _most_frequent(counts: DataFrame, n: int) -> DataFrame:
-    order = Window.partitionBy("lang").orderBy(F.desc("n"), "item")
-    return counts.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n).drop(
-        "place"
-    )
+def _collected(counts: DataFrame) -> pa.Table:
+    """``lang, code, n`` with the hash of each item."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            code = hashes(batch.column("item").to_pylist()).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("lang"), pa.array(code), batch.column("n")], ["lang", "code", "n"]
+            )
+
+    return counts.select("lang", "item", "n").mapInArrow(run, "lang string, code long, n long").toArrow()
+
+
+def _language(rows: pa.Table, languages: list[str]) -> np.ndarray:
+    return pc.index_in(rows.column("lang"), pa.array(languages, pa.string())).to_numpy().astype(np.int64)
 
 
-def _table(rows: pa.Table, languages: list[str]) -> tuple[dict[str, int], np.ndarray]:
-    items = rows.column("item").to_pylist()
-    at = {item: row for row, item in enumerate(sorted(set(items)))}
-    column = {lang: place for place, lang in enumerate(languages)}
-    counts = np.full((len(at), len(languages)), _SMALLEST)
-    for item, lang, n in zip(items, rows.column("lang").to_pylist(), rows.column("n").to_pylist()):
-        counts[at[item], column[lang]] += n
-    return at, np.log(counts / counts.sum(axis=0)) if len(at) else counts
+def _table(rows: pa.Table, languages: list[str]) -> dict[str, np.ndarray]:
+    """Sorted hashes of the items; where the languages of each begin; the languages, and by how
+    much their log frequency is above that of an item which they do not have (``absent``)."""
+    code = rows.column("code").to_numpy().view(np.uint64)
+    lang, n = _language(rows, languages), rows.column("n").to_numpy()
+    order = np.lexsort((lang, code))
+    code, lang, n = code[order], lang[order], n[order]
+    codes, first = np.unique(code, return_index=True)
+    totals = np.bincount(lang, n, len(languages)) + _SMALLEST * len(codes)
+    return {
+        "codes": codes,
+        "first": np.append(first, len(code)),
+        "lang": lang.astype(np.int32),
+        "more": np.log((n + _SMALLEST) / _SMALLEST).astype(np.float32),
+        "absent": np.log(_SMALLEST / np.maximum(totals, _SMALLEST)),
+    }
 
 
 def with_language(
@@ -195,7 +291,7 @@ def with_language(
     Every row of the input gives one row.
     """
     others = documents.drop(*into)
-    shared = documents.sparkSession.sparkContext.broadcast(vars(model))
+    shared = documents.sparkSession.sparkContext.broadcast(model.plain)
     schema = StructType(
         [
             *others.schema.fields,

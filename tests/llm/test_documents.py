@@ -152,6 +152,28 @@ def test_backoff_takes_the_longest_known_piece(spark):
     assert model.unseen("ζζ").tolist() == [0.0, 0.0]
 
 
+def test_all_words_and_languages_of_the_sample_are_learnt(spark):
+    letters = "abcdefghij"
+    many = ["".join(letters[int(d)] for d in f"{k:05d}") for k in range(40_000)]
+    rows = [(k, " ".join(many[k * 100 : k * 100 + 100]), "xx") for k in range(400)]
+    rows += [(1000 + k, f"q{chr(0x4E00 + k) * 3} z", f"l{k:03d}") for k in range(230)]
+    given = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(given)
+    assert len(model.languages) == 231
+    assert len(model.words) == 40_000 + 230 + 1
+    assert (model.words.rows(many) >= 0).all()
+    for k in (0, 100, 229):
+        own = model.word_logs[[model.words[f"q{chr(0x4E00 + k) * 3}"]]][0]
+        assert model.languages[int(own.argmax())] == f"l{k:03d}"
+    # Log frequencies by their definition.
+    size = len(model.words)
+    row = model.word_logs[[model.words[many[7]]]][0]
+    assert row[model.languages.index("xx")] == pytest.approx(np.log(1.5 / (40_000 + size / 2)))
+    assert row[model.languages.index("l000")] == pytest.approx(np.log(0.5 / (2 + size / 2)))
+    few = language_id.fit(given, most_documents=231)
+    assert few.languages == model.languages and len(few.words) == 100 + 230 + 1
+
+
 def test_copies_of_benchmark_passages_are_found(spark):
     rows = QUERIES["op4_decontamination"](spark, SMALL).collect()
     found = defaultdict(set)
