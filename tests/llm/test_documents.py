@@ -218,6 +218,43 @@ def test_paraphrases_and_clean_texts(spark):
         assert all(r.matches == [] for r in none)
 
 
+def test_copies_of_2000_items_are_found_beside_repeated_text(spark):
+    rng = np.random.default_rng(3)
+    vocabulary = np.array([f"v{k}" for k in range(3000)])
+    odds = 1 / np.arange(2, 3002)
+    odds /= odds.sum()
+
+    def drawn(n):
+        return list(rng.choice(vocabulary, n, p=odds))
+
+    items = {k: drawn(int(rng.integers(12, 60))) for k in range(2000)}
+    rows, kinds = [], defaultdict(list)
+    for item in range(0, 2000, 10):
+        own = items[item]
+        changed = [f"n{j}" if j % 4 == 0 and j < len(own) - 5 else w for j, w in enumerate(own)]
+        line = drawn(6)
+        for kind, text in (
+            ("copy", drawn(70) + own + drawn(70)),
+            ("word", ["again"] * 40 + own + ["again"] * 40),
+            ("line", line * 8 + own + line * 8),
+            ("paraphrase", drawn(70) + changed + drawn(70)),
+        ):
+            if kind != "paraphrase" or len(own) - sum(a != b for a, b in zip(own, changed)) >= 0.7 * len(own):
+                kinds[kind].append((len(rows), item))
+                rows.append((len(rows), " ".join(text)))
+    documents = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    benchmark = spark.createDataFrame(
+        [(k, " ".join(own)) for k, own in items.items()], "item_id long, text string"
+    )
+    found = {
+        r.doc_id: {m.item_id for m in r.matches}
+        for r in decontamination.with_matches(documents, benchmark).collect()
+    }
+    for kind, pairs in kinds.items():
+        assert len(pairs) >= 100
+        assert all(item in found[doc] for doc, item in pairs), kind
+
+
 def test_common_subsequence():
     rng = np.random.default_rng(5)
     for _ in range(50):
