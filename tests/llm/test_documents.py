@@ -218,6 +218,20 @@ def test_paraphrases_and_clean_texts(spark):
         assert all(r.matches == [] for r in none)
 
 
+def test_features_of_many_words_and_their_basis():
+    block = words.Block(pa.array([" ".join(f"w{k}" for k in range(60_000))]), 0)
+    used = np.unique(block.hashes() % np.uint64(decontamination.FEATURES))
+    assert len(used) > 38_000
+    rng = np.random.default_rng(2)
+    given = rng.standard_normal((5000, 8)).astype(np.float32) * np.float32([1, 9, 1, 1, 30, 1, 1, 2])
+    basis = decontamination._orthonormal(given)
+    assert np.allclose(basis.T @ basis, np.eye(8), atol=1e-4)
+    assert np.allclose(basis @ (basis.T @ given), given, atol=1e-2)
+    given[:, 3] = given[:, 1]
+    assert np.isfinite(decontamination._orthonormal(given)).all()
+    assert not decontamination._orthonormal(np.zeros((9, 3), dtype=np.float32)).any()
+
+
 def test_copies_of_2000_items_are_found_beside_repeated_text(spark):
     rng = np.random.default_rng(3)
     vocabulary = np.array([f"v{k}" for k in range(3000)])
