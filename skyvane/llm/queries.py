@@ -10,14 +10,17 @@ from pyspark.sql import functions as F
 from skyvane.llm import (
     chat_format,
     decontamination,
+    importance_sampling,
     language_id,
     license_scan,
     lm_scoring,
     mixing,
     near_dedup,
     quality_rules,
+    token_counts,
     url_filter,
     warc,
+    whitening,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -90,6 +93,24 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.judged(_table(spark, folder, "documents"), carry=["doc_id"])
 
 
+def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    embeddings = _table(spark, folder, "embeddings")
+    return whitening.whitened(embeddings, whitening.fit(embeddings))
+
+
+def op12_importance_sampling(spark: SparkSession, folder: str) -> DataFrame:
+    documents, benchmark = (_table(spark, folder, name) for name in ("documents", "benchmark"))
+    return importance_sampling.resampled(documents, benchmark).drop("n_words")
+
+
+def op13_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """The tokenizer's file is looked up where the driver runs; executors get its content."""
+    import public_tokenizers
+
+    tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    return token_counts.token_counts(_table(spark, folder, "documents"), tokenizer)
+
+
 QUERIES: dict[str, Query] = {
     query.__name__: query
     for query in (
@@ -103,6 +124,9 @@ QUERIES: dict[str, Query] = {
         op8_url_filter,
         op9_warc,
         op10_quality_rules,
+        op11_whitening,
+        op12_importance_sampling,
+        op13_token_counts,
     )
 }
 ORACLES: dict[str, str] = {}
