@@ -92,9 +92,9 @@ def _warned(spark, folder: str) -> DataFrame:
 
 
 def _rule_alerts(spark, folder: str) -> DataFrame:
-    def current_rules() -> DataFrame:
+    def current_rules(batch: DataFrame) -> DataFrame:
         tables = driver_tables(spark, folder)
-        return rules.placed_rules(tables.alerts, tables.users)
+        return rules.placed_rules(tables.alerts, tables.users, batch)
 
     target = shared_folder(spark, "rule-alerts")
     live.rule_alerts(
@@ -156,9 +156,9 @@ def _live_update(with_model: bool):
         def current_locations() -> DataFrame:
             return aggregates.locations_of(driver_tables(spark, folder).users)
 
-        def current_rules() -> DataFrame:
+        def current_rules(batch: DataFrame) -> DataFrame:
             tables = driver_tables(spark, folder)
-            return rules.placed_rules(tables.alerts, tables.users)
+            return rules.placed_rules(tables.alerts, tables.users, batch)
 
         fitted = trained(spark, folder) if with_model else None
         feed = shared_folder(spark, "live-feed")

@@ -7,11 +7,14 @@ the alert type says. The fixed warnings need no rule and use a strict comparison
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyvane.functions.nested import trigger_conditions
 from skyvane.operators import lookups
+from skyvane.session import checkpointed
 
 # Metrics a rule can name, defaults of a new rule, limits of the warnings.
 METRICS = ("temperature", "wind_speed", "precipitation")
@@ -31,24 +34,33 @@ WIND_LIMIT = 50
 
 def stored_rules(alerts: DataFrame) -> DataFrame:
     """Active alerts with their thresholds as ``<metric>_limit``; null where none is stored."""
-    conditions = trigger_conditions(F.col("trigger_conditions"))
-    return (
-        lookups.active(alerts)
-        .withColumn("conditions", conditions)
-        .select(
-            "alert_id",
-            "user_id",
-            "alert_type",
-            "severity",
-            "message",
-            *(F.col(f"conditions.{metric}").alias(f"{metric}_limit") for metric in METRICS),
-        )
+    return _with_limits(lookups.active(alerts)).select(
+        "alert_id",
+        "user_id",
+        "alert_type",
+        "severity",
+        "message",
+        *(f"{metric}_limit" for metric in METRICS),
     )
 
 
-def placed_rules(alerts: DataFrame, users: DataFrame) -> DataFrame:
-    """Stored rules with the name and location of their user."""
-    return stored_rules(alerts).join(users.select("user_id", "username", "location"), "user_id")
+def _with_limits(alerts: DataFrame) -> DataFrame:
+    return alerts.withColumn(
+        "conditions", trigger_conditions(F.col("trigger_conditions"))
+    ).withColumns({f"{metric}_limit": F.col(f"conditions.{metric}") for metric in METRICS})
+
+
+def placed_rules(
+    alerts: DataFrame, users: DataFrame, places: DataFrame | None = None
+) -> DataFrame:
+    """Stored rules with the name and location of their user; of users at ``places(location)``
+    only, where given. Only the thresholds of rules that are kept are parsed."""
+    people = users.select("user_id", "username", "location")
+    if places is not None:
+        people = people.join(places.select("location").distinct(), "location", "left_semi")
+    return _with_limits(lookups.active(alerts).join(people, "user_id")).select(
+        *RULE_COLUMNS, *(f"{metric}_limit" for metric in METRICS)
+    )
 
 
 def tripped_on_latest(alerts: DataFrame, users: DataFrame, latest: DataFrame) -> DataFrame:
@@ -150,46 +162,42 @@ def trip_history(rules: DataFrame, readings: DataFrame) -> DataFrame:
     """How often, when first, when last and how high each rule tripped over the readings, be
     they a whole history or a micro-batch.
 
-    Never pairs rules with readings. Readings are first counted per distinct value, and
-    thresholds reduced to distinct ones; both are laid out by falling value, and a running
-    total at a threshold is what lies at or above it. Values are cut into bands one unit
-    wide, so that one task runs through the distinct values of one band; the totals of the
-    bands above are then added, for which one row per band and threshold is enough.
+    Never pairs rules with readings, and reads both once. Values and rules are laid out
+    together by falling level, and a running total at a rule is what lies at or above its
+    threshold. Even pieces of that order, cut by range, are totalled on their own, so neither
+    many values nor many equal thresholds have to fit one task; one row per piece and place then
+    carries the totals of the pieces before. The pieces depend on a sample, so they are cut once
+    and checkpointed.
     """
     place = ("location", "metric")
-    limits = by_metric(rules)
-    thresholds = limits.select(*place, F.col("threshold").alias("level")).distinct()
-    points = (
-        _value_counts(readings, thresholds)
-        .withColumn("is_threshold", F.lit(False))
-        .unionByName(thresholds.withColumn("is_threshold", F.lit(True)), allowMissingColumns=True)
-        .withColumn("band", F.floor("level"))
-    )
-
-    falling = Window.partitionBy(*place, "band").orderBy(F.desc("level"), "is_threshold")
+    pieces = checkpointed(history_pieces(rules, readings))
+    totals = (F.col("n"), F.col("first_at"), F.col("last_at"), F.col("value"))
+    falling = Window.partitionBy(*place, "piece").orderBy(*_falling())
     so_far = falling.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    in_band = points.select(
-        *place,
-        "band",
-        "level",
-        "is_threshold",
-        *_totals(F.col("n"), F.col("first_at"), F.col("last_at"), F.col("peak"), so_far),
-        F.lead(F.lit(True)).over(falling).isNull().alias("ends_band"),
-    ).where("is_threshold OR ends_band")
-
-    # Ordered by falling band, the range before the current row is the bands above.
-    above = (
-        Window.partitionBy(*place)
-        .orderBy(F.desc("band"))
-        .rangeBetween(Window.unboundedPreceding, -1)
-    )
-    of_bands = [F.when(F.col("ends_band"), F.col(name)) for name in TOTALS]
-    per_threshold = (
-        in_band.select(
-            "*", *(total.alias(f"{name}_above") for name, total in zip(TOTALS, _totals(*of_bands, above)))
+    in_piece = pieces.select(
+        *place, "piece", "level", "rule", *_totals(*totals, lambda total: total.over(so_far))
+    ).where("rule IS NOT NULL")
+
+    earlier = Window.partitionBy(*place).orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    carried = (
+        pieces.groupBy(*place, "piece")
+        .agg(*_totals(*totals, lambda total: total))
+        .select(
+            *place,
+            "piece",
+            *(
+                total.alias(f"{name}_above")
+                for name, total in zip(
+                    TOTALS, _totals(*map(F.col, TOTALS), lambda total: total.over(earlier))
+                )
+            ),
         )
-        .where("is_threshold")
+    )
+    names = [name for name in RULE_COLUMNS if name not in place]
+    return (
+        in_piece.join(carried, [*place, "piece"])
         .select(
+            *(F.col(f"rule.{name}") for name in names),
             *place,
             F.col("level").alias("threshold"),
             (F.coalesce("n", F.lit(0)) + F.coalesce("n_above", F.lit(0))).alias("trips"),
@@ -198,49 +206,63 @@ def trip_history(rules: DataFrame, readings: DataFrame) -> DataFrame:
             F.greatest("peak", "peak_above").alias("peak"),
         )
         .where(F.col("trips") > 0)
-    )
-    return limits.join(per_threshold, [*place, "threshold"]).select(
-        *RULE_COLUMNS,
-        "metric",
-        "threshold",
-        "trips",
-        "first_tripped_at",
-        "last_tripped_at",
-        "peak",
+        .select(
+            *RULE_COLUMNS,
+            "metric",
+            "threshold",
+            "trips",
+            "first_tripped_at",
+            "last_tripped_at",
+            "peak",
+        )
     )
 
 
 TOTALS = ("n", "first_at", "last_at", "peak")
 
 
-def _value_counts(readings: DataFrame, thresholds: DataFrame) -> DataFrame:
-    """Distinct values per location and metric with how often, first and last they were read.
+def _falling() -> list[Column]:
+    """Rules come behind the values that equal their threshold; their id parts equal thresholds."""
+    return [F.desc("level"), F.asc_nulls_first("rule.alert_id")]
 
-    Values below every threshold of their metric trip nothing and are dropped before the
-    shuffle. The lowest thresholds are broadcast: one row per metric.
-    """
-    lowest = thresholds.groupBy("metric").agg(F.min("level").alias("lowest"))
+
+def history_pieces(rules: DataFrame, readings: DataFrame) -> DataFrame:
+    """Distinct values with ``n, first_at, last_at, value``, and rules with ``rule``, each at its
+    ``level`` of a location and metric, and the number of the ``piece`` of that order."""
+    others = [name for name in RULE_COLUMNS if name != "location"]
+    asked = by_metric(rules).select(
+        "location",
+        "metric",
+        F.col("threshold").alias("level"),
+        F.struct(*others).alias("rule"),
+    )
+    return (
+        _value_counts(readings)
+        .withColumn("value", F.col("level"))
+        .unionByName(asked, allowMissingColumns=True)
+        .where("location IS NOT NULL")
+        .repartitionByRange("location", "metric", *_falling())
+        .withColumn("piece", F.spark_partition_id())
+    )
+
+
+def _value_counts(readings: DataFrame) -> DataFrame:
+    """Distinct values per location and metric with how often, first and last they were read."""
     return (
         readings.select("location", "recorded_at", *METRICS)
         .unpivot(["location", "recorded_at"], list(METRICS), "metric", "level")
-        .join(F.broadcast(lowest), "metric")
-        .where(F.col("level") >= F.col("lowest"))
+        .where("level IS NOT NULL")
         .groupBy("location", "metric", "level")
         .agg(
             F.count("*").alias("n"),
             F.min("recorded_at").alias("first_at"),
             F.max("recorded_at").alias("last_at"),
         )
-        .withColumn("peak", F.col("level"))
     )
 
 
 def _totals(
-    n: Column, first_at: Column, last_at: Column, peak: Column, window: WindowSpec
+    n: Column, first_at: Column, last_at: Column, peak: Column, over: Callable[[Column], Column]
 ) -> list[Column]:
-    return [
-        F.sum(n).over(window).alias("n"),
-        F.min(first_at).over(window).alias("first_at"),
-        F.max(last_at).over(window).alias("last_at"),
-        F.max(peak).over(window).alias("peak"),
-    ]
+    totals = (F.sum(n), F.min(first_at), F.max(last_at), F.max(peak))
+    return [over(total).alias(name) for name, total in zip(TOTALS, totals)]

@@ -100,7 +100,7 @@ def store_readings(stream: DataFrame, folder: str, state: str, every: str | None
 
 def rule_alerts(
     stream: DataFrame,
-    current_rules: Callable[[], DataFrame],
+    current_rules: Callable[[DataFrame], DataFrame],
     folder: str,
     state: str,
     every: str | None = None,
@@ -108,11 +108,12 @@ def rule_alerts(
     """Every reading against the rules as they are when its batch runs: one row per rule and
     metric with how often, when and how high the batch tripped it.
 
-    Rules are read again per micro-batch. A batch run twice overwrites its own folder.
+    Rules are read again per micro-batch: ``current_rules`` gets its readings and gives the rules
+    at their locations. A batch run twice overwrites its own folder.
     """
 
     def evaluate(batch: DataFrame, batch_id: int) -> None:
-        hits = rules.trip_history(current_rules(), batch)
+        hits = rules.trip_history(current_rules(batch), batch)
         hits.write.mode("overwrite").parquet(batch_folder(folder, batch_id))
 
     return start_per_batch(stream, evaluate, state, every)
@@ -121,7 +122,7 @@ def rule_alerts(
 def live_update(
     stream: DataFrame,
     current_locations: Callable[[], DataFrame],
-    current_rules: Callable[[], DataFrame],
+    current_rules: Callable[[DataFrame], DataFrame],
     model: PipelineModel | None,
     score: float | None,
     table: str,
@@ -144,7 +145,7 @@ def live_update(
             published = (
                 sinks.weather_updates(scored(kept, model, score))
                 .unionByName(sinks.warnings_raised(rules.fixed_warnings(kept)))
-                .unionByName(sinks.rules_tripped(rules.trip_history(current_rules(), kept)))
+                .unionByName(sinks.rules_tripped(rules.trip_history(current_rules(kept), kept)))
             )
             published.write.mode("overwrite").json(batch_folder(feed, batch_id))
         finally:

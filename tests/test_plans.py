@@ -12,7 +12,7 @@ from skyvane.operators import lookups, rules, windows
 from skyvane.sources import inserts
 
 # These run a stream, write a table or fit a model when they are called.
-ACTING = ("t1", "t2", "t3_fixed_warnings_stream", "t4", "t6_ticks_stream", "t7", "t8", "j10", "q10",
+ACTING = ("j7_rules_on_all", "t1", "t2", "t3_fixed_warnings_stream", "t4", "t6_ticks_stream", "t7", "t8", "j10", "q10",
           "q11", "s4", "s6", "s12", "s13", "m4", "m5", "m6", "m7", "m8", "d10", "d11_train", "d14",
           "d15", "d16_precipitation_model", "d17", "t5_current_with")
 
@@ -113,7 +113,25 @@ def test_preferences_are_parsed_once(spark):
     assert df._jdf.queryExecution().executedPlan().toString().count("from_json") == 1
 
 
-def test_trip_history_joins_on_equality(spark, tables):
-    history = rules.trip_history(rules.placed_rules(tables.alerts, tables.users), tables.weather)
-    simple = history._jdf.queryExecution().executedPlan().toString()
-    assert simple.count("Expand") == 1
+def test_trip_history_reads_rules_and_readings_once(spark, tables):
+    placed = rules.placed_rules(tables.alerts, tables.users)
+    points = rules.history_pieces(placed, tables.weather)
+    simple = points._jdf.queryExecution().executedPlan().toString()
+    assert simple.count("from_json") == 1 and simple.count("Expand") == 1
+    assert simple.count("orders.parquet") == simple.count("events.parquet") == 1
+    shown = plan(rules.trip_history(placed, tables.weather))
+    for node in ("BroadcastNestedLoopJoin", "CartesianProduct"):
+        assert node not in shown
+
+
+def test_rules_elsewhere_are_not_parsed(spark, tables):
+    at_place = tables.weather.where("location = 'NATION_7'")
+    here = rules.placed_rules(tables.alerts, tables.users, at_place)
+    shown = here._jdf.queryExecution().executedPlan().toString()
+    lines = shown.splitlines()
+    semi = next(i for i, line in enumerate(lines) if "LeftSemi" in line)
+    parsed = next(i for i, line in enumerate(lines) if "from_json" in line)
+    assert shown.count("from_json") == 1 and parsed < semi
+    placed = rules.placed_rules(tables.alerts, tables.users)
+    assert here.exceptAll(placed.where("location = 'NATION_7'")).isEmpty()
+    assert here.count() == placed.where("location = 'NATION_7'").count()

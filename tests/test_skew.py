@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
-from skyvane.operators import aggregates, joins, windows
+from skyvane.operators import aggregates, joins, rules, windows
 
 SMALL_PARTITIONS = {
     "spark.sql.autoBroadcastJoinThreshold": "-1",
@@ -88,3 +90,38 @@ def test_hot_user_sends_few_rows_to_the_ranking(tiny_partitions, hot_activities)
     newest = windows.newest_per(hot_activities, "user_id", "activity_id", "activity_id", 10)
     rows = newest.where("user_id = 7").collect()
     assert sorted(r.activity_id for r in rows) == [199989, *range(199991, 200_000)]
+
+
+def test_one_band_of_values_and_one_threshold_are_spread(spark):
+    """A million values within one unit of one place, and ten thousand rules with one threshold."""
+    n = 1_000_000
+    row = F.col("id")
+    readings = spark.range(0, n, 1, 8).select(
+        F.lit("hot").alias("location"),
+        (F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(secs=row)).alias("recorded_at"),
+        (30 + row / n).alias("temperature"),
+        F.lit(None).cast("double").alias("wind_speed"),
+        F.lit(0.0).alias("precipitation"),
+    )
+    placed = spark.range(0, 20_000, 1, 2).select(
+        row.alias("alert_id"),
+        row.alias("user_id"),
+        *(F.lit("x").alias(name) for name in ("username", "alert_type", "severity", "message")),
+        F.lit("hot").alias("location"),
+        F.when(row % 2 == 0, 30.5).otherwise(30 + row / 20_000).alias("temperature_limit"),
+        F.lit(1.0).alias("wind_speed_limit"),
+        F.lit(None).cast("double").alias("precipitation_limit"),
+    )
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = rules.history_pieces(placed, readings).groupBy("piece").count().collect()
+        hits = rules.trip_history(placed, readings).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert len(sizes) >= 8 and max(r["count"] for r in sizes) < 2 * n / len(sizes)
+    assert len(hits) == 20_000
+    for r in hits:
+        assert r.trips == n - round((r.threshold - 30) * n)
+        assert r.peak == 30 + (n - 1) / n
+        assert r.last_tripped_at - r.first_tripped_at == datetime.timedelta(seconds=r.trips - 1)

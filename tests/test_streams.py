@@ -87,10 +87,10 @@ def test_rules_are_read_again_for_every_batch(spark, tmp_path):
     out, state = str(tmp_path / "out"), str(tmp_path / "state")
     current = [rule(spark, 1, 25.0)]
     source = stream(spark, tmp_path / "in")
-    run(live.rule_alerts(source, lambda: current[0], out, state))
+    run(live.rule_alerts(source, lambda batch: current[0], out, state))
     current[0] = rule(spark, 2, 15.0)
     land(tmp_path / "in", "b.json", [(3, "a", 20.0, 2)])
-    run(live.rule_alerts(source, lambda: current[0], out, state))
+    run(live.rule_alerts(source, lambda batch: current[0], out, state))
     got = {(r.alert_id, r.trips, r.peak) for r in spark.read.parquet(out).collect()}
     assert got == {(1, 1, 30.0), (2, 1, 20.0)}
 
@@ -105,7 +105,7 @@ def test_live_update_stores_publishes_and_warns(spark, tmp_path):
             live.live_update(
                 stream(spark, tmp_path / "in"),
                 lambda: places,
-                lambda: rule(spark, 7, 36.0),
+                lambda batch: rule(spark, 7, 36.0),
                 None,
                 None,
                 table,
