@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,19 +11,50 @@ TIME_ORDER = ("recorded_at", "data_id")
 
 
 def latest_per_location(readings: DataFrame, *columns: str) -> DataFrame:
-    """One row per location, the newest; equal times are decided by the id.
+    """One row per location, the newest; equal times are decided by the id, which is unique.
 
-    ``max_by`` reduces to one row per location in every map task before the shuffle. Naming
-    the ``columns`` needed besides time and id keeps the others out of the scan.
+    Time and id are packed into one number, so that the aggregate keeps columns of fixed width
+    and stays a hash aggregate, one row per location and map task before the shuffle. Naming
+    the ``columns`` needed besides time and id keeps the others out of the scan. If all of them
+    are of fixed width too, that one pass gives them; else a second one fetches the winning rows
+    by a semi join, of a table partitioned by ``recorded_date`` from the days on that hold them.
+    Readings without a time are older than all others; a TIMESTAMP_NTZ is read in the session's
+    zone.
     """
     if columns:
         readings = readings.select("location", *TIME_ORDER, *columns)
-    others = [name for name in readings.columns if name != "location"]
-    return (
-        readings.groupBy("location")
-        .agg(F.max_by(F.struct(*others), F.struct(*TIME_ORDER)).alias("newest"))
-        .select("location", "newest.*")
+    others = [name for name in readings.columns if name not in ("location", *TIME_ORDER)]
+    place = time_and_id()
+    kept = TIME_ORDER if any(_varies(readings, name) for name in others) else readings.columns
+    newest = readings.groupBy("location").agg(
+        *(F.max_by(name, place).alias(name) for name in kept if name != "location")
     )
+    if len(kept) == len(readings.columns):
+        return newest
+    if "recorded_date" in others:
+        oldest = newest.agg(F.min(F.to_date("recorded_at"))).scalar()
+        day = F.col("recorded_date")
+        readings = readings.where((day >= oldest) | day.isNull())
+    same = [readings[name].eqNullSafe(newest[name]) for name in ("location", *TIME_ORDER)]
+    return readings.join(newest, reduce(Column.__and__, same), "left_semi")
+
+
+def time_and_id(time: str = "recorded_at", row_id: str = "data_id") -> Column:
+    """A DECIMAL that orders like time, then id; nulls are lowest. It holds years of six digits."""
+    micros = F.coalesce(F.unix_micros(F.col(time).cast("timestamp")), F.lit(-(1 << 62)))
+    low = F.coalesce(F.col(row_id).cast("bigint"), F.lit(-(1 << 63)))
+    span = F.lit(str(1 << 64)).cast("decimal(20,0)")
+    return micros.cast("decimal(20,0)") * span + low.cast("decimal(20,0)")
+
+
+_FIXED_WIDTH = (
+    "boolean", "byte", "short", "integer", "long", "float", "double", "date", "timestamp",
+    "timestamp_ntz", "decimal",
+)
+
+
+def _varies(df: DataFrame, name: str) -> bool:
+    return df.schema[name].dataType.typeName() not in _FIXED_WIDTH
 
 
 def newest_per(df: DataFrame, key: str, time: str, row_id: str, n: int) -> DataFrame:

@@ -88,6 +88,32 @@ def test_latest_is_decided_by_the_id_on_equal_times(spark):
     assert {(r.location, r.data_id) for r in latest.collect()} == {("a", 2), ("b", 9)}
 
 
+def test_latest_with_odd_times_and_ids(spark):
+    """No time, no id, no place, times before 1970 and ids at both ends, narrow and whole rows."""
+    top = (1 << 63) - 1
+    rows = [
+        (5, "untimed", 1.0, None),
+        (6, "untimed", 2.0, None),
+        (-top, "ends", 3.0, "1900-01-01 00:00:00.000001"),
+        (top, "ends", 4.0, "1900-01-01 00:00:00"),
+        (None, "unnamed", 5.0, "2024-01-01"),
+        (-top - 1 + 1, "unnamed", 6.0, "2024-01-01"),
+        (1, None, 7.0, "9999-12-31 23:59:59"),
+        (top, "late", 8.0, "9999-12-31 23:59:59.999999"),
+        (0, "late", 9.0, None),
+    ]
+    df = spark.createDataFrame(
+        [(*row[:3], "c", row[3]) for row in rows],
+        "data_id BIGINT, location STRING, temperature DOUBLE, weather_condition STRING, at STRING",
+    ).selectExpr("* EXCEPT (at)", "CAST(at AS TIMESTAMP) AS recorded_at")
+    expected = {"untimed": 2.0, "ends": 3.0, "unnamed": 6.0, None: 7.0, "late": 8.0}
+    for latest in (
+        windows.latest_per_location(df, "temperature"),
+        windows.latest_per_location(df),
+    ):
+        assert {r.location: r.temperature for r in latest.collect()} == expected
+
+
 def test_newest_per_key_keeps_the_limit(spark):
     rows, df = random_readings(spark, 300, seed=5)
     got = windows.newest_per(df, "location", "recorded_at", "data_id", 5)

@@ -135,3 +135,38 @@ def test_rules_elsewhere_are_not_parsed(spark, tables):
     placed = rules.placed_rules(tables.alerts, tables.users)
     assert here.exceptAll(placed.where("location = 'NATION_7'")).isEmpty()
     assert here.count() == placed.where("location = 'NATION_7'").count()
+
+
+@pytest.mark.parametrize(
+    "name",
+    ["w2_latest_per_location", "j5_users_latest_reading", "j7_rules_on_latest_reading",
+     "j8_preferences_latest_reading", "q6_recommendations", "q7_tripped_alerts",
+     "d6_free_text_conditions", "d13_avoidances", "t5_current_reading"],
+)
+def test_latest_reading_sorts_nothing_to_aggregate(spark, name):
+    assert "SortAggregate" not in plan(QUERIES[name](spark, SMALL))
+
+
+def test_fixed_width_columns_of_the_latest_reading_take_one_pass(spark, tables):
+    narrow = windows.latest_per_location(tables.weather, "temperature", "wind_speed")
+    shown = plan(narrow)
+    assert shown.count("events.parquet") == 1 and "Join" not in shown
+    assert plan(windows.latest_per_location(tables.weather)).count("events.parquet") == 2
+
+
+def test_winning_rows_are_fetched_from_their_days(spark, tmp_path, tables):
+    from skyvane.sources import sinks
+
+    table = str(tmp_path / "weather")
+    sinks.append_readings(tables.weather, table)
+    stored = sinks.stored_readings(spark, table)
+    latest = windows.latest_per_location(stored)
+    rows = latest.collect()
+    shown = latest._jdf.queryExecution().executedPlan().toString()
+    assert "recorded_date" in shown and "Subquery" in shown and "SortAggregate" not in shown
+    (pruned,) = [
+        line for line in shown.splitlines() if "FileScan" in line and "Subquery" in line
+    ][:1]
+    assert "PartitionFilters: [((recorded_date" in pruned
+    expected = windows.latest_per_location(tables.weather, "temperature").collect()
+    assert {(r.location, r.data_id) for r in rows} == {(r.location, r.data_id) for r in expected}
