@@ -27,6 +27,12 @@ def register(name: str, query: Query, oracle: str | None = None) -> None:
         ORACLES[name] = with_base(oracle)
 
 
+def register_same(name: str, query: Query, other: str) -> None:
+    """A query that has to give what ``other`` gives."""
+    register(name, query)
+    ORACLES[name] = ORACLES[other]
+
+
 def register_all(entries: dict[str, tuple[Callable[[Tables], DataFrame], str | None]]) -> None:
     """Queries over the four derived tables."""
     for name, (over_tables, oracle) in entries.items():

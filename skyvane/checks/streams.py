@@ -5,14 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyvane.checks.base_views import LATEST, LIMITS, TRIPS
+from skyvane.checks import composites  # noqa: F401  registers what is compared to below
+from skyvane.checks.base_views import LATEST, LIMITS, PARSED, TRIPS, landed_payloads
 from skyvane.checks.models import KNOWN, trained
-from skyvane.checks.registry import PLACE, register, register_all
+from skyvane.checks.registry import PLACE, register, register_all, register_same
 from skyvane.checks.relational import READING_COLUMNS
 from skyvane.operators import aggregates, rules
-from skyvane.plans import dashboard
+from skyvane.plans import alerts, dashboard, profiles
 from skyvane.session import shared_folder
-from skyvane.sources import sinks
+from skyvane.sources import payloads, sinks
+from skyvane.sources.committed import (
+    CommittedTable,
+    LatestReadings,
+    feed_table,
+    readings_table,
+)
 from skyvane.sources.tables import (
     CUSTOMER,
     EVENTS,
@@ -27,6 +34,7 @@ from skyvane.sources.tables import (
 from skyvane.streaming import readings as live
 
 FEED = "event STRING, payload STRING"
+TRIPPED = "alert_id BIGINT, metric STRING, trips BIGINT, peak DOUBLE, timestamp STRING"
 
 
 def _stream(spark: SparkSession, folder: str, name: str, columns: str) -> DataFrame:
@@ -96,15 +104,12 @@ def _rule_alerts(spark, folder: str) -> DataFrame:
         tables = driver_tables(spark, folder)
         return rules.placed_rules(tables.alerts, tables.users, batch)
 
-    target = shared_folder(spark, "rule-alerts")
+    table = CommittedTable(spark, shared_folder(spark, "rule-alerts"), live.TRIPS)
     live.rule_alerts(
-        _weather_stream(spark, folder),
-        current_rules,
-        target,
-        shared_folder(spark, "rule-alerts-state"),
+        _weather_stream(spark, folder), current_rules, table, shared_folder(spark, "rule-alerts-state")
     ).awaitTermination()
     return (
-        spark.read.parquet(target)
+        _without_zone(table.rows())
         .groupBy("alert_id", "metric", "threshold")
         .agg(
             F.sum("trips").alias("trips"),
@@ -151,33 +156,123 @@ def _new_alerts(spark, folder: str) -> DataFrame:
     return spark.read.schema(FEED).json(_run(sinks.alerts_created(stream), "new-alerts", "json"))
 
 
-def _live_update(with_model: bool):
-    def run(spark, folder: str) -> DataFrame:
-        def current_locations() -> DataFrame:
-            return aggregates.locations_of(driver_tables(spark, folder).users)
+def _live(spark, folder: str, stream: DataFrame, fitted=None):
+    """The tables of a live update, and a function that runs it over what there is to take."""
+    named = {name: shared_folder(spark, f"live-{name}") for name in ("table", "latest", "feed")}
+    state = shared_folder(spark, "live-state")
+    table, feed = readings_table(spark, named["table"]), feed_table(spark, named["feed"])
+    latest = LatestReadings(spark, named["latest"])
 
-        def current_rules(batch: DataFrame) -> DataFrame:
-            tables = driver_tables(spark, folder)
-            return rules.placed_rules(tables.alerts, tables.users, batch)
+    def current_locations() -> DataFrame:
+        return aggregates.locations_of(driver_tables(spark, folder).users)
 
-        fitted = trained(spark, folder) if with_model else None
-        feed = shared_folder(spark, "live-feed")
+    def current_rules(batch: DataFrame) -> DataFrame:
+        tables = driver_tables(spark, folder)
+        return rules.placed_rules(tables.alerts, tables.users, batch)
+
+    def run() -> None:
         live.live_update(
-            live.timed(_weather_stream(spark, folder)),
+            stream,
             current_locations,
             current_rules,
             fitted.model if fitted else None,
             fitted.score if fitted else None,
-            shared_folder(spark, "live-table"),
+            table,
             feed,
-            shared_folder(spark, "live-state"),
+            state,
             every=None,
+            latest=latest,
         ).awaitTermination()
-        return _without_numbers(spark.read.schema(FEED).json(f"{feed}/batch=*"))
+
+    return table, latest, feed, run
+
+
+def _live_update(with_model: bool):
+    def run(spark, folder: str) -> DataFrame:
+        fitted = trained(spark, folder) if with_model else None
+        stream = live.timed(_weather_stream(spark, folder))
+        _, _, feed, update = _live(spark, folder, stream, fitted)
+        update()
+        return _without_numbers(feed.rows())
 
     return run
 
 
+def _from_landed_answers(spark, folder: str):
+    """The live update over landed JSON answers, a file a micro-batch, stopped when half of them
+    are taken and resumed. The second half is late: its readings lie between those of the first."""
+    answers = landed_payloads(driver_tables(spark, folder).weather)
+    landing = shared_folder(spark, "landing")
+
+    def land(rows: DataFrame) -> None:
+        rows.repartition(2, "reading_id").write.mode("append").option(
+            "timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+        ).json(landing)
+
+    land(answers.where("reading_id % 2 = 0"))
+    stream = payloads.readings(payloads.landed_stream(spark, landing, files_per_batch=1))
+    table, latest, feed, update = _live(spark, folder, stream)
+    update()
+    land(answers.where("reading_id % 2 = 1"))
+    update()
+    return table, latest, feed
+
+
+def _landed_table(spark, folder: str) -> DataFrame:
+    """Stored rows, each day's files compacted but for the last one's."""
+    table, _, _ = _from_landed_answers(spark, folder)
+    table.compact(table.rows().agg(F.max("recorded_date")).first()[0], most_files=1)
+    rows = _without_zone(table.rows())
+    return rows.withColumn("recorded_date", F.col("recorded_date").cast("string"))
+
+
+def _landed_latest(spark, folder: str) -> DataFrame:
+    return _without_zone(_from_landed_answers(spark, folder)[1].rows())
+
+
+def _landed_feed(spark, folder: str) -> DataFrame:
+    """The feed, with the alerts of all micro-batches put together."""
+    _, _, feed = _from_landed_answers(spark, folder)
+    rows = feed.rows()
+    tripped = (
+        rows.where("event = 'alert_tripped'")
+        .withColumn("own", F.from_json("payload", TRIPPED))
+        .groupBy("event", "own.alert_id", "own.metric")
+        .agg(
+            F.sum("own.trips").alias("trips"),
+            F.max("own.peak").alias("peak"),
+            F.max("own.timestamp").alias("last_at"),
+        )
+    )
+    others = rows.where("event != 'alert_tripped'").select("event", "payload")
+    return others.unionByName(tripped, allowMissingColumns=True)
+
+
+def _kept_latest(spark, folder: str) -> DataFrame:
+    """The latest readings, merged from three batches, one of them twice."""
+    latest = LatestReadings(spark, shared_folder(spark, "latest"))
+    weather = driver_tables(spark, folder).weather
+    timed = weather.withColumn("recorded_at", F.col("recorded_at").cast("timestamp"))
+    for part in (2, 0, 1, 0):
+        latest.merge(timed.where(F.col("data_id") % 3 == part), f"part-{part}")
+    return _without_zone(latest.rows())
+
+
+def _q6_kept(spark, folder: str) -> DataFrame:
+    tables = driver_tables(spark, folder)
+    return profiles.recommendations(tables, _kept_latest(spark, folder))
+
+
+def _q7_kept(spark, folder: str) -> DataFrame:
+    tables = driver_tables(spark, folder)
+    return alerts.tripped_alerts(tables, _kept_latest(spark, folder))
+
+
+def _t5_kept(spark, folder: str) -> DataFrame:
+    tables = driver_tables(spark, folder)
+    return dashboard.current_reading(tables, PLACE, _kept_latest(spark, folder))
+
+
 ISO = "strftime({0}, '%Y-%m-%dT%H:%M:%S')"
 USERS_ADDED = f"""
 SELECT 'user_added' AS event,
@@ -333,3 +428,46 @@ register(
     _live_update(with_model=True),
     f", {TRIPS} {_updates_sql(PREDICTED_END)} {RAISED_SQL}",
 )
+
+# The derived tables with the landed answers in place of the readings.
+LANDED = f"""
+, {PARSED},
+stored AS (
+  SELECT * EXCLUDE (is_fallback) FROM readings WHERE location IN (SELECT location FROM users)
+)
+"""
+register(
+    "t1_landed_answers",
+    _landed_table,
+    f"""
+    {LANDED}
+    SELECT {READING_COLUMNS}, CAST(CAST(recorded_at AS DATE) AS VARCHAR) AS recorded_date
+    FROM stored
+    """,
+)
+register(
+    "t1_latest_of_landed_answers",
+    _landed_latest,
+    f"{LANDED}, {LATEST.replace('weather_data', 'stored')} SELECT {READING_COLUMNS} FROM latest",
+)
+register(
+    "q11_landed_answers",
+    _landed_feed,
+    f"""
+    {LANDED}, {TRIPS.replace('weather_data', 'stored')},
+    feed AS (
+      {(_updates_sql(END) + RAISED_SQL).replace('weather_data', 'stored')}
+    )
+    SELECT event, payload, CAST(NULL AS BIGINT) AS alert_id, CAST(NULL AS VARCHAR) AS metric,
+           CAST(NULL AS BIGINT) AS trips, CAST(NULL AS DOUBLE) AS peak,
+           CAST(NULL AS VARCHAR) AS last_at
+    FROM feed WHERE event <> 'alert_tripped'
+    UNION ALL
+    SELECT 'alert_tripped', NULL, alert_id, metric, trips, peak, {ISO.format("last_tripped_at")}
+    FROM trips
+    """,
+)
+register_same("w2_kept_latest", _kept_latest, "w2_latest_per_location")
+register_same("q6_kept_latest", _q6_kept, "q6_recommendations")
+register_same("q7_kept_latest", _q7_kept, "q7_tripped_alerts")
+register_same("t5_kept_latest", _t5_kept, "t5_current_reading")

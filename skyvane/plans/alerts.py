@@ -10,9 +10,11 @@ from skyvane.operators import joins, rules, topk, windows
 from skyvane.sources.tables import Tables
 
 
-def tripped_alerts(tables: Tables) -> DataFrame:
-    """User alerts set off by the latest reading at the user's location."""
-    latest = windows.latest_per_location(tables.weather, *rules.METRICS)
+def tripped_alerts(tables: Tables, latest: DataFrame | None = None) -> DataFrame:
+    """User alerts set off by the latest reading at the user's location. ``latest`` may be the
+    readings that a live update keeps; else they are found in the history."""
+    if latest is None:
+        latest = windows.latest_per_location(tables.weather, *rules.METRICS)
     hits = rules.tripped_on_latest(tables.alerts, tables.users, latest)
     return hits.select(
         "alert_id",

@@ -128,6 +128,8 @@ def _readings(tables: Tables) -> DataFrame:
     )
 
 
-def recommendations(tables: Tables) -> DataFrame:
-    latest = windows.latest_per_location(tables.weather, "temperature")
+def recommendations(tables: Tables, latest: DataFrame | None = None) -> DataFrame:
+    """Of the latest readings, kept ones where they are given."""
+    if latest is None:
+        latest = windows.latest_per_location(tables.weather, "temperature")
     return recommend.recommendations(tables.users, latest)

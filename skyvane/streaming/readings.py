@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from skyvane.operators import forecast, joins, rules
 from skyvane.operators.windows import TIME_ORDER
 from skyvane.sources import sinks
+from skyvane.sources.committed import CommittedTable, LatestReadings
 
 LATE_BY = "10 minutes"
 TICK = "2 minutes"
@@ -87,8 +89,10 @@ def _triggered(writer, every: str | None):
     return writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
 
 
-def batch_folder(folder: str, batch_id: int) -> str:
-    return f"{folder}/batch={batch_id}"
+def batch_key(spark: SparkSession, state: str, batch_id: int) -> str:
+    """A batch's name, the same when it runs again; a new ``state`` gives new names."""
+    (line,) = spark.read.text(f"{state}/metadata").first()
+    return f"{json.loads(line)['id']}-{batch_id}"
 
 
 def store_readings(stream: DataFrame, folder: str, state: str, every: str | None = None):
@@ -101,7 +105,7 @@ def store_readings(stream: DataFrame, folder: str, state: str, every: str | None
 def rule_alerts(
     stream: DataFrame,
     current_rules: Callable[[DataFrame], DataFrame],
-    folder: str,
+    table: CommittedTable,
     state: str,
     every: str | None = None,
 ) -> StreamingQuery:
@@ -109,45 +113,57 @@ def rule_alerts(
     metric with how often, when and how high the batch tripped it.
 
     Rules are read again per micro-batch: ``current_rules`` gets its readings and gives the rules
-    at their locations. A batch run twice overwrites its own folder.
+    at their locations. A batch run twice is committed once.
     """
 
     def evaluate(batch: DataFrame, batch_id: int) -> None:
         hits = rules.trip_history(current_rules(batch), batch)
-        hits.write.mode("overwrite").parquet(batch_folder(folder, batch_id))
+        table.append(hits, batch_key(batch.sparkSession, state, batch_id))
 
     return start_per_batch(stream, evaluate, state, every)
 
 
+# The rows that ``rule_alerts`` stores.
+TRIPS = (
+    "alert_id BIGINT, user_id BIGINT, username STRING, location STRING, alert_type STRING, "
+    "severity STRING, message STRING, metric STRING, threshold DOUBLE, trips BIGINT, "
+    "first_tripped_at TIMESTAMP, last_tripped_at TIMESTAMP, peak DOUBLE"
+)
+
+
 def live_update(
     stream: DataFrame,
     current_locations: Callable[[], DataFrame],
     current_rules: Callable[[DataFrame], DataFrame],
     model: PipelineModel | None,
     score: float | None,
-    table: str,
-    feed: str,
+    table: CommittedTable,
+    feed: CommittedTable,
     state: str,
     every: str | None = TICK,
+    latest: LatestReadings | None = None,
 ) -> StreamingQuery:
-    """Per micro-batch: keep tracked locations, store, score, publish, warn.
+    """Per micro-batch: keep tracked locations, store, take into the latest readings, score,
+    publish, warn.
 
-    The stored table and the feed are written to folders named by the batch, so that a batch
-    run again after a failure replaces its own output.
+    The stored table, the latest readings and the feed each commit a batch once, by its key, so
+    that a batch run again after a failure does what is still missing and nothing twice.
     """
 
     def update(batch: DataFrame, batch_id: int) -> None:
+        key = batch_key(batch.sparkSession, state, batch_id)
         kept = joins.tracked_readings(batch, current_locations()).persist()
         try:
-            sinks.storable(kept).write.mode("overwrite").partitionBy("recorded_date").parquet(
-                batch_folder(table, batch_id)
-            )
-            published = (
-                sinks.weather_updates(scored(kept, model, score))
-                .unionByName(sinks.warnings_raised(rules.fixed_warnings(kept)))
-                .unionByName(sinks.rules_tripped(rules.trip_history(current_rules(kept), kept)))
-            )
-            published.write.mode("overwrite").json(batch_folder(feed, batch_id))
+            table.append(sinks.storable(kept), key)
+            if latest is not None:
+                latest.merge(sinks.storable(kept), key)
+            if not feed.commits.has(key):
+                published = (
+                    sinks.weather_updates(scored(kept, model, score))
+                    .unionByName(sinks.warnings_raised(rules.fixed_warnings(kept)))
+                    .unionByName(sinks.rules_tripped(rules.trip_history(current_rules(kept), kept)))
+                )
+                feed.append(published, key)
         finally:
             kept.unpersist()
 

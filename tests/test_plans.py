@@ -13,6 +13,7 @@ from skyvane.sources import inserts
 
 # These run a stream, write a table or fit a model when they are called.
 ACTING = ("j7_rules_on_all", "t1", "t2", "t3_fixed_warnings_stream", "t4", "t6_ticks_stream", "t7", "t8", "j10", "q10",
+          "w2_kept", "q6_kept", "q7_kept", "t5_kept",
           "q11", "s4", "s6", "s12", "s13", "m4", "m5", "m6", "m7", "m8", "d10", "d11_train", "d14",
           "d15", "d16_precipitation_model", "d17", "t5_current_with")
 

@@ -3,10 +3,19 @@ from __future__ import annotations
 import datetime
 import json
 
+import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
-from skyvane.operators import joins, rules
+from skyvane.operators import joins, rules, windows
 from skyvane.sources import payloads, sinks
+from skyvane.sources.committed import (
+    CommittedTable,
+    Conflict,
+    LatestReadings,
+    feed_table,
+    readings_table,
+)
 from skyvane.streaming import readings as live
 
 START = datetime.datetime(2024, 1, 1, 10)
@@ -84,60 +93,215 @@ def rule(spark, alert, limit):
 
 def test_rules_are_read_again_for_every_batch(spark, tmp_path):
     land(tmp_path / "in", "a.json", [(1, "a", 20.0, 0), (2, "a", 30.0, 1)])
-    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+    table = CommittedTable(spark, str(tmp_path / "out"), live.TRIPS)
+    state = str(tmp_path / "state")
     current = [rule(spark, 1, 25.0)]
     source = stream(spark, tmp_path / "in")
-    run(live.rule_alerts(source, lambda batch: current[0], out, state))
+    run(live.rule_alerts(source, lambda batch: current[0], table, state))
     current[0] = rule(spark, 2, 15.0)
     land(tmp_path / "in", "b.json", [(3, "a", 20.0, 2)])
-    run(live.rule_alerts(source, lambda batch: current[0], out, state))
-    got = {(r.alert_id, r.trips, r.peak) for r in spark.read.parquet(out).collect()}
+    run(live.rule_alerts(source, lambda batch: current[0], table, state))
+    got = {(r.alert_id, r.trips, r.peak) for r in table.rows().collect()}
     assert got == {(1, 1, 30.0), (2, 1, 20.0)}
 
 
-def test_live_update_stores_publishes_and_warns(spark, tmp_path):
-    land(tmp_path / "in", "a.json", [(1, "a", 36.0, 0), (2, "elsewhere", 36.0, 0)])
-    table, feed = str(tmp_path / "table"), str(tmp_path / "feed")
-    places = spark.createDataFrame([("a",)], "location STRING")
+class Live:
+    """A live update over a landing folder, with one rule at place a."""
 
-    def update():
+    def __init__(self, spark, folder):
+        self.spark, self.landing, self.state = spark, folder / "in", str(folder / "state")
+        self.table = readings_table(spark, str(folder / "table"))
+        self.feed = feed_table(spark, str(folder / "feed"))
+        self.latest = LatestReadings(spark, str(folder / "latest"))
+        self.places = spark.createDataFrame([("a",), ("b",)], "location STRING")
+
+    def update(self):
         run(
             live.live_update(
-                stream(spark, tmp_path / "in"),
-                lambda: places,
-                lambda batch: rule(spark, 7, 36.0),
+                stream(self.spark, self.landing),
+                lambda: self.places,
+                lambda batch: rule(self.spark, 7, 36.0),
                 None,
                 None,
-                table,
-                feed,
-                str(tmp_path / "state"),
+                self.table,
+                self.feed,
+                self.state,
                 every=None,
+                latest=self.latest,
             )
         )
 
-    update()
-    update()
-    assert [r.data_id for r in spark.read.parquet(f"{table}/batch=*").collect()] == [1]
-    events = spark.read.schema("event STRING, payload STRING").json(f"{feed}/batch=*").collect()
-    assert sorted(e.event for e in events) == [
-        "alert_tripped",
-        "warning",
-        "warning",
-        "weather_update",
+    def stored(self):
+        return sorted(r.data_id for r in self.table.rows().collect())
+
+    def events(self):
+        return sorted(e.event for e in self.feed.rows().collect())
+
+
+def test_live_update_stores_publishes_and_warns(spark, tmp_path):
+    land(tmp_path / "in", "a.json", [(1, "a", 36.0, 0), (2, "elsewhere", 36.0, 0)])
+    own = Live(spark, tmp_path)
+    own.update()
+    own.update()
+    assert own.stored() == [1]
+    assert own.events() == ["alert_tripped", "warning", "warning", "weather_update"]
+    (published,) = [
+        json.loads(e.payload) for e in own.feed.rows().collect() if e.event == "weather_update"
     ]
-    (published,) = [json.loads(e.payload) for e in events if e.event == "weather_update"]
     assert published["data"]["temperature"] == 36.0
     assert published["data"]["timestamp"] == "2024-01-01T10:00:00"
     assert "prediction" not in published
 
 
-def test_batch_run_again_replaces_its_folder(spark, tmp_path):
-    batch = payloads.readings(_batch(spark, tmp_path))
-    target = live.batch_folder(str(tmp_path / "out"), 3)
-    for _ in range(2):
-        hits = rules.trip_history(rule(spark, 1, 10.0), batch)
-        hits.write.mode("overwrite").parquet(target)
-    assert spark.read.parquet(target).count() == 1
+def kept_is_latest(own):
+    kept = sorted(own.latest.rows().collect(), key=str)
+    found = windows.latest_per_location(own.table.rows().drop("recorded_date"))
+    return kept == sorted(found.select(*own.latest.rows().columns).collect(), key=str)
+
+
+def test_latest_is_kept_over_batches_and_late_readings(spark, tmp_path):
+    own = Live(spark, tmp_path)
+    batches = [
+        [(1, "a", 1.0, 0), (2, "a", 2.0, 50), (3, "b", 3.0, 5)],
+        [(4, "a", 4.0, 20), (5, "b", 5.0, 5)],  # late; and as new as the newest, decided by id
+        [(6, "elsewhere", 6.0, 90)],
+        [(7, "b", 7.0, 5), (8, "a", 8.0, 70), (9, "a", 9.0, 1)],
+    ]
+    for k, rows in enumerate(batches):
+        land(tmp_path / "in", f"{k}.json", rows)
+        own.update()
+        assert kept_is_latest(own)
+    assert {(r.location, r.data_id) for r in own.latest.rows().collect()} == {("a", 8), ("b", 7)}
+    own.latest.vacuum(keep=1)
+    assert kept_is_latest(own)
+
+
+def test_a_batch_that_runs_again_changes_nothing(spark, tmp_path):
+    """The stream's record of its last batch is lost, as if the job had died just before it."""
+    own = Live(spark, tmp_path)
+    for k in range(3):
+        land(tmp_path / "in", f"{k}.json", [(k, "a", 36.0, k), (10 + k, "b", 36.0, k)])
+    own.update()
+    before = own.stored(), own.events(), own.latest.commits.newest().number
+    for name in ("2", ".2.crc"):
+        (tmp_path / "state" / "commits" / name).unlink()
+    own.update()
+    assert (own.stored(), own.events(), own.latest.commits.newest().number) == before
+    assert own.stored() == [0, 1, 2, 10, 11, 12] and kept_is_latest(own)
+
+
+def test_a_failure_in_the_middle_of_a_batch_is_made_good(spark, tmp_path, monkeypatch):
+    """Readings are stored, the feed is not: the batch runs again and does what is missing."""
+    land(tmp_path / "in", "a.json", [(1, "a", 36.0, 0)])
+    own = Live(spark, tmp_path)
+    with monkeypatch.context() as patch:
+        patch.setattr(sinks, "weather_updates", lambda scored: 1 / 0)
+        with pytest.raises(StreamingQueryException):
+            own.update()
+    assert own.stored() == [1] and own.events() == []
+    land(tmp_path / "in", "b.json", [(2, "b", 1.0, 0)])
+    own.update()
+    assert own.stored() == [1, 2] and kept_is_latest(own)
+    assert own.events().count("weather_update") == 2 and own.events().count("alert_tripped") == 1
+
+
+def readings_of(spark, rows):
+    """(id, location, day of January) -> storable readings."""
+    df = spark.createDataFrame(rows, "data_id BIGINT, location STRING, day INT")
+    return sinks.storable(
+        df.select(
+            "data_id",
+            "location",
+            *(F.lit(1.0).alias(name) for name in ("temperature", "humidity", "pressure")),
+            *(F.lit(0.0).alias(name) for name in ("wind_speed", "precipitation")),
+            F.lit("Sunny").alias("weather_condition"),
+            F.make_timestamp(F.lit(2024), F.lit(1), "day", F.lit(8), "data_id", F.lit(0)).alias(
+                "recorded_at"
+            ),
+        )
+    )
+
+
+def ids(table):
+    return sorted(r.data_id for r in table.rows().collect())
+
+
+def test_half_a_batch_is_never_read(spark, tmp_path):
+    table = readings_table(spark, str(tmp_path / "table"))
+    assert ids(table) == []
+    assert table.append(readings_of(spark, [(1, "a", 1), (2, "a", 2)]), "one")
+    assert not table.append(readings_of(spark, [(3, "a", 1)]), "one")
+    table._written(readings_of(spark, [(4, "a", 1)]))  # a job that dies before its commit
+    (tmp_path / "table" / "commits" / f"{2:020d}.json").write_text('{"number": 2, "key": "tw')
+    assert ids(table) == [1, 2]
+    assert table.append(readings_of(spark, [(5, "b", 1)]), "two")
+    assert ids(table) == [1, 2, 5]
+    assert table.commits.newest().number == 3
+    assert not list((tmp_path / "table" / "staging").iterdir())
+
+
+def test_only_closed_days_are_compacted_and_late_rows_stay(spark, tmp_path):
+    table = readings_table(spark, str(tmp_path / "table"))
+    data = tmp_path / "table" / "data"
+    for k in range(6):
+        table.append(readings_of(spark, [(k, "a", 1), (10 + k, "b", 2), (20 + k, "a", 3)]), str(k))
+    every = [*range(6), *range(10, 16), *range(20, 26)]
+
+    def files(day):
+        return len(list((data / f"recorded_date=2024-01-0{day}").glob("*.parquet")))
+
+    assert [files(day) for day in (1, 2, 3)] == [6, 6, 6]
+    days = table.compact(datetime.date(2024, 1, 3))
+    assert [str(day) for day in days] == ["2024-01-01", "2024-01-02"] and ids(table) == every
+    table._written(readings_of(spark, [(50, "a", 1)]))  # still being written
+    table.append(readings_of(spark, [(30, "late", 1)]), "late")
+    assert ids(table) == [*every, 30]
+    assert table.vacuum(keep=2) == 12
+    assert ids(table) == [*every, 30] and files(1) <= 4 and files(2) <= 2 and files(3) == 6
+    assert table.vacuum(older_than_hours=-1) == 1 and ids(table) == [*every, 30]
+    # Every file of the first day is rewritten again with what came late.
+    for k in range(4):
+        table.append(readings_of(spark, [(40 + k, "late", 1)]), f"late-{k}")
+    assert table.compact(datetime.date(2024, 1, 2), most_files=1) == [datetime.date(2024, 1, 1)]
+    table.vacuum()
+    assert ids(table) == [*every, 30, 40, 41, 42, 43] and files(1) <= 2
+
+
+def test_a_compaction_that_is_overtaken_gives_way(spark, tmp_path, monkeypatch):
+    table = readings_table(spark, str(tmp_path / "table"))
+    other = readings_table(spark, str(tmp_path / "table"))
+    for k in range(3):
+        table.append(readings_of(spark, [(k, "a", 1)]), str(k))
+    written = table._written
+
+    def overtaken(*given):
+        write = written(*given)
+        other.append(readings_of(spark, [(9, "a", 1)]), "meanwhile")
+        other.compact(datetime.date(2024, 1, 2), most_files=1)
+        return write
+
+    monkeypatch.setattr(table, "_written", overtaken)
+    with pytest.raises(Conflict):
+        table.compact(datetime.date(2024, 1, 2), most_files=1)
+    assert ids(table) == [0, 1, 2, 9]
+
+
+def test_a_merge_that_is_overtaken_starts_again(spark, tmp_path, monkeypatch):
+    own, other = (LatestReadings(spark, str(tmp_path / "latest")) for _ in range(2))
+    columns = own.rows().columns
+    first, second = (readings_of(spark, [(k, place, k)]).select(*columns) for k, place in ((1, "a"), (2, "b")))
+    version = own._version
+    calls = []
+
+    def overtaken(entry):
+        if not calls:
+            calls.append(1)
+            other.merge(second, "second")
+        return version(entry)
+
+    monkeypatch.setattr(own, "_version", overtaken)
+    assert own.merge(first, "first")
+    assert {(r.location, r.data_id) for r in own.rows().collect()} == {("a", 1), ("b", 2)}
 
 
 def _batch(spark, tmp_path):
