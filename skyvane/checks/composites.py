@@ -27,15 +27,6 @@ pairs AS (
 
 register_all(
     {
-        "q1_dashboard_summary": (
-            lambda t: dashboard.summary(t),
-            """
-            SELECT (SELECT count(*) FROM users) AS total_users,
-                   (SELECT count(*) FROM weather_alerts WHERE is_active) AS active_alerts,
-                   (SELECT count(*) FROM user_activities) AS total_activities,
-                   'Training' AS model_status
-            """,
-        ),
         "q2_recent_activities": (
             lambda t: dashboard.recent_activities(t),
             """

@@ -4,19 +4,26 @@ numbers must keep."""
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyvane import schemas
 from skyvane.checks.base_views import LATEST
 from skyvane.checks.composites import PAIRS
 from skyvane.checks.registry import AS_OF, PLACE, register, register_all
-from skyvane.operators import aggregates, forecast, lookups
-from skyvane.plans import training
+from skyvane.functions import labels
+from skyvane.operators import aggregates, forecast, lookups, trees
+from skyvane.plans import dashboard, training
 from skyvane.session import shared_folder
+from skyvane.sources.models import ModelRegistry
 from skyvane.sources.tables import driver_tables
 
 HISTORY_HOURS = 720
+# A window with too few readings to train on, and the pairs that a location needs for its model.
+TOO_FEW_HOURS = 1
+LOCATION_MINIMUM = 19
 # Bounds of a shown confidence, and how far a sum's order or a shown decimal moves a figure.
 CONFIDENCE = (0.6, 0.95)
 ROUNDING, SHOWN_ROUNDING, SCORE_ROUNDING = 1e-9, 0.05 + 1e-9, 0.0005 + 1e-6
@@ -86,9 +93,26 @@ def _among_targets(spark, folder: str, prediction: str, slack: float) -> Column:
     whose means a forest gives."""
     pairs = forecast.training_pairs(driver_tables(spark, folder).weather)
     seen = pairs.where(~forecast.is_test_row(F.col("data_id")))
-    least = seen.agg(F.min("target") - slack).scalar()
-    largest = seen.agg(F.max("target") + slack).scalar()
-    return F.col(prediction).between(least, largest).alias("among_targets")
+    ends = seen.agg(
+        F.struct((F.min("target") - slack).alias("low"), (F.max("target") + slack).alias("high"))
+    ).scalar()
+    return F.col(prediction).between(ends["low"], ends["high"]).alias("among_targets")
+
+
+def _beats_persistence(measured: DataFrame, spark, folder: str) -> DataFrame:
+    """Add the error of the forecast that the next reading is like this one, on the hold-out
+    rows, and whether the measured error is below it."""
+    pairs = forecast.training_pairs(driver_tables(spark, folder).weather)
+    held_out = pairs.where(forecast.is_test_row(F.col("data_id")))
+    simple = aggregates.regression_metrics(
+        forecast.persistence(held_out), "target", "prediction"
+    ).select("rmse").scalar()
+    return measured.withColumns(
+        {
+            "persistence_rmse": F.round(simple, 6),
+            "beats_persistence": F.col("rmse") < simple,
+        }
+    )
 
 
 def _predictions(spark, folder: str) -> DataFrame:
@@ -103,14 +127,54 @@ def _forest(spark, folder: str) -> DataFrame:
     )
 
 
+def _stored_model(spark, folder: str) -> str:
+    """The folder that the registry keeps the shared model in."""
+    return registry(spark, folder).current_run().first().model
+
+
+def _gappy_readings(spark, folder: str) -> DataFrame:
+    """Readings with features, some of them missing."""
+    features = forecast.with_features(driver_tables(spark, folder).weather)
+    row = F.col("data_id")
+    return features.withColumns(
+        {
+            "humidity": F.when(row % 13 != 0, F.col("humidity")),
+            "temperature": F.when(row % 17 != 0, F.col("temperature")),
+        }
+    )
+
+
+def _different(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Rows that either side has, and those on which ``prediction`` differs."""
+    a, b = F.col("a"), F.col("b")
+    same = F.coalesce(F.abs(a - b) <= ROUNDING * F.greatest(F.lit(1.0), F.abs(b)), F.lit(False))
+    return (
+        left.select("data_id", F.col("prediction").alias("a"))
+        .join(right.select("data_id", F.col("prediction").alias("b")), "data_id", "full")
+        .agg(F.count("*").alias("n_rows"), F.count_if(~same).alias("n_different"))
+    )
+
+
+def _descent(spark, folder: str) -> DataFrame:
+    """The stored forest, followed node by node, against the library."""
+    rows = _gappy_readings(spark, folder)
+    own = trees.predicted(spark, _stored_model(spark, folder), rows, forecast.FEATURES)
+    return _different(own, trained(spark, folder).model.transform(rows))
+
+
 def _evaluation(spark, folder: str) -> DataFrame:
-    """The hold-out rows, and whether measuring them again gives the score of the run."""
-    scored = _predictions(spark, folder).where(forecast.is_test_row(F.col("data_id")))
+    """The hold-out rows scored by the descent: whether that gives the score of the run, and
+    whether the error is below that of persistence."""
+    pairs = forecast.training_pairs(driver_tables(spark, folder).weather)
+    held_out = pairs.where(forecast.is_test_row(F.col("data_id")))
+    scored = trees.predicted(spark, _stored_model(spark, folder), held_out, forecast.FEATURES)
     score = trained(spark, folder).score
-    return aggregates.regression_metrics(scored, "target", "prediction").select(
+    measured = aggregates.regression_metrics(scored, "target", "prediction")
+    return _beats_persistence(measured, spark, folder).select(
         "n",
         (F.abs(F.col("r2") - score) <= ROUNDING).alias("score_holds"),
-        ((F.col("r2") <= 1) & (F.col("mae") <= F.col("rmse"))).alias("errors_in_bounds"),
+        "persistence_rmse",
+        "beats_persistence",
     )
 
 
@@ -198,11 +262,16 @@ def _training_run(spark, folder: str) -> DataFrame:
 
 
 def _ensured(spark, folder: str) -> DataFrame:
-    """The status when a model is there and when a window holds too little data."""
+    """The status when a model is there and when a window holds too little data, and whether the
+    model that is there is the one returned, and none else."""
     weather = driver_tables(spark, folder).weather
-    present = forecast.ensure_trained(trained(spark, folder).model, weather, AS_OF)
+    model = trained(spark, folder).model
+    present = forecast.ensure_trained(model, weather, AS_OF)
     lacking = forecast.ensure_trained(None, lookups.since(weather, AS_OF, 1), AS_OF)
-    return present.run.unionByName(lacking.run).select("status")
+    held = F.lit(present.model is model)
+    return present.run.withColumn("as_found", held).unionByName(
+        lacking.run.withColumn("as_found", F.lit(lacking.model is None))
+    ).select("status", "as_found")
 
 
 def _round_trip(spark, folder: str) -> DataFrame:
@@ -224,20 +293,53 @@ def _round_trip(spark, folder: str) -> DataFrame:
     )
 
 
-def _runs_table(spark, folder: str) -> DataFrame:
-    """The runs table after one run."""
-    target = shared_folder(spark, "training-runs")
-    forecast.append_run(trained(spark, folder).run, target)
-    return spark.read.schema(schemas.TRAINING_RUNS).parquet(target)
+_registries: dict[tuple[str, str], ModelRegistry] = {}
+
+
+def registry(spark: SparkSession, folder: str) -> ModelRegistry:
+    """A registry with the shared model, one per session and folder."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _registries:
+        _registries[key] = ModelRegistry(spark, shared_folder(spark, "registry"))
+        _registries[key].record(trained(spark, folder))
+    return _registries[key]
+
+
+def _summary(spark, folder: str) -> DataFrame:
+    return dashboard.summary(driver_tables(spark, folder), registry(spark, folder))
+
+
+def _summary_row(spark, folder: str) -> DataFrame:
+    """The summary of a registry in which a run has failed after the one that made a model."""
+    tables = driver_tables(spark, folder)
+    own = ModelRegistry(spark, shared_folder(spark, "registry"))
+    own.record(trained(spark, folder))
+    own.record(forecast.retrain(tables.weather, AS_OF, hours=TOO_FEW_HOURS))
+    return aggregates.summary(tables.users, tables.activities, tables.alerts, own.is_trained())
+
+
+def _status_over_runs(spark, folder: str) -> DataFrame:
+    """The status after each of three runs: over too short a window, over the usual one, and over
+    too short a window again; and how many readings the current model has seen."""
+    weather = driver_tables(spark, folder).weather
+    own = ModelRegistry(spark, shared_folder(spark, "registry"))
+    after = []
+    for number in (1, 2, 3):
+        made = forecast.retrain(weather, AS_OF, hours=TOO_FEW_HOURS) if number != 2 else None
+        own.record(made or trained(spark, folder))
+        state = own.is_trained().select(labels.model_status(F.col("is_trained")).alias("model_status"))
+        seen = own.current_run().select("data_points").scalar()
+        after.append(state.select(F.lit(number).alias("run"), "*", seen.alias("data_points")))
+    return reduce(DataFrame.unionByName, after)
 
 
 def _recorded_runs(spark, folder: str) -> DataFrame:
     pairs = forecast.training_pairs(driver_tables(spark, folder).weather)
-    return _record(_runs_table(spark, folder), trained(spark, folder), pairs)
+    return _record(registry(spark, folder).runs(), trained(spark, folder), pairs)
 
 
 def _status_panel(spark, folder: str) -> DataFrame:
-    panel = forecast.status_panel(_runs_table(spark, folder), _scored_readings(spark, folder))
+    panel = forecast.status_panel(registry(spark, folder).runs(), _scored_readings(spark, folder))
     score = trained(spark, folder).score
     return panel.select(
         "locations",
@@ -262,12 +364,64 @@ def _current_with_prediction(spark, folder: str) -> DataFrame:
 
 
 def _by_location(spark, folder: str) -> DataFrame:
-    """One model that knows the location."""
-    weather = driver_tables(spark, folder).weather
-    pairs = forecast.with_location_mean(forecast.training_pairs(weather))
-    features = [*forecast.FEATURES, "location_mean"]
-    fitted = forecast.train(pairs, AS_OF, "all, by location", features, forecast.forest(features))
-    return _record(fitted.run, fitted, pairs)
+    """The run that gives every location a model, and whether its figures are met again."""
+    pairs = forecast.training_pairs(driver_tables(spark, folder).weather)
+    fitted = forecast.train_by_location(pairs, AS_OF)
+    held_out = pairs.where(forecast.is_test_row(F.col("data_id")))
+    again = aggregates.regression_metrics(
+        forecast.predict_by_location(fitted.models, held_out).where("prediction IS NOT NULL"),
+        "target",
+        "prediction",
+    )
+    score = again.select("r2").scalar()
+    return fitted.run.select(
+        F.col("trained_at").cast("timestamp_ntz").alias("trained_at"),
+        "locations",
+        "data_points",
+        "train_rows",
+        "status",
+        ((F.abs(F.col("score") - score) <= SCORE_ROUNDING) & (F.col("mae") <= F.col("rmse"))).alias(
+            "figures_hold"
+        ),
+    )
+
+
+def _location_pairs(spark, folder: str) -> DataFrame:
+    """Pairs, of which one location has only those of its first two days."""
+    pairs = forecast.training_pairs(driver_tables(spark, folder).weather)
+    is_short = (F.col("location") == PLACE) & (F.col("recorded_at") >= "2024-01-03")
+    return pairs.where(~is_short)
+
+
+def _location_models(spark, folder: str) -> DataFrame:
+    """A model for every location, its rows, and whether its residuals vanish on the whole and
+    against every feature."""
+    pairs = _location_pairs(spark, folder)
+    models = forecast.location_models(pairs, minimum=LOCATION_MINIMUM)
+    residual = F.col("target") - F.col("prediction")
+    against = [F.lit(1.0), *(F.col(name) for name in forecast.FEATURES)]
+    left = [F.abs(F.sum(residual * x)) <= 1e-7 * F.sum(1 + F.abs(x)) for x in against]
+    vanish = (
+        forecast.predict_by_location(models, pairs)
+        .groupBy("location")
+        .agg(*(good.alias(f"_{i}") for i, good in enumerate(left)))
+    )
+    every = reduce(Column.__and__, (F.col(f"_{i}") for i in range(len(left))))
+    vanish = vanish.select("location", every.alias("residuals_vanish"))
+    return models.join(vanish, "location").select("location", "n", "status", "residuals_vanish")
+
+
+def _location_trends(spark, folder: str) -> DataFrame:
+    """Models of the temperature alone, whose numbers SQL gives as well."""
+    models = forecast.location_models(
+        _location_pairs(spark, folder), ["temperature"], LOCATION_MINIMUM
+    )
+    return models.select(
+        "location",
+        "n",
+        F.round("intercept", 6).alias("intercept"),
+        F.round(F.get("coefficients", F.lit(0)), 6).alias("slope"),
+    )
 
 
 def _other_target(name: str, steps: int = 1, target: str = "temperature"):
@@ -281,17 +435,28 @@ def _other_target(name: str, steps: int = 1, target: str = "temperature"):
 
 
 def _ensemble(spark, folder: str) -> DataFrame:
+    """The hold-out rows, those on which the ensemble is not the mean of its members, each
+    followed node by node, and whether it beats persistence."""
     pairs = forecast.training_pairs(driver_tables(spark, folder).weather)
     boosted = forecast.train(
         pairs, AS_OF, "boosted", pipeline=forecast.boosted_trees(forecast.FEATURES)
     )
+    stored = shared_folder(spark, "boosted")
+    forecast.saved_model(boosted.model, stored)
     both = [trained(spark, folder).model, boosted.model]
     held_out = pairs.where(forecast.is_test_row(F.col("data_id")))
-    measured = aggregates.regression_metrics(
-        forecast.ensemble(both, held_out), "target", "prediction"
+    together = forecast.ensemble(both, held_out)
+    members = trees.predicted(
+        spark, _stored_model(spark, folder), held_out, forecast.FEATURES, "first"
     )
-    return measured.select(
-        "n", ((F.col("r2") <= 1) & (F.col("mae") <= F.col("rmse"))).alias("errors_in_bounds")
+    members = trees.predicted(spark, stored, members, forecast.FEATURES, "second")
+    mean = members.withColumn("prediction", (F.col("first") + F.col("second")) / 2)
+    measured = aggregates.regression_metrics(together, "target", "prediction")
+    return _beats_persistence(measured, spark, folder).select(
+        "n",
+        _different(mean, together).select("n_different").scalar().alias("n_different"),
+        "persistence_rmse",
+        "beats_persistence",
     )
 
 
@@ -299,6 +464,9 @@ def _fixed_of(predicted):
     return lambda spark, folder: _fixed(predicted(spark, folder), spark, folder)
 
 
+PERSISTENCE = """
+round(sqrt(avg((target - temperature) ** 2)), 6) AS persistence_rmse, true AS beats_persistence
+"""
 HELD_OUT = f"FROM pairs WHERE target IS NOT NULL AND {IS_TEST}"
 
 register(
@@ -309,7 +477,9 @@ register(
 register(
     "m5_evaluation",
     _evaluation,
-    f"{ALL_PAIRS} SELECT count(*) AS n, true AS score_holds, true AS errors_in_bounds {HELD_OUT}",
+    f"""
+    {ALL_PAIRS} SELECT count(*) AS n, true AS score_holds, {PERSISTENCE} {HELD_OUT}
+    """,
 )
 register("m6_scored_readings", _fixed_of(_scored_readings), _fixed_sql("weather_data"))
 register(
@@ -318,7 +488,9 @@ register(
 register(
     "m8_train_only_when_needed",
     _ensured,
-    "SELECT unnest(['already trained', 'too little data']) AS status",
+    """
+    SELECT unnest(['already trained', 'too little data']) AS status, true AS as_found
+    """,
 )
 register(
     "s12_model_round_trip",
@@ -355,6 +527,42 @@ register(
     """,
 )
 register("d15_model_by_location", _by_location, _record_sql(ALL_PAIRS, "all, by location"))
+LOCATION_PAIRS = f"""
+{ALL_PAIRS}, fitted AS (
+  SELECT * FROM pairs WHERE target IS NOT NULL
+    AND NOT (location = '{PLACE}' AND recorded_at >= TIMESTAMP '2024-01-03')
+)
+"""
+register(
+    "d15_location_models",
+    _location_models,
+    f"""
+    {LOCATION_PAIRS}
+    SELECT location, count(*) AS n,
+           CASE WHEN count(*) >= {LOCATION_MINIMUM} THEN 'trained' ELSE 'too little data' END
+             AS status,
+           CASE WHEN count(*) >= {LOCATION_MINIMUM} THEN true END AS residuals_vanish
+    FROM fitted GROUP BY location
+    """,
+)
+register(
+    "d15_location_trends",
+    _location_trends,
+    f"""
+    {LOCATION_PAIRS}
+    SELECT location, count(*) AS n,
+           CASE WHEN count(*) >= {LOCATION_MINIMUM}
+                THEN round(regr_intercept(target, temperature), 6) END AS intercept,
+           CASE WHEN count(*) >= {LOCATION_MINIMUM}
+                THEN round(regr_slope(target, temperature), 6) END AS slope
+    FROM fitted GROUP BY location
+    """,
+)
+register(
+    "m4_descent_of_the_forest",
+    _descent,
+    "SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS n_different FROM weather_data",
+)
 register(
     "d16_precipitation_model",
     _other_target("precipitation", target="precipitation"),
@@ -365,5 +573,49 @@ register(
 register(
     "d17_ensemble",
     _ensemble,
-    f"{ALL_PAIRS} SELECT count(*) AS n, true AS errors_in_bounds {HELD_OUT}",
+    f"""
+    {ALL_PAIRS} SELECT count(*) AS n, CAST(0 AS BIGINT) AS n_different, {PERSISTENCE} {HELD_OUT}
+    """,
+)
+
+
+def _pairs_sql(hours: int, name: str) -> str:
+    """The complete pairs of a window, counted."""
+    body = _window_sql(hours).strip().removeprefix(",")
+    for own in ("recent", "history", "pairs"):
+        body = re.sub(rf"\b{own}\b", f"{own}_{name}", body)
+    known = KNOWN.replace("pressure", "pressure_scaled")
+    return f"""
+    {body}, counted_{name} AS (
+      SELECT count(*) AS n FROM pairs_{name} WHERE target IS NOT NULL AND {known}
+    )
+    """
+
+
+SUMMARY_SQL = f"""
+, {_pairs_sql(HISTORY_HOURS, "whole")}
+SELECT (SELECT count(*) FROM users) AS total_users,
+       (SELECT count(*) FROM weather_alerts WHERE is_active) AS active_alerts,
+       (SELECT count(*) FROM user_activities) AS total_activities,
+       (SELECT CASE WHEN n >= 19 THEN 'Trained' ELSE 'Training' END FROM counted_whole)
+         AS model_status
+"""
+register("q1_dashboard_summary", _summary, SUMMARY_SQL)
+register("a7_summary_row", _summary_row, SUMMARY_SQL)
+register(
+    "h_cond_6_model_status",
+    _status_over_runs,
+    f"""
+    , {_pairs_sql(HISTORY_HOURS, "whole")}, {_pairs_sql(TOO_FEW_HOURS, "brief")},
+    runs AS (
+      SELECT run, CASE WHEN run = 2 THEN (SELECT n FROM counted_whole)
+                       ELSE (SELECT n FROM counted_brief) END AS n
+      FROM range(1, 4) t(run)
+    )
+    SELECT CAST(a.run AS INTEGER) AS run,
+           CASE WHEN max(b.n) FILTER (WHERE b.n >= 19) IS NOT NULL THEN 'Trained'
+                ELSE 'Training' END AS model_status,
+           max_by(b.n, b.run) FILTER (WHERE b.n >= 19) AS data_points
+    FROM runs a JOIN runs b ON b.run <= a.run GROUP BY a.run
+    """,
 )

@@ -593,15 +593,6 @@ register_all(
             FROM weather_alerts GROUP BY user_id
             """,
         ),
-        "a7_summary_row": (
-            lambda t: aggregates.summary(t.users, t.activities, t.alerts, True),
-            """
-            SELECT (SELECT count(*) FROM users) AS total_users,
-                   (SELECT count(*) FROM weather_alerts WHERE is_active) AS active_alerts,
-                   (SELECT count(*) FROM user_activities) AS total_activities,
-                   'Trained' AS model_status
-            """,
-        ),
         "a8_mean_and_deviation": (
             lambda t: aggregates.column_statistics(t.weather, FEATURE_COLUMNS).select(
                 "feature", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std")

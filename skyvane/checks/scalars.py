@@ -318,15 +318,5 @@ register_all(
             ) c ON u.user_id = c.user_id
             """,
         ),
-        "h_cond_6_model_status": (
-            lambda t: t.weather.groupBy("location").agg(
-                labels.model_status(F.count("*") >= 400).alias("model_status")
-            ),
-            """
-            SELECT location, CASE WHEN count(*) >= 400 THEN 'Trained' ELSE 'Training' END
-                   AS model_status
-            FROM weather_data GROUP BY location
-            """,
-        ),
     }
 )

@@ -39,15 +39,16 @@ def locations_of(users: DataFrame) -> DataFrame:
 
 
 def summary(
-    users: DataFrame, activities: DataFrame, alerts: DataFrame, model_is_trained: bool
+    users: DataFrame, activities: DataFrame, alerts: DataFrame, model_state: DataFrame
 ) -> DataFrame:
-    """The one-row dashboard summary; each total is its own scalar subquery."""
+    """The one-row dashboard summary; each total is its own scalar subquery. ``model_state`` is
+    one row that says whether a model ``is_trained``."""
     one_row = users.sparkSession.range(1)
     return one_row.select(
         users.agg(F.count("*")).scalar().alias("total_users"),
         alerts.agg(F.count_if("is_active")).scalar().alias("active_alerts"),
         activities.agg(F.count("*")).scalar().alias("total_activities"),
-        model_status(F.lit(model_is_trained)).alias("model_status"),
+        model_status(model_state.select("is_trained").scalar()).alias("model_status"),
     )
 
 

@@ -19,6 +19,7 @@ from skyvane.functions import numbers, times
 from skyvane.operators import lookups
 from skyvane.operators.aggregates import regression_metrics
 from skyvane.operators.windows import with_next
+from skyvane.session import checkpointed
 
 FEATURES = [
     "temperature",
@@ -134,6 +135,7 @@ class Training:
     model: PipelineModel | None
     run: DataFrame
     score: float | None
+    is_new: bool = True
 
 
 def train(
@@ -200,7 +202,8 @@ def ensure_trained(
     if model is None:
         return retrain(readings, as_of, locations)
     record = (None, ",".join(locations) if locations else "all", 0, 0, None, None, None, "already trained")
-    return Training(model, _run_record(readings.sparkSession, record, as_of), None)
+    run = _run_record(readings.sparkSession, record, as_of)
+    return Training(model, run, None, is_new=False)
 
 
 def predict(model: PipelineModel, readings: DataFrame, score: float | None) -> DataFrame:
@@ -254,14 +257,133 @@ def status_panel(runs: DataFrame, predictions: DataFrame) -> DataFrame:
 
 # Declared extensions -------------------------------------------------------------------
 
-def with_location_mean(pairs: DataFrame) -> DataFrame:
-    """The location as a number the trees can split on: the mean target of its training rows,
-    or of all of them where a location has none."""
-    seen = pairs.where(~is_test_row(F.col("data_id")))
-    means = seen.groupBy("location").agg(F.avg("target").alias("location_mean"))
-    overall = seen.agg(F.avg("target")).scalar()
-    return pairs.join(means, "location", "left").withColumn(
-        "location_mean", F.coalesce("location_mean", overall)
+def location_models(
+    pairs: DataFrame, features: list[str] | None = None, minimum: int = lookups.MINIMUM_HISTORY - 1
+) -> DataFrame:
+    """A linear model for every location, by least squares: ``location, n, status, intercept,
+    coefficients``, the latter in the order of ``features``.
+
+    One aggregate takes the means and the products about them, whatever the number of locations
+    and rows, and the few equations of a location are solved in its row. A feature that is
+    constant at a location, or follows from those before it, has the coefficient 0. A location
+    with fewer than ``minimum`` complete pairs has no model, and its status says so.
+    """
+    features = features or FEATURES
+    columns = [*features, "target"]
+    usable = pairs.where(complete(columns))
+    products = [
+        F.covar_pop(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"_{i}_{k}")
+        for i, a in enumerate(columns)
+        for k, b in enumerate(columns)
+        if i <= k
+    ]
+    means = [F.avg(name).alias(f"_mean_{i}") for i, name in enumerate(columns)]
+    sums = usable.groupBy("location").agg(F.count("*").alias("n"), *means, *products)
+    last = len(features)
+    spread = [F.sqrt(F.greatest(F.col(f"_{i}_{i}"), F.lit(0.0))) for i in range(last + 1)]
+    correlated = F.array(
+        *(
+            F.coalesce(
+                F.try_divide(F.col(f"_{min(i, k)}_{max(i, k)}"), spread[i] * spread[k]), F.lit(0.0)
+            )
+            for i in range(last + 1)
+            for k in range(last + 1)
+        )
+    )
+    solved = sums.withColumn("_solved", _solved(correlated, last))
+    slopes = [
+        F.coalesce(
+            F.get("_solved", F.lit(i * (last + 1) + last)) * F.try_divide(spread[last], spread[i]),
+            F.lit(0.0),
+        )
+        for i in range(last)
+    ]
+    fitted = solved.withColumn("_slopes", F.array(*slopes))
+    at_means = sum(
+        (F.get("_slopes", F.lit(i)) * F.col(f"_mean_{i}") for i in range(last)), F.lit(0.0)
+    )
+    enough = F.col("n") >= minimum
+    return fitted.select(
+        "location",
+        "n",
+        F.when(enough, "trained").otherwise("too little data").alias("status"),
+        F.when(enough, F.col(f"_mean_{last}") - at_means).alias("intercept"),
+        F.when(enough, F.col("_slopes")).alias("coefficients"),
+    )
+
+
+# The share of a feature's spread that others leave unexplained, below which it follows from them.
+DEPENDENT = 1e-9
+
+
+def _solved(matrix: Column, n: int) -> Column:
+    """Sweep the ``n`` features of a matrix of ``n + 1`` columns, given row by row: its last
+    column then holds their coefficients. What nothing is left of is set to zero."""
+    width = n + 1
+
+    def swept(held: Column, k: Column) -> Column:
+        pivot = F.get(held, k * width + k)
+
+        def entry(value: Column, place: Column) -> Column:
+            row, column = F.floor(place / width).cast("int"), place % width
+            across = F.get(held, row * width + k) * F.get(held, k * width + column)
+            return (
+                F.when(pivot <= DEPENDENT, F.when((row == k) | (column == k), 0.0).otherwise(value))
+                .when((row == k) & (column == k), 1 / pivot)
+                .when(row == k, value / pivot)
+                .when(column == k, -value / pivot)
+                .otherwise(value - across / pivot)
+            )
+
+        return F.transform(held, entry)
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(n - 1)), matrix, swept)
+
+
+def predict_by_location(
+    models: DataFrame, rows: DataFrame, features: list[str] | None = None
+) -> DataFrame:
+    """``rows`` with ``prediction`` by the model of their location; null without a model or a
+    feature. ``models`` is best a written table: then a hot location of ``rows`` can be split."""
+    features = features or FEATURES
+    terms = (F.get("_slopes", F.lit(i)) * F.col(name) for i, name in enumerate(features))
+    known = models.select(
+        "location", F.col("intercept").alias("_intercept"), F.col("coefficients").alias("_slopes")
+    )
+    return (
+        rows.join(known, "location", "left")
+        .withColumn("prediction", sum(terms, F.col("_intercept")))
+        .drop("_intercept", "_slopes")
+    )
+
+
+@dataclass(frozen=True)
+class LocationTraining:
+    """The models of all locations with the one-row record of the run."""
+
+    models: DataFrame
+    run: DataFrame
+    score: float | None
+
+
+def train_by_location(
+    pairs: DataFrame, trained_at: str, name: str = "all, by location"
+) -> LocationTraining:
+    """Fit a model for every location on four fifths of its pairs and score them on the rest."""
+    usable = checkpointed(
+        pairs.where(complete(FEATURES)).withColumn("is_test", is_test_row(F.col("data_id")))
+    )
+    models = checkpointed(location_models(usable.where(~F.col("is_test"))))
+    scored = predict_by_location(models, usable.where("is_test")).where("prediction IS NOT NULL")
+    n_pairs, n_test = usable.agg(F.count("*"), F.count_if("is_test")).first()
+    if models.where("intercept IS NOT NULL").isEmpty():
+        record = (None, name, n_pairs, 0, None, None, None, "too little data")
+        return LocationTraining(models, _run_record(pairs.sparkSession, record, trained_at), None)
+    metrics = regression_metrics(scored, "target", "prediction").first()
+    score = None if metrics.r2 is None else round(metrics.r2, 3)
+    record = (None, name, n_pairs, n_pairs - n_test, score, metrics.mae, metrics.rmse, "trained")
+    return LocationTraining(
+        models, _run_record(pairs.sparkSession, record, trained_at), metrics.r2
     )
 
 

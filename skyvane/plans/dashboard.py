@@ -7,14 +7,18 @@ from pyspark.sql import functions as F
 
 from skyvane.functions import labels, text, times
 from skyvane.operators import aggregates, topk, windows
+from skyvane.sources.models import ModelRegistry
 from skyvane.sources.tables import Tables
 
 RECENT_ACTIVITIES = 5
 RECENT_READINGS = 3
 
 
-def summary(tables: Tables, model_is_trained: bool = False) -> DataFrame:
-    return aggregates.summary(tables.users, tables.activities, tables.alerts, model_is_trained)
+def summary(tables: Tables, registry: ModelRegistry) -> DataFrame:
+    """Totals, and the status of the stored model."""
+    return aggregates.summary(
+        tables.users, tables.activities, tables.alerts, registry.is_trained()
+    )
 
 
 def recent_activities(tables: Tables, n: int = RECENT_ACTIVITIES) -> DataFrame:

@@ -21,7 +21,7 @@ import uuid
 from collections.abc import Callable
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, DataFrameReader, Row, SparkSession
 from pyspark.sql import functions as F
 
 from skyvane import schemas
@@ -69,6 +69,12 @@ class _Files:
         self._system.delete(self._path(path), True)
 
 
+def listed_upto(spark: SparkSession, number: int) -> DataFrameReader:
+    """A reader whose scans equal no scan of the same folder at another time. Spark compares
+    scans by folder and options, not by the files they list, and may reuse one for the other."""
+    return spark.read.option("listedUpto", str(number))
+
+
 class CommitList:
     """Numbered commits, one small file each; a file that is cut short counts as none."""
 
@@ -79,11 +85,15 @@ class CommitList:
 
     def entries(self) -> DataFrame:
         """The commits that there are now."""
-        return self._spark.read.schema(COMMIT).json(self._folder).where("write IS NOT NULL")
+        listed = listed_upto(self._spark, self.newest_number())
+        return listed.schema(COMMIT).json(self._folder).where("write IS NOT NULL")
 
     def has(self, key: str) -> bool:
         return not self.entries().where(F.col("key") == key).isEmpty()
 
+    def newest_number(self) -> int:
+        return max(self._numbers(), default=0)
+
     def newest(self) -> Row | None:
         return self.entries().orderBy(F.desc("number")).first()
 
@@ -98,7 +108,7 @@ class CommitList:
         """Commit ``write`` under the next free number and return it. Raises Conflict if
         ``refuse`` keeps any of the commits that are there by then."""
         while True:
-            number = max(self._numbers(), default=0) + 1
+            number = self.newest_number() + 1
             if refuse is not None and not refuse(self.entries()).isEmpty():
                 raise Conflict(key)
             days_text = [str(day) for day in days or []]
@@ -142,16 +152,17 @@ class CommittedTable:
         self.commits.add(key, write, refuse=lambda entries: entries.where(F.col("key") == key))
         return True
 
-    def rows(self) -> DataFrame:
-        """What is committed now."""
-        return self._visible().drop("_write", "_number", "_file")
+    def rows(self, numbered: str | None = None) -> DataFrame:
+        """What is committed now; with the number of the commit as column ``numbered``."""
+        seen = self._visible().drop("_write", "_file")
+        return seen.withColumnRenamed("_number", numbered) if numbered else seen.drop("_number")
 
     def compact(self, before, most_files: int = 4, rows_per_file: int = 4_000_000) -> list:
         """Rewrite the days before the date ``before`` that lie in more than ``most_files`` files,
         and return them. Rows are cut by range, so short days share a task and neither a long
         day nor a single instant has to fit one. Raises Conflict if another compaction came in
         between; its rows stay and those of this one are never seen."""
-        seen = max(self.commits._numbers(), default=0)
+        seen = self.commits.newest_number()
         visible = self._visible().where(F.col("_number") <= seen)
         scattered = (
             visible.where(F.col(self._day) < F.lit(before).cast("date"))
@@ -180,7 +191,7 @@ class CommittedTable:
         """Delete the files without a visible row, and return how many. Those of writes that are
         not committed may be of a write that still runs; they have to be older than the given
         hours. Of commits that no file refers to any more the newest ``keep`` stay."""
-        newest = max(self.commits._numbers(), default=0)
+        newest = self.commits.newest_number()
         commits = self.commits.entries()
         used = self._visible(commits).select("_file").distinct()
         files = self._scanned(modified=True).select("_file", "_write", "_modified").distinct()
@@ -202,7 +213,8 @@ class CommittedTable:
         return [*([self._day] if self._day else []), *self._order]
 
     def _scanned(self, modified: bool = False) -> DataFrame:
-        seen = self._spark.read.schema(f"{self._schema}, _write STRING").parquet(self._data)
+        listed = listed_upto(self._spark, self.commits.newest_number())
+        seen = listed.schema(f"{self._schema}, _write STRING").parquet(self._data)
         extra = [F.col("_metadata.file_path").alias("_file")]
         if modified:
             extra.append(F.col("_metadata.file_modification_time").alias("_modified"))

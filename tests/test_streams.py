@@ -240,6 +240,18 @@ def test_half_a_batch_is_never_read(spark, tmp_path):
     assert not list((tmp_path / "table" / "staging").iterdir())
 
 
+def test_readings_of_a_table_at_two_times_stay_apart_in_one_plan(spark, tmp_path):
+    table = readings_table(spark, str(tmp_path / "table"))
+    table.append(readings_of(spark, [(1, "a", 1)]), "one")
+    before = table.rows()
+    table.append(readings_of(spark, [(2, "a", 1)]), "two")
+    both = before.agg(F.count("*").alias("n")).unionByName(table.rows().agg(F.count("*").alias("n")))
+    assert sorted(r.n for r in both.collect()) == [1, 2]
+    assert spark.range(1).select(
+        before.agg(F.count("*")).scalar().alias("a"), table.rows().agg(F.count("*")).scalar().alias("b")
+    ).first() == (1, 2)
+
+
 def test_only_closed_days_are_compacted_and_late_rows_stay(spark, tmp_path):
     table = readings_table(spark, str(tmp_path / "table"))
     data = tmp_path / "table" / "data"
