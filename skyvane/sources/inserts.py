@@ -18,56 +18,140 @@ DEFAULT_MINIMUM = 15
 DEFAULT_MAXIMUM = 25
 
 
+# Rounds after which a bulk insert gives up. Each one settles what depends on rows settled
+# before it; chains of rows that share keys in pairs take one round, however long they are.
+ROUNDS = 100
+
+
 def insert_unique(
     batch: DataFrame,
     existing: DataFrame,
     keys: tuple[str, ...] = ("username", "email"),
     order: str = "request_id",
+    rounds: int = ROUNDS,
 ) -> Checked:
     """What inserting the rows of ``batch`` one by one, by ``order``, would accept.
 
     A row is refused when one of its keys is taken, by an existing row or by a row accepted
     before it. Each round accepts the rows that come first under all their keys and refuses
-    the rows that share a key with them; what is left goes to the next round. Firsts are
-    minima, so a key repeated very often is reduced before the shuffle. Mostly one or two
-    rounds are needed; the lineage is cut after each.
+    the rows that share a key with them; what is left goes to the next round. From the second
+    round on, chains of rows that hang on such a first one by keys shared in pairs are settled
+    whole. Firsts are minima, so a key repeated very often is reduced before the shuffle. Mostly
+    one or two rounds are needed; the lineage is cut after each. Raises RuntimeError if
+    ``rounds`` do not suffice. ``order`` is unique.
     """
     named = batch.withColumn("reason", first_failure(required_fields(*keys)))
     judged = checkpointed(_with_taken_keys(named, existing, keys, "{} exists"))
-    refused = [judged.where(F.col("reason").isNotNull())]
-    accepted = []
+    refused = judged.where(F.col("reason").isNotNull())
+    accepted, repeated = [], []
     undecided = judged.where(F.col("reason").isNull())
     while not undecided.isEmpty():
+        if len(accepted) == rounds:
+            raise RuntimeError(f"rows still depend on each other after {rounds} rounds")
         firsts = [
             undecided.groupBy(key).agg(F.min(order).alias(order)).select(order) for key in keys
         ]
-        first_everywhere = reduce(lambda left, right: left.join(right, order, "left_semi"), firsts)
-        winners = checkpointed(undecided.join(first_everywhere, order, "left_semi"))
+        taken = reduce(lambda left, right: left.join(right, order, "left_semi"), firsts)
+        if accepted:
+            taken = taken.unionByName(_accepted_in_chains(undecided, keys, order))
+        winners = checkpointed(undecided.join(taken, order, "left_semi"))
         rest = undecided.join(winners.select(order), order, "left_anti")
-        judged = checkpointed(_with_taken_keys(rest, winners, keys, "{} repeated"))
+        judged = checkpointed(_with_taken_keys(rest, winners, keys, "{} repeated", order))
         accepted.append(winners)
-        refused.append(judged.where(F.col("reason").isNotNull()))
+        repeated.append(judged.where(F.col("reason").isNotNull()))
         undecided = judged.where(F.col("reason").isNull())
-    return Checked(
-        valid=reduce(DataFrame.unionByName, accepted, named.limit(0)).drop("reason"),
-        quarantine=reduce(DataFrame.unionByName, refused),
-    )
+    valid = reduce(DataFrame.unionByName, accepted, named.limit(0))
+    if repeated:
+        # A key may be taken by a row that was accepted in a later round.
+        again = reduce(DataFrame.unionByName, repeated).withColumn("reason", F.lit(None).cast("string"))
+        refused = refused.unionByName(_with_taken_keys(again, valid, keys, "{} repeated", order))
+    return Checked(valid=valid.drop("reason"), quarantine=refused)
 
 
 def _with_taken_keys(
-    rows: DataFrame, owners: DataFrame, keys: tuple[str, ...], reason: str
+    rows: DataFrame,
+    owners: DataFrame,
+    keys: tuple[str, ...],
+    reason: str,
+    order: str | None = None,
 ) -> DataFrame:
-    """Set the reason of rows that have none yet and share a key with an owner. Owners' keys
-    are made unique, so rows are neither multiplied nor is a hot key on both sides."""
+    """Set the reason of rows that have none yet and share a key with an owner. Owners' keys are
+    unique, so rows are neither multiplied nor is a hot key on both sides: where ``order`` is
+    given they are accepted rows, and only rows that come behind them count, else they are made
+    so."""
     columns = rows.columns
     reasons = [F.col("reason")]
     for key in keys:
         taken = f"_{key}_taken"
-        rows = rows.join(owners.select(key, F.lit(True).alias(taken)).distinct(), key, "left")
-        reasons.append(F.when(F.col(taken), F.lit(reason.format(key))))
+        if order:
+            owned = owners.select(key, F.col(order).alias(taken))
+            is_taken = F.col(taken) < F.col(order)
+        else:
+            owned = owners.select(key, F.lit(True).alias(taken)).distinct()
+            is_taken = F.col(taken)
+        rows = rows.join(owned, key, "left")
+        reasons.append(F.when(is_taken, F.lit(reason.format(key))))
     return rows.withColumn("reason", F.coalesce(*reasons)).select(*columns)
 
 
+def _accepted_in_chains(undecided: DataFrame, keys: tuple[str, ...], order: str) -> DataFrame:
+    """``order`` of the accepted rows in chains: rows that share none of their keys with more
+    than one other row, and only one of whose partners comes before them. Such a row is accepted
+    if that partner is refused, so it alternates along the chain from a row without any before
+    it. Each step doubles how far a row looks back, and a row is looked at by two at most, so
+    neither the length of a chain nor its first row puts many rows into one task.
+    """
+    small = [
+        undecided.groupBy(key)
+        .agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("n"))
+        .where("n <= 2")
+        .select(
+            F.explode(F.array_distinct(F.array("first", "last"))).alias("id"), "first", "n"
+        )
+        for key in keys
+    ]
+    before = F.when((F.col("n") == 2) & (F.col("id") != F.col("first")), F.col("first"))
+    paired = checkpointed(
+        reduce(DataFrame.unionByName, small)
+        .groupBy("id")
+        .agg(
+            F.count("*").alias("n"),
+            F.min(before).alias("to"),
+            F.max(before).alias("other"),
+        )
+        .where((F.col("n") == len(keys)) & F.col("to").eqNullSafe(F.col("other")))
+        .select("id", "to")
+    )
+    starts = paired.where("to IS NULL").select(F.col("id").alias("to"), F.lit(True).alias("starts"))
+    # Whether the row looked at starts a chain, and whether it is an odd number of steps away.
+    links = checkpointed(
+        paired.where("to IS NOT NULL")
+        .join(starts, "to", "left")
+        .select("id", "to", F.coalesce("starts", F.lit(False)).alias("starts"), F.lit(True).alias("odd"))
+    )
+    while True:
+        ahead = links.select(
+            F.col("id").alias("to"),
+            F.col("to").alias("next"),
+            F.col("starts").alias("next_starts"),
+            F.col("odd").alias("next_odd"),
+        )
+        moved = checkpointed(
+            links.where("NOT starts")
+            .join(ahead, "to")
+            .select(
+                "id",
+                F.col("next").alias("to"),
+                F.col("next_starts").alias("starts"),
+                (F.col("odd") != F.col("next_odd")).alias("odd"),
+            )
+        )
+        if moved.isEmpty():
+            return links.where("starts AND NOT odd").select(F.col("id").alias(order))
+        still = links.join(moved.select("id"), "id", "left_anti")
+        links = checkpointed(still.unionByName(moved))
+
+
 def insert_new_readings(batch: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     """Readings without repeats of (location, time); the lowest id of a repeat is kept. A
     reading without a time repeats no other one. Of an ``existing`` table partitioned by

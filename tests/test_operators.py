@@ -303,6 +303,85 @@ def test_bulk_insert_equals_inserting_one_by_one(spark, seed):
     assert sorted(accepted + refused) == list(range(60))
 
 
+def reasons_one_by_one(batch):
+    names, mails, reasons = set(), set(), {}
+    for request, name, mail in sorted(batch):
+        if name in names:
+            reasons[request] = "username repeated"
+        elif mail in mails:
+            reasons[request] = "email repeated"
+        else:
+            names.add(name)
+            mails.add(mail)
+    return reasons
+
+
+def chain(ids, start=0):
+    """Rows of which each shares its name with one neighbour and its mailbox with the other."""
+    return [
+        (request, f"n{start}-{(k + 1) // 2}", f"m{start}-{k // 2}") for k, request in enumerate(ids)
+    ]
+
+
+REQUEST = "request_id BIGINT, username STRING, email STRING"
+
+
+def counted_rounds(monkeypatch):
+    cuts = []
+    cut = inserts.checkpointed
+    monkeypatch.setattr(inserts, "checkpointed", lambda df: cuts.append(1) or cut(df))
+    return cuts
+
+
+def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    batch = chain(range(10_000))
+    cuts = counted_rounds(monkeypatch)
+    checked = inserts.insert_unique(
+        spark.createDataFrame(batch, REQUEST).repartition(8, "email"),
+        spark.createDataFrame([], "username STRING, email STRING"),
+        rounds=3,
+    )
+    assert len(cuts) < 45  # the lineage is cut twice in each of about 14 steps of doubling
+    assert sorted(r.request_id for r in checked.valid.collect()) == list(range(0, 10_000, 2))
+    assert {r.request_id: r.reason for r in checked.quarantine.collect()} == reasons_one_by_one(batch)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_chains_of_any_order_equal_inserting_one_by_one(spark, seed):
+    """Chains, rings, pairs that share both keys, and chains that hang on keys of many rows."""
+    rnd = random.Random(seed)
+    ids = iter(rnd.sample(range(1000), 300))
+    batch = []
+    for k, n in enumerate((1, 2, 3, 8, 30, 41)):
+        batch += chain([next(ids) for _ in range(n)], k)
+    ring = chain([next(ids) for _ in range(12)], "ring")
+    batch += [(request, name.replace("ring-6", "ring-0"), mail) for request, name, mail in ring]
+    batch += [(next(ids), "same", "same") for _ in range(2)]
+    for k in range(6):
+        hanging = chain([next(ids) for _ in range(9)], f"hang{k}")
+        batch += [(hanging[0][0], "many", hanging[0][2]), *hanging[1:]]
+    batch += [(next(ids), f"name{rnd.randrange(9)}", f"mail{rnd.randrange(9)}") for _ in range(30)]
+    checked = inserts.insert_unique(
+        spark.createDataFrame(batch, REQUEST),
+        spark.createDataFrame([], "username STRING, email STRING"),
+    )
+    reasons = reasons_one_by_one(batch)
+    assert {r.request_id: r.reason for r in checked.quarantine.collect()} == reasons
+    assert {r.request_id for r in checked.valid.collect()} == {r[0] for r in batch} - set(reasons)
+
+
+def test_rows_that_never_settle_within_the_rounds_raise(spark):
+    # A chain whose every name and mailbox is asked for a third time, by later rows.
+    batch = chain(range(20))
+    batch += [(100 + k, row[1], f"own{k}") for k, row in enumerate(batch[::2])]
+    batch += [(200 + k, f"own{k}", row[2]) for k, row in enumerate(batch[1:20:2])]
+    empty = spark.createDataFrame([], "username STRING, email STRING")
+    with pytest.raises(RuntimeError, match="2 rounds"):
+        inserts.insert_unique(spark.createDataFrame(batch, REQUEST), empty, rounds=2)
+    checked = inserts.insert_unique(spark.createDataFrame(batch, REQUEST), empty)
+    assert {r.request_id for r in checked.quarantine.collect()} == set(reasons_one_by_one(batch))
+
+
 def test_refused_rows_say_why(spark):
     batch = [(1, "a", "x"), (2, "a", "y"), (3, "b", "x"), (4, "taken", "z"), (5, "", "w")]
     checked = inserts.insert_unique(
