@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skyvane import schemas
 from skyvane.checks import composites  # noqa: F401  registers what is compared to below
 from skyvane.checks.base_views import LATEST, LIMITS, PARSED, TRIPS, landed_payloads
 from skyvane.checks.models import KNOWN, trained
@@ -17,6 +18,7 @@ from skyvane.sources import payloads, sinks
 from skyvane.sources.committed import (
     CommittedTable,
     LatestReadings,
+    Versions,
     feed_table,
     readings_table,
 )
@@ -130,10 +132,72 @@ def _flagged(spark, folder: str) -> DataFrame:
 TICK_COLUMNS = ("tick_start", "tick_end", "location", "n", "data_id", "temperature")
 
 
+def _keyed(spark, stream: DataFrame, start, columns: str, late: str, land=lambda part: None):
+    """What a stream with state of its own gives, and what came too late for it; ``land`` adds
+    files between its runs."""
+    table, side = (
+        CommittedTable(spark, shared_folder(spark, "keyed"), names) for names in (columns, late)
+    )
+    held = Versions(spark, shared_folder(spark, "held"), columns)
+    state = shared_folder(spark, "keyed-state")
+    for part in range(PARTS):
+        if land(part) is None and part:
+            break
+        start(stream, table, side, held, state).awaitTermination()
+    return table.rows(), side.rows()
+
+
 def _ticks(spark, folder: str) -> DataFrame:
     """Closed ticks only: the last ones stay open behind the watermark."""
-    stream = live.latest_per_tick(live.timed(_weather_stream(spark, folder)))
-    return _without_zone(spark.read.parquet(_run(stream.select(*TICK_COLUMNS), "ticks")))
+    stream = _weather_stream(spark, folder)
+    closed, _ = _keyed(spark, stream, live.closed_ticks, live.TICKS, schemas.WEATHER_DATA)
+    return _without_zone(closed.select(*TICK_COLUMNS))
+
+
+# Readings land by the day, in four parts; some arrive a part late, and half of those twice.
+PARTS = 4
+DELAYED, TWICE = 50, 100
+
+
+def _in_parts(spark, folder: str, start, columns: str, late: str):
+    weather = driver_tables(spark, folder).weather
+    row = F.col("data_id")
+    part = F.floor((F.dayofmonth("recorded_at") - 1) / 8).cast("int")
+    arrives = F.least(part + (row % DELAYED == 0).cast("int"), F.lit(PARTS - 1))
+    twice = weather.where(row % TWICE == 0).withColumn("_arrives", F.lit(PARTS - 1))
+    landed = weather.withColumn("_arrives", arrives).unionByName(twice)
+    landing = shared_folder(spark, "parts")
+
+    def land(number: int) -> bool:
+        own = landed.where(F.col("_arrives") == number).drop("_arrives")
+        own.coalesce(1).write.mode("append").parquet(landing)
+        return True
+
+    columns_in = weather.schema
+    spark.createDataFrame([], columns_in).write.parquet(landing)
+    stream = spark.readStream.schema(columns_in).parquet(landing)
+    return _keyed(spark, stream, start, columns, late, land)
+
+
+def _ticks_in_parts(spark, folder: str) -> DataFrame:
+    closed, late = _in_parts(
+        spark, folder, live.closed_ticks, live.TICKS, schemas.WEATHER_DATA
+    )
+    return _without_zone(
+        closed.select(*TICK_COLUMNS, F.lit(False).alias("is_late")).unionByName(
+            late.select("location", "data_id", "temperature", F.lit(True).alias("is_late")),
+            allowMissingColumns=True,
+        )
+    )
+
+
+def _arrivals_in_parts(spark, folder: str) -> DataFrame:
+    arrived, late = _in_parts(spark, folder, live.first_arrivals, live.ARRIVALS, live.ARRIVALS)
+    return _without_zone(
+        arrived.withColumn("is_late", F.lit(False)).unionByName(
+            late.withColumn("is_late", F.lit(True))
+        )
+    )
 
 
 def _first_seen(spark, folder: str) -> DataFrame:
@@ -471,3 +535,48 @@ register_same("w2_kept_latest", _kept_latest, "w2_latest_per_location")
 register_same("q6_kept_latest", _q6_kept, "q6_recommendations")
 register_same("q7_kept_latest", _q7_kept, "q7_tripped_alerts")
 register_same("t5_kept_latest", _t5_kept, "t5_current_reading")
+
+# Readings by the part they arrive in, with the newest time of the parts before.
+ARRIVED = f"""
+, arrived AS (
+  SELECT *, least(CAST(floor((day(recorded_at) - 1) / 8) AS INTEGER)
+                  + CASE WHEN data_id % {DELAYED} = 0 THEN 1 ELSE 0 END, {PARTS - 1}) AS part
+  FROM weather_data
+  UNION ALL
+  SELECT *, {PARTS - 1} FROM weather_data WHERE data_id % {TWICE} = 0
+),
+ends AS (SELECT part, max(recorded_at) AS newest FROM arrived GROUP BY part),
+judged AS (
+  SELECT a.*, time_bucket(INTERVAL 2 MINUTES, recorded_at) AS tick_start,
+         (SELECT max(newest) FROM ends e WHERE e.part < a.part) - INTERVAL 10 MINUTES AS behind
+  FROM arrived a
+)
+"""
+register(
+    "t6_ticks_in_parts",
+    _ticks_in_parts,
+    f"""
+    {ARRIVED},
+    sorted_out AS (
+      SELECT *, coalesce(tick_start + INTERVAL 2 MINUTES <= behind, false) AS is_late FROM judged
+    )
+    SELECT tick_start, tick_start + INTERVAL 2 MINUTES AS tick_end, location, count(*) AS n,
+           max_by(data_id, (recorded_at, data_id)) AS data_id,
+           max_by(temperature, (recorded_at, data_id)) AS temperature, false AS is_late
+    FROM sorted_out WHERE NOT is_late GROUP BY tick_start, location
+    HAVING tick_start + INTERVAL 2 MINUTES
+           <= (SELECT max(recorded_at) FROM weather_data) - INTERVAL 10 MINUTES
+    UNION ALL
+    SELECT NULL, NULL, location, NULL, data_id, temperature, true FROM sorted_out WHERE is_late
+    """,
+)
+register(
+    "t7_arrivals_in_parts",
+    _arrivals_in_parts,
+    f"""
+    {ARRIVED}
+    SELECT location, recorded_at,
+           arg_min(coalesce(recorded_at <= behind, false), part) AS is_late
+    FROM judged GROUP BY location, recorded_at
+    """,
+)

@@ -11,7 +11,7 @@ TIME_ORDER = ("recorded_at", "data_id")
 
 
 def latest_per_location(readings: DataFrame, *columns: str) -> DataFrame:
-    """One row per location, the newest; equal times are decided by the id, which is unique.
+    """One row per location, the newest; equal times are decided by the id.
 
     Time and id are packed into one number, so that the aggregate keeps columns of fixed width
     and stays a hash aggregate, one row per location and map task before the shuffle. Naming
@@ -23,20 +23,33 @@ def latest_per_location(readings: DataFrame, *columns: str) -> DataFrame:
     """
     if columns:
         readings = readings.select("location", *TIME_ORDER, *columns)
-    others = [name for name in readings.columns if name not in ("location", *TIME_ORDER)]
+    return newest_by(readings, ("location",))
+
+
+def newest_by(readings: DataFrame, keys: tuple[str, ...], *counts: Column) -> DataFrame:
+    """The newest row of each group of ``keys``, and aggregates of the group, as above."""
+    others = [name for name in readings.columns if name not in (*keys, *TIME_ORDER)]
     place = time_and_id()
-    kept = TIME_ORDER if any(_varies(readings, name) for name in others) else readings.columns
-    newest = readings.groupBy("location").agg(
-        *(F.max_by(name, place).alias(name) for name in kept if name != "location")
+    whole = not any(_varies(readings, name) for name in others)
+    kept = (*TIME_ORDER, *others) if whole else TIME_ORDER
+    newest = readings.groupBy(*keys).agg(
+        *(F.max_by(name, place).alias(name) for name in kept), *counts
     )
-    if len(kept) == len(readings.columns):
+    if whole:
         return newest
     if "recorded_date" in others:
         oldest = newest.agg(F.min(F.to_date("recorded_at"))).scalar()
         day = F.col("recorded_date")
         readings = readings.where((day >= oldest) | day.isNull())
-    same = [readings[name].eqNullSafe(newest[name]) for name in ("location", *TIME_ORDER)]
-    return readings.join(newest, reduce(Column.__and__, same), "left_semi")
+    found = newest.withColumnsRenamed({name: f"_newest_{name}" for name in (*keys, *TIME_ORDER)})
+    same = [F.col(name).eqNullSafe(F.col(f"_newest_{name}")) for name in (*keys, *TIME_ORDER)]
+    matched = reduce(Column.__and__, same)
+    counted = [name for name in found.columns if not name.startswith("_newest_")]
+    won = readings.join(found, matched, "inner" if counted else "left_semi")
+    # Of a reading that is there twice one is enough; only winners are ranked.
+    repeats = Window.partitionBy(*keys).orderBy(*TIME_ORDER)
+    first = won.withColumn("_repeat", F.row_number().over(repeats)).where("_repeat = 1")
+    return first.select(*readings.columns, *counted)
 
 
 def time_and_id(time: str = "recorded_at", row_id: str = "data_id") -> Column:

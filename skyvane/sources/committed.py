@@ -27,7 +27,9 @@ from pyspark.sql import functions as F
 from skyvane import schemas
 from skyvane.operators.windows import TIME_ORDER, latest_per_location
 
-COMMIT = "number BIGINT, key STRING, write STRING, days ARRAY<DATE>, upto BIGINT"
+COMMIT = (
+    "number BIGINT, key STRING, write STRING, days ARRAY<DATE>, upto BIGINT, note STRING"
+)
 
 
 class Conflict(RuntimeError):
@@ -103,6 +105,7 @@ class CommitList:
         write: str,
         days: list | None = None,
         upto: int | None = None,
+        note: str | None = None,
         refuse: Callable[[DataFrame], DataFrame] | None = None,
     ) -> int:
         """Commit ``write`` under the next free number and return it. Raises Conflict if
@@ -112,7 +115,9 @@ class CommitList:
             if refuse is not None and not refuse(self.entries()).isEmpty():
                 raise Conflict(key)
             days_text = [str(day) for day in days or []]
-            entry = dict(number=number, key=key, write=write, days=days_text, upto=upto)
+            entry = dict(
+                number=number, key=key, write=write, days=days_text, upto=upto, note=note
+            )
             if self._files.created(f"{self._folder}/{number:020d}.json", json.dumps(entry)):
                 return number
 
@@ -259,15 +264,11 @@ class CommittedTable:
         return write
 
 
-class LatestReadings:
-    """The newest reading of each location, kept up to date batch by batch.
-
-    Each merge writes a version of one row per location, from the version before it and the
-    newest readings of the batch alone; the history is not read. Late readings do not replace
-    newer ones. A reader follows the newest commit.
-    """
+class Versions:
+    """A table that is replaced whole; readers follow the newest commit. A commit may carry a
+    short ``note``."""
 
-    def __init__(self, spark: SparkSession, folder: str, columns: str = schemas.WEATHER_DATA):
+    def __init__(self, spark: SparkSession, folder: str, columns: str):
         self._spark, self._columns, self._versions = spark, columns, f"{folder}/versions"
         self._files = _Files(spark, folder)
         self._files.make_folder(self._versions)
@@ -276,20 +277,24 @@ class LatestReadings:
     def rows(self) -> DataFrame:
         return self._version(self.commits.newest())
 
-    def merge(self, batch: DataFrame, key: str) -> bool:
-        """Take in the readings of the batch ``key``; False, and no change, if it is in already.
-        A merge that another one overtakes starts again from the other one's version."""
+    def replace(
+        self, made: Callable[[DataFrame, str | None], tuple[DataFrame, str | None]], key: str
+    ) -> bool:
+        """Put what ``made`` makes of the current rows and note in their place, as the change
+        ``key``; False, and no change, if it is in already. A change that another one overtakes
+        starts again from the other one's version."""
         while not self.commits.has(key):
             before = self.commits.newest()
-            current = self._version(before)
-            own = batch.select(*current.columns)
-            merged = latest_per_location(current.unionByName(latest_per_location(own)))
+            rows, note = made(self._version(before), before.note if before else None)
             write = uuid.uuid4().hex
-            merged.write.parquet(f"{self._versions}/{write}")
+            rows.write.parquet(f"{self._versions}/{write}")
             base = before.number if before else 0
             try:
                 self.commits.add(
-                    key, write, refuse=lambda entries: entries.where(F.col("number") > base)
+                    key,
+                    write,
+                    note=note,
+                    refuse=lambda entries: entries.where(F.col("number") > base),
                 )
                 return True
             except Conflict:
@@ -311,6 +316,27 @@ class LatestReadings:
         return self._spark.read.schema(self._columns).parquet(f"{self._versions}/{entry.write}")
 
 
+class LatestReadings(Versions):
+    """The newest reading of each location, kept up to date batch by batch.
+
+    Each merge writes a version of one row per location, from the version before it and the
+    newest readings of the batch alone; the history is not read. Late readings do not replace
+    newer ones.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, columns: str = schemas.WEATHER_DATA):
+        super().__init__(spark, folder, columns)
+
+    def merge(self, batch: DataFrame, key: str) -> bool:
+        """Take in the readings of the batch ``key``; False, and no change, if it is in already."""
+
+        def merged(current: DataFrame, _) -> tuple[DataFrame, None]:
+            own = latest_per_location(batch.select(*current.columns))
+            return latest_per_location(current.unionByName(own)), None
+
+        return self.replace(merged, key)
+
+
 # What orders stored readings within a day.
 READING_ORDER = ("location", *TIME_ORDER)
 

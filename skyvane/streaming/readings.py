@@ -6,14 +6,16 @@ import json
 from collections.abc import Callable
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from skyvane import schemas
 from skyvane.operators import forecast, joins, rules
-from skyvane.operators.windows import TIME_ORDER
+from skyvane.operators.windows import newest_by
+from skyvane.session import checkpointed
 from skyvane.sources import sinks
-from skyvane.sources.committed import CommittedTable, LatestReadings
+from skyvane.sources.committed import CommittedTable, LatestReadings, Versions
 
 LATE_BY = "10 minutes"
 TICK = "2 minutes"
@@ -27,27 +29,134 @@ def timed(readings: DataFrame) -> DataFrame:
 
 
 def without_repeats(readings: DataFrame) -> DataFrame:
-    """First arrival per location and time; its state is dropped behind the watermark."""
+    """First arrival per location and time; its state is dropped behind the watermark, and so
+    is a first arrival that late. ``first_arrivals`` keeps those."""
     return timed(readings).dropDuplicatesWithinWatermark(["location", "recorded_at"])
 
 
+def with_tick(readings: DataFrame) -> DataFrame:
+    """The two-minute tick of each reading."""
+    tick = F.window(F.col("recorded_at").cast("timestamp"), TICK)
+    return readings.withColumns({"tick_start": tick["start"], "tick_end": tick["end"]})
+
+
 def latest_per_tick(readings: DataFrame) -> DataFrame:
-    """Newest reading per location and two-minute tick; batch and stream alike."""
-    others = [name for name in readings.columns if name != "location"]
-    return (
-        readings.groupBy(F.window("recorded_at", TICK).alias("tick"), "location")
-        .agg(
-            F.max_by(F.struct(*others), F.struct(*TIME_ORDER)).alias("newest"),
-            F.count("*").alias("n"),
-        )
-        .select(
-            F.col("tick.start").alias("tick_start"),
-            F.col("tick.end").alias("tick_end"),
-            "location",
-            "n",
-            *(F.col(f"newest.{name}").alias(name) for name in others),
-        )
+    """Newest reading per location and two-minute tick, and how many it has."""
+    ticked = with_tick(readings).where("tick_start IS NOT NULL")
+    newest = newest_by(ticked, ("tick_start", "tick_end", "location"), F.count("*").alias("n"))
+    return newest.select("tick_start", "tick_end", "location", "n", *_others(readings))
+
+
+def _others(readings: DataFrame) -> list[str]:
+    return [name for name in readings.columns if name != "location"]
+
+
+# State and output of ``closed_ticks`` and ``first_arrivals`` over stored readings.
+TICKS = f"tick_start TIMESTAMP, tick_end TIMESTAMP, n BIGINT, {schemas.WEATHER_DATA}"
+ARRIVALS = "location STRING, recorded_at TIMESTAMP"
+
+
+def closed_ticks(
+    stream: DataFrame,
+    table: CommittedTable,
+    late: CommittedTable,
+    held: Versions,
+    state: str,
+    every: str | None = None,
+) -> StreamingQuery:
+    """The newest reading of each tick and location, once the tick is closed: when a reading
+    ten minutes behind its end was seen. ``held`` keeps the winners of open ticks, one row each.
+    Readings of a tick that was closed when their batch began, and those without a time, go to
+    ``late``; none is lost. Each table commits a batch once, and ``held``, on which a batch
+    depends, is the last to do so.
+    """
+
+    def update(batch: DataFrame, batch_id: int) -> None:
+        key = batch_key(batch.sparkSession, state, batch_id)
+
+        def made(open_ticks: DataFrame, seen: str | None) -> tuple[DataFrame, str | None]:
+            own = with_tick(batch.select(*_names(schemas.WEATHER_DATA)))
+            is_late = F.coalesce(F.col("tick_end") <= _behind(seen), F.col("tick_end").isNull())
+            late.append(own.where(is_late).drop("tick_start", "tick_end"), key)
+            now = _newest_seen(batch, seen)
+            arrived = own.where(~is_late).withColumn("n", F.lit(1).cast("long"))
+            merged = checkpointed(
+                newest_by(
+                    open_ticks.unionByName(arrived).withColumnRenamed("n", "_n"),
+                    ("tick_start", "tick_end", "location"),
+                    F.sum("_n").alias("n"),
+                ).select(*open_ticks.columns)
+            )
+            is_closed = F.coalesce(F.col("tick_end") <= _behind(now), F.lit(False))
+            table.append(merged.where(is_closed), key)
+            return merged.where(~is_closed), now
+
+        held.replace(made, key)
+
+    return start_per_batch(stream, update, state, every)
+
+
+def first_arrivals(
+    stream: DataFrame,
+    table: CommittedTable,
+    late: CommittedTable,
+    held: Versions,
+    state: str,
+    every: str | None = None,
+) -> StreamingQuery:
+    """The first arrival per location and time. ``held`` keeps what arrived within the last ten
+    minutes of event time, by which repeats are known. A reading that is later than that goes to
+    ``late`` unless it is in either table already, so that both together hold every location
+    and time once. Readings without a time repeat no other one.
+    """
+
+    def update(batch: DataFrame, batch_id: int) -> None:
+        key = batch_key(batch.sparkSession, state, batch_id)
+
+        def made(known: DataFrame, seen: str | None) -> tuple[DataFrame, str | None]:
+            own = batch.select("location", F.col("recorded_at").cast("timestamp").alias("recorded_at"))
+            untimed = own.where("recorded_at IS NULL")
+            own = checkpointed(own.where("recorded_at IS NOT NULL").distinct())
+            is_late = F.coalesce(F.col("recorded_at") <= _behind(seen), F.lit(False))
+            # The tables as they were before this batch, should it run again.
+            if not late.commits.has(key):
+                behind = own.where(is_late)
+                oldest = behind.agg(F.min("recorded_at")).scalar()
+                there = table.rows().unionByName(late.rows()).where(F.col("recorded_at") >= oldest)
+                late.append(_not_in(behind, there), key)
+            now = _newest_seen(batch, seen)
+            fresh = _not_in(own.where(~is_late), known)
+            table.append(fresh.unionByName(untimed), key)
+            still = F.coalesce(F.col("recorded_at") > _behind(now), F.lit(True))
+            return known.unionByName(fresh).where(still), now
+
+        held.replace(made, key)
+
+    return start_per_batch(stream, update, state, every)
+
+
+def _not_in(rows: DataFrame, known: DataFrame) -> DataFrame:
+    same = rows["location"].eqNullSafe(known["location"]) & (
+        rows["recorded_at"] == known["recorded_at"]
     )
+    return rows.join(known, same, "left_anti")
+
+
+def _names(columns: str) -> list[str]:
+    return [column.split()[0] for column in columns.split(", ")]
+
+
+def _newest_seen(batch: DataFrame, seen: str | None) -> str | None:
+    """The newest event time of this batch and those before it, as text of microseconds."""
+    newest = batch.agg(F.max(F.unix_micros(F.col("recorded_at").cast("timestamp")))).first()[0]
+    known = [int(value) for value in (newest, seen) if value is not None]
+    return str(max(known)) if known else None
+
+
+def _behind(seen: str | None) -> Column:
+    """The time up to which event times are late; null before there is any."""
+    newest = F.lit(None if seen is None else int(seen)).cast("long")
+    return F.timestamp_micros(newest) - F.expr(f"INTERVAL {LATE_BY}")
 
 
 def start_to_folder(

@@ -101,6 +101,7 @@ def test_latest_with_odd_times_and_ids(spark):
         (1, None, 7.0, "9999-12-31 23:59:59"),
         (top, "late", 8.0, "9999-12-31 23:59:59.999999"),
         (0, "late", 9.0, None),
+        (top, "late", 8.0, "9999-12-31 23:59:59.999999"),
     ]
     df = spark.createDataFrame(
         [(*row[:3], "c", row[3]) for row in rows],
@@ -111,7 +112,8 @@ def test_latest_with_odd_times_and_ids(spark):
         windows.latest_per_location(df, "temperature"),
         windows.latest_per_location(df),
     ):
-        assert {r.location: r.temperature for r in latest.collect()} == expected
+        rows = latest.collect()
+        assert {r.location: r.temperature for r in rows} == expected and len(rows) == 5
 
 
 def test_newest_per_key_keeps_the_limit(spark):

@@ -7,12 +7,14 @@ import pytest
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
+from skyvane import schemas
 from skyvane.operators import joins, rules, windows
 from skyvane.sources import payloads, sinks
 from skyvane.sources.committed import (
     CommittedTable,
     Conflict,
     LatestReadings,
+    Versions,
     feed_table,
     readings_table,
 )
@@ -54,21 +56,72 @@ def run(query):
     query.awaitTermination()
 
 
+def keyed(spark, folder, columns, late):
+    return (
+        CommittedTable(spark, str(folder / "out"), columns),
+        CommittedTable(spark, str(folder / "late"), late),
+        Versions(spark, str(folder / "held"), columns),
+        str(folder / "keyed-state"),
+    )
+
+
 def test_late_reading_is_stored_but_not_in_a_closed_tick(spark, tmp_path):
     land(tmp_path / "in", "a.json", [(1, "a", 1.0, 0), (2, "a", 2.0, 1), (3, "a", 3.0, 60)])
-    stored, ticks = str(tmp_path / "stored"), str(tmp_path / "ticks")
+    stored = str(tmp_path / "stored")
+    ticks, late, held, state = keyed(spark, tmp_path, live.TICKS, schemas.WEATHER_DATA)
     for _ in range(2):
         source = stream(spark, tmp_path / "in")
         run(live.store_readings(source, stored, str(tmp_path / "s1")))
-        run(
-            live.start_to_folder(
-                live.latest_per_tick(live.timed(source)), ticks, str(tmp_path / "s2")
-            )
-        )
+        run(live.closed_ticks(source, ticks, late, held, state))
         land(tmp_path / "in", "b.json", [(4, "a", 9.0, 1), (5, "a", 5.0, 120)])
     assert sorted(r.data_id for r in sinks.stored_readings(spark, stored).collect()) == [1, 2, 3, 4, 5]
-    first = [r for r in spark.read.parquet(ticks).collect() if r.tick_start == START]
+    first = [r for r in ticks.rows().collect() if r.tick_start == START]
     assert [(r.data_id, r.n) for r in first] == [(2, 2)]
+    assert [r.data_id for r in late.rows().collect()] == [4]
+
+
+def test_open_ticks_are_held_over_batches(spark, tmp_path):
+    ticks, late, held, state = keyed(spark, tmp_path, live.TICKS, schemas.WEATHER_DATA)
+    (tmp_path / "in").mkdir()
+    source = stream(spark, tmp_path / "in")
+    batches = [
+        [(1, "a", 1.0, 4.0), (2, "b", 2.0, 4.5)],
+        [(3, "a", 3.0, 5.5), (4, "a", 4.0, 4.1), (5, "b", 5.0, 4.5)],
+        [(6, "a", 6.0, 16.0)],
+        [(7, "a", 7.0, 5.9), (8, "a", 8.0, 16.5)],
+    ]
+    for k, rows in enumerate(batches):
+        land(tmp_path / "in", f"{k}.json", rows)
+        run(live.closed_ticks(source, ticks, late, held, state))
+    got = {(r.location, r.data_id, r.n) for r in ticks.rows().collect()}
+    assert got == {("a", 3, 3), ("b", 5, 2)}
+    assert [r.data_id for r in late.rows().collect()] == [7]
+    assert {(r.data_id, r.n) for r in held.rows().collect()} == {(8, 2)}
+    # The last batch runs again.
+    for name in ("3", ".3.crc"):
+        (tmp_path / "keyed-state" / "commits" / name).unlink()
+    run(live.closed_ticks(source, ticks, late, held, state))
+    assert len(late.rows().collect()) == 1 and ticks.rows().count() == 2
+
+
+def test_late_first_arrivals_are_kept_aside_and_once(spark, tmp_path):
+    arrived, late, held, state = keyed(spark, tmp_path, live.ARRIVALS, live.ARRIVALS)
+    batches = [
+        [(1, "a", 1.0, 0), (2, "b", 1.0, 0), (3, "a", 1.0, 0)],
+        [(4, "a", 1.0, 30), (5, "b", 1.0, 0)],
+        [(6, "a", 1.0, 0), (7, "a", 1.0, 3), (8, "a", 1.0, 3), (9, "a", 1.0, 25), (10, "a", 1.0, 30)],
+        [(11, "a", 1.0, 3), (12, "a", 1.0, 25), (13, "b", 1.0, 90)],
+    ]
+    for k, rows in enumerate(batches):
+        land(tmp_path / "in", f"{k}.json", rows)
+        run(live.first_arrivals(stream(spark, tmp_path / "in"), arrived, late, held, state))
+
+    def minutes(rows):
+        return sorted((r.location, (r.recorded_at - START).seconds // 60) for r in rows.collect())
+
+    assert minutes(arrived.rows()) == [("a", 0), ("a", 25), ("a", 30), ("b", 0), ("b", 90)]
+    assert minutes(late.rows()) == [("a", 3)]
+    assert minutes(held.rows()) == [("b", 90)]
 
 
 def test_repeats_are_dropped_across_batches(spark, tmp_path):
