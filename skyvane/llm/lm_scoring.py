@@ -1,18 +1,20 @@
 """Language-model scores of texts by a weighted backoff automaton.
 
-All training texts are counted, and every word sequence of up to ``order`` words that they hold
-is part of the automaton, whatever the size of the corpus. It is kept as tables: the arcs of
-each length with their smoothed probability (absolute discounting), and the backoff weight of
-each state.
-
-States are the sequences that can precede a word. Where a state has no arc for the word, its
-failure arc leads to the sequence without its first word at the cost of its backoff weight. At
-the root every word has the add-one probability. Arcs of the full length that make up one in
-``SHARED_ONE_IN`` of the training tokens, so at most that many, are broadcast, and so are such
-words: places that they settle stay in their task. All other places of a text are joined with
-the tables. That choice moves work and changes no result.
-
-Words stand in the tables as their 64-bit hashes.
+Every word sequence of up to ``order`` words of the training texts is part of the automaton. Its
+states are the sequences that can precede a word; an arc reads a word and leads on; where a state
+has no arc for the word, its failure arc leads to the sequence without its first word. Arcs and
+failure arcs carry log probabilities of counts that are smoothed by the shorter sequence:
+
+    P(w | h) = (count(h w) + strength * P(w | shorter h)) / (count(h) + strength)
+
+and at the root the add-one probability. A text is read once from left to right: its state is
+carried from word to word and the weights on the way are summed.
+
+Texts are put together in blocks. A block names each distinct sequence it holds once, by a 64-bit
+hash, with how often its training texts hold it; the names are dealt out by range, added up, and
+the totals sent back in the order they were asked for. So the automaton of a block, which is
+all of the whole one that its texts can meet, is built in place, from sorted arrays. What travels is
+packed: sorted names as differences, their bytes by planes, compressed.
 """
 
 from __future__ import annotations
@@ -21,310 +23,407 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyvane.llm import words
 from skyvane.llm.storage import stored
 
 ORDER = 3
-DISCOUNT = 0.75
-SHARED_ONE_IN = 200_000
-# Counted sequences that a task holds before it hands them on.
-HELD = 1_000_000
-
-# The end of a text, its start, and what stands before that.
-END, START, NOTHING = 0, 1, 2
+STRENGTH = 4.0
+# Tokens of a block; distinct sequences, counted once per block, that are added up together.
+BLOCK_TOKENS = 1_000_000
+SHARE_NAMES = 4_000_000
+# Words of a text that are read one after another; the pieces of a block are read side by side.
+PIECE = 1024
+
+# The end of a text and its start, in place of a word's hash.
+END, START = 0, 1
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def lm_scores(
     documents: DataFrame,
-    training: DataFrame,
+    training: DataFrame | Column,
     order: int = ORDER,
-    one_in: int | None = None,
-    discount: float = DISCOUNT,
+    strength: float = STRENGTH,
     carry: tuple[str, ...] = ("doc_id",),
+    block_tokens: int = BLOCK_TOKENS,
+    share_names: int = SHARE_NAMES,
 ) -> DataFrame:
     """The columns ``carry`` and ``n_tokens, n_known, train_tokens, base_score, score`` per row
-    of ``documents``, learnt from ``training``; both have ``text``, where null is empty.
+    of ``documents``, learnt from ``training``: another table, or a condition that picks rows
+    of ``documents``, which is cheaper. Both have ``text``, where null is empty.
 
     Tokens are the runs of anything but ASCII white space, A-Z lower-cased, and one end per
     text. ``base_score`` is the add-one unigram log10 probability, ``score`` that of the
-    automaton; both are summed in any order, so equal rows may differ by rounding. Without
-    training texts every token has probability 1. A caller who wants a smaller automaton may
-    give ``one_in``: sequences of two or more words that make up less than that share of the
-    training tokens are left out.
+    automaton. Without training texts every token has probability 1. Rows that repeat are scored
+    each; other columns are ignored. Nothing is dropped: a sequence seen once has its arc.
     """
-    counts = _counted(training, 1)
-    n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    least = n / one_in if one_in else 1
-    chance = (F.coalesce("c", F.lit(0)) + 1) / F.lit(float(n + v + 1))
-    shown = counts.where(F.col("c") >= n / SHARED_ONE_IN).toArrow()
-    arcs, weights = {1: counts.select("w1", chance.alias("p"))}, {}
-    for length in range(2, order + 1):
-        arcs[length], weights[length] = _learnt(
-            _counted(training, length), arcs[length - 1], length, least, discount
+    kinds = documents.select(*carry).schema
+    learns = training if isinstance(training, Column) else F.lit(False)
+    own = documents.select(
+        *carry,
+        "text",
+        F.lit(True).alias("scored"),
+        F.coalesce(learns, F.lit(False)).alias("learns"),
+    )
+    if not isinstance(training, Column):
+        own = own.unionByName(
+            training.select("text", F.lit(False).alias("scored"), F.lit(True).alias("learns")),
+            allowMissingColumns=True,
         )
-    names = _names(order)
-    if order > 1:
-        top = arcs[order].where(F.col("c") >= n / SHARED_ONE_IN).select(*names, "p").toArrow()
-    else:
-        top = shown.slice(0, 0)
-    shared = documents.sparkSession.sparkContext.broadcast(_shared(shown, top, n, v, order))
-
-    read = stored(
-        documents.select(*carry, "text")
-        .withColumn("row", F.monotonically_increasing_id())
-        .mapInArrow(
-            _reader(shared, carry),
-            documents.select(*carry).schema.simpleString()[7:-1].replace(":", " ")
-            + ", row bigint, n_tokens bigint, known bigint, base double, walk double,"
-            " seq array<bigint>",
+    carried = [f"`{f.name}` {f.dataType.simpleString()}" for f in kinds.fields]
+    packed = [f"`{f.name}` array<{f.dataType.simpleString()}>" for f in kinds.fields]
+    packed += ["scored array<boolean>", "learns array<boolean>", "n_words array<int>"]
+    packed += ["known_words binary", "places binary", "n_learnt long"]
+    blocks = stored(
+        own.mapInArrow(_blocks(carry, block_tokens), ", ".join(packed)).withColumn(
+            "block", F.monotonically_increasing_id()
         ),
-        "walks",
+        "blocks",
     )
-    # Counts have one row per word, so their parts are even.
-    rare = (
-        read.select("row", "seq")
-        .mapInArrow(_places(shared, 1), "row long, w1 long")
-        .join(counts, "w1", "left")
-        .groupBy("row")
-        .agg(F.count("c").alias("rare_known"), F.sum(F.log10(chance)).alias("rare_base"))
-    )
-    if order > 1:
-        places = read.select("row", "seq").mapInArrow(
-            _places(shared, order), "row long, " + ", ".join(f"{w} long" for w in names)
+    n, n_places = blocks.agg(
+        F.coalesce(F.sum("n_learnt"), F.lit(0)),
+        F.coalesce(F.sum(F.aggregate("n_words", F.lit(0).cast("long"), lambda a, b: a + b)), F.lit(0)),
+    ).first()
+    shares = max(order * n_places // share_names, 1)
+    answers = stored(
+        blocks.select("block", "learns", "n_words", "known_words", "places")
+        .mapInArrow(
+            _named(order, shares),
+            "share int, block long, length int, names binary, counts binary",
         )
-        tail = _walked(places, arcs, weights, order, 1 / (n + v + 1))
-    else:
-        tail = rare.select("row", F.col("rare_base").alias("tail"))
+        .groupBy("share")
+        .applyInArrow(
+            _added_up, "share int, block long, length int, totals binary, n_distinct long"
+        ),
+        "totals",
+    )
+    v = answers.agg(F.coalesce(F.sum("n_distinct"), F.lit(0))).first()[0]
+    figures = "n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    schema = ", ".join([*carried, figures])
     return (
-        read.drop("seq")
-        .join(rare, "row", "left")
-        .join(tail, "row", "left")
-        .select(
-            *carry,
-            "n_tokens",
-            (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
-            F.lit(n).cast("long").alias("train_tokens"),
-            (F.col("base") + F.coalesce("rare_base", F.lit(0.0))).alias("base_score"),
-            (F.col("walk") + F.coalesce("tail", F.lit(0.0))).alias("score"),
-        )
+        blocks.groupBy("block")
+        .cogroup(answers.groupBy("block"))
+        .applyInArrow(_scored(carry, order, strength, n, v), schema)
     )
 
 
-def _names(length: int) -> list[str]:
-    return [f"w{k}" for k in range(1, length + 1)]
-
+# Blocks of texts, as the numbers of their words.
 
-def _counted(training: DataFrame, length: int) -> DataFrame:
-    names = _names(length)
-    return stored(
-        training.select("text")
-        .mapInArrow(_counter(length), ", ".join(f"{w} long" for w in names) + ", n long")
-        .groupBy(*names)
-        .agg(F.sum("n").alias("c")),
-        f"counts-{length}",
-    )
-
-
-def _learnt(
-    counts: DataFrame, lower: DataFrame, length: int, least: float, discount: float
-) -> tuple[DataFrame, DataFrame]:
-    """Arcs of ``length`` words with their probability, and the backoff weights of their states.
 
-    Each occurrence of a state is followed by one word, so its count is the sum of its arcs'.
-    The same sequence without its first word is at least as frequent, so it has an arc.
-    """
-    names = _names(length)
-    state = names[:-1]
-    totals = counts.groupBy(*state).agg(F.sum("c").alias("total"))
-    shorter = lower.select(
-        *(F.col(w).alias(f"w{k}") for k, w in enumerate(state, 2)), F.col("p").alias("lower")
-    )
-    arcs = stored(
-        counts.where(F.col("c") >= least)
-        .join(totals, state)
-        .join(shorter, names[1:])
-        .select(*names, "c", ((F.col("c") - discount) / F.col("total")).alias("p"), "lower"),
-        f"arcs-{length}",
-    )
-    left, room = (F.greatest(1 - F.sum(k), F.lit(1e-9)) for k in ("p", "lower"))
-    weights = stored(arcs.groupBy(*state).agg((left / room).alias("weight")), f"weights-{length}")
-    return arcs, weights
-
-
-def _walked(places: DataFrame, arcs: dict, weights: dict, order: int, unseen: float) -> DataFrame:
-    """``row, tail``: summed log10 probability of the places, down the failure arcs."""
-    parts = []
-    for length in range(order, 0, -1):
-        names = _names(length)
-        found = places.join(arcs[length].select(*names, "p"), names, "left")
-        if length == 1:
-            parts.append(
-                found.select("row", F.log10(F.coalesce("p", F.lit(unseen))).alias("part"))
-            )
-            break
-        kept = [F.when(F.col("p").isNull(), F.col(w)).alias(w) for w in names]
-        found = stored(found.select("row", F.log10("p").alias("part"), *kept), f"places-{length}")
-        missed = found.where("part IS NULL").drop("part")
-        parts.append(found.where("part IS NOT NULL").select("row", "part"))
-        # A state without arcs costs nothing to leave.
-        left = missed.join(weights[length], names[:-1])
-        parts.append(left.select("row", F.log10("weight").alias("part")))
-        places = missed.select(
-            "row", *(F.col(w).alias(f"w{k}") for k, w in enumerate(names[1:], 1))
-        )
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.unionByName(part)
-    return every.groupBy("row").agg(F.sum("part").alias("tail"))
-
-
-def _columns(block: words.Block, before: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """For each word and end of the texts, the ``before`` words before it and itself; then the
-    number of the text, and the first place of each text and the end."""
-    counts = block.counts() + 1
-    first = np.concatenate([[0], np.cumsum(counts)])
-    text = np.repeat(np.arange(block.n_texts), counts)
-    seq = np.full(first[-1], END, dtype=np.uint64)
-    own = np.repeat(np.arange(block.n_texts), block.counts())
-    seq[np.arange(len(own)) + own] = block.hashes()
-    return _shifted(seq, text, first, before), text, first
-
-
-def _shifted(seq: np.ndarray, text: np.ndarray, first: np.ndarray, before: int) -> list[np.ndarray]:
-    place = np.arange(len(seq)) - first[text]
-    out = []
-    for back in range(before, -1, -1):
-        earlier = np.full(len(seq), NOTHING, dtype=np.uint64)
-        earlier[back:] = seq[: len(seq) - back]
-        earlier[place < back] = NOTHING
-        earlier[place == back - 1] = START
-        out.append(earlier)
-    return out
-
-
-def _code(columns: list[np.ndarray]) -> np.ndarray:
-    code = np.zeros(len(columns[0]), dtype=np.uint64)
-    for column in columns:
-        code = words.mixed((code + np.uint64(1)) * _SPREAD + column)
-    return code
-
-
-def _counter(length: int):
-    """Counts of the sequences of ``length`` words; the start may be the first of them."""
+def _blocks(carry: tuple[str, ...], block_tokens: int):
+    """Rows of texts as one row of lists: the hashes of the words they use, the most frequent
+    first, and for each place the number of its word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            rows = np.concatenate([rows for rows, _ in held], axis=1)
-            n = np.concatenate([n for _, n in held])
-            order = np.lexsort(rows)
-            rows, n = rows[:, order], n[order]
-            new = np.ones(len(n), dtype=bool)
-            new[1:] = (rows[:, 1:] != rows[:, :-1]).any(axis=0)
-            begins = np.flatnonzero(new)
-            return rows[:, begins], np.add.reduceat(n, begins)
-
-        def emitted(rows: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            columns = [pa.array(row.view(np.int64)) for row in rows]
-            return pa.RecordBatch.from_arrays([*columns, pa.array(n)], [*_names(length), "n"])
+        held: list[tuple[pa.RecordBatch, np.ndarray, np.ndarray]] = []
+
+        def emitted() -> pa.RecordBatch:
+            rows = pa.Table.from_batches([batch for batch, _, _ in held])
+            hashes = np.concatenate([hashes for _, hashes, _ in held])
+            known, places, n = np.unique(hashes, return_inverse=True, return_counts=True)
+            falling = np.argsort(-n, kind="stable")
+            number = np.empty(len(known), dtype=np.uint64)
+            number[falling] = np.arange(len(known), dtype=np.uint64)
+            n_words = np.concatenate([counts for _, _, counts in held])
+            learns = rows.column("learns").to_numpy()
+            columns = [*carry, "scored", "learns"]
+            one = pa.array([0, len(rows)], pa.int32())
+            lists = [
+                pa.ListArray.from_arrays(one, rows.column(name).combine_chunks()) for name in columns
+            ]
+            return pa.RecordBatch.from_arrays(
+                [
+                    *lists,
+                    pa.ListArray.from_arrays(one, pa.array(n_words.astype(np.int32))),
+                    pa.array([_packed(known[falling])], pa.binary()),
+                    pa.array([_packed(number[places])], pa.binary()),
+                    pa.array([int((n_words[learns] + 1).sum())], pa.int64()),
+                ],
+                [*columns, "n_words", "known_words", "places", "n_learnt"],
+            )
 
+        size = 0
         for batch in batches:
             for block in words.blocks(batch.column("text")):
-                columns, _, _ = _columns(block, length - 1)
-                rows = np.stack(columns)
-                rows = rows[:, rows[0] != NOTHING]
-                if not rows.shape[1]:
-                    continue
-                held.append((rows, np.ones(rows.shape[1], dtype=np.int64)))
-                if sum(len(n) for _, n in held) >= HELD:
-                    held[:] = [merged()]
-                    if len(held[0][1]) >= HELD // 2:
-                        yield emitted(*held[0])
-                        held.clear()
+                rows = batch.slice(block.row, block.n_texts).select([*carry, "scored", "learns"])
+                held.append((rows, block.hashes(), block.counts()))
+                size += len(block.starts) + block.n_texts
+                if size >= block_tokens:
+                    yield emitted()
+                    held, size = [], 0
         if held:
-            yield emitted(*merged())
+            yield emitted()
 
     return run
 
 
-def _shared(shown: pa.Table, top: pa.Table, n: int, v: int, order: int) -> dict:
-    """Sorted codes of the broadcast words and arcs of the full length, with log probabilities."""
+class _Places:
+    """The words and ends of a block's texts, each text behind its start."""
+
+    def __init__(self, known_words: bytes, places: bytes, n_words: np.ndarray):
+        known = _unpacked(known_words)
+        self.end, self.start = len(known), len(known) + 1
+        self.hashes = np.concatenate([known, np.array([END, START], dtype=np.uint64)])
+        self.n_words = n_words.astype(np.int64)
+        self.first = np.concatenate([[0], np.cumsum(self.n_words + 2)])
+        n_texts = len(n_words)
+        self.text = np.repeat(np.arange(n_texts), self.n_words + 2)
+        self.word = np.full(self.first[-1], self.end, dtype=np.int64)
+        self.word[self.first[:-1]] = self.start
+        is_word = np.ones(self.first[-1], dtype=bool)
+        is_word[self.first[:-1]] = False
+        is_word[self.first[1:] - 1] = False
+        self.word[is_word] = _unpacked(places).astype(np.int64)
+
+    def names(self, order: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each length the names of the sequences of that many words that end at each place,
+        and which places have one."""
+        own = self.hashes[self.word]
+        since = np.arange(len(own)) - self.first[self.text]
+        name = np.zeros(len(own), dtype=np.uint64)
+        for length in range(1, order + 1):
+            if length > 1:
+                name = np.concatenate([name[:1], name[:-1]])  # of the words before
+            name = words.mixed((name + np.uint64(length)) * _SPREAD + own)
+            yield length, name, since >= length - 1
+
+
+def _bounds(shares: int) -> np.ndarray:
+    return np.array([(k << 64) // shares for k in range(1, shares)], dtype=np.uint64)
+
+
+def _named(order: int, shares: int):
+    """The distinct sequences of each block with how often its training texts hold them, one
+    row for each length and share of the names."""
 
-    def by_code(table: pa.Table, length: int, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bounds = _bounds(shares)
+        for batch in batches:
+            for row in range(len(batch)):
+                block, learns, n_words, known_words, places = (
+                    batch.column(k)[row] for k in range(5)
+                )
+                own = _Places(
+                    known_words.as_py(), places.as_py(), np.asarray(n_words.values)
+                )
+                learnt = learns.values.to_numpy(zero_copy_only=False)[own.text]
+                for length, name, there in own.names(order):
+                    distinct, inverse = np.unique(name[there], return_inverse=True)
+                    n = np.bincount(inverse, learnt[there], len(distinct)).astype(np.uint64)
+                    cuts = [0, *np.searchsorted(distinct, bounds).tolist(), len(distinct)]
+                    rows = [
+                        (share, _packed_rising(distinct[a:b]), _packed(n[a:b]))
+                        for share, (a, b) in enumerate(zip(cuts, cuts[1:]))
+                        if b > a
+                    ]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([share for share, _, _ in rows], pa.int32()),
+                            pa.array([block.as_py()] * len(rows), pa.int64()),
+                            pa.array([length] * len(rows), pa.int32()),
+                            pa.array([names for _, names, _ in rows], pa.binary()),
+                            pa.array([counts for _, _, counts in rows], pa.binary()),
+                        ],
+                        ["share", "block", "length", "names", "counts"],
+                    )
+
+    return run
+
+
+def _added_up(lists: pa.Table) -> pa.Table:
+    """The total of each name of a share, in the order of every list that has it; and how many
+    words, without the start of a text, have one at all."""
+    names = [_unpacked_rising(one.as_py()) for one in lists.column("names")]
+    counts = [_unpacked(one.as_py()) for one in lists.column("counts")]
+    ends = np.cumsum([len(one) for one in names])
+    every = np.concatenate(names)
+    order = np.argsort(every, kind="stable")
+    ranked = every[order]
+    new = np.ones(len(ranked), dtype=bool)
+    new[1:] = ranked[1:] != ranked[:-1]
+    begins = np.flatnonzero(new)
+    sums = np.add.reduceat(np.concatenate(counts)[order], begins)
+    totals = np.empty(len(every), dtype=np.uint64)
+    totals[order] = np.repeat(sums, np.diff(np.append(begins, len(ranked))))
+    parts = np.split(totals, ends[:-1])
+    lengths = lists.column("length").to_numpy()
+    single = np.repeat(lengths == 1, np.diff(np.concatenate([[0], ends])))
+    start = words.mixed((np.zeros(1, np.uint64) + np.uint64(1)) * _SPREAD + np.uint64(START))[0]
+    known = np.unique(every[single & (totals > 0) & (every != start)])
+    n_distinct = np.zeros(len(parts), dtype=np.int64)
+    n_distinct[0] = len(known)
+    return pa.table(
+        {
+            "share": lists.column("share"),
+            "block": lists.column("block"),
+            "length": lists.column("length"),
+            "totals": pa.array([_packed(part) for part in parts], pa.binary()),
+            "n_distinct": pa.array(n_distinct),
+        }
+    )
+
+
+# The automaton of a block.
+
+
+class Automaton:
+    """States with arcs by word, failure arcs and their weights, all sorted arrays."""
+
+    def __init__(self, own: _Places, totals: list[np.ndarray], order: int, strength: float, n, v):
+        self.n_words = len(own.hashes)
+        self.unseen = -np.log10(float(n + v + 1))
+        self.root = 0
+        codes, nexts, weights = [], [], []
+        fails, fail_weights = [np.zeros(1, np.int64)], [np.zeros(1)]
+        at_place = np.zeros(len(own.word), dtype=np.int64)  # the state of the words before
+        base = 1  # the number of the first state of this length
+        before = None
+        self.single = np.zeros(0)
+        for length, name, there in own.names(order):
+            distinct, first, inverse = np.unique(
+                name[there], return_index=True, return_inverse=True
+            )
+            count = totals[length - 1].astype(np.float64)
+            place = np.flatnonzero(there)[first]
+            if length == 1:
+                chance = (count + 1) / (n + v + 1)
+                self.single = count[inverse]
+            else:
+                number, counts, chances = before
+                history = counts[number[place - 1]]
+                chance = (count + strength * chances[number[place]]) / (history + strength)
+            seen = count > 0
+            # Which sequence of this length ends at each place.
+            number = np.zeros(len(own.word), dtype=np.int64)
+            number[there] = inverse
+            is_state = length < order
+            here = place[seen]
+            codes.append(self._code(at_place[here - 1] if length > 1 else 0, own.word[here]))
+            weights.append(np.log10(chance[seen]))
+            if is_state:
+                nexts.append(base + np.flatnonzero(seen))
+                shorter = np.zeros(len(distinct), np.int64) if length == 1 else at_place[place]
+                fails.append(shorter)
+                fail_weights.append(np.log10(strength / (count + strength)))
+                at_place = base + number
+                base += len(distinct)
+            else:
+                nexts.append(at_place[here] if length > 1 else np.zeros(len(here), np.int64))
+            before = number, count, chance
+        code = np.concatenate(codes)
+        rising = np.argsort(code)
+        self.codes = code[rising]
+        self.next = np.concatenate(nexts)[rising]
+        self.weight = np.concatenate(weights)[rising]
+        self.fail, self.fail_weight = np.concatenate(fails), np.concatenate(fail_weights)
+
+    def _code(self, state, word: np.ndarray) -> np.ndarray:
+        return state * self.n_words + word
+
+    def read(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The states after reading one word each, and the log10 probabilities of the words."""
+        state, total = state.copy(), np.zeros(len(state))
+        pending = np.arange(len(state))
+        while len(pending):
+            code = self._code(state[pending], word[pending])
+            at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+            found = self.codes[at] == code if len(self.codes) else np.zeros(len(code), bool)
+            arc = at[found]
+            total[pending[found]] += self.weight[arc]
+            state[pending[found]] = self.next[arc]
+            pending = pending[~found]
+            stuck = state[pending] == self.root
+            total[pending[stuck]] += self.unseen
+            pending = pending[~stuck]
+            total[pending] += self.fail_weight[state[pending]]
+            state[pending] = self.fail[state[pending]]
+        return state, total
+
+    def walk(self, own: _Places, order: int, piece: int = PIECE) -> np.ndarray:
+        """The log10 probability of each text. Pieces of texts are read side by side; one that
+        starts within a text first reads the words before it that its state can depend on."""
+        n_read = own.n_words + 1  # words and the end; the start is only a state
+        pieces = -(-n_read // piece)
+        text = np.repeat(np.arange(len(n_read)), pieces)
+        nth = np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        begin = own.first[text] + 1 + nth * piece
+        length = np.minimum(n_read[text] - nth * piece, piece)
+        ahead = np.minimum(order - 1, begin - own.first[text])
+        steps = length + ahead
+        falling = np.argsort(-steps, kind="stable")
+        begin, ahead, steps, text = ((x[falling]) for x in (begin, ahead, steps, text))
+        at = begin - ahead
+        state, sums = np.full(len(at), self.root, dtype=np.int64), np.zeros(len(at))
+        for step in range(int(steps.max(initial=0))):
+            m = int(np.searchsorted(-steps, -step, side="left"))
+            state[:m], gained = self.read(state[:m], own.word[at[:m] + step])
+            sums[:m] += np.where(step >= ahead[:m], gained, 0.0)
+        return np.bincount(text, sums, len(n_read))
+
+
+def _scored(carry: tuple[str, ...], order: int, strength: float, n: int, v: int):
+    def run(block: pa.Table, answers: pa.Table) -> pa.Table:
+        names = [*carry, "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+        row = {name: block.column(name)[0] for name in block.column_names}
+        own = _Places(
+            row["known_words"].as_py(), row["places"].as_py(), np.asarray(row["n_words"].values)
+        )
+        answers = answers.sort_by([("length", "ascending"), ("share", "ascending")])
+        totals = [[] for _ in range(order)]
+        for length, part in zip(answers.column("length").to_pylist(), answers.column("totals")):
+            totals[length - 1].append(_unpacked(part.as_py()))
+        totals = [np.concatenate(parts or [np.zeros(0, np.uint64)]) for parts in totals]
+        automaton = Automaton(own, totals, order, strength, n, v)
+        score = automaton.walk(own, order)
+        is_token = own.word != own.start
+        text, single = own.text[is_token], automaton.single[is_token]
+        n_texts = len(own.n_words)
+        base = np.bincount(text, np.log10((single + 1) / (n + v + 1)), n_texts)
+        known = np.bincount(text, single > 0, n_texts)
         columns = [
-            table.column(w).to_numpy().astype(np.int64).view(np.uint64) for w in _names(length)
+            *(row[name].values for name in carry),
+            pa.array(own.n_words + 1),
+            pa.array(known.astype(np.int64)),
+            pa.array(np.full(n_texts, n, dtype=np.int64)),
+            pa.array(base),
+            pa.array(score),
         ]
-        code = _code(columns)
-        at = np.argsort(code)
-        return code[at], np.log10(p[at])
+        return pa.table(columns, names).filter(row["scored"].values)
 
-    known = by_code(shown, 1, (shown.column("c").to_numpy() + 1.0) / (n + v + 1))
-    arcs = by_code(top, order, top.column("p").to_numpy()) if order > 1 else known
-    return {"order": order, "words": known, "arcs": arcs}
+    return run
 
 
-def _found(table: tuple[np.ndarray, np.ndarray], code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Whether each code is in the table, and its log probability, or 0."""
-    codes, logs = table
-    if not len(codes):
-        return np.zeros(len(code), dtype=bool), np.zeros(len(code))
-    at = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
-    there = codes[at] == code
-    return there, np.where(there, logs[at], 0.0)
+# Numbers as few bytes: only as many planes of bytes as the largest one needs, compressed.
 
 
-def _reader(shared, carry: tuple[str, ...]):
-    """What the broadcast words and arcs settle, and the words themselves."""
+def _packed(numbers: np.ndarray) -> bytes:
+    numbers = np.ascontiguousarray(numbers, dtype="<u8")
+    if not len(numbers):
+        return bytes(8)
+    width = max((int(numbers.max(initial=0)).bit_length() + 7) // 8, 1)
+    planes = np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, 8)[:, :width].T)
+    raw = planes.tobytes()
+    packed = pa.Codec("zstd", 1).compress(raw, asbytes=True)
+    return np.array([len(numbers), width], "<u4").tobytes() + packed
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        for batch in batches:
-            for block in words.blocks(batch.column("text")):
-                columns, text, first = _columns(block, own["order"] - 1)
-                known, base = _found(own["words"], _code(columns[-1:]))
-                _, walk = _found(own["arcs"], _code(columns))
-                n = block.n_texts
-                here = batch.slice(block.row, n)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *(here.column(name) for name in (*carry, "row")),
-                        pa.array(np.diff(first)),
-                        pa.array(np.bincount(text, known, n).astype(np.int64)),
-                        pa.array(np.bincount(text, base, n)),
-                        pa.array(np.bincount(text, walk, n)),
-                        pa.ListArray.from_arrays(
-                            pa.array(first.astype(np.int32)), pa.array(columns[-1].view(np.int64))
-                        ),
-                    ],
-                    [*carry, "row", "n_tokens", "known", "base", "walk", "seq"],
-                )
 
-    return run
+def _unpacked(data: bytes) -> np.ndarray:
+    n, width = np.frombuffer(data[:8], "<u4").tolist()
+    if not n:
+        return np.zeros(0, dtype=np.uint64)
+    raw = pa.Codec("zstd").decompress(data[8:], n * width, asbytes=True)
+    out = np.zeros((n, 8), dtype=np.uint8)
+    out[:, :width] = np.frombuffer(raw, np.uint8).reshape(width, n).T
+    return out.view("<u8").reshape(-1).astype(np.uint64)
 
 
-def _places(shared, length: int):
-    """The places that the broadcast words (``length`` 1) or arcs leave open."""
+def _packed_rising(numbers: np.ndarray) -> bytes:
+    return numbers[:1].astype("<u8").tobytes() + _packed(np.diff(numbers))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        table = own["words"] if length == 1 else own["arcs"]
-        for batch in batches:
-            lists = batch.column("seq")
-            first = np.asarray(lists.offsets).astype(np.int64)
-            seq = lists.values.to_numpy()[first[0] : first[-1]].view(np.uint64)
-            first = first - first[0]
-            text = np.repeat(np.arange(len(lists)), np.diff(first))
-            columns = _shifted(seq, text, first, length - 1)
-            still = ~_found(table, _code(columns))[0]
-            row = batch.column("row").to_numpy()[text[still]]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(row), *(pa.array(c[still].view(np.int64)) for c in columns)],
-                ["row", *_names(length)],
-            )
 
-    return run
+def _unpacked_rising(data: bytes) -> np.ndarray:
+    steps = _unpacked(data[8:])
+    return np.cumsum(np.concatenate([np.frombuffer(data[:8], "<u8"), steps]), dtype=np.uint64)

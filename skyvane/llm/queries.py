@@ -58,11 +58,8 @@ def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 def op5_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
     kept_back = language_id.held_out("doc_id", 7, 2).alias("held_out")
     documents = _table(spark, folder, "documents").select("doc_id", "text", kept_back)
-    return lm_scoring.lm_scores(
-        documents,
-        documents.where(~F.col("held_out") & F.col("doc_id").isNotNull()),
-        carry=("doc_id", "held_out"),
-    )
+    learns = ~F.col("held_out") & F.col("doc_id").isNotNull()
+    return lm_scoring.lm_scores(documents, learns, carry=("doc_id", "held_out"))
 
 
 def op6_license_scan(spark: SparkSession, folder: str) -> DataFrame:

@@ -282,64 +282,37 @@ def test_common_subsequence():
         assert decontamination.common_subsequence(a, b) == table[-1, -1]
 
 
-def backoff_scores(docs: dict, training: list, one_in: int, discount: float) -> dict:
-    """Trigram scores by their definition."""
+def backoff_scores(docs: dict, training: list, order: int, strength: float) -> dict:
+    """Scores by their definition, from the counts of all sequences."""
     tokens = {k: [*WORD.findall(t.translate(LOWER)), ""] for k, t in docs.items()}
     c1 = Counter(w for k in training for w in tokens[k])
-    n, v, start = sum(c1.values()), len(c1), "<s>"
-    shown = {w for w in c1 if c1[w] >= n / one_in or w == ""} | {start}
-    before = dict(c1) | {start: len(training)}
-    c2, c3 = Counter(), Counter()
+    n, v = sum(c1.values()), len(c1)
+    counts = Counter()
     for k in training:
-        own = [start, *tokens[k]]
-        c2.update(p for p in zip(own, own[1:]) if set(p) <= shown)
-    c2 = {p: c for p, c in c2.items() if c >= n / one_in}
-    for k in training:
-        own = [start, *tokens[k]]
-        c3.update(p for p in zip(own, own[1:], own[2:]) if p[:2] in c2 and p[2] in shown)
-    c3 = {p: c for p, c in c3.items() if c >= n / one_in}
-
-    def p1(w):
-        return (c1[w] + 1) / (n + v + 1)
-
-    used2, room2 = Counter(), Counter()
-    for (a, b), c in c2.items():
-        used2[a] += (c - discount) / before[a]
-        room2[a] += p1(b)
-
-    def p2(a, b):
-        if (a, b) in c2:
-            return (c2[a, b] - discount) / before[a]
-        return p1(b) * ((1 - used2[a]) / (1 - room2[a]) if a in shown else 1)
+        own = ["<s>", *tokens[k]]
+        for length in range(1, order + 1):
+            counts.update(tuple(own[i : i + length]) for i in range(len(own) - length + 1))
 
-    used3, room3 = Counter(), Counter()
-    for (a, b, w), c in c3.items():
-        used3[a, b] += (c - discount) / c2[a, b]
-        room3[a, b] += p2(b, w)
-
-    def p3(a, b, w):
-        if (a, b, w) in c3:
-            return (c3[a, b, w] - discount) / c2[a, b]
-        return p2(b, w) * ((1 - used3[a, b]) / (1 - room3[a, b]) if (a, b) in c2 else 1)
+    def chance(history, w):
+        if not history:
+            return (c1[w] + 1) / (n + v + 1)
+        shorter = chance(history[1:], w)
+        return (counts[*history, w] + strength * shorter) / (counts[history] + strength)
 
     out = {}
     for k, own in tokens.items():
-        seq = [start, *own]
-        score = math.log10(p2(start, own[0]))
-        score += sum(math.log10(p3(*p)) for p in zip(seq, seq[1:], seq[2:]))
-        base = sum(math.log10(p1(w)) for w in own)
+        seq = ["<s>", *own]
+        score = sum(
+            math.log10(chance(tuple(seq[max(i - order + 1, 0) : i]), seq[i]))
+            for i in range(1, len(seq))
+        )
+        base = sum(math.log10(chance((), w)) for w in own)
         out[k] = (len(own), sum(w in c1 for w in own), n, base, score)
     return out
 
 
-@pytest.mark.parametrize("one_in", [500, 200_000])
-def test_scores_follow_their_definition(documents, one_in):
-    held = language_id.held_out("doc_id", 7, 2)
-    docs = texts(documents)
-    training = [k for k in docs if zlib.crc32(str(k).encode()) % 7 != 2]
-    expected = backoff_scores(docs, training, one_in, lm_scoring.DISCOUNT)
-    rows = lm_scoring.lm_scores(documents, documents.where(~held), one_in=one_in).collect()
-    assert len(rows) == len(docs)
+def same_scores(rows, expected) -> None:
+    assert len(rows) == len(expected)
     for r in rows:
         n_tokens, n_known, n, base, score = expected[r.doc_id]
         assert (r.n_tokens, r.n_known, r.train_tokens) == (n_tokens, n_known, n)
@@ -347,21 +320,104 @@ def test_scores_follow_their_definition(documents, one_in):
         assert r.score == pytest.approx(score, rel=1e-9)
 
 
+@pytest.mark.parametrize(
+    "order, strength, sizes",
+    [(3, 4.0, {}), (3, 0.5, {"block_tokens": 5000, "share_names": 20_000}), (1, 4.0, {}), (4, 9.0, {})],
+)
+def test_scores_follow_their_definition(documents, order, strength, sizes):
+    """Also in many blocks and shares, learnt from other rows or from rows of the same table."""
+    held = language_id.held_out("doc_id", 7, 2)
+    docs = texts(documents)
+    training = [k for k in docs if zlib.crc32(str(k).encode()) % 7 != 2]
+    expected = backoff_scores(docs, training, order, strength)
+    for given in (documents.where(~held), ~held):
+        rows = lm_scoring.lm_scores(documents, given, order, strength, **sizes)
+        same_scores(rows.collect(), expected)
+    if order == 3 and strength == lm_scoring.STRENGTH:
+        same_scores(QUERIES["op5_lm_scoring"](documents.sparkSession, SMALL).collect(), expected)
+
+
 def test_scores_use_every_sequence_of_a_large_corpus(spark):
-    """One pair among 450,000 tokens, far below one in 200,000, still has its arcs."""
+    """One pair among 450,000 tokens still has its arcs."""
     filler = " ".join(f"w{k % 300}" for k in range(30_000))
     rows = [(k, filler) for k in range(15)] + [(100, "rare pair here"), (101, "here pair rare")]
     given = spark.createDataFrame(rows, "doc_id long, text string")
-    training = given.where("doc_id != 101")
     docs = dict(rows)
-    expected = backoff_scores(docs, [k for k in docs if k != 101], 10**9, lm_scoring.DISCOUNT)
-    found = {r.doc_id: r for r in lm_scoring.lm_scores(given, training).collect()}
-    for k, (n_tokens, n_known, n, base, score) in expected.items():
-        r = found[k]
-        assert (r.n_tokens, r.n_known, r.train_tokens) == (n_tokens, n_known, n)
-        assert r.base_score == pytest.approx(base, rel=1e-9)
-        assert r.score == pytest.approx(score, rel=1e-9)
-    assert found[100].score > found[101].score + 3
+    expected = backoff_scores(docs, [k for k in docs if k != 101], 3, lm_scoring.STRENGTH)
+    found = lm_scoring.lm_scores(given, given.where("doc_id != 101"), block_tokens=50_000).collect()
+    same_scores(found, expected)
+    found = {r.doc_id: r for r in found}
+    assert found[100].score > found[101].score + 1
+
+
+def test_a_frequent_word_is_one_name_a_block(spark):
+    """A third of all tokens are one word, which is followed by thousands of others."""
+    rnd = np.random.default_rng(1)
+    rows = [
+        (k, " ".join(w for x in rnd.integers(0, 4000, 300) for w in ("hot", f"w{x}", f"v{x % 7}")))
+        for k in range(60)
+    ]
+    given = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    expected = backoff_scores(dict(rows), [k for k, _ in rows if k % 5], 3, lm_scoring.STRENGTH)
+    found = lm_scoring.lm_scores(
+        given, F.col("doc_id") % 5 != 0, block_tokens=6000, share_names=9000
+    )
+    same_scores(found.collect(), expected)
+
+
+def automaton(texts_, learns, order=3, strength=4.0):
+    """A block's automaton, its places, and the probabilities of all words after a state."""
+    batch = pa.RecordBatch.from_pydict(
+        {"text": texts_, "scored": [True] * len(texts_), "learns": learns}
+    )
+    (block,) = lm_scoring._blocks((), 10**9)(iter([batch]))
+    (lists,) = [pa.Table.from_batches(lm_scoring._named(order, 1)(iter([
+        pa.RecordBatch.from_arrays(
+            [pa.array([0]), *(block.column(k) for k in ("learns", "n_words", "known_words", "places"))],
+            ["block", "learns", "n_words", "known_words", "places"],
+        )])))]
+    answers = lm_scoring._added_up(lists)
+    totals = [lm_scoring._unpacked(x.as_py()) for x in answers.column("totals")]
+    n, v = block.column("n_learnt")[0].as_py(), sum(answers.column("n_distinct").to_pylist())
+    own = lm_scoring._Places(
+        block.column("known_words")[0].as_py(),
+        block.column("places")[0].as_py(),
+        np.asarray(block.column("n_words")[0].values),
+    )
+    return lm_scoring.Automaton(own, totals, order, strength, n, v), own, v
+
+
+def test_probabilities_after_every_state_sum_to_one():
+    given = ["a b a c a b", "b b a", "c a b a b c", ""]
+    own, places, v = automaton(given, [True] * 4)
+    assert v == 4
+    vocabulary = np.array([w for w in range(len(places.hashes)) if w != places.start])
+    over = own.next[own.codes % own.n_words == places.end]  # nothing follows an end
+    for state in set(range(len(own.fail))) - set(over.tolist()):
+        _, logs = own.read(np.full(len(vocabulary), state), vocabulary)
+        unknown = 10**own.unseen
+        while state != own.root:
+            unknown *= 10 ** own.fail_weight[state]
+            state = own.fail[state]
+        assert (10**logs).sum() + unknown == pytest.approx(1, rel=1e-12)
+
+
+@pytest.mark.parametrize("piece", [1, 2, 3, 7])
+def test_pieces_are_read_as_whole_texts_are(piece):
+    given = ["a b a c a b unseen a b c", "b b a", "", "c a b a b c zz zz a b a c"]
+    own, places, _ = automaton(given, [True, True, True, False])
+    whole, parts = own.walk(places, 3, 10**6), own.walk(places, 3, piece)
+    assert parts.tolist() == pytest.approx(whole.tolist(), rel=1e-12)
+
+
+def test_packed_numbers_come_back():
+    for numbers in ([], [0], [5, 0, 255], [2**64 - 1, 0, 2**40], list(range(1000))):
+        given = np.array(numbers, dtype=np.uint64)
+        assert lm_scoring._unpacked(lm_scoring._packed(given)).tolist() == numbers
+        if numbers:
+            rising = np.sort(given)
+            packed = lm_scoring._packed_rising(rising)
+            assert lm_scoring._unpacked_rising(packed).tolist() == rising.tolist()
 
 
 def test_scores_of_odd_rows(odd_documents, no_documents):
