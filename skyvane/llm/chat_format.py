@@ -27,6 +27,8 @@ from skyvane.llm import words
 HEAD, BETWEEN, TAIL = b"### ", b": ", b"</turn>\n"
 LOSS_ROLE = "assistant"
 PIECE_BYTES = 4 << 20
+# Bytes of an open conversation that a task holds before it lets them travel.
+HELD_BYTES = 64 << 20
 
 _BACKSLASH, _COLON, _TURN_END = 92, 58, 60
 _ESCAPED = np.zeros(256, dtype=bool)
@@ -203,7 +205,8 @@ def digests(pieces: DataFrame) -> DataFrame:
     """``conv_id`` and counts and hashes of each conversation, read back from ``formatted()``.
 
     A hash has to take a conversation in order. Conversations that lie within one task are
-    done there; only those at the two ends of a task travel, as pieces.
+    done there; those at the two ends of a task and very large ones travel, as pieces, and each is
+    hashed by one task, piece by piece.
     """
     inside = pieces.mapInArrow(_digested_inside, f"{_PIECES}, {_DIGESTS}")
     together = inside.repartition("conv_id").sortWithinPartitions("conv_id", "part", "seq")
@@ -234,41 +237,42 @@ def _digested_inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         ]
         return pa.RecordBatch.from_arrays(own, [n for n, _ in [*types, *done_types]])
 
-    # The first conversation and the last one may go on in another task.
-    first_id, at_first = None, True
-    last: pa.RecordBatch | None = None  # the pieces of the latest conversation so far
+    # The first conversation and the last one may go on in another task, so they travel. Until the
+    # open one ends, its pieces are held as they came; a digest cannot be undone. One that grows
+    # beyond a bound travels as well.
+    open_id: tuple | None = None
+    travels, held, held_bytes = False, [], 0
     for batch in batches:
-        if last is not None:
-            batch = pa.concat_batches([last, batch])
-            last = None
+        rows = []
         ids = batch.column("conv_id").to_pylist()
-        if not ids:
-            continue
-        if at_first and first_id is None:
-            first_id = (ids[0],)
-        begin = 0
-        if at_first:
-            while begin < len(ids) and (ids[begin],) == first_id:
-                begin += 1
-            if begin:
-                yield as_pieces(batch.slice(0, begin))
-            if begin == len(ids):
+        cuts = [k for k in range(len(ids)) if not k or ids[k] != ids[k - 1]]
+        sizes = pc.binary_length(batch.column("formatted")).to_numpy()
+        for begin, end in zip(cuts, [*cuts[1:], len(ids)]):
+            if (ids[begin],) != open_id:
+                if held:
+                    rows.append([*open_id, *_digest_of(held).row()])
+                travels, held, held_bytes = open_id is None, [], 0
+                open_id = (ids[begin],)
+            run = batch.slice(begin, end - begin)
+            if travels:
+                yield as_pieces(run)
                 continue
-            at_first = False
-        stop = len(ids)
-        while stop > begin and ids[stop - 1] == ids[-1]:
-            stop -= 1
-        last = batch.slice(stop)
-        rows, digest = [], Digest()
-        for k in range(begin, stop):
-            digest.add(batch.column("formatted")[k], batch.column("spans")[k].as_py())
-            if ids[k + 1] != ids[k]:
-                rows.append([ids[k], *digest.row()])
-                digest = Digest()
+            held.append(run)
+            held_bytes += int(sizes[begin:end].sum())
+            if held_bytes > HELD_BYTES:
+                yield from map(as_pieces, held)
+                travels, held = True, []
         if rows:
             yield as_done(rows)
-    if last is not None:
-        yield as_pieces(last)
+    yield from map(as_pieces, held)
+
+
+def _digest_of(runs: list[pa.RecordBatch]) -> Digest:
+    digest = Digest()
+    for run in runs:
+        for piece, spans in zip(run.column("formatted"), run.column("spans")):
+            digest.add(piece, spans.as_py())
+    return digest
 
 
 def _digested_rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -71,6 +71,64 @@ def test_chats_of_odd_rows_and_one_long_conversation(spark):
     assert chat_format.digests(chat_format.formatted(given.where("false"))).collect() == []
 
 
+def pieces_of(conversations):
+    """(conv_id, batches of one megabyte) -> batches as ``formatted`` gives them."""
+    line = b"### user: " + b"x" * (1 << 20) + b"</turn>\n"
+    for conv_id, n in conversations:
+        for k in range(n):
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "conv_id": pa.array([conv_id]),
+                    "part": pa.array([0], pa.int32()),
+                    "seq": pa.array([k]),
+                    "formatted": [line.decode()],
+                    "spans": pa.array(
+                        [[]], pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
+                    ),
+                }
+            )
+
+
+@pytest.mark.parametrize("held", [8 << 20, 1 << 30])
+def test_long_conversations_behind_others_are_hashed_in_linear_time(held, monkeypatch):
+    """Four hundred batches of one conversation behind another one: they travel as they come, or
+    are hashed once, and what is held is never copied."""
+    monkeypatch.setattr(chat_format, "HELD_BYTES", held)
+    added = []
+    add = chat_format.Digest.add
+    monkeypatch.setattr(
+        chat_format.Digest, "add", lambda self, piece, spans: added.append(1) or add(self, piece, spans)
+    )
+    out, most = [], 0
+    for batch in chat_format._digested_inside(pieces_of([(1, 2), (2, 400), (3, 3), (4, 1)])):
+        pa_held = pa.total_allocated_bytes()
+        most = max(most, pa_held)
+        out += [(row["conv_id"], row["n_turns"]) for row in batch.drop_columns(["formatted"]).to_pylist()]
+    travelling = [conv for conv, n in out if n is None]
+    if held == 8 << 20:
+        assert travelling == [1] * 2 + [2] * 400 + [4] and (3, 3) in out
+        assert len(added) == 3 and most < 64 << 20
+    else:
+        assert travelling == [1] * 2 + [4] and {(2, 400), (3, 3)} < set(out)
+        assert len(added) == 403
+
+
+def test_one_conversation_of_many_batches_behind_another_one(spark, monkeypatch):
+    rows = [(1, k, "user", "first " * 50) for k in range(50)]
+    rows += [(2, k, "assistant" if k % 2 else "user", f"{k} word <#> " * 40) for k in range(4000)]
+    rows += [(k, 0, "assistant", "brief") for k in range(3, 40)]
+    given = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    turns = defaultdict(list)
+    for conv, *turn in rows:
+        turns[conv].append(tuple(turn))
+    monkeypatch.setattr(chat_format, "HELD_BYTES", 100_000)
+    monkeypatch.setattr(chat_format, "PIECE_BYTES", 20_000)
+    found = chat_format.digests(chat_format.formatted(given.coalesce(1))).collect()
+    assert {r.conv_id: tuple(r)[1:5] for r in found} == {
+        conv: digest_by_hand(own) for conv, own in turns.items()
+    }
+
+
 def test_control_strings_never_stand_in_texts():
     buffer, ends, spans = chat_format.assemble(["user"], pa.array([SAID]))
     raw = buffer.tobytes()
