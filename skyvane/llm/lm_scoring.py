@@ -27,13 +27,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyvane.llm import words
-from skyvane.llm.storage import stored
+from skyvane.llm.storage import bucketed, stored
 
 ORDER = 3
 STRENGTH = 4.0
 # Tokens of a block; distinct sequences, counted once per block, that are added up together.
 BLOCK_TOKENS = 1_000_000
-SHARE_NAMES = 4_000_000
+SHARE_NAMES = 2_000_000
+# Bytes of text that are cut into words at a time.
+SLICE_BYTES = 1 << 20
 # Words of a text that are read one after another; the pieces of a block are read side by side.
 PIECE = 1024
 
@@ -77,11 +79,12 @@ def lm_scores(
     packed = [f"`{f.name}` array<{f.dataType.simpleString()}>" for f in kinds.fields]
     packed += ["scored array<boolean>", "learns array<boolean>", "n_words array<int>"]
     packed += ["known_words binary", "places binary", "n_learnt long"]
-    blocks = stored(
+    blocks = bucketed(
         own.mapInArrow(_blocks(carry, block_tokens), ", ".join(packed)).withColumn(
             "block", F.monotonically_increasing_id()
         ),
         "blocks",
+        "block",
     )
     n, n_places = blocks.agg(
         F.coalesce(F.sum("n_learnt"), F.lit(0)),
@@ -147,7 +150,7 @@ def _blocks(carry: tuple[str, ...], block_tokens: int):
 
         size = 0
         for batch in batches:
-            for block in words.blocks(batch.column("text")):
+            for block in words.blocks(batch.column("text"), SLICE_BYTES):
                 rows = batch.slice(block.row, block.n_texts).select([*carry, "scored", "learns"])
                 held.append((rows, block.hashes(), block.counts()))
                 size += len(block.starts) + block.n_texts
@@ -301,23 +304,23 @@ class Automaton:
             number[there] = inverse
             is_state = length < order
             here = place[seen]
-            codes.append(self._code(at_place[here - 1] if length > 1 else 0, own.word[here]))
-            weights.append(np.log10(chance[seen]))
+            code = self._code(at_place[here - 1] if length > 1 else 0, own.word[here])
+            rising = np.argsort(code)
+            codes.append(code[rising])
+            weights.append(np.log10(chance[seen])[rising])
             if is_state:
-                nexts.append(base + np.flatnonzero(seen))
+                nexts.append((base + np.flatnonzero(seen))[rising])
                 shorter = np.zeros(len(distinct), np.int64) if length == 1 else at_place[place]
                 fails.append(shorter)
                 fail_weights.append(np.log10(strength / (count + strength)))
                 at_place = base + number
                 base += len(distinct)
             else:
-                nexts.append(at_place[here] if length > 1 else np.zeros(len(here), np.int64))
+                last = at_place[here] if length > 1 else np.zeros(len(here), np.int64)
+                nexts.append(last[rising])
             before = number, count, chance
-        code = np.concatenate(codes)
-        rising = np.argsort(code)
-        self.codes = code[rising]
-        self.next = np.concatenate(nexts)[rising]
-        self.weight = np.concatenate(weights)[rising]
+        # Longer states have larger numbers, so the arcs of each length follow those before.
+        self.codes, self.next, self.weight = map(np.concatenate, (codes, nexts, weights))
         self.fail, self.fail_weight = np.concatenate(fails), np.concatenate(fail_weights)
 
     def _code(self, state, word: np.ndarray) -> np.ndarray:
@@ -396,27 +399,32 @@ def _scored(carry: tuple[str, ...], order: int, strength: float, n: int, v: int)
     return run
 
 
-# Numbers as few bytes: only as many planes of bytes as the largest one needs, compressed.
+# Numbers as few bytes: the planes of bytes that the largest one needs, each compressed.
 
 
 def _packed(numbers: np.ndarray) -> bytes:
     numbers = np.ascontiguousarray(numbers, dtype="<u8")
     if not len(numbers):
-        return bytes(8)
-    width = max((int(numbers.max(initial=0)).bit_length() + 7) // 8, 1)
-    planes = np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, 8)[:, :width].T)
-    raw = planes.tobytes()
-    packed = pa.Codec("zstd", 1).compress(raw, asbytes=True)
-    return np.array([len(numbers), width], "<u4").tobytes() + packed
+        return bytes(4)
+    width = max((int(numbers.max()).bit_length() + 7) // 8, 1)
+    codec = pa.Codec("zstd", 1)
+    bytes_of = numbers.view(np.uint8).reshape(-1, 8)
+    planes = [codec.compress(bytes_of[:, k].tobytes(), asbytes=True) for k in range(width)]
+    head = np.array([len(numbers), width, *map(len, planes)], "<u4")
+    return head.tobytes() + b"".join(planes)
 
 
 def _unpacked(data: bytes) -> np.ndarray:
-    n, width = np.frombuffer(data[:8], "<u4").tolist()
+    n = int(np.frombuffer(data[:4], "<u4")[0])
     if not n:
         return np.zeros(0, dtype=np.uint64)
-    raw = pa.Codec("zstd").decompress(data[8:], n * width, asbytes=True)
-    out = np.zeros((n, 8), dtype=np.uint8)
-    out[:, :width] = np.frombuffer(raw, np.uint8).reshape(width, n).T
+    width = int(np.frombuffer(data[4:8], "<u4")[0])
+    sizes = np.frombuffer(data[8 : 8 + 4 * width], "<u4").tolist()
+    out, at, codec = np.zeros((n, 8), dtype=np.uint8), 8 + 4 * width, pa.Codec("zstd")
+    for k, size in enumerate(sizes):
+        plane = codec.decompress(data[at : at + size], n, asbytes=True)
+        out[:, k] = np.frombuffer(plane, np.uint8)
+        at += size
     return out.view("<u8").reshape(-1).astype(np.uint64)
 
 

@@ -19,6 +19,19 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def bucketed(df: DataFrame, purpose: str, key: str) -> DataFrame:
+    """Write ``df`` like ``stored``, dealt into as many buckets by ``key`` as a shuffle has
+    partitions, so that what is grouped by that key later need not be shuffled again. The name
+    under which the session knows the table is left as the files are."""
+    spark = df.sparkSession
+    folder = shared_folder(spark, purpose)
+    name = folder.rsplit("/", 1)[1].replace("-", "_")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    writer = df.write.format("parquet").bucketBy(buckets, key).option("path", folder)
+    writer.saveAsTable(name)
+    return spark.table(name)
+
+
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """``node``, ``component``: the smallest node that each node of ``edges(u, v)`` reaches.
 
