@@ -1,11 +1,10 @@
 """Verdicts on urls: written rules first, then trust and distrust spread over host links.
 
-Trust starts at hosts with pages that a rule allows and follows links; distrust starts at hosts
-with pages that a rule blocks and follows links backwards, to those who link there. Both are
-personalised PageRanks over links between hosts. Distrust is shared among all who link to a
-blocked host, so it shrinks with their number; a host is judged by its blame, which does not:
-the chance that a walk along its own links comes to a blocked page before it comes to an
-allowed one or stops. Blame is compared with trust.
+Trust is a personalised PageRank: it starts at hosts with pages that a rule allows and follows
+links. Distrust starts at hosts with pages that a rule blocks and follows links backwards: a host
+is distrusted as far as the hosts that it links to are. It is weighted by the own links of the host
+that takes it on, so it does not shrink with the number of hosts that link to a blocked one. A
+host is judged by its distrust compared with its trust.
 """
 
 from __future__ import annotations
@@ -24,9 +23,11 @@ RULES = [
     ("block", "net", "/fr/"),
 ]
 FOLLOW = 0.85
-ROUNDS = 20
+# Each round lets through a share FOLLOW of what the one before moved, so about 180 rounds settle
+# a thousand million hosts.
+ROUNDS = 500
 SETTLED = 1e-4
-# Blame, which is 1 for a host whose every page is blocked, that blocks a host which is not
+# Distrust, which is 1 for a host whose every page is blocked, that blocks a host which is not
 # trusted more.
 DISTRUST = 0.5
 
@@ -53,14 +54,15 @@ def verdicts(
     rounds: int = ROUNDS,
     distrust: float = DISTRUST,
 ) -> DataFrame:
-    """``page_id, host, path, rule, verdict, trust, distrust, blame`` per row of
+    """``page_id, host, path, rule, verdict, trust, distrust`` per row of
     ``pages(page_id, url, html)``.
 
     A rule fits its host and the hosts below it where the path starts with the rule's path; the
-    longest fitting rule decides. Without one the host is blocked if its blame is at least
+    longest fitting rule decides. Without one the host is blocked if its distrust is at least
     ``distrust`` and more than its trust, else allowed. A row without a url has an empty host,
     which has no links, and is allowed. Repeated rows count as so many pages and each get a row;
-    other columns are ignored.
+    other columns are ignored. Raises RuntimeError if trust and distrust do not settle within
+    ``rounds``.
     """
     host, path = url_parts(F.col("url"))
     parts = pages.select("page_id", host.alias("host"), path.alias("path"), _links())
@@ -69,13 +71,14 @@ def verdicts(
         F.avg(F.coalesce((F.col("action") == "allow").cast("double"), F.lit(0.0))).alias("allowed"),
         F.avg(F.coalesce((F.col("action") == "block").cast("double"), F.lit(0.0))).alias("blocked"),
     )
-    hosts = stored(spread(seeds, _edges(judged), follow, rounds), "hosts")
-    blocked = (F.col("blame") >= distrust) & (F.col("blame") > F.col("trust"))
+    # A host may hold most pages; a written table beside them lets its join be split.
+    hosts = stored(spread(stored(seeds, "seeds"), _edges(judged), follow, rounds), "hosts")
+    blocked = (F.col("distrust") >= distrust) & (F.col("distrust") > F.col("trust"))
     own = F.coalesce("action", F.when(blocked, "block").otherwise("allow"))
     return (
         judged.drop("links")
         .join(hosts, "host", "left")
-        .select("page_id", "host", "path", "rule", own.alias("verdict"), "trust", "distrust", "blame")
+        .select("page_id", "host", "path", "rule", own.alias("verdict"), "trust", "distrust")
     )
 
 
@@ -87,34 +90,43 @@ def _links() -> Column:
 
 
 def _with_rule(parts: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
-    """Add ``action`` and ``rule``. Rules are joined to the distinct hosts, not to pages."""
-    spark = parts.sparkSession
-    table = spark.createDataFrame(rules, "action string, top string, start string")
-    hosts = parts.select("host").distinct()
+    """Add ``action`` and ``rule``: the rules of the host and of those above it are looked up in
+    each row, the longest first."""
+    tops = dict.fromkeys(top for _, top, _ in rules)
+    rule_type = "array<struct<n:int,rule:string,action:string,start:string>>"
+    entries = [
+        item
+        for top in tops
+        for item in (
+            F.lit(top),
+            F.array(
+                *(
+                    F.struct(
+                        F.lit(len(top + start)).alias("n"),
+                        F.lit(top + start).alias("rule"),
+                        F.lit(action).alias("action"),
+                        F.lit(start).alias("start"),
+                    )
+                    for action, own, start in rules
+                    if own == top
+                )
+            ),
+        )
+    ]
+    table = F.create_map(*entries) if rules else F.lit(None).cast(f"map<string,{rule_type}>")
     labels = F.split("host", r"\.", -1)
-    tops = F.transform(
+    above = F.transform(
         F.sequence(F.lit(1), F.size(labels)),
         lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."),
     )
-    name = F.concat("top", "start")
-    fitting = (
-        hosts.select("host", F.explode(tops).alias("top"))
-        .join(table, "top")
-        .groupBy("host")
-        .agg(
-            F.sort_array(
-                F.collect_list(F.struct(F.length(name).alias("n"), name.alias("rule"), "action", "start")),
-                asc=False,
-            ).alias("fitting")
-        )
+    known = F.transform(
+        above, lambda top: F.coalesce(F.try_element_at(table, top), F.array().cast(rule_type))
     )
-    first = F.get(
-        F.filter("fitting", lambda rule: F.startswith(F.col("path"), rule["start"])), F.lit(0)
+    fitting = F.filter(
+        F.flatten(known), lambda rule: F.startswith(F.col("path"), rule["start"])
     )
-    return (
-        parts.join(fitting, "host", "left")
-        .withColumn("first", first)
-        .select("page_id", "host", "path", "links", "first.rule", "first.action")
+    return parts.withColumn("first", F.array_max(fitting)).select(
+        "page_id", "host", "path", "links", "first.rule", "first.action"
     )
 
 
@@ -127,42 +139,44 @@ def _edges(judged: DataFrame) -> DataFrame:
 
 
 def spread(seeds: DataFrame, edges: DataFrame, follow: float, rounds: int) -> DataFrame:
-    """``host, trust, distrust, blame`` from ``seeds(host, allowed, blocked)`` and
-    ``edges(host, to)``.
-
-    Trust is shared among the hosts linked to, distrust among the hosts linking in. Blame is a
-    host's blocked share, and for pages without a rule ``follow`` times the mean blame of the
-    hosts that it links to. Values are scaled so that a host without links keeps its seed. Stops
-    when no value moves by more than ``SETTLED``, or after ``rounds``. Every host of ``seeds``
-    gets a row.
+    """``host, trust, distrust`` from ``seeds(host, allowed, blocked)`` and ``edges(host, to)``.
+
+    Trust is shared among the hosts linked to. Distrust is a host's blocked share, and for pages
+    without a rule ``follow`` times the mean distrust of the hosts that it links to. Values are
+    scaled so that a host without links keeps its seed. Ends when no value moves by more than
+    ``SETTLED``; raises RuntimeError if it does not within ``rounds``. Every host of ``seeds``
+    gets a row. Counts and ranks are written before they are joined, so that a host with very
+    many links can be split.
     """
-    forward = edges.select(F.lit("trust").alias("kind"), F.col("host").alias("giver"), F.col("to").alias("taker"))
-    backward = edges.select(F.lit("distrust").alias("kind"), F.col("to").alias("giver"), F.col("host").alias("taker"))
-    both = forward.unionByName(backward)
-    shares = both.groupBy("kind", "giver").agg((1 / F.count("*")).alias("share"))
+    edges = stored(edges, "edges")
+    counts = stored(edges.groupBy("host").agg(F.count("*").alias("n_links")), "link-counts")
     open_share = seeds.select("host", (1 - F.col("allowed") - F.col("blocked")).alias("open"))
-    blame = (
-        edges.join(edges.groupBy("host").agg(F.count("*").alias("n")), "host")
-        .join(open_share, "host")
-        .select(
-            F.lit("blame").alias("kind"),
+    counted = edges.join(counts, "host").join(open_share, "host")
+    kinds = F.array(
+        F.struct(
+            F.lit("trust").alias("kind"),
+            F.col("host").alias("giver"),
+            F.col("to").alias("taker"),
+            (1 / F.col("n_links")).alias("share"),
+        ),
+        F.struct(
+            F.lit("distrust").alias("kind"),
             F.col("to").alias("giver"),
             F.col("host").alias("taker"),
-            (F.col("open") / F.col("n")).alias("share"),
-        )
-    )
-    weighted = stored(both.join(shares, ["kind", "giver"]).unionByName(blame), "links")
-    kinds = F.array(
-        F.struct(F.lit("trust").alias("kind"), F.col("allowed").alias("seed")),
-        F.struct(F.lit("distrust").alias("kind"), F.col("blocked").alias("seed")),
-        F.struct(F.lit("blame").alias("kind"), F.col("blocked").alias("seed")),
+            (F.col("open") / F.col("n_links")).alias("share"),
+        ),
     )
-    start = stored(
-        seeds.select(F.col("host").alias("taker"), F.explode(kinds).alias("k"))
-        .select("taker", "k.*")
-        .where("seed > 0"),
-        "seeds",
+    weighted = stored(counted.select(F.inline(kinds)), "links")
+    start = seeds.select(
+        F.col("host").alias("taker"),
+        F.inline(
+            F.array(
+                F.struct(F.lit("trust").alias("kind"), F.col("allowed").alias("seed")),
+                F.struct(F.lit("distrust").alias("kind"), F.col("blocked").alias("seed")),
+            )
+        ),
     )
+    start = stored(start.where("seed > 0"), "starts")
     ranks = start.withColumnRenamed("seed", "rank")
     for _ in range(rounds):
         given = (
@@ -186,6 +200,8 @@ def spread(seeds: DataFrame, edges: DataFrame, follow: float, rounds: int) -> Da
         ranks = new
         if moved is None or moved <= SETTLED:
             break
+    else:
+        raise RuntimeError(f"trust and distrust did not settle in {rounds} rounds")
 
     def of(kind: str) -> DataFrame:
         return ranks.where(F.col("kind") == kind).select(
@@ -196,6 +212,5 @@ def spread(seeds: DataFrame, edges: DataFrame, follow: float, rounds: int) -> Da
         seeds.select("host")
         .join(of("trust"), "host", "left")
         .join(of("distrust"), "host", "left")
-        .join(of("blame"), "host", "left")
-        .na.fill(0.0, ["trust", "distrust", "blame"])
+        .na.fill(0.0, ["trust", "distrust"])
     )
