@@ -218,10 +218,7 @@ def test_paraphrases_and_clean_texts(spark):
         assert all(r.matches == [] for r in none)
 
 
-def test_features_of_many_words_and_their_basis():
-    block = words.Block(pa.array([" ".join(f"w{k}" for k in range(60_000))]), 0)
-    used = np.unique(block.hashes() % np.uint64(decontamination.FEATURES))
-    assert len(used) > 38_000
+def test_basis_is_orthonormal_and_spans():
     rng = np.random.default_rng(2)
     given = rng.standard_normal((5000, 8)).astype(np.float32) * np.float32([1, 9, 1, 1, 30, 1, 1, 2])
     basis = decontamination._orthonormal(given)
@@ -232,7 +229,9 @@ def test_features_of_many_words_and_their_basis():
     assert not decontamination._orthonormal(np.zeros((9, 3), dtype=np.float32)).any()
 
 
-def test_copies_of_2000_items_are_found_beside_repeated_text(spark):
+def planted(n_items: int, every: int):
+    """Items drawn from a skewed vocabulary, and documents with every so many of them: copies,
+    copies beside a repeated word or line of the benchmark's own words, and paraphrases."""
     rng = np.random.default_rng(3)
     vocabulary = np.array([f"v{k}" for k in range(3000)])
     odds = 1 / np.arange(2, 3002)
@@ -241,21 +240,72 @@ def test_copies_of_2000_items_are_found_beside_repeated_text(spark):
     def drawn(n):
         return list(rng.choice(vocabulary, n, p=odds))
 
-    items = {k: drawn(int(rng.integers(12, 60))) for k in range(2000)}
+    items = {k: drawn(int(rng.integers(12, 60))) for k in range(n_items)}
     rows, kinds = [], defaultdict(list)
-    for item in range(0, 2000, 10):
+    for item in range(0, n_items, every):
         own = items[item]
         changed = [f"n{j}" if j % 4 == 0 and j < len(own) - 5 else w for j, w in enumerate(own)]
         line = drawn(6)
         for kind, text in (
             ("copy", drawn(70) + own + drawn(70)),
-            ("word", ["again"] * 40 + own + ["again"] * 40),
+            ("word", ["v0"] * 40 + own + ["v0"] * 40),
             ("line", line * 8 + own + line * 8),
             ("paraphrase", drawn(70) + changed + drawn(70)),
+            ("clean", drawn(200)),
         ):
-            if kind != "paraphrase" or len(own) - sum(a != b for a, b in zip(own, changed)) >= 0.7 * len(own):
-                kinds[kind].append((len(rows), item))
-                rows.append((len(rows), " ".join(text)))
+            kinds[kind].append((len(rows), item))
+            rows.append((len(rows), " ".join(text)))
+    return items, rows, kinds
+
+
+def matched_by_hand(items: dict, rows: list) -> set:
+    """Confirmed pairs over windows of every place and of the lengths that are searched."""
+    found = set()
+    for doc, text in rows:
+        own = np.array([hash(w) for w in text.split()])
+        for item, passage in items.items():
+            p = np.array([hash(w) for w in passage])
+            if len(set(passage) & set(text.split())) < 0.5 * len(set(passage)):
+                continue
+            size = 8 << max(0, math.ceil(math.log2(max(len(p), 1) / 16)))
+            for at in range(0, max(len(own) - 2 * size, 1), size):
+                window = own[at : at + 3 * size]
+                common = decontamination.common_subsequence(p, window)
+                answer = decontamination.common_subsequence(p[-5:], window) == len(p[-5:])
+                if common >= math.ceil(0.8 * len(p) - 1e-9) or (
+                    common >= math.ceil(0.6 * len(p) - 1e-9) and answer
+                ):
+                    found.add((doc, item))
+    return found
+
+
+def test_cosines_pick_what_can_be_confirmed(spark):
+    """The search against all pairs that can be confirmed, and those against brute force."""
+    items, rows, kinds = planted(200, 4)
+    documents = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    benchmark = spark.createDataFrame(
+        [(k, " ".join(own)) for k, own in items.items()], "item_id long, text string"
+    )
+
+    def pairs(**how):
+        matched = decontamination.with_matches(documents, benchmark, **how).collect()
+        return {(r.doc_id, m.item_id) for r in matched for m in r.matches}
+
+    every, found = pairs(exact=True), pairs()
+    assert found <= every and every == matched_by_hand(items, rows)
+    for kind, own in kinds.items():
+        docs = {doc for doc, _ in own}
+        right = {pair for pair in every if pair[0] in docs}
+        assert len(found & right) >= 0.9 * len(right), kind
+        assert kind == "clean" or len(right) >= 0.9 * len(own), kind
+    # Without the latent space there are no candidates.
+    assert pairs(least_cosine=1.01) == set()
+    one = pairs(rank=1)
+    assert one < found
+
+
+def test_copies_of_2000_items_are_found_beside_repeated_text(spark):
+    items, rows, kinds = planted(2000, 10)
     documents = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     benchmark = spark.createDataFrame(
         [(k, " ".join(own)) for k, own in items.items()], "item_id long, text string"
@@ -264,9 +314,28 @@ def test_copies_of_2000_items_are_found_beside_repeated_text(spark):
         r.doc_id: {m.item_id for m in r.matches}
         for r in decontamination.with_matches(documents, benchmark).collect()
     }
+    exact = {
+        r.doc_id: {m.item_id for m in r.matches}
+        for r in decontamination.with_matches(documents, benchmark, exact=True).collect()
+    }
     for kind, pairs in kinds.items():
-        assert len(pairs) >= 100
-        assert all(item in found[doc] for doc, item in pairs), kind
+        right = sum(len(exact[doc]) for doc, _ in pairs)
+        caught = sum(len(exact[doc] & found[doc]) for doc, _ in pairs)
+        assert caught >= 0.9 * right, kind
+        if kind in ("copy", "word", "line"):
+            assert len(pairs) >= 100 and all(item in exact[doc] for doc, item in pairs)
+
+
+def test_passages_at_the_end_of_very_long_texts_are_found(spark):
+    passage = " ".join(f"p{k}" for k in range(30))
+    long = " ".join(f"w{k % 5000}" for k in range(400_000))  # more than one block of text
+    rows = [(1, f"{long} {passage}"), (2, long), (3, f"{passage} {long}"), (4, f"{long} {passage} {long}")]
+    documents = spark.createDataFrame(rows, "doc_id long, text string")
+    benchmark = spark.createDataFrame([(7, passage), (8, "other words")], "item_id long, text string")
+    matched = decontamination.with_matches(documents, benchmark).collect()
+    assert {r.doc_id: [(m.item_id, m.lcs) for m in r.matches] for r in matched} == {
+        1: [(7, 30)], 2: [], 3: [(7, 30)], 4: [(7, 30)]
+    }
 
 
 def test_common_subsequence():
