@@ -32,7 +32,7 @@ from skyvane.llm.storage import bucketed, stored
 ORDER = 3
 STRENGTH = 4.0
 # Tokens of a block; distinct sequences, counted once per block, that are added up together.
-BLOCK_TOKENS = 1_000_000
+BLOCK_TOKENS = 1_500_000
 SHARE_NAMES = 2_000_000
 # Bytes of text that are cut into words at a time.
 SLICE_BYTES = 1 << 20
@@ -173,13 +173,13 @@ class _Places:
         self.n_words = n_words.astype(np.int64)
         self.first = np.concatenate([[0], np.cumsum(self.n_words + 2)])
         n_texts = len(n_words)
-        self.text = np.repeat(np.arange(n_texts), self.n_words + 2)
-        self.word = np.full(self.first[-1], self.end, dtype=np.int64)
+        self.text = np.repeat(np.arange(n_texts, dtype=np.int32), self.n_words + 2)
+        self.word = np.full(self.first[-1], self.end, dtype=np.int32)
         self.word[self.first[:-1]] = self.start
         is_word = np.ones(self.first[-1], dtype=bool)
         is_word[self.first[:-1]] = False
         is_word[self.first[1:] - 1] = False
-        self.word[is_word] = _unpacked(places).astype(np.int64)
+        self.word[is_word] = _unpacked(places).astype(np.int32)
 
     def names(self, order: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """For each length the names of the sequences of that many words that end at each place,
@@ -272,6 +272,18 @@ def _added_up(lists: pa.Table) -> pa.Table:
 # The automaton of a block.
 
 
+def _ranked(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A place of each distinct name, in the order of names, and the rank of the name at each
+    place."""
+    order = np.argsort(names)
+    ordered = names[order]
+    new = np.ones(len(names), dtype=bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    rank = np.empty(len(names), dtype=np.int32)
+    rank[order] = np.cumsum(new, dtype=np.int32) - 1
+    return order[new], rank
+
+
 class Automaton:
     """States with arcs by word, failure arcs and their weights, all sorted arrays."""
 
@@ -279,52 +291,48 @@ class Automaton:
         self.n_words = len(own.hashes)
         self.unseen = -np.log10(float(n + v + 1))
         self.root = 0
-        codes, nexts, weights = [], [], []
-        fails, fail_weights = [np.zeros(1, np.int64)], [np.zeros(1)]
-        at_place = np.zeros(len(own.word), dtype=np.int64)  # the state of the words before
-        base = 1  # the number of the first state of this length
-        before = None
+        size = sum(int(np.count_nonzero(total)) for total in totals)
+        # Longer states have larger numbers, so the arcs of each length follow those before.
+        self.codes = np.empty(size, dtype=np.int64)
+        self.next = np.empty(size, dtype=np.int32)
+        self.weight = np.empty(size)
+        fails, fail_weights = [np.zeros(1, np.int32)], [np.zeros(1)]
+        at_place = np.zeros(len(own.word), dtype=np.int32)  # the state of the words before
+        done, base = 0, 1  # arcs that are there, and the number of the next state
         self.single = np.zeros(0)
         for length, name, there in own.names(order):
-            distinct, first, inverse = np.unique(
-                name[there], return_index=True, return_inverse=True
-            )
             count = totals[length - 1].astype(np.float64)
+            # Which sequence of this length ends at each place, and a place of each sequence.
+            number = np.zeros(len(own.word), dtype=np.int32)
+            first, number[there] = _ranked(name[there])
             place = np.flatnonzero(there)[first]
             if length == 1:
                 chance = (count + 1) / (n + v + 1)
-                self.single = count[inverse]
+                self.single = count[number]
             else:
-                number, counts, chances = before
-                history = counts[number[place - 1]]
-                chance = (count + strength * chances[number[place]]) / (history + strength)
-            seen = count > 0
-            # Which sequence of this length ends at each place.
-            number = np.zeros(len(own.word), dtype=np.int64)
-            number[there] = inverse
-            is_state = length < order
+                history = counts[numbers[place - 1]]
+                chance = (count + strength * chances[numbers[place]]) / (history + strength)
+            seen = np.flatnonzero(count > 0)
             here = place[seen]
             code = self._code(at_place[here - 1] if length > 1 else 0, own.word[here])
             rising = np.argsort(code)
-            codes.append(code[rising])
-            weights.append(np.log10(chance[seen])[rising])
-            if is_state:
-                nexts.append((base + np.flatnonzero(seen))[rising])
-                shorter = np.zeros(len(distinct), np.int64) if length == 1 else at_place[place]
-                fails.append(shorter)
+            arcs = slice(done, done + len(seen))
+            self.codes[arcs] = code[rising]
+            self.weight[arcs] = np.log10(chance[seen[rising]])
+            done += len(seen)
+            if length < order:
+                self.next[arcs] = base + seen[rising]
+                fails.append(np.zeros(len(first), np.int32) if length == 1 else at_place[place])
                 fail_weights.append(np.log10(strength / (count + strength)))
-                at_place = base + number
-                base += len(distinct)
+                at_place = np.int32(base) + number
+                base += len(first)
             else:
-                last = at_place[here] if length > 1 else np.zeros(len(here), np.int64)
-                nexts.append(last[rising])
-            before = number, count, chance
-        # Longer states have larger numbers, so the arcs of each length follow those before.
-        self.codes, self.next, self.weight = map(np.concatenate, (codes, nexts, weights))
+                self.next[arcs] = at_place[here[rising]] if length > 1 else 0
+            numbers, counts, chances = number, count, chance
         self.fail, self.fail_weight = np.concatenate(fails), np.concatenate(fail_weights)
 
     def _code(self, state, word: np.ndarray) -> np.ndarray:
-        return state * self.n_words + word
+        return state * np.int64(self.n_words) + word
 
     def read(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The states after reading one word each, and the log10 probabilities of the words."""
