@@ -77,20 +77,21 @@ def written(
         F.coalesce("html", F.lit("")).alias("html"),
         F.sha1(F.coalesce("html", F.lit(""))).alias("sha"),
     )
-    narrow = own.select("page_id", "sha", F.octet_length("html").alias("n")).distinct()
-    newest = narrow.groupBy("sha").agg(F.max("page_id").alias("newest"))
-    refers = narrow.join(newest, "sha").select(
-        F.col("page_id").alias("key_id"),
-        F.col("sha").alias("key_sha"),
-        F.when(
-            (F.col("n") >= least_revisit_bytes)
-            & ~F.col("page_id").eqNullSafe(F.col("newest")),
-            F.col("newest"),
-        ).alias("refers_to"),
+    # Payloads that are there more than once; written, so that a very frequent one can be split.
+    newest = stored(
+        own.groupBy("sha")
+        .agg(F.count("*").alias("n_rows"), F.max("page_id").alias("newest"))
+        .where("n_rows > 1 AND newest IS NOT NULL")
+        .select("sha", "newest"),
+        "repeated-payloads",
+    )
+    repeats = (F.octet_length("html") >= least_revisit_bytes) & ~F.col("page_id").eqNullSafe(
+        F.col("newest")
     )
-    same = F.col("page_id").eqNullSafe(F.col("key_id")) & (F.col("sha") == F.col("key_sha"))
     folder = shared_folder(pages.sparkSession, "warc")
-    records = own.join(refers, same, "left").select("page_id", "url", "html", "refers_to")
+    records = own.join(newest, "sha", "left").select(
+        "page_id", "url", "html", F.when(repeats, F.col("newest")).alias("refers_to")
+    )
     index = records.mapInArrow(_writer(folder, file_bytes), _schema(_INDEX))
     return stored(index, "warc-index")
 

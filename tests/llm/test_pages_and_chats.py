@@ -228,9 +228,48 @@ def test_trust_runs_until_it_is_settled_or_raises(spark):
         url_filter.verdicts(given, rounds=20)
 
 
-def test_hot_and_hub_hosts_are_split(spark):
+@pytest.fixture
+def small_partitions(spark):
+    """Sizes scaled down, so that a small hot key counts as a large one; nothing is broadcast."""
+    from test_skew import SMALL_PARTITIONS
+
+    before = {name: spark.conf.get(name, None) for name in SMALL_PARTITIONS}
+    for name, value in SMALL_PARTITIONS.items():
+        spark.conf.set(name, value)
+    yield
+    for name, value in before.items():
+        spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def test_equal_payloads_are_split(spark, small_partitions):
+    """Nine in ten pages hold the same payload; nothing is broadcast."""
+    from test_skew import executed
+
+    pages = spark.range(0, 40_000, 1, 8).selectExpr(
+        "id AS page_id",
+        "concat('http://h/', id) AS url",
+        "IF(id % 10 > 0, repeat('same', 20), sha2(CAST(id DIV 20 AS STRING), 256)) AS html",
+    )
+    shown = []
+    write = warc.stored
+
+    def watched(df, purpose):
+        if purpose == "warc-index":
+            shown.append(executed(df)[0])
+        return write(df, purpose)
+
+    warc.stored = watched
+    try:
+        index = warc.written(pages).collect()
+    finally:
+        warc.stored = write
+    assert "skew=true" in shown[0] and len(index) == 40_000
+    assert sum(r.record_type == "response" for r in index) == 1 + 2000
+
+
+def test_hot_and_hub_hosts_are_split(spark, small_partitions):
     """Nine in ten pages are of one host, which links to all others; nothing is broadcast."""
-    from test_skew import SMALL_PARTITIONS, executed
+    from test_skew import executed
 
     pages = spark.range(0, 60_000, 1, 8).selectExpr(
         "id AS page_id",
@@ -240,14 +279,7 @@ def test_hot_and_hub_hosts_are_split(spark):
     host, path = url_filter.url_parts(F.col("url"))
     parts = pages.select("page_id", host.alias("host"), path.alias("path"), url_filter._links())
     n_links = url_filter._edges(url_filter._with_rule(parts, url_filter.RULES)).count()
-    before = {name: spark.conf.get(name, None) for name in SMALL_PARTITIONS}
-    for name, value in SMALL_PARTITIONS.items():
-        spark.conf.set(name, value)
-    try:
-        shown, rows = executed(url_filter.verdicts(pages))
-    finally:
-        for name, value in before.items():
-            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+    shown, rows = executed(url_filter.verdicts(pages))
     assert "skew=true" in shown and len(rows) == 60_000 and n_links == 6000
     assert {r.verdict for r in rows} == {"allow"}
 
