@@ -216,7 +216,8 @@ def _distance() -> Column:
 def _concentrated(rows: DataFrame, estimate: DataFrame, share: float) -> DataFrame:
     """Mean and inverse Cholesky factor of the rows nearest by ``estimate``."""
     near = rows.join(estimate, _GROUP).withColumn("bin", _binned(_distance()))
-    limit = _reached(near, _GROUP, share)
+    # Written, one row a group: a group may hold a third of all rows that it is joined to.
+    limit = stored(_reached(near, _GROUP, share), "limits")
     away = {i: F.col(x) - F.col(f"m_{i}") for i, x in enumerate(_NAMES)}
     moments = (
         near.join(limit, _GROUP)
@@ -278,6 +279,6 @@ def _scaled(rows: DataFrame, estimate: DataFrame) -> DataFrame:
     """The estimate with the ``unit`` that gives a group's median row the expected distance.
     A unit is at least 1, so that statistics that hardly vary are not stretched."""
     binned = rows.join(estimate, _GROUP).withColumn("bin", _binned(_distance()))
-    middle = _reached(binned, _GROUP, 0.5)
+    middle = stored(_reached(binned, _GROUP, 0.5), "middles")
     unit = F.greatest(F.lit(1.0), F.pow(F.lit(2.0), F.col("reached") / 16) / CHI_SQUARE_MEDIAN)
-    return estimate.join(middle.select(*_GROUP, unit.alias("unit")), _GROUP)
+    return stored(estimate.join(middle.select(*_GROUP, unit.alias("unit")), _GROUP), "units")
