@@ -18,10 +18,10 @@ LEAST_SCORE = 0.4
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language: some letter, and a prediction that is not a guess."""
-    into = ("_stage_lang", "_stage_score")
-    predicted = language_id.with_language(docs, language_id.fit(docs), into)
-    known = (F.col(into[0]) != language_id.UNDETERMINED) & (F.col(into[1]) >= LEAST_SCORE)
-    return predicted.where(known).select(*docs.columns)
+    packed = docs.select(F.struct("*").alias("document"), "text")
+    predicted = language_id.with_language(packed, language_id.fit(docs))
+    known = (F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)
+    return predicted.where(known).select("document.*")
 
 
 def well_formed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,28 +35,27 @@ def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     smallest text stays; rows without doc_id stay."""
     found = near_dedup.near_duplicates(docs)
     keep = found.where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    packed = docs.select("doc_id", "text", F.struct("*").alias("document"))
     first = Window.partitionBy("doc_id").orderBy("text")
-    one = (
-        docs.join(keep, "doc_id", "left_semi")
-        .withColumn("_stage_place", F.row_number().over(first))
-        .where("_stage_place = 1")
-        .select(*docs.columns)
-    )
-    return one.unionByName(docs.where("doc_id IS NULL"))
+    one = packed.join(keep, "doc_id", "left_semi").withColumn("place", F.row_number().over(first))
+    rest = packed.where("doc_id IS NULL")
+    return one.where("place = 1").unionByName(rest, allowMissingColumns=True).select("document.*")
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    matched = decontamination.with_matches(docs, benchmark, "_stage_matches")
-    return matched.where(F.size("_stage_matches") == 0).select(*docs.columns)
+    packed = docs.select("doc_id", "text", F.struct("*").alias("document"))
+    matched = decontamination.with_matches(packed, benchmark)
+    return matched.where(F.size("matches") == 0).select("document.*")
 
 
 def sampled(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents drawn for the target shares, with their weight."""
     packed = docs.select(F.struct("*").alias("document"), "doc_id", "text", "lang", "source")
     drawn = mixing.mixed(packed, carry=["document"]).where("selected")
-    others = [F.col("document")[name].alias(name) for name in docs.columns if name != "weight"]
+    own = [name for name in docs.columns if name.lower() != "weight"]
+    others = [F.col("document")[name].alias(name) for name in own]
     return drawn.select(*others, "weight")
 
 
