@@ -368,3 +368,19 @@ def test_pipeline_keeps_what_it_should(spark, odd_documents):
     first = corpus_pipeline.deduplicated(spark, odd_documents, SMALL)
     ids = [r.doc_id for r in first.collect()]
     assert ids.count(1) == 1 and 2 not in ids and ids.count(None) == 2
+
+
+def test_stages_keep_columns_with_clashing_names(spark, odd_documents):
+    """Names that stages and operators use inside, also in another case."""
+    names = ["Weight", "_stage_place", "document", "lang_pred", "place", "Matches", "probability"]
+    given = odd_documents.drop("score", "kept", "node", "matches", "row", "topic", "weight").selectExpr(
+        "*", *(f"CONCAT('{name} of ', doc_id) AS `{name}`" for name in names)
+    )
+    for name, stage in corpus_pipeline.STAGES:
+        kept = stage(spark, given, SMALL)
+        own = [c for c in given.columns if name != "mixing" or c != "Weight"]
+        assert kept.columns == [*own, "weight"] if name == "mixing" else kept.columns == own, name
+        for row in kept.select("doc_id", *(c for c in names if c in own)).collect():
+            for c in row.asDict():
+                if c != "doc_id" and row.doc_id is not None:
+                    assert row[c] == f"{c} of {row.doc_id}", name
