@@ -1,26 +1,31 @@
 """Mixing documents to target shares of tokens by iterative proportional fitting.
 
 Token counts per (source, language, topic) cell are raked: scaled to the target shares of
-sources, then of languages, then of topics, again and again. A cell's calibrated weight is what
-it should hold of the mix; a document is drawn with the probability that gives its cell that
-many tokens. Cells that would need more than all of their documents are taken whole, and what
-they lack is shared among the others. Drawing compares the probability with a hash of the id,
-so it gives the same documents however often and wherever it runs.
+topics, then of languages, then of sources, again and again until nothing moves. A cell's
+calibrated weight is what it should hold of the mix; a document is drawn with the probability that
+gives its cell that many tokens. A cell cannot give more than all of its documents: in each
+scaling such cells are taken whole and the others of the same value make up for them. Sources
+and languages come last, so their shares hold wherever the documents allow it, and topics give
+way; ``shares`` shows what was met. Drawing compares the probability with a hash of the id, so it
+gives the same documents however often and wherever it runs.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyvane.llm.storage import stored
 
-DIMENSIONS = ("source", "lang", "topic")
+DIMENSIONS = ("topic", "lang", "source")
 # Without given shares a dimension's target is its observed shares to this power, rescaled.
 FLATTEN = 0.7
-ROUNDS = 8
 KEEP = 0.5
-FILL_ROUNDS = 6
+# The share of the mix that a round may still move when the raking is settled; rounds it may take.
+SETTLED = 1e-4
+ROUNDS = 100
 SEED = "mix"
 NOTHING = "(none)"
 
@@ -43,7 +48,6 @@ def mixed(
     targets: dict[str, dict[str, float]] | None = None,
     keep: float = KEEP,
     rounds: int = ROUNDS,
-    fill_rounds: int = FILL_ROUNDS,
     flatten: float = FLATTEN,
     seed: str = SEED,
     carry: list[str] | None = None,
@@ -57,7 +61,7 @@ def mixed(
     their own; a text without words has no tokens and is drawn as its cell is, a cell without
     tokens never. Repeated rows are drawn alike; a row without doc_id is drawn by its text. Of
     the input's columns those in ``carry`` are returned, else all; any named like an added one
-    are replaced.
+    are replaced. Raises RuntimeError if the raking does not settle within ``rounds``.
     """
     added = ["topic", "tokens", "probability", "weight", "selected"]
     carried = [c for c in (documents.columns if carry is None else carry) if c not in added]
@@ -73,9 +77,9 @@ def mixed(
         drawn(key, seed).alias("drawn"),
     )
     cells = stored(rows.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")), "cells")
-    wanted = stored(calibrated(cells, targets or {}, keep, rounds, fill_rounds, flatten), "mix")
+    wanted = stored(calibrated(cells, targets or {}, keep, rounds, flatten), "mix")
     return (
-        rows.join(wanted, list(DIMENSIONS))
+        rows.join(wanted.select(*DIMENSIONS, "probability"), list(DIMENSIONS))
         .withColumn("selected", F.col("drawn") < F.col("probability"))
         .select(
             *(F.col("row")[c].alias(c) for c in carried),
@@ -99,52 +103,71 @@ def calibrated(
     targets: dict[str, dict[str, float]],
     keep: float,
     rounds: int,
-    fill_rounds: int,
     flatten: float,
 ) -> DataFrame:
-    """The dimensions and ``probability`` of each of the ``cells``."""
+    """The dimensions, ``tokens``, ``probability`` and target shares of each of the ``cells``."""
     total = cells.agg(F.coalesce(F.sum("tokens"), F.lit(0)).cast("double")).first()[0]
-    fitted = cells.where("tokens > 0").withColumn("mass", F.col("tokens") / F.lit(total))
+    own = F.col("tokens") / F.lit(total)
+    fitted = cells.where("tokens > 0").withColumns({"mass": own, "most": own / keep})
     for name in DIMENSIONS:
         share = _target(cells, name, targets.get(name), total, flatten)
         fitted = fitted.join(share.withColumnRenamed("share", f"{name}_share"), name)
     fitted = stored(fitted, "fitted")
     for _ in range(rounds):
-        fitted = stored(_raked(fitted), "fitted")
-    # How many tokens a unit of mass stands for, once full cells give no more than they have.
-    unit = keep * total
-    for _ in range(fill_rounds):
-        full = F.col("mass") * unit >= F.col("tokens")
-        taken, free = fitted.agg(
-            F.coalesce(F.sum(F.when(full, F.col("tokens"))), F.lit(0)),
-            F.coalesce(F.sum(F.when(~full, F.col("mass"))), F.lit(0.0)),
-        ).first()
-        if free <= 0:
-            break
-        before, unit = unit, (keep * total - taken) / free
-        if unit == before:
+        fitted = stored(_raked(fitted.withColumn("before", F.col("mass"))), "fitted")
+        moved = fitted.agg(F.sum(F.abs(F.col("mass") - F.col("before")))).first()[0]
+        if moved is None or moved <= SETTLED:
             break
-    own = F.least(F.lit(1.0), F.col("mass") * unit / F.col("tokens"))
-    return cells.join(
-        fitted.select(*DIMENSIONS, own.alias("probability")), list(DIMENSIONS), "left"
-    ).select(*DIMENSIONS, F.coalesce("probability", F.lit(0.0)).alias("probability"))
+    else:
+        raise RuntimeError(f"the shares did not settle in {rounds} rounds")
+    known = fitted.select(
+        *DIMENSIONS,
+        F.least(F.lit(1.0), F.col("mass") / F.col("most")).alias("probability"),
+        *(f"{name}_share" for name in DIMENSIONS),
+    )
+    return cells.join(known, list(DIMENSIONS), "left").withColumn(
+        "probability", F.coalesce("probability", F.lit(0.0))
+    )
 
 
 def _raked(fitted: DataFrame) -> DataFrame:
-    """One round: masses scaled to the shares of sources, languages and topics in turn.
+    """One round: masses scaled to the shares of topics, languages and sources in turn.
 
-    A source has at most a cell per language and topic, so its sum is taken beside its cells. A
-    language or topic may hold most cells; its sum is pre-aggregated and joined.
+    What lacks something grows by its cells that are not taken whole. A value may hold most
+    cells; its sums are pre-aggregated and joined.
     """
-    held = F.sum("mass").over(Window.partitionBy("source"))
-    fitted = fitted.withColumn("mass", F.col("mass") * (F.col("source_share") / held))
-    for name in DIMENSIONS[1:]:
-        sums = fitted.groupBy(name).agg(F.sum("mass").alias("held"))
-        scaled = F.col("mass") * (F.col(f"{name}_share") / F.col("held"))
-        fitted = fitted.join(sums, name).withColumn("mass", scaled).drop("held")
+    columns = fitted.columns
+    full = F.col("mass") >= F.col("most") * (1 - 1e-12)
+    for name in DIMENSIONS:
+        sums = fitted.groupBy(name).agg(
+            F.sum("mass").alias("held"), F.sum(F.when(full, F.col("mass")).otherwise(0.0)).alias("whole")
+        )
+        share = F.col(f"{name}_share")
+        less = F.col("mass") * share / F.col("held")
+        more = F.col("mass") * F.try_divide(share - F.col("whole"), F.col("held") - F.col("whole"))
+        scaled = (
+            F.when(share <= F.col("held"), less).when(full, F.col("mass")).otherwise(more)
+        )
+        mass = F.least(F.col("most"), F.coalesce(scaled, F.col("mass")))
+        fitted = fitted.join(sums, name).withColumn("mass", mass).select(*columns)
     return fitted
 
 
+def shares(wanted: DataFrame) -> DataFrame:
+    """``dimension, value, target, expected``: the share of the mix's tokens that each source,
+    language and topic was to have and that it gets, from the table that ``calibrated`` gives.
+    What cannot be met is where the two differ."""
+    tokens = F.col("tokens") * F.col("probability")
+    whole = wanted.agg(F.sum(tokens)).scalar()
+    parts = [
+        wanted.where("tokens > 0")
+        .groupBy(F.lit(name).alias("dimension"), F.col(name).alias("value"))
+        .agg(F.max(f"{name}_share").alias("target"), (F.sum(tokens) / whole).alias("expected"))
+        for name in DIMENSIONS
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def _target(
     cells: DataFrame, name: str, given: dict[str, float] | None, total: float, flatten: float
 ) -> DataFrame:
