@@ -22,6 +22,9 @@ from skyvane.llm import (
     warc,
     whitening,
 )
+from skyvane.llm.oracles import ORACLES
+
+__all__ = ["ORACLES", "QUERIES"]
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -126,4 +129,3 @@ QUERIES: dict[str, Query] = {
         op13_token_counts,
     )
 }
-ORACLES: dict[str, str] = {}
