@@ -1,14 +1,17 @@
 """Predictions of a stored tree model without the library that fitted it.
 
-The stored nodes are read as a table, and a row descends them by expressions: the scaled features
-of a row are compared with the threshold of the node it is at until it stands on a leaf.
+The stored nodes are read as a table, and rows descend them a batch at a time: the scaled features
+of each row are compared with the threshold of the node it is at until it stands on a leaf.
 """
 
 from __future__ import annotations
 
 import json
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LEAF = -1
@@ -49,43 +52,71 @@ def _scaling(spark: SparkSession, folder: str) -> tuple[list[float], list[float]
     return list(row.mean), [1 / std if std else 0.0 for std in row.std]
 
 
+@dataclass(frozen=True)
+class Tree:
+    """Nodes by their number; a leaf is its own child, so that a row which is there stays."""
+
+    weight: float
+    feature: np.ndarray
+    threshold: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+    prediction: np.ndarray
+
+    def values(self, features: list[np.ndarray], depth: int) -> np.ndarray:
+        """The prediction for each row of the columns ``features``."""
+        table, row = np.stack(features), np.arange(len(features[0]))
+        at = np.zeros(len(row), dtype=np.int32)
+        for _ in range(depth):
+            goes_left = table[self.feature[at], row] <= self.threshold[at]
+            at = np.where(goes_left, self.left[at], self.right[at])
+        return self.prediction[at]
+
+
+def _trees(spark: SparkSession, folder: str) -> list[Tree]:
+    nodes = node_table(spark, folder).orderBy("tree", "node").toArrow()
+    column = {name: nodes[name].to_numpy() for name in nodes.column_names}
+    begins = np.flatnonzero(np.diff(column["tree"], prepend=-1))
+    trees = []
+    for begin, stop in zip(begins, [*begins[1:], len(nodes)]):
+        own = {name: values[begin:stop] for name, values in column.items()}
+        here, is_leaf = np.arange(stop - begin, dtype=np.int32), own["left"] == LEAF
+        trees.append(
+            Tree(
+                float(own["weight"][0]),
+                np.where(is_leaf, 0, own["feature"]),
+                np.where(is_leaf, 0.0, own["threshold"]),
+                np.where(is_leaf, here, own["left"]),
+                np.where(is_leaf, here, own["right"]),
+                own["prediction"],
+            )
+        )
+    return trees
+
+
 def predicted(
     spark: SparkSession, folder: str, rows: DataFrame, features: list[str], name: str = "prediction"
 ) -> DataFrame:
     """``rows`` with the prediction of the pipeline stored in ``folder``. A missing feature is
-    no number and goes right, as in the library. The trees are one value, as large as the stored
+    no number and goes right, as in the library. The trees are broadcast, as large as the stored
     nodes, whose number the depth and the number of trees bound."""
-    columns = ("node", "feature", "threshold", "left", "right", "prediction")
-    trees = (
-        node_table(spark, folder)
-        .groupBy("tree", "weight")
-        .agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("nodes"))
-        .groupBy()
-        .agg(F.array_sort(F.collect_list(F.struct("tree", "weight", "nodes"))).alias("trees"))
-        .scalar()
-    )
+    trees = spark.sparkContext.broadcast(_trees(spark, folder))
     is_sum = "GBT" in _metadata(spark, _stages(spark, folder)[-1])["class"]
     means, scales = _scaling(spark, folder)
     known = [F.coalesce(F.col(feature).cast("double"), F.lit(float("nan"))) for feature in features]
-    scaled = F.array(*((x - mean) * scale for x, mean, scale in zip(known, means, scales)))
+    scaled = [(x - mean) * scale for x, mean, scale in zip(known, means, scales)]
     depth = _depth(spark, folder)
-    kept = rows.columns
-    row = rows.withColumns({"_scaled": scaled, "_trees": trees})
-    parts = F.transform("_trees", lambda tree: tree["weight"] * _descended(tree["nodes"], depth))
-    total = F.aggregate(parts, F.lit(0.0), lambda sum_, part: sum_ + part)
-    return row.withColumn(name, total if is_sum else total / F.size("_trees")).select(*kept, name)
-
 
-def _depth(spark: SparkSession, folder: str) -> int:
-    return int(_metadata(spark, _stages(spark, folder)[-1])["paramMap"]["maxDepth"])
+    @F.arrow_udf("double")
+    def descended(*columns: pa.Array) -> pa.Array:
+        held = [column.to_numpy(zero_copy_only=False) for column in columns]
+        total = np.zeros(len(held[0]))
+        for tree in trees.value:
+            total += tree.weight * tree.values(held, depth)
+        return pa.array(total if is_sum else total / len(trees.value))
 
+    return rows.withColumn(name, descended(*scaled))
 
-def _descended(nodes: Column, depth: int) -> Column:
-    def below(at: Column, _: Column) -> Column:
-        node = F.get(nodes, at)
-        goes_left = F.get(F.col("_scaled"), node["feature"]) <= node["threshold"]
-        child = F.when(goes_left, node["left"]).otherwise(node["right"])
-        return F.when(node["left"] == LEAF, at).otherwise(child)
 
-    leaf = F.aggregate(F.sequence(F.lit(1), F.lit(depth)), F.lit(0), below) if depth else F.lit(0)
-    return F.get(nodes, leaf)["prediction"]
+def _depth(spark: SparkSession, folder: str) -> int:
+    return int(_metadata(spark, _stages(spark, folder)[-1])["paramMap"]["maxDepth"])

@@ -215,6 +215,17 @@ def test_descent_equals_the_library_on_odd_rows(spark, fitted, tmp_path):
         }
 
 
+def test_descent_takes_rows_by_the_batch(spark, fitted, tmp_path):
+    """No node of a tree is looked up by an expression of its own row."""
+    folder = str(tmp_path / "model")
+    forecast.saved_model(fitted.model, folder)
+    rows = forecast.with_features(series(spark, 30))
+    own = trees.predicted(spark, folder, rows, forecast.FEATURES)
+    assert own.columns == [*rows.columns, "prediction"]
+    assert "lambda" not in own._jdf.queryExecution().toString()
+    assert trees.predicted(spark, folder, rows.limit(0), forecast.FEATURES).count() == 0
+
+
 def test_registry_follows_the_newest_model(spark, fitted, tmp_path):
     registry = ModelRegistry(spark, str(tmp_path / "registry"))
     lacking = forecast.retrain(series(spark, 10), AS_OF)
