@@ -226,6 +226,20 @@ def test_descent_takes_rows_by_the_batch(spark, fitted, tmp_path):
     assert trees.predicted(spark, folder, rows.limit(0), forecast.FEATURES).count() == 0
 
 
+def test_parts_of_a_fit_are_not_those_of_the_shuffle(spark):
+    """Every part sums up all nodes of a level, so that their number makes the work."""
+    seen = []
+
+    class Watched:
+        def fit(self, rows):
+            seen.append(rows.rdd.getNumPartitions())
+            return forecast.forest(forecast.FEATURES).fit(rows)
+
+    pairs = forecast.training_pairs(series(spark, 400)).repartition(2 * forecast.PARTS, "data_id")
+    training = forecast.train(pairs, AS_OF, "all", pipeline=Watched())
+    assert seen == [forecast.PARTS] and training.run.first().data_points == 399
+
+
 def test_registry_follows_the_newest_model(spark, fitted, tmp_path):
     registry = ModelRegistry(spark, str(tmp_path / "registry"))
     lacking = forecast.retrain(series(spark, 10), AS_OF)
