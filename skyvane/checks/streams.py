@@ -262,19 +262,24 @@ def _live_update(with_model: bool):
     return run
 
 
+# Files that a micro-batch takes. Answers land in as many tasks for each of two micro-batches.
+FILES = 12
+
+
 def _from_landed_answers(spark, folder: str):
-    """The live update over landed JSON answers, a file a micro-batch, stopped when half of them
-    are taken and resumed. The second half is late: its readings lie between those of the first."""
+    """The live update over landed JSON answers, a quarter of the files a micro-batch, stopped when
+    half of them are taken and resumed. The second half is late: its readings lie between those of
+    the first."""
     answers = landed_payloads(driver_tables(spark, folder).weather)
     landing = shared_folder(spark, "landing")
 
     def land(rows: DataFrame) -> None:
-        rows.repartition(2, "reading_id").write.mode("append").option(
+        rows.repartition(2 * FILES, "reading_id").write.mode("append").option(
             "timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
         ).json(landing)
 
     land(answers.where("reading_id % 2 = 0"))
-    stream = payloads.readings(payloads.landed_stream(spark, landing, files_per_batch=1))
+    stream = payloads.readings(payloads.landed_stream(spark, landing, files_per_batch=FILES))
     table, latest, feed, update = _live(spark, folder, stream)
     update()
     land(answers.where("reading_id % 2 = 1"))

@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 from skyvane import schemas
 from skyvane.operators import forecast, joins, rules
 from skyvane.operators.windows import newest_by
-from skyvane.session import checkpointed
+from skyvane.session import checkpointed, settled
 from skyvane.sources import sinks
 from skyvane.sources.committed import CommittedTable, LatestReadings, Versions
 
@@ -261,7 +261,8 @@ def live_update(
 
     def update(batch: DataFrame, batch_id: int) -> None:
         key = batch_key(batch.sparkSession, state, batch_id)
-        kept = joins.tracked_readings(batch, current_locations()).persist()
+        locations = settled(current_locations(), "locations")
+        kept = joins.tracked_readings(batch, locations).persist()
         try:
             table.append(sinks.storable(kept), key)
             if latest is not None:

@@ -125,3 +125,33 @@ def test_one_band_of_values_and_one_threshold_are_spread(spark):
         assert r.trips == n - round((r.threshold - 30) * n)
         assert r.peak == 30 + (n - 1) / n
         assert r.last_tripped_at - r.first_tripped_at == datetime.timedelta(seconds=r.trips - 1)
+
+
+def test_rules_with_equal_thresholds_are_laid_out_once(spark):
+    row = F.col("id")
+    readings = spark.range(100).select(
+        F.lit("hot").alias("location"),
+        (F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(secs=row)).alias("recorded_at"),
+        row.cast("double").alias("temperature"),
+        F.lit(1.0).alias("wind_speed"),
+        F.lit(None).cast("double").alias("precipitation"),
+    )
+    placed = spark.range(5000).select(
+        (row % 4999).alias("alert_id"),  # one comes twice
+        row.alias("user_id"),
+        *(F.lit("x").alias(name) for name in ("username", "alert_type", "severity", "message")),
+        F.lit("hot").alias("location"),
+        F.when(row % 2 == 0, 30.0).otherwise(98.5).alias("temperature_limit"),
+        F.lit(1.0).alias("wind_speed_limit"),
+        F.lit(0.0).alias("precipitation_limit"),
+    )
+    # 101 values and 4 thresholds, however many rules there are
+    assert rules.history_pieces(placed, readings).count() == 105
+    hits = rules.trip_history(placed, readings)
+    counts = hits.groupBy("metric", "threshold", "trips", "peak").count().collect()
+    assert {tuple(r) for r in counts} == {
+        ("temperature", 30.0, 70, 99.0, 2500),
+        ("temperature", 98.5, 1, 99.0, 2500),
+        ("wind_speed", 1.0, 100, 1.0, 5000),
+    }
+    assert hits.where("alert_id = 0").count() == 4

@@ -229,6 +229,16 @@ def test_latest_is_kept_over_batches_and_late_readings(spark, tmp_path):
     assert kept_is_latest(own)
 
 
+def test_a_batch_is_not_shuffled_to_few_locations(spark, tmp_path):
+    """Its one task stores one file, where each location was a task of its own."""
+    own = Live(spark, tmp_path)
+    own.places = spark.createDataFrame([(f"p{i}",) for i in range(30)], "location STRING")
+    land(tmp_path / "in", "a.json", [(i, f"p{i}", 20.0, i) for i in range(40)])
+    own.update()
+    assert own.stored() == list(range(30))
+    assert len(list((tmp_path / "table" / "data").rglob("*.parquet"))) == 1
+
+
 def test_a_batch_that_runs_again_changes_nothing(spark, tmp_path):
     """The stream's record of its last batch is lost, as if the job had died just before it."""
     own = Live(spark, tmp_path)
