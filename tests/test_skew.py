@@ -155,3 +155,33 @@ def test_rules_with_equal_thresholds_are_laid_out_once(spark):
         ("wind_speed", 1.0, 100, 1.0, 5000),
     }
     assert hits.where("alert_id = 0").count() == 4
+
+
+def test_rules_are_placed_once_for_thresholds_and_totals(spark):
+    """What gives the rules, a join and parsed text, is not done again for each use of them."""
+    taken = spark.sparkContext.accumulator(0)
+
+    def limit(alert_id):
+        taken.add(1)
+        return 30.0 + alert_id % 3
+
+    row = F.col("id")
+    placed = spark.range(60).select(
+        row.alias("alert_id"),
+        row.alias("user_id"),
+        *(F.lit("x").alias(name) for name in ("username", "alert_type", "severity", "message")),
+        F.lit("hot").alias("location"),
+        F.udf(limit, "double")("id").alias("temperature_limit"),
+        F.lit(None).cast("double").alias("wind_speed_limit"),
+        F.lit(None).cast("double").alias("precipitation_limit"),
+    )
+    readings = spark.range(2).select(
+        F.lit("hot").alias("location"),
+        F.lit("2024-01-01").cast("timestamp").alias("recorded_at"),
+        (row + 30).cast("double").alias("temperature"),
+        F.lit(1.0).alias("wind_speed"),
+        F.lit(None).cast("double").alias("precipitation"),
+    )
+    hits = rules.trip_history(placed, readings).collect()
+    assert sorted((r.threshold, r.trips) for r in hits) == [(30.0, 2)] * 20 + [(31.0, 1)] * 20
+    assert taken.value == 60
