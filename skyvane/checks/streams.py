@@ -11,6 +11,7 @@ from skyvane.checks.base_views import LATEST, LIMITS, PARSED, TRIPS, landed_payl
 from skyvane.checks.models import KNOWN, trained
 from skyvane.checks.registry import PLACE, register, register_all, register_same
 from skyvane.checks.relational import READING_COLUMNS
+from skyvane.functions.times import iso_text
 from skyvane.operators import aggregates, rules
 from skyvane.plans import alerts, dashboard, profiles
 from skyvane.session import shared_folder
@@ -36,7 +37,7 @@ from skyvane.sources.tables import (
 from skyvane.streaming import readings as live
 
 FEED = "event STRING, payload STRING"
-TRIPPED = "alert_id BIGINT, metric STRING, trips BIGINT, peak DOUBLE, timestamp STRING"
+TRIPPED = "alert_id BIGINT, metric STRING, trips BIGINT, peak DOUBLE, timestamp TIMESTAMP_NTZ"
 
 
 def _stream(spark: SparkSession, folder: str, name: str, columns: str) -> DataFrame:
@@ -299,20 +300,33 @@ def _landed_latest(spark, folder: str) -> DataFrame:
     return _without_zone(_from_landed_answers(spark, folder)[1].rows())
 
 
-def _landed_feed(spark, folder: str) -> DataFrame:
-    """The feed, with the alerts of all micro-batches put together."""
-    _, _, feed = _from_landed_answers(spark, folder)
-    rows = feed.rows()
-    tripped = (
-        rows.where("event = 'alert_tripped'")
-        .withColumn("own", F.from_json("payload", TRIPPED))
-        .groupBy("event", "own.alert_id", "own.metric")
+def _put_together(tripped: DataFrame) -> DataFrame:
+    """One row per alert and metric. Times are compared as such and not as text, so that rows are
+    hashed and not sorted."""
+    return (
+        tripped.select(F.from_json("payload", TRIPPED).alias("own"))
+        .groupBy("own.alert_id", "own.metric")
         .agg(
             F.sum("own.trips").alias("trips"),
             F.max("own.peak").alias("peak"),
             F.max("own.timestamp").alias("last_at"),
         )
+        .select(
+            F.lit("alert_tripped").alias("event"),
+            "alert_id",
+            "metric",
+            "trips",
+            "peak",
+            iso_text(F.col("last_at")).alias("last_at"),
+        )
     )
+
+
+def _landed_feed(spark, folder: str) -> DataFrame:
+    """The feed, with the alerts of all micro-batches put together."""
+    _, _, feed = _from_landed_answers(spark, folder)
+    rows = feed.rows()
+    tripped = _put_together(rows.where("event = 'alert_tripped'"))
     others = rows.where("event != 'alert_tripped'").select("event", "payload")
     return others.unionByName(tripped, allowMissingColumns=True)
 

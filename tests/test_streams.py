@@ -8,6 +8,7 @@ from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from skyvane import schemas
+from skyvane.checks import streams as checks
 from skyvane.operators import joins, rules, windows
 from skyvane.sources import payloads, sinks
 from skyvane.sources.committed import (
@@ -206,6 +207,22 @@ def test_live_update_stores_publishes_and_warns(spark, tmp_path):
     assert "prediction" not in published
 
 
+def test_alerts_of_a_feed_are_put_together_without_a_sort(spark):
+    at = "2024-01-01T10:00:0"
+    rows = [(7, "wind_speed", 2, 61.5, at + "5"), (7, "wind_speed", 3, 60.0, at + "9")]
+    rows += [(7, "precipitation", 1, 12.0, None), (8, "wind_speed", 1, 55.0, at + "1")]
+    names = ("alert_id", "metric", "trips", "peak", "timestamp")
+    texts = [("alert_tripped", json.dumps(dict(zip(names, row)))) for row in rows]
+    own = checks._put_together(spark.createDataFrame(texts, "event STRING, payload STRING"))
+    assert sorted(map(tuple, own.drop("event").collect()), key=str) == [
+        (7, "precipitation", 1, 12.0, None),
+        (7, "wind_speed", 5, 61.5, at + "9"),
+        (8, "wind_speed", 1, 55.0, at + "1"),
+    ]
+    planned = own._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in planned and "Sort" not in planned
+
+
 def kept_is_latest(own):
     kept = sorted(own.latest.rows().collect(), key=str)
     found = windows.latest_per_location(own.table.rows().drop("recorded_date"))
