@@ -9,7 +9,8 @@ documents, those with the smallest hash of their id, and fewer of each where all
 together would have more than ``MOST_DOCUMENTS``. Every word and n-gram of the sample is kept.
 The model holds them as sorted 64-bit hashes, with a log frequency for each language that has
 them; the other languages share one value, so its size follows the sample and not the product
-of words and languages.
+of words and languages. Texts are judged in blocks of ``_PART`` characters, in which each distinct
+word is looked up once.
 """
 
 from __future__ import annotations
@@ -36,9 +37,11 @@ EVIDENCE_WORDS = 20
 UNDETERMINED = "und"
 
 _WORD = re.compile(r"[^\W\d_]+")
+_NO_LETTER = re.compile(r"[\W\d_]")
 _SMALLEST = 0.5
-_KNOWN_UNSEEN = 200_000
-_WORDS_AT_ONCE = 2000
+# Characters of text and sums that are laid out at once.
+_PART = 1 << 18
+_CELLS = 1 << 18
 
 
 class Places:
@@ -52,7 +55,10 @@ class Places:
 
     def rows(self, items: list[str]) -> np.ndarray:
         """The row of each item, or -1."""
-        code = hashes(items)
+        return self.rows_of(hashes(items))
+
+    def rows_of(self, code: np.ndarray) -> np.ndarray:
+        """The row of each hash, or -1."""
         if not len(self.codes):
             return np.full(len(code), -1)
         at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
@@ -76,14 +82,37 @@ class Logs:
 
     def summed(self, rows, into: np.ndarray, times: np.ndarray, n: int) -> np.ndarray:
         """``n`` sums, one line each, of the rows ``times`` their factors."""
-        rows = np.asarray(rows, dtype=np.int64)
-        sizes = self.first[rows + 1] - self.first[rows]
-        own = np.repeat(np.arange(len(rows)), sizes)
-        at = np.arange(len(own)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + self.first[rows][own]
-        cell = into[own] * len(self.absent) + self.lang[at]
-        sums = np.bincount(cell, times[own] * self.more[at], n * len(self.absent))
         weights = np.bincount(into, times, n)
-        return sums.reshape(n, -1) + weights[:, None] * self.absent
+        return self._above_absent(rows, into, times, n) + weights[:, None] * self.absent
+
+    def means(self, rows, into: np.ndarray, n: int) -> Logs:
+        """``n`` rows, the means of these ones."""
+        share = 1 / np.maximum(np.bincount(into, minlength=n), 1)
+        more = self._above_absent(rows, into, share[into], n).ravel()
+        at = np.flatnonzero(more)
+        size = len(self.absent)
+        return Logs(np.searchsorted(at, np.arange(n + 1) * size), at % size, more[at], self.absent)
+
+    def _above_absent(self, rows, into: np.ndarray, times: np.ndarray, n: int) -> np.ndarray:
+        rows = np.asarray(rows, dtype=np.int64)
+        ends = np.cumsum(self.first[rows + 1] - self.first[rows])
+        sums = np.zeros(n * len(self.absent))
+        done, total = 0, 0
+        # So many entries at a time, or those of one row, bound what is laid out.
+        while done < len(rows):
+            upto = max(int(np.searchsorted(ends, total + _CELLS, side="right")), done + 1)
+            part = slice(done, upto)
+            own, at = _laid_out(self.first[rows[part]], np.diff(ends[part], prepend=total))
+            cell = into[part][own] * len(self.absent) + self.lang[at]
+            sums += np.bincount(cell, times[part][own] * self.more[at], len(sums))
+            done, total = upto, int(ends[upto - 1])
+        return sums.reshape(n, -1)
+
+
+def _laid_out(first: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of ``sizes`` places from ``first`` on: for each place the number of its run, and it."""
+    own = np.repeat(np.arange(len(sizes)), sizes)
+    return own, np.arange(len(own)) + (first - np.cumsum(sizes) + sizes)[own]
 
 
 def hashes(items: list[str]) -> np.ndarray:
@@ -117,59 +146,135 @@ class LanguageModel:
         )
 
     def unseen(self, word: str) -> np.ndarray:
-        return self.all_unseen([word])[0]
-
-    def all_unseen(self, unseen: list[str]) -> np.ndarray:
-        """A line for each word: the mean over its longest pieces that are known, 0 if none."""
-        pieces, of_word, lengths = [], [], []
-        for at, word in enumerate(unseen):
-            padded = f"<{word}>"
-            for n in range(1, min(self.longest, len(padded)) + 1):
-                own = [padded[k : k + n] for k in range(len(padded) - n + 1)]
-                pieces += own
-                of_word += [at] * len(own)
-                lengths += [n] * len(own)
-        row = self.grams.rows(pieces)
-        of_word, lengths = np.array(of_word), np.where(row >= 0, lengths, 0)
-        best = np.zeros(len(unseen), dtype=np.int64)
-        np.maximum.at(best, of_word, lengths)
-        used = np.flatnonzero((lengths > 0) & (lengths == best[of_word]))
-        share = 1 / np.maximum(np.bincount(of_word[used], minlength=len(unseen)), 1)
-        return self.gram_logs.summed(
-            row[used], of_word[used], share[of_word[used]], len(unseen)
-        )
-
-    def predict(self, text: str | None, cache: dict[str, np.ndarray]) -> tuple[str, float]:
-        counts = Counter(_WORD.findall(text.lower())) if text else None
-        if not counts or not self.languages:
-            return UNDETERMINED, 0.0
-        found, times = list(counts), np.array(list(counts.values()), dtype=float)
-        rows = self.words.rows(found)
-        known = np.flatnonzero(rows >= 0)
-        total = self.prior + self.word_logs.summed(
-            rows[known], np.zeros(len(known), dtype=np.int64), times[known], 1
-        )[0]
-        left = [found[k] for k in np.flatnonzero(rows < 0).tolist()]
-        new = [word for word in left if word not in cache]
-        # Some thousand words at a time bound the lines that are held.
-        for begin in range(0, len(new), _WORDS_AT_ONCE):
-            part = new[begin : begin + _WORDS_AT_ONCE]
-            logs = self.all_unseen(part)
-            total += np.array([counts[word] for word in part], dtype=float) @ logs
-            if len(cache) >= _KNOWN_UNSEEN // max(1, len(self.languages) // 4):
-                cache.clear()
-            cache.update(zip(part, logs))
-        if len(new) < len(left):
-            fresh = set(new)
-            for word in left:
-                if word not in fresh:
-                    logs = cache.get(word)
-                    total += counts[word] * (self.unseen(word) if logs is None else logs)
-        n_words = int(times.sum())
-        logs = total * (min(n_words, EVIDENCE_WORDS) / n_words)
-        shares = np.exp(logs - logs.max())
-        best = int(np.argmax(total))
-        return self.languages[best], float(shares[best] / shares.sum())
+        data = np.frombuffer(word.encode("utf-8", "surrogatepass"), dtype=np.uint8)
+        logs, any_known = self.all_unseen(data, np.array([0]), np.array([len(data)]))
+        return logs.summed([0], np.array([0]), any_known.astype(float), 1)[0]
+
+    def all_unseen(
+        self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray
+    ) -> tuple[Logs, np.ndarray]:
+        """A row for each word, the mean over its longest pieces that are known, and whether it
+        has any. Words are given by where they start and end in the bytes ``data``."""
+        lengths = ends - starts + 2
+        after = np.cumsum(lengths)
+        padded = np.full(after[-1], ord(">"), dtype=np.uint8)
+        padded[after - lengths] = ord("<")
+        own, at = _laid_out(starts, lengths - 2)
+        padded[at - starts[own] + (after - lengths + 1)[own]] = data[at]
+        # Where characters begin, in bytes, and where words end, in characters.
+        chars = np.append(np.flatnonzero((padded & 0xC0) != 0x80), len(padded))
+        last = np.searchsorted(chars, after)
+        of_char = np.repeat(np.arange(len(last)), np.diff(last, prepend=0))
+        left = last[of_char] - np.arange(len(of_char))
+        any_known = np.zeros(len(last), dtype=bool)
+        found_word, found_row = [], []
+        for n in range(self.longest, 0, -1):
+            begins = np.flatnonzero((left >= n) & ~any_known[of_char])
+            codes = words.word_hashes(padded, chars[begins], chars[begins + n])
+            row = self.grams.rows_of(codes)
+            word, row = of_char[begins][row >= 0], row[row >= 0]
+            any_known[word] = True
+            found_word.append(word)
+            found_row.append(row)
+        word, row = np.concatenate(found_word), np.concatenate(found_row)
+        return self.gram_logs.means(row, word, len(last)), any_known
+
+    def predict(
+        self, text: str | None, cache: dict[str, np.ndarray] | None = None
+    ) -> tuple[str, float]:
+        """The language of one text; ``cache`` is not used."""
+        languages, scores = self.predict_all([text])
+        return languages[0], scores[0]
+
+    def predict_all(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        """The languages of the texts and their shares of belief."""
+        languages, scores = [UNDETERMINED] * len(texts), np.zeros(len(texts))
+        if not self.languages:
+            return languages, scores.tolist()
+        # So many sums at a time.
+        step = max(1, _CELLS // len(self.languages))
+        for begin in range(0, len(texts), step):
+            some = texts[begin : begin + step]
+            total, n_words = self._totals(some)
+            known = np.flatnonzero(n_words)
+            total, n_words = total[known], n_words[known]
+            logs = total * (np.minimum(n_words, EVIDENCE_WORDS) / n_words)[:, None]
+            shares = np.exp(logs - logs.max(axis=1, keepdims=True))
+            best = total.argmax(axis=1)
+            scores[begin + known] = shares[np.arange(len(known)), best] / shares.sum(axis=1)
+            for at, lang in zip(known.tolist(), best.tolist()):
+                languages[begin + at] = self.languages[lang]
+        return languages, scores.tolist()
+
+    def _totals(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The evidence of each text for each language, and its number of words."""
+        total = np.tile(self.prior, (len(texts), 1))
+        n_words = np.zeros(len(texts), dtype=np.int64)
+        for begin, parts in _parts(texts):
+            data, starts, ends, of_part = _words_of(parts)
+            code = pa.array(words.word_hashes(data, starts, ends)).dictionary_encode()
+            which = code.indices.to_numpy().astype(np.int64)
+            row = self.words.rows_of(code.dictionary.to_numpy())
+            known = row[which] >= 0
+            sums = self.word_logs.summed(
+                row[which[known]], of_part[known], np.ones(known.sum()), len(parts)
+            )
+            # Words not known are looked up once for all their places, so many sums at a time.
+            place = np.zeros(len(row), dtype=np.int64)
+            place[which] = np.arange(len(which))
+            place = place[row < 0]
+            new, of_new = (np.cumsum(row < 0) - 1)[which[~known]], of_part[~known]
+            step = max(1, _CELLS // len(self.languages))
+            for at in range(0, len(place), step):
+                some = place[at : at + step]
+                logs, any_known = self.all_unseen(data, starts[some], ends[some])
+                mine = (new >= at) & (new < at + step)
+                own = new[mine] - at
+                times = any_known[own].astype(float)
+                sums += logs.summed(own, of_new[mine], times, len(parts))
+            total[begin : begin + len(parts)] += sums
+            n_words[begin : begin + len(parts)] += np.bincount(of_part, minlength=len(parts))
+        return total, n_words
+
+
+def _parts(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
+    """Lower-cased texts, some consecutive ones at a time, and the place of the first. A long
+    text is cut between words into several parts."""
+    begin, held, size = 0, [], 0
+    for at, text in enumerate(texts):
+        text = text.lower() if text else ""
+        done = 0
+        while size + len(text) - done >= _PART:
+            cut = _NO_LETTER.search(text, done + _PART - size)
+            stop = cut.start() if cut else len(text)
+            yield begin, [*held, text[done:stop]]
+            begin, held, size, done = at, [], 0, stop
+        held.append(text[done:])
+        size += len(text) - done
+    if held:
+        yield begin, held
+
+
+def _words_of(parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of the parts, where the words in them start and end, and the part of each."""
+    joined = "\n".join(parts)
+    data = np.frombuffer(joined.encode("utf-8", "surrogatepass"), dtype=np.uint8)
+    if len(data) == len(joined):
+        chars, codes = None, data
+    else:
+        chars = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
+        codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    # The pattern alone says what a letter is; it is asked once for each character that occurs.
+    occurs = np.flatnonzero(np.bincount(codes))
+    letter = np.zeros(occurs[-1] + 1 if len(occurs) else 0, dtype=bool)
+    letter[occurs] = [_WORD.match(chr(code)) is not None for code in occurs.tolist()]
+    turns = np.flatnonzero(np.diff(letter[codes], prepend=False, append=False))
+    starts, ends = turns[::2], turns[1::2]
+    first = np.cumsum([0, *(len(part) + 1 for part in parts)])
+    of_part = np.searchsorted(first, starts, side="right") - 1
+    if chars is not None:
+        starts, ends = chars[starts], chars[ends]
+    return data, starts, ends, of_part
 
 
 def fit(
@@ -302,15 +407,14 @@ def with_language(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = LanguageModel(**shared.value)
-        cache: dict[str, np.ndarray] = {}
         for batch in batches:
             for row, run_of_texts in words.slices(batch.column("text")):
-                found = [own.predict(text, cache) for text in run_of_texts.to_pylist()]
+                languages, scores = own.predict_all(run_of_texts.to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [
                         *batch.slice(row, len(run_of_texts)).columns,
-                        pa.array([lang for lang, _ in found], pa.string()),
-                        pa.array([score for _, score in found], pa.float64()),
+                        pa.array(languages, pa.string()),
+                        pa.array(scores, pa.float64()),
                     ],
                     schema.names,
                 )

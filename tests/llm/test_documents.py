@@ -174,6 +174,70 @@ def test_all_words_and_languages_of_the_sample_are_learnt(spark):
     assert few.languages == model.languages and len(few.words) == 100 + 230 + 1
 
 
+def by_definition(model, text):
+    """Language and score of one text, word by word."""
+    counts = Counter(language_id._WORD.findall((text or "").lower()))
+    if not counts:
+        return "und", 0.0
+    total = model.prior.copy()
+    for word, n in counts.items():
+        row = model.words.rows([word])
+        if row[0] >= 0:
+            total += n * model.word_logs[row][0]
+            continue
+        padded = f"<{word}>"
+        for size in range(model.longest, 0, -1):
+            row = model.grams.rows([padded[k : k + size] for k in range(len(padded) - size + 1)])
+            if (row >= 0).any():
+                total += n * model.gram_logs[row[row >= 0]].mean(axis=0)
+                break
+    n = counts.total()
+    shares = np.exp((total - total.max()) * min(n, language_id.EVIDENCE_WORDS) / n)
+    return model.languages[int(total.argmax())], shares.max() / shares.sum()
+
+
+def test_texts_judged_in_blocks_are_judged_as_by_themselves(spark, monkeypatch):
+    learnt = [
+        (1, "haus baum der wald und das haus geht größe straße", "de"),
+        (2, "house tree the wood and the house goes over there", "en"),
+        (3, "maison arbre le bois et la forêt été où ça va", "fr"),
+        (4, "дом дерево лес и этот дом ΟΔΟΣ δρόμος σας", "xx"),
+    ]
+    model = language_id.fit(spark.createDataFrame(learnt, "doc_id long, text string, lang string"))
+    rng = np.random.default_rng(5)
+    pool = " ".join(text for _, text, _ in learnt).split()
+    pool += ["HÄUSER", "housing", "Σ", "ΟΔΟΣ.", "İde", "12", "a_b", "x²", "½", "ζζ", "森", "<haus>"]
+    given = [None, "", " ", "12 !", "haus", "ΑΣ", "Σας ΑΣ", "q" * 70_000, "ß\nhaus\n"]
+    for n in rng.integers(1, 30, 300).tolist():
+        given.append(rng.choice([" ", "\n", "-"]).join(rng.choice(pool, n)))
+    given.append(" ".join(rng.choice(pool, 3000)))
+    expected = [by_definition(model, text) for text in given]
+    # In one block, in blocks that cut texts, and with few sums at a time.
+    for part, cells in ((1 << 20, 1 << 20), (40, 1 << 20), (1000, 9)):
+        monkeypatch.setattr(language_id, "_PART", part)
+        monkeypatch.setattr(language_id, "_CELLS", cells)
+        found, scores = model.predict_all(given)
+        assert found == [lang for lang, _ in expected]
+        assert np.allclose(scores, [score for _, score in expected])
+    assert model.predict_all([]) == ([], [])
+
+
+def test_lookups_do_not_grow_with_the_number_of_texts(spark, monkeypatch):
+    rows = [(1, "haus baum haus", "de"), (2, "house tree house", "en")]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    given = [f"haus tree unseen{'abcdefghij'[k % 10]} zweite" for k in range(2000)]
+    calls = []
+    inner = language_id.words.word_hashes
+
+    def counted(*given):
+        calls.append(len(given[1]))
+        return inner(*given)
+
+    monkeypatch.setattr(language_id.words, "word_hashes", counted)
+    found, _ = model.predict_all(given)
+    assert len(found) == 2000 and len(calls) <= 1 + language_id.LONGEST_GRAM
+
+
 def test_copies_of_benchmark_passages_are_found(spark):
     rows = QUERIES["op4_decontamination"](spark, SMALL).collect()
     found = defaultdict(set)
