@@ -390,6 +390,56 @@ def test_copies_of_2000_items_are_found_beside_repeated_text(spark):
             assert len(pairs) >= 100 and all(item in exact[doc] for doc, item in pairs)
 
 
+def test_the_space_is_fitted_on_all_passages_of_all_documents(spark):
+    """Cosines against a dense decomposition, with more documents than 800, one of more than 40
+    passages, repeated and missing ids and documents without a word of the benchmark."""
+    rng = np.random.default_rng(7)
+    items = [list(rng.choice([f"v{k}" for k in range(120)], 20)) for _ in range(6)]
+    held = sorted({w for own in items for w in own})
+    topics = [held[k : k + 12] for k in range(0, len(held), 12)]
+    rows = [(k, list(rng.choice(topics[k % len(topics)], 30))) for k in range(900)]
+    rows += [(k % 3 or None, list(rng.choice(topics[0] + ["other"], 90))) for k in range(200)]
+    rows += [(2000, list(rng.choice(topics[1], 48 * 300))), (2001, ["other"] * 60), (2002, [])]
+    rows += [(3000 + k, own + ["other"] * 4 + topics[2]) for k, own in enumerate(items)]
+
+    codes = {w: decontamination._words_of(w)[0] for w in held}
+    place = {w: k for k, w in enumerate(sorted(held, key=codes.get))}
+    spread = Counter(w for _, own in rows for w in set(own))
+    idf = np.array([math.log((len(rows) + 1) / (spread[w] + 1)) + 1e-3 for w in place])
+
+    def vector(own):
+        out = np.zeros(len(place))
+        for word, n in Counter(own).items():
+            if word in place:
+                out[place[word]] = (1 + math.log(n)) * idf[place[word]]
+        return out / max(np.linalg.norm(out), 1e-12)
+
+    parts = [own[at : at + 48] for _, own in rows for at in range(0, len(own), 48)]
+    parts = np.array([vector(own) for own in parts if place.keys() & set(own)])
+    queries = np.array([vector(own) for own in items])
+    drawn = np.random.Generator(np.random.PCG64(11))
+    basis = np.linalg.qr(drawn.standard_normal((len(place), 6), dtype=np.float32))[0]
+    scale = 20 * len(items) / len(parts)
+    assert scale < 0.1
+    for _ in range(2):
+        whole = 20 * queries.T @ (queries @ basis) + scale * parts.T @ (parts @ basis)
+        basis = np.linalg.qr(whole)[0]
+
+    documents = spark.createDataFrame(
+        [(doc, " ".join(own)) for doc, own in rows], "doc_id long, text string"
+    ).repartition(5)
+    benchmark = spark.createDataFrame(
+        [(k, " ".join(own)) for k, own in enumerate(items)], "item_id long, text string"
+    )
+    matched = decontamination.with_matches(documents, benchmark, least_cosine=-1.0).collect()
+    assert len(matched) == len(rows)
+    found = {(r.doc_id, m.item_id): m.cosine for r in matched for m in r.matches}
+    for item, own in enumerate(items):
+        one, two = vector(rows[item - len(items)][1]) @ basis, queries[item] @ basis
+        cosine = one @ two / np.linalg.norm(one) / np.linalg.norm(two)
+        assert found[3000 + item, item] == pytest.approx(cosine, abs=1e-4)
+
+
 def test_passages_at_the_end_of_very_long_texts_are_found(spark):
     passage = " ".join(f"p{k}" for k in range(30))
     long = " ".join(f"w{k % 5000}" for k in range(400_000))  # more than one block of text
