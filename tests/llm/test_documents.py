@@ -13,6 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from conftest import SMALL
 from llm_tables import no_documents, odd_documents  # noqa: F401
 from skyvane.llm import (
@@ -440,6 +441,41 @@ def test_the_space_is_fitted_on_all_passages_of_all_documents(spark):
         assert found[3000 + item, item] == pytest.approx(cosine, abs=1e-4)
 
 
+def test_decontamination_of_the_pipeline_fits_on_all_passages(spark, monkeypatch, tmp_path):
+    rng = np.random.default_rng(9)
+    items = [[f"v{k}" for k in range(at, at + 20)] for at in (0, 20, 40)]
+    held = {w for own in items for w in own}
+    mixed = np.array([*sorted(held), *(f"n{k}" for k in range(200))])
+    rows = [(k // 2 if k % 9 else None, list(rng.choice(mixed, 10 + k % 90)), k) for k in range(900)]
+    rows += [(5000, list(rng.choice(mixed, 48 * 60 + 1)), 900), (None, [], 901), (1, ["n1"] * 99, 902)]
+    rows += [(6000 + k, ["n1"] * 9 + own + ["n2"] * 9, -1 - k) for k, own in enumerate(items)]
+    spark.createDataFrame(
+        [(k, " ".join(own)) for k, own in enumerate(items)], "item_id long, text string"
+    ).write.parquet(f"{tmp_path}/benchmark.parquet")
+    documents = spark.createDataFrame(
+        [(doc, " ".join(own) if own else None, n) for doc, own, n in rows],
+        "doc_id long, text string, n long",
+    ).repartition(4)
+
+    written, stored = [], decontamination.stored
+
+    def kept(df, purpose):
+        written.append(stored(df, purpose))
+        return written[-1]
+
+    monkeypatch.setattr(decontamination, "stored", kept)
+    left = corpus_pipeline.decontaminated(spark, documents, str(tmp_path)).collect()
+    assert sorted(r.n for r in left) == list(range(903))
+    parts = [Counter(own[at : at + 48]) for _, own, _ in rows for at in range(0, len(own), 48)]
+    parts = [[n for word, n in own.items() if word in held] for own in parts]
+    passages = written[0].collect()
+    assert len(written) == 1 and len(passages) == len(rows)
+    assert sum(len(r.sizes) for r in passages) == sum(len(own) > 0 for own in parts)
+    assert sum(sum(r.times) for r in passages) == sum(map(sum, parts))
+    assert sorted(b"".join(bytes(r.sizes) for r in passages)) == sorted(len(o) for o in parts if o)
+    assert sum(len(r.features) for r in passages) == 4 * sum(map(len, parts))
+
+
 def test_passages_at_the_end_of_very_long_texts_are_found(spark):
     passage = " ".join(f"p{k}" for k in range(30))
     long = " ".join(f"w{k % 5000}" for k in range(400_000))  # more than one block of text
